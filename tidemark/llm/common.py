@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -38,27 +35,28 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     )
 
 
-def map_batches(
-    df: DataFrame, schema: T.StructType | str, fn: Callable[[dict[str, list]], dict[str, list]], as_bytes: bool = False
-) -> DataFrame:
-    """``mapInArrow`` over column lists. ``as_bytes``: the text arrives as UTF-8 bytes, undecoded.
+SMALL_KEYS = 1_000_000
 
-    ``fn`` may be a factory result holding state; it is pickled once a task.
-    """
-    out = df.sparkSession.createDataFrame([], schema).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
-        arrow = to_arrow_schema(out)
-        for batch in batches:
-            cols = {}
-            for name in batch.schema.names:
-                c = batch.column(name)
-                if name == "text" and as_bytes:
-                    c = c.cast(pa.binary() if c.type == pa.string() else pa.large_binary())
-                cols[name] = c.to_pylist()
-            got = fn(cols)
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out)
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Names a row by id and text, for taking decisions back to rows; equal rows share it."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def few(keys: DataFrame, most: int = SMALL_KEYS) -> DataFrame:
+    """``keys`` (longs), marked for broadcast only if a count shows that they are at most ``most``."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows named by ``keys`` (row_key); texts are only shuffled if the keys are many."""
+    keys = few(cut(keys.select("row_key")))
+    # a name that no column of documents has
+    named = docs.withColumn("__row_key", row_key(id_col, text_col))
+    return named.join(keys, F.col("__row_key") == keys.row_key, "left_anti").drop("__row_key")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_texts
+from .common import row_key as key_of
 
 GAP = 1
 BAND = 32
@@ -194,7 +195,7 @@ def matches(
     both ends inclusive; similarity is score over the item's words. Null and empty texts on either side match nothing;
     items of under ``n`` words neither. Repeated rows are reported each. Empty tables give no rows.
     """
-    base = keyed_texts(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    base = keyed_texts(docs, id_col, text_col).withColumn("row_key", key_of())
     test = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
     id_type, item_type = (x.dataType.simpleString() for x in (base.schema["doc_id"], test.schema["item_id"]))
     schema = f"doc_id {id_type}, item_id {item_type}, score int, similarity double, start_word bigint, end_word bigint, row_key bigint"

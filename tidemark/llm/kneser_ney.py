@@ -1,6 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
-The model is trained on all trusted text. Tasks count the n-grams of the highest order; joins and aggregates over
+The model is trained on all trusted text; thresholds come from a second model, of half of it, on the other half, since
+texts that a model has seen have too low a perplexity. Tasks count the n-grams of the highest order; joins and aggregates over
 tables keyed by n-gram then give continuation counts, discounts, context totals and interpolated probabilities, order
 by order. For scoring, the table is dealt into shards by the two characters before the predicted one, which all of
 its entries of three or more share; shorter entries go to every shard. A task holds one shard of at most ``shard_rows``
@@ -14,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keyed_texts
+from .common import row_key as key_of
 from .quality_rules import trusted_ids
 
 ORDER = 5
@@ -61,29 +63,34 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def count_ngrams(docs: DataFrame, order: int = ORDER, held: int = 1_000_000) -> DataFrame:
-    """(gram, n) of all texts: tasks send the counts they hold, at the latest when these are ``held``."""
+    """(gram, half, n) of all texts, by ``half`` of docs (text, half): tasks send the counts they hold, at the latest
+    when these are ``held``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: dict[bool, Counter[str]] = {False: Counter(), True: Counter()}
 
-        def out() -> pa.RecordBatch:
-            cols = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["gram", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for half, own in counts.items():
+                cols = [pa.array(list(own), pa.string()), pa.array([half] * len(own), pa.bool_())]
+                cols.append(pa.array(list(own.values()), pa.int64()))
+                own.clear()
+                yield pa.RecordBatch.from_arrays(cols, names=["gram", "half", "n"])
 
         for b in batches:
-            for _, texts in _chunks([t for t in b.column("text").to_pylist() if t]):
-                joined, codes, ends, _ = _codes(texts, order)
-                _, first, n = np.unique(_hash(codes, ends, order), return_index=True, return_counts=True)
-                for e, k in zip(ends[first].tolist(), n.tolist()):
-                    counts[joined[e - order + 1 : e + 1]] += k
-                if len(counts) >= held:
-                    yield out()
-        if counts:
-            yield out()
+            rows = list(zip(b.column("text").to_pylist(), b.column("half").to_pylist()))
+            for half, own in counts.items():
+                for _, texts in _chunks([t for t, h in rows if t and h == half]):
+                    joined, codes, ends, _ = _codes(texts, order)
+                    _, first, n = np.unique(_hash(codes, ends, order), return_index=True, return_counts=True)
+                    for e, k in zip(ends[first].tolist(), n.tolist()):
+                        own[joined[e - order + 1 : e + 1]] += k
+                if len(own) >= held:
+                    yield from out()
+        yield from out()
 
-    got = docs.select("text").mapInArrow(run, "gram string, n bigint")
-    return got.groupBy("gram").agg(F.sum("n").alias("n"))
+    got = docs.select("text", "half").mapInArrow(run, "gram string, half boolean, n bigint")
+    return got.groupBy("gram", "half").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -97,11 +104,11 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
 
-def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, lp, lg): log probability of a gram's last character after the others, and log weight of what is left
+def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, lp, lg) from (gram, n) of the highest order: log probability of a gram's last character after the others, and log weight of what is left
     to shorter contexts after the whole gram; null where there is none. The row of gram '' has the unseen character.
     """
-    levels = [cut(count_ngrams(docs, order))]
+    levels = [counts]
     for size in range(order - 1, 0, -1):
         suffix = F.substring("gram", 2, size)
         levels.insert(0, cut(levels[0].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n"))))
@@ -138,6 +145,8 @@ class Table:
     """Open addressing over numpy arrays: hash to (lp, lg); nan where there is none."""
 
     def __init__(self, keys: np.ndarray, lp: np.ndarray, lg: np.ndarray):
+        if not len(keys):  # a row that says nothing
+            keys, lp, lg = np.zeros(1, np.uint64), np.full(1, np.nan), np.full(1, np.nan)
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.at = np.full(1 << bits, -1, np.int32)
@@ -255,29 +264,45 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_ro
 
 def classify(
     docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = 0.99, slack: float = 2.0,
-    shard_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    prior_chars: int = 128, shard_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """(doc_id, lang, n, perplexity, threshold, kept, row_key): one row for each row of ``docs``.
 
-    A language's threshold, in log perplexity, lies ``slack`` times as far above the trusted median as the trusted
-    ``quantile`` does. Languages without trusted texts, null ones among them, take the threshold of all. Null and
-    empty texts have the perplexity of an immediate end and are judged alike. Without trusted texts all are kept, with
-    null perplexity. row_key hashes id and text, for taking decisions back to rows. An empty table gives no rows.
+    Trusted medians and quantiles are those of the half that the second model hasn't seen. A document's excess is its log perplexity above its language's trusted median, drawn to 0 as if it had
+    ``prior_chars`` more characters of that median; it is rejected if that is over ``slack`` times the trusted
+    ``quantile`` of its language. Languages without trusted texts, null ones among them, take the threshold of all. Null and
+    empty texts have the perplexity of an immediate end and are judged alike. Without such texts all are kept, with null
+    perplexity. row_key hashes id and text, for taking decisions back to rows. An empty table gives no rows.
     """
     base = keyed_texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
-    base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    base = base.withColumn("row_key", key_of())
     ids = trusted_ids(labels)
-    model = cut(train(base.join(ids, "doc_id", "left_semi"), order))
-    scored = perplexities(base, model, order, shard_rows)
-    scored = cut(scored.withColumn("log_ppl", -F.col("log_prob") / F.col("n")))
-    marked = scored.join(ids, "doc_id", "left_semi").where("n > 1")
-    q = F.percentile_approx("log_ppl", F.array(F.lit(0.5), F.lit(quantile)), 10000)
-    limit = lambda q: (q[0] + slack * (q[1] - q[0])).alias("limit")
-    by_lang = marked.groupBy("lang").agg(q.alias("q")).dropna(subset="lang").select("lang", limit(F.col("q")))
-    overall = cut(marked.agg(q.alias("q")).select(limit(F.col("q"))))
-    out = scored.join(by_lang, "lang", "left").withColumn("limit", F.coalesce("limit", overall.scalar()))
+    trusted = base.join(ids, "doc_id", "left_semi").withColumn("half", F.xxhash64("doc_id") % 2 == 0)
+    counts = cut(count_ngrams(trusted, order))
+    log_ppl = (-F.col("log_prob") / F.col("n")).alias("log_ppl")
+    model = cut(train(cut(counts.groupBy("gram").agg(F.sum("n").alias("n"))), order))
+    scored = cut(perplexities(base, model, order, shard_rows).select("*", log_ppl))
+    half = cut(train(counts.where("half").select("gram", "n"), order))
+    unseen = trusted.where("not half and text <> ''").drop("half")
+    marked = cut(perplexities(unseen, half, order, shard_rows).select("*", log_ppl))
+    half = F.percentile_approx("log_ppl", F.lit(0.5), 10000)
+    all_half = cut(marked.agg(half.alias("half")))
+    halves = cut(marked.groupBy("lang").agg(half.alias("half")).dropna(subset="lang"))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        """Adds half, the trusted median, and excess: how far a document is above it, less so if it is short."""
+        df = df.join(halves, "lang", "left").withColumn("half", F.coalesce("half", all_half.scalar()))
+        return df.withColumn("excess", (F.col("log_ppl") - F.col("half")) * F.col("n") / (F.col("n") + prior_chars))
+
+    top = F.percentile_approx("excess", F.lit(quantile), 10000)
+    marked = cut(drawn(marked))
+    limits = marked.groupBy("lang").agg((slack * top).alias("limit")).dropna(subset="lang")
+    overall = cut(marked.agg((slack * top).alias("limit")))
+    out = drawn(scored).join(limits, "lang", "left").withColumn("limit", F.coalesce("limit", overall.scalar()))
     known = F.col("limit").isNotNull()
+    # the threshold is told as the perplexity that a document of this length may have
+    allowed = F.col("half") + F.col("limit") * (F.col("n") + prior_chars) / F.col("n")
     return out.select(
         "doc_id", "lang", (F.col("n") - 1).alias("n"), F.when(known, F.exp("log_ppl")).alias("perplexity"),
-        F.exp("limit").alias("threshold"), (~known | (F.col("log_ppl") <= F.col("limit"))).alias("kept"), "row_key",
+        F.exp(allowed).alias("threshold"), (~known | (F.col("excess") <= F.col("limit"))).alias("kept"), "row_key",
     )

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed_texts
+from .common import cut, few, keyed_texts
 
 BUCKETS = 8192
-SMALL_IDS = 2_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -94,8 +93,7 @@ def hashed(buckets: int) -> Column:
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ids labelled of quality 1; broadcast only if they are few."""
-    ids = labels.where("quality = 1").select(F.col(f"`{id_col}`").alias("doc_id")).dropna().distinct()
-    return F.broadcast(ids) if ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else ids
+    return few(labels.where("quality = 1").select(F.col(f"`{id_col}`").alias("doc_id")).dropna().distinct())
 
 
 def log_ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, prior: float = 1.0) -> DataFrame:

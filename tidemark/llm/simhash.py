@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed_texts
+from .common import cut, drop_rows, few, keyed_texts
+from .common import row_key as key_of
 
 BITS = 64
 SEGMENT = 32
@@ -51,18 +52,18 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``."""
+    """(doc_id, fp, row_key): one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text")
             text = text.cast(pa.binary() if text.type == pa.string() else pa.large_binary())
             fp = pa.array((fingerprint(t.as_py(), shingle) for t in text), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp, b.column("row_key")], names=["doc_id", "fp", "row_key"])
 
-    df = keyed_texts(docs, id_col, text_col)
+    df = keyed_texts(docs, id_col, text_col).withColumn("row_key", key_of())
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return df.mapInArrow(run, f"doc_id {kind}, fp bigint, row_key bigint")
 
 
 def _single_bits() -> list[int]:
@@ -140,7 +141,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = 48) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): one row for each row of ``docs``.
+    """(doc_id, fingerprint, component_id, n_links, row_key): one row for each row of ``docs``.
 
     component_id: the smallest doc_id reachable over links of at most two bits. n_links: links of the document's
     fingerprint that were listed to other fingerprints. Null texts and texts without words have fingerprint 0; ids that
@@ -148,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
     edges = cut(links(nodes.select("fp"), dense))
     # the nodes of edges as fingerprints; the root only has to name the component
     roots = components(edges)
@@ -158,8 +159,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = ids.join(of_root, "root").join(degree, "node").select("node", "component", "n_links")
     table = nodes.join(linked, nodes.fp == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    # one row a fingerprint on the right; the skewed left side is split by adaptive execution
-    out = fps.join(table, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+        "fp", "rows", F.coalesce("component", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    table = cut(table)
+    # fingerprints with more than a 5,000th of the rows are under 5,000; their rows stay where they are
+    total = nodes.agg(F.sum("rows")).first()[0] or 0
+    common = F.col("rows") > max(50, total // 5000)
+    often, seldom = F.broadcast(table.where(common)), table.where(~common)
+    rest = fps.join(often.select("fp"), "fp", "left_anti").join(seldom, "fp")
+    out = fps.join(often, "fp").unionByName(rest)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "row_key")
+
+
+def keep_representatives(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``rows`` (from ``near_duplicates``): one of its smallest id.
+
+    Rows are dropped by key; where a kept row is there more than once, equal in id and text, one of them stays.
+    """
+    by = ["component_id", "doc_id", "row_key"]
+    groups = cut(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    # of equal smallest ids the smaller key; a component whose ids are all null is one of its own
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("b"))
+    best = best.select(F.col("component_id").alias("c"), F.col("b.row_key").alias("best"))
+    told = cut(groups.join(best, F.col("component_id").eqNullSafe(F.col("c"))).select("row_key", "n", "best"))
+    kept = drop_rows(docs, told.where("row_key <> best").select("row_key"), id_col, text_col)
+    again = cut(told.where("row_key = best and n > 1").select("row_key"))
+    if again.isEmpty():
+        return kept
+    single = drop_rows(kept, again, id_col, text_col)
+    named = kept.withColumn("__row_key", key_of(id_col, text_col))
+    twice = named.join(few(again), F.col("__row_key") == again.row_key, "left_semi").dropDuplicates(["__row_key"])
+    return single.unionByName(twice.drop("__row_key"))
