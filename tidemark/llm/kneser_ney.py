@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,16 +210,15 @@ def _shards(model: DataFrame, order: int, shard_rows: int) -> tuple[list, int, f
             none = F.lit(None).cast("double")
             part = part.select("gram", F.when(as_gram, F.col("lp")).otherwise(none).alias("lp"), F.when(as_context, F.col("lg")).otherwise(none).alias("lg"))
             part = part.where("lp is not null or lg is not null")
-        grams, lp, lg = (part.toArrow().column(i) for i in range(3))
+        got = part.toArrow()
+        grams, lp, lg = (got.column(i) for i in range(3))
+        sizes = pc.utf8_length(grams).to_numpy()
         keys = np.zeros(len(grams), np.uint64)
-        by_size: dict[int, list[int]] = {}
-        texts = grams.to_pylist()
-        for i, g in enumerate(texts):
-            by_size.setdefault(len(g), []).append(i)
-        for size, own in by_size.items():
-            joined = "".join(texts[i] for i in own)
+        for size in np.unique(sizes):  # one size at a time, so that few strings are objects at once
+            own = np.flatnonzero(sizes == size)
+            joined = "".join(grams.take(pa.array(own)).to_pylist())
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            keys[own] = _hash(codes, np.arange(1, len(own) + 1) * size - 1, size)
+            keys[own] = _hash(codes, np.arange(1, len(own) + 1) * size - 1, int(size))
         lp, lg = (x.to_numpy(zero_copy_only=False).astype(np.float32) for x in (lp, lg))
         out.append(sc.broadcast((keys, lp, lg)))
     return out, shards, float(unseen[1]) if unseen and unseen[1] is not None else -20.0

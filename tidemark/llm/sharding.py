@@ -70,15 +70,15 @@ def assign_map(totals: DataFrame, shards: int, version: int = 1) -> DataFrame:
 def rebalance(old: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
     """The next version of a map, for new slot totals and maybe another number of shards.
 
-    A shard keeps its slots, smallest first, as long as they fit in the mean; the others, and those of shards that
-    exist no longer, are dealt to the lightest shards. The result holds the new version alone.
+    A shard keeps its slots, largest first, as long as they fit in the mean; the small ones left, and all those of
+    shards that exist no longer, are dealt to the lightest shards. The result holds the new version alone.
     """
     from pyspark.sql import Window
 
     version = old.agg((F.max("version") + 1).alias("next"))
     last = old.join(F.broadcast(old.agg(F.max("version").alias("version"))), "version").drop("version")
     mean = totals.agg((F.sum("bytes") / shards).alias("mean"))
-    w = Window.partitionBy("shard").orderBy("bytes", "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     rows = last.join(F.broadcast(totals), "virtual_slot").withColumn("run", F.sum("bytes").over(w))
     rows = rows.join(F.broadcast(mean)).withColumn("stays", (F.col("shard") < shards) & (F.col("run") <= F.col("mean")))
     stay = rows.where("stays")
