@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import benefits, documents, operations
+
+_ALL = benefits.QUERIES | documents.QUERIES | operations.QUERIES
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those queries that SQL can express."""
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
