@@ -82,11 +82,14 @@ VERDICT_FACTORS = {"supported": 1.0, "corrected": 0.85, "unsupported": 0.35}
 
 
 def row_confidence(score: Column, verdict: Column, grounded: Column, exhausted: Column) -> Column:
-    """Score by verdict (.75 without one), .5 at most without a ground, a tenth less when tries ran out."""
-    factor = F.coalesce(*[F.when(verdict == v, F.lit(f)) for v, f in VERDICT_FACTORS.items()], F.lit(0.75))
-    c = score / 100 * factor
-    c = F.when(grounded, c).otherwise(F.least(c, F.lit(0.5)))
-    return F.round(F.when(exhausted, c * 0.9).otherwise(c), 3)
+    """Score by verdict (.75 without one), .5 at most without a ground, a tenth less when tries ran out; in decimals,
+    so that ties round up.
+    """
+    exact = lambda x, kind: F.lit(str(x)).cast(kind)
+    factor = F.coalesce(*[F.when(verdict == v, exact(f, "decimal(3,2)")) for v, f in VERDICT_FACTORS.items()], exact(0.75, "decimal(3,2)"))
+    c = score.cast("decimal(6,3)") * factor * exact("0.01", "decimal(3,2)")
+    c = F.when(grounded, c).otherwise(F.least(c, exact(0.5, "decimal(3,2)")))
+    return F.round(c * F.when(exhausted, exact(0.9, "decimal(3,2)")).otherwise(exact(1, "decimal(3,2)")), 3).cast("double")
 
 
 def apply_corrections(df: DataFrame, patch: str, allowed: dict[str, str]) -> DataFrame:
