@@ -27,7 +27,8 @@ ORDER = 5
 START, END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-CHUNK = 1 << 20
+#: Characters that are counted, and scored, at once.
+COUNTED, SCORED = 1 << 20, 1 << 18
 
 
 def _codes(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,13 +51,13 @@ def _hash(codes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK characters; the index of the first."""
+def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``most`` characters; the index of the first."""
     at, part, size = 0, [], 0
     for i, t in enumerate(texts):
         part.append(t)
         size += len(t)
-        if size >= CHUNK:
+        if size >= most:
             yield at, part
             at, part, size = i + 1, [], 0
     if part:
@@ -81,7 +82,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, held: int = 1_000_000) ->
         for b in batches:
             rows = list(zip(b.column("text").to_pylist(), b.column("half").to_pylist()))
             for half, own in counts.items():
-                for _, texts in _chunks([t for t, h in rows if t and h == half]):
+                for _, texts in _chunks([t for t, h in rows if t and h == half], COUNTED):
                     joined, codes, ends, _ = _codes(texts, order)
                     _, first, n = np.unique(_hash(codes, ends, order), return_index=True, return_counts=True)
                     for e, k in zip(ends[first].tolist(), n.tolist()):
@@ -250,7 +251,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_ro
             total = np.zeros(len(texts))
             for s in range(count):
                 table = kept or Table(*shards[s].value)
-                for at, part in _chunks(texts):
+                for at, part in _chunks(texts, SCORED):
                     total[at : at + len(part)] += score(part, table, s)
                 if count > 1:
                     del table

@@ -3,7 +3,8 @@
 Words and word pairs hash into ``buckets``; two multinomials over the buckets, of trusted texts and of all texts, give
 each bucket a log ratio, and a document its mean over its n-grams. A document is kept if it passes the rules and its
 score is not under the threshold: ``slack`` times the distance from the trusted median to the trusted ``quantile``,
-taken from the median down.
+taken from the median down. These two come from one half of the trusted texts, scored with the ratios of the other, as
+texts that the ratios have seen score too high.
 """
 
 from __future__ import annotations
@@ -96,25 +97,39 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return few(labels.where("quality = 1").select(F.col(f"`{id_col}`").alias("doc_id")).dropna().distinct())
 
 
+def in_half() -> Column:
+    """Whether a trusted document is in the half that thresholds are not taken from."""
+    return F.xxhash64("doc_id") % 2 == 0
+
+
 def log_ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, prior: float = 1.0) -> DataFrame:
-    """One row with ``ratios``: for each bucket log(trusted / raw), with ``prior`` added to each count."""
-    marked = docs.join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    grams = with_words(marked).select("trusted", F.explode(hashed(buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    """One row with ``ratios``: for each bucket log(trusted / raw), with ``prior`` added to each count; and with
+    ``half_ratios``, the same with half of the trusted texts, null if there is none in that half.
+    """
+    marked = docs.join(ids.withColumn("half", in_half()), "doc_id", "left")
+    grams = with_words(marked).select("half", F.explode(hashed(buckets)).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(
+        F.count("*").alias("raw"), F.count("half").alias("target"), F.count_if("half").alias("half")
+    )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(F.broadcast(counts), "bucket", "left").fillna(0)
     listed = full.agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"),
-        F.sum("raw").alias("r"), F.sum("target").alias("t"),
-    )
+        F.sort_array(F.collect_list(F.struct("bucket", "raw", "target", "half"))).alias("c"),
+        *[F.sum(x).alias(f"all_{x}") for x in ("raw", "target", "half")],
+    )
     add = F.lit(prior * buckets)
-    ratio = F.transform(
-        "c",
-        lambda x: F.when(F.col("t") == 0, 0.0).otherwise(
-            F.log((x["target"] + prior) / (F.col("t") + add)) - F.log((x["raw"] + prior) / (F.col("r") + add))
-        ),
+
+    def share(x: Column, name: str) -> Column:
+        return F.log((x[name] + prior) / (F.col(f"all_{name}") + add))
+
+    def ratio(name: str, none: Column) -> Column:
+        some = F.transform("c", lambda x: share(x, name) - share(x, "raw"))
+        return F.when(F.col(f"all_{name}") > 0, some).otherwise(none)
+
+    zeros = F.transform("c", lambda x: F.lit(0.0))
+    return listed.select(
+        ratio("target", zeros).alias("ratios"), ratio("half", F.lit(None).cast("array<double>")).alias("half_ratios")
     )
-    return listed.select(ratio.alias("ratios"))
 
 
 def quality(
@@ -124,20 +139,27 @@ def quality(
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept).
 
     One row for each row of ``docs``. Null and empty texts have no words, score 0 and fail the rules. Without trusted
-    texts all ratios are 0 and the rules alone decide. Repeated rows count and are judged each. Labels of unknown
+    texts all ratios are 0, and without two halves of them the rules alone decide. Repeated rows count and are judged each. Labels of unknown
     documents and null labels have no effect. An empty table gives no rows.
     """
     base = keyed_texts(docs, id_col, text_col)
     ids = trusted_ids(labels)
     ratios = cut(log_ratios(base, ids, buckets))
-    df = rules(with_words(base).withColumn("ratios", ratios.scalar()))
-    df = df.withColumn("grams", hashed(buckets))
-    total = F.aggregate("grams", F.lit(0.0), lambda a, x: a + F.get("ratios", x))
-    score = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
-    out = cut(df.withColumn("score", score).drop("text", "words", "grams", "ratios"))
-    marked = out.where("not base_failed").join(ids, "doc_id", "left_semi")
-    q = marked.agg(F.percentile_approx("score", F.array(F.lit(quantile), F.lit(0.5)), 10000).alias("q"))
+    both = {name: ratios.select(name).scalar() for name in ratios.columns}
+    df = rules(with_words(base).withColumns(both)).withColumn("grams", hashed(buckets))
+
+    def mean(name: str) -> Column:
+        total = F.aggregate("grams", F.lit(0.0), lambda a, x: a + F.get(name, x))
+        return F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
+
+    # only those documents are scored twice that could be among the unseen
+    unseen = F.when(~in_half() & F.col("half_ratios").isNotNull(), mean("half_ratios"))
+    df = df.withColumns({"score": mean("ratios"), "unseen": unseen})
+    out = cut(df.drop("text", "words", "grams", *ratios.columns))
+    marked = out.where("not base_failed and unseen is not null").join(ids, "doc_id", "left_semi")
+    q = marked.agg(F.percentile_approx("unseen", F.array(F.lit(quantile), F.lit(0.5)), 10000).alias("q"))
     q = cut(q.select((F.col("q")[1] - slack * (F.col("q")[1] - F.col("q")[0])).alias("threshold")))
+    out = out.drop("unseen")
     out = out.withColumn("threshold", q.scalar())
     passes = F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))
     return out.withColumn("kept", ~F.col("base_failed") & passes)
