@@ -15,6 +15,7 @@ from ..sources.adapter import (
     BENEFITS,
     CLAIMS_SQL,
     DEDUCTIBLE_CENTS,
+    EFFECTIVE,
     LIMIT_CENTS,
     LINES_SQL,
     PERCENT_BP,
@@ -25,7 +26,13 @@ from ..sources.adapter import (
 )
 
 _D = lambda s: F.lit(s).cast("date")
-PLAN = T.Plan(_D("1994-04-30"), F.lit("benefit_year"), F.lit(7), F.lit(1))
+
+
+def the_plan() -> T.Plan:
+    """A plan whose benefit year begins in July."""
+    return T.Plan(_D(EFFECTIVE), F.lit("benefit_year"), F.lit(7), F.lit(1))
+
+
 RAW_SQL = f"least((2 * charged_cents * {PERCENT_BP} + 10000) // 20000, charged_cents - least(charged_cents, other_cents))"
 
 
@@ -86,7 +93,7 @@ SELECT claim_id, {_anchor('oy', '2', '29')} AS own_start, {_anchor('oy + 1', '2'
 
 
 def claim_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    due = T.claim_deadline(F.col("service_date"), PLAN, F.lit(365), F.lit(90))
+    due = T.claim_deadline(F.col("service_date"), the_plan(), F.lit(365), F.lit(90))
     lines = claim_lines(spark, sf_dir)
     per = lines.groupBy("claim_id").agg(
         F.min(due).alias("deadline"), F.min("service_date").alias("first_service"), F.max("service_date").alias("last_service")
@@ -129,7 +136,7 @@ def _paid_sql(include_submitted: bool = True) -> str:
 
 
 def limit_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = T.period_window(T.Period(F.lit("benefit_year")), _D(AS_OF), PLAN)
+    window = T.period_window(T.Period(F.lit("benefit_year")), _D(AS_OF), the_plan())
     used = ledger.scoped_sum(paid_lines(spark, sf_dir), "per_person", ["benefit_id"], window)
     return used.select(
         F.col("owner").alias("member_id"), "benefit_id", window["start"].alias("window_start"), window["end"].alias("window_end"),
@@ -157,7 +164,7 @@ _POOL_SQL = """pool AS (SELECT * FROM (VALUES ('P0', 0), ('P0', 1), ('P0', 2), (
 
 def pool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ledger.pool_members(*_dimensions(spark))
-    window = T.period_window(T.Period(F.lit("benefit_year"), start_month=F.lit(1)), _D(AS_OF), PLAN)
+    window = T.period_window(T.Period(F.lit("benefit_year"), start_month=F.lit(1)), _D(AS_OF), the_plan())
     entries = paid_lines(spark, sf_dir).join(F.broadcast(members), "benefit_id")  # at most a row a benefit
     used = ledger.scoped_sum(entries, "per_family", ["pool_id"], window)
     return used.select(
@@ -269,7 +276,7 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by member and benefit: benefits 0, 3, 6 and so on have no limit of their own; pools are of the member."""
     from pyspark.sql import Window
 
-    year = T.period_window(T.Period(F.lit("benefit_year"), start_month=F.lit(1)), _D(AS_OF), PLAN)
+    year = T.period_window(T.Period(F.lit("benefit_year"), start_month=F.lit(1)), _D(AS_OF), the_plan())
     used = ledger.scoped_sum(paid_lines(spark, sf_dir), "per_person", ["benefit_id"], year)
     used = used.join(F.broadcast(ledger.pool_members(*_dimensions(spark))), "benefit_id", "left")
     in_pool = F.sum("used").over(Window.partitionBy("owner", "pool_id"))
