@@ -36,11 +36,19 @@ def error_alerts(df: DataFrame, grain: str, keys: list[str], bad: Column, least:
 
 
 def spend_gate(df: DataFrame, key: str, cents: Column, limit: int) -> DataFrame:
-    """Adds day, cents, spent (of the day so far, this row apart) and allowed (whether that is under the limit)."""
-    day = df.withColumns({"day": F.to_date("ts"), "cents": cents})
-    w = Window.partitionBy(key, "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("cents").over(w), F.lit(0).cast("bigint"))
-    return day.withColumn("spent", spent).withColumn("allowed", F.col("spent") < limit)
+    """Adds day, cents, spent (of the day so far, this row apart) and allowed (whether that is under the limit).
+
+    Running sums are made in two steps, over minutes and within each, so that a busy key's day is not one task's.
+    """
+    zero = F.lit(0).cast("bigint")
+    rows = df.withColumns({"day": F.to_date("ts"), "cents": cents, "__m": F.date_trunc("minute", "ts")})
+    per = rows.groupBy(key, "day", "__m").agg(F.sum("cents").alias("__sum"))
+    earlier = Window.partitionBy(key, "day").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), zero)).drop("__sum", "day")
+    within = Window.partitionBy(key, "__m").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("__own", F.coalesce(F.sum("cents").over(within), zero)).join(per, [key, "__m"])
+    spent = F.col("__before") + F.col("__own")
+    return out.withColumn("spent", spent).withColumn("allowed", F.col("spent") < limit).drop("__before", "__own", "__m")
 
 
 #: List prices in dollars per million tokens, in and out.

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import benefits, documents, operations, reviews
+from .plans import benefits, documents, extras, operations, reviews
 
-_ALL = benefits.QUERIES | documents.QUERIES | operations.QUERIES | reviews.QUERIES
+_ALL = benefits.QUERIES | documents.QUERIES | operations.QUERIES | reviews.QUERIES | extras.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

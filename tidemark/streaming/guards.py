@@ -8,7 +8,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.conversation import MessageFold, canonical_json
@@ -31,7 +31,11 @@ def _seconds(ts: pd.Series) -> list[float]:
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, tie: str, most: int, seconds: float) -> DataFrame:
-    """(tie, key, allowed, retry_after): each key's events in order of time against a sliding window."""
+    """(tie, key, allowed, retry_after): each key's events in order of time against a sliding window.
+
+    After a pause as long as the window nothing before matters, so that a key's events fall apart there and Python
+    holds one stretch at a time. The window function and the groups share one shuffle by key.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, tie])
@@ -39,7 +43,12 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, most: int, seconds: f
         return pd.DataFrame({tie: pdf[tie], key: pdf[key], "allowed": [w is None for w in wait], "retry_after": pd.array(wait, "Int64")})
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (tie, key)}
-    return df.select(key, ts, tie).groupBy(key).applyInPandas(run, f"{tie} {kinds[tie]}, {key} {kinds[key]}, allowed boolean, retry_after bigint")
+    w = Window.partitionBy(key).orderBy(ts, tie)
+    pause = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    soon = F.lag(ts).over(w) + pause > F.col(ts)
+    rows = df.select(key, ts, tie).withColumn("__new", F.when(soon, 0).otherwise(1))
+    rows = rows.withColumn("__run", F.sum("__new").over(w)).drop("__new")
+    return rows.groupBy(key, "__run").applyInPandas(run, f"{tie} {kinds[tie]}, {key} {kinds[key]}, allowed boolean, retry_after bigint")
 
 
 def rate_limit_stream(df: DataFrame, key: str, ts: str, tie: str, most: int, seconds: int) -> DataFrame:
@@ -127,7 +136,5 @@ def fold_stream(df: DataFrame) -> DataFrame:
 
 def capped_bytes(df: DataFrame, key: str, order: str, size: str, cap: int) -> DataFrame:
     """Adds ``over``: whether a request's bytes, up to this part, are above the cap."""
-    from pyspark.sql import Window
-
     run = F.sum(size).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("over", run > cap)
