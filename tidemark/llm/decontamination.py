@@ -87,15 +87,18 @@ class Items:
 
     def choose(self, frequency: dict[int, int], window: int = 3) -> None:
         """Seeds: of each ``window`` neighbouring n-grams of an item the rarest, ties by place."""
-        many = np.array([frequency.get(i, 0) for i in range(len(self.grams))], np.int64)
-        own = many[np.searchsorted(self.grams, self.code)]
-        seed = np.zeros(len(own), bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i)
-            for a in range(max(1, len(mine) - window + 1)):
-                part = mine[a : a + window]
-                if len(part):
-                    seed[part[np.argmin(own[part])]] = True
+        many = np.zeros(len(self.grams), np.int64)
+        many[list(frequency)] = list(frequency.values())
+        own, n = many[np.searchsorted(self.grams, self.code)], len(self.code)
+        seed = np.zeros(n, bool)
+        if n >= window:
+            rarest = np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(own, window).argmin(1)
+            seed[rarest[self.item[: n - window + 1] == self.item[window - 1 :]]] = True
+        # items of fewer n-grams than a window: one window
+        order = np.lexsort((self.place, own, self.item))
+        items, first = np.unique(self.item[order], return_index=True)
+        few = np.bincount(self.item, minlength=len(self.ids))[items] < window
+        seed[order[first[few]]] = True
         order = np.flatnonzero(seed)[np.argsort(self.code[seed], kind="stable")]
         self.seeds, first = np.unique(self.code[order], return_index=True)
         self.of_seed = np.append(first, len(order))
