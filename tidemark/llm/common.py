@@ -35,6 +35,12 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     )
 
 
+def compact(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """``cut``, then read in as many tasks as the rows need, so that small tables don't shuffle from many."""
+    done = cut(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 SMALL_KEYS = 1_000_000
 
 

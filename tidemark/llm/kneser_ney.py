@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed_texts
+from .common import compact, cut, keyed_texts
 from .common import row_key as key_of
 from .quality_rules import trusted_ids
 
@@ -113,7 +113,7 @@ def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
     levels = [counts]
     for size in range(order - 1, 0, -1):
         suffix = F.substring("gram", 2, size)
-        levels.insert(0, cut(levels[0].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n"))))
+        levels.insert(0, compact(levels[0].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n"))))
     probs, tables = None, []
     for size, counts in enumerate(levels, 1):
         d = _discounts(counts)
@@ -135,7 +135,7 @@ def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
             p = (n - off) / F.col("total") + F.col("left") * F.col("q")
             probs = rows.join(lower, "suffix").select("gram", p.alias("p"))
             tables.append(totals.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("lp"), F.log("left").alias("lg")))
-        probs = cut(probs)
+        probs = compact(probs)
         tables.append(probs.select("gram", F.log("p").alias("lp"), F.lit(None).cast("double").alias("lg")))
     out = tables[0]
     for t in tables[1:]:
@@ -279,11 +279,11 @@ def classify(
     base = base.withColumn("row_key", key_of())
     ids = trusted_ids(labels)
     trusted = base.join(ids, "doc_id", "left_semi").withColumn("half", F.xxhash64("doc_id") % 2 == 0)
-    counts = cut(count_ngrams(trusted, order))
+    counts = compact(count_ngrams(trusted, order))
     log_ppl = (-F.col("log_prob") / F.col("n")).alias("log_ppl")
-    model = cut(train(cut(counts.groupBy("gram").agg(F.sum("n").alias("n"))), order))
+    model = compact(train(compact(counts.groupBy("gram").agg(F.sum("n").alias("n"))), order))
     scored = cut(perplexities(base, model, order, shard_rows).select("*", log_ppl))
-    half = cut(train(counts.where("half").select("gram", "n"), order))
+    half = compact(train(counts.where("half").select("gram", "n"), order))
     unseen = trusted.where("not half and text <> ''").drop("half")
     marked = cut(perplexities(unseen, half, order, shard_rows).select("*", log_ppl))
     half = F.percentile_approx("log_ppl", F.lit(0.5), 10000)
