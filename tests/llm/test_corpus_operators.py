@@ -123,7 +123,8 @@ def test_perplexity(spark, documents, corpus, shard_rows):
     texts = [t[:200] for t in good[:12]] + [t[:200] for t in bad[:2]] + ["", "漢字 unseen", "tamo ri"]
     docs = documents(texts).select("doc_id", "text")
     counts = kneser_ney.count_ngrams(docs.where("doc_id < 8").selectExpr("text", "doc_id % 2 = 0 half"))
-    model = kneser_ney.train(counts.groupBy("gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"))
+    model = kneser_ney.train(counts.selectExpr("0 m", "gram", "n").groupBy("m", "gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"))
+    model = model.drop("m")
     score = brute_model(texts[:8], kneser_ney.ORDER)
     rows = kneser_ney.perplexities(docs, model, shard_rows=shard_rows).collect()
     for r in rows:

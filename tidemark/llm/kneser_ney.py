@@ -95,10 +95,10 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, held: int = 1_000_000) ->
     return got.groupBy("gram", "half").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more; usual values where counts of counts are empty."""
-    row = counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [float(x) for x in row]
+def _discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many n-grams have counts 1 to 4; usual
+    values where there are none.
+    """
     if not n[0]:
         return [0.5, 1.0, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
@@ -107,40 +107,43 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, lp, lg) from (gram, n) of the highest order: log probability of a gram's last character after the others, and log weight of what is left
-    to shorter contexts after the whole gram; null where there is none. The row of gram '' has the unseen character.
+    """(m, gram, lp, lg) from (m, gram, n) of the highest order, for all models m at once.
+
+    lp: log probability of a gram's last character after the others; lg: log weight of what is left to shorter contexts
+    after the whole gram; null where there is none. The row of gram '' has the unseen character's.
     """
     levels = [counts]
     for size in range(order - 1, 0, -1):
-        suffix = F.substring("gram", 2, size)
-        levels.insert(0, compact(levels[0].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n"))))
+        suffix = F.substring("gram", 2, size).alias("gram")
+        levels.insert(0, compact(levels[0].groupBy("m", suffix).agg(F.count("*").alias("n"))))
+    none = F.lit(None).cast("double")
     probs, tables = None, []
-    for size, counts in enumerate(levels, 1):
-        d = _discounts(counts)
+    for size, level in enumerate(levels, 1):
         n = F.col("n")
-        off = F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        rows = counts.withColumn("context", F.substring("gram", 1, size - 1))
-        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(off) / F.sum("n")).alias("left"))
+        told = level.groupBy("m").agg(F.count("*").alias("v"), *[F.count_if(n == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        off, unseen_too = F.lit(0.0), F.lit(1)
+        for r in told.collect():  # a row a model
+            d = _discounts(list(r[2:]))
+            off = F.when(F.col("m") == r.m, F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])).otherwise(off)
+            unseen_too = F.when(F.col("m") == r.m, r.v + 1).otherwise(unseen_too)
+        rows = level.withColumns({"context": F.substring("gram", 1, size - 1), "off": off})
+        totals = rows.groupBy("m", "context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("left"))
+        rest, own = F.col("left"), (n - F.col("off")) / F.col("total")
         if size == 1:
-            v = counts.count() + 1  # and the unseen one
-            one = totals.select("total", "left")
-            rows = rows.join(F.broadcast(one))  # one row, that of the empty context
-            p = (n - off) / F.col("total") + F.col("left") / v
-            probs = rows.select("gram", p.alias("p"))
-            unseen = one.select(F.lit("").alias("gram"), F.log(F.col("left") / v).alias("lp"))
-            tables.append(unseen.withColumn("lg", F.lit(None).cast("double")))
+            one = F.broadcast(totals.drop("context"))  # a row a model, that of the empty context
+            probs = rows.join(one, "m").select("m", "gram", (own + rest / unseen_too).alias("p"))
+            tables.append(totals.select("m", F.lit("").alias("gram"), F.log(rest / unseen_too).alias("lp"), none.alias("lg")))
         else:
-            rows = rows.join(totals, "context").withColumn("suffix", F.substring("gram", 2, size - 1))
-            lower = probs.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            p = (n - off) / F.col("total") + F.col("left") * F.col("q")
-            probs = rows.join(lower, "suffix").select("gram", p.alias("p"))
-            tables.append(totals.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("lp"), F.log("left").alias("lg")))
+            lower = probs.select("m", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            rows = rows.join(totals, ["m", "context"]).withColumn("suffix", F.substring("gram", 2, size - 1))
+            probs = rows.join(lower, ["m", "suffix"]).select("m", "gram", (own + rest * F.col("q")).alias("p"))
+            tables.append(totals.select("m", F.col("context").alias("gram"), none.alias("lp"), F.log(rest).alias("lg")))
         probs = compact(probs)
-        tables.append(probs.select("gram", F.log("p").alias("lp"), F.lit(None).cast("double").alias("lg")))
+        tables.append(probs.select("m", "gram", F.log("p").alias("lp"), none.alias("lg")))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.groupBy("gram").agg(F.max("lp").alias("lp"), F.max("lg").alias("lg"))
+    return out.groupBy("m", "gram").agg(F.max("lp").alias("lp"), F.max("lg").alias("lg"))
 
 
 class Table:
@@ -269,23 +272,27 @@ def classify(
 ) -> DataFrame:
     """(doc_id, lang, n, perplexity, threshold, kept, row_key): one row for each row of ``docs``.
 
-    Trusted medians and quantiles are those of the half that the second model hasn't seen. A document's excess is its log perplexity above its language's trusted median, drawn to 0 as if it had
-    ``prior_chars`` more characters of that median; it is rejected if that is over ``slack`` times the trusted
-    ``quantile`` of its language. Languages without trusted texts, null ones among them, take the threshold of all. Null and
-    empty texts have the perplexity of an immediate end and are judged alike. Without such texts all are kept, with null
-    perplexity. row_key hashes id and text, for taking decisions back to rows. An empty table gives no rows.
+    Trusted medians and quantiles are those of the half that the second model hasn't seen. A document's excess is its
+    log perplexity above its language's trusted median, drawn to 0 as if it had ``prior_chars`` more characters of that
+    median; it is rejected if that is over ``slack`` times the trusted ``quantile`` of its language. Languages without
+    trusted texts, null ones among them, take the threshold of all. Null and empty texts have the perplexity of an
+    immediate end and are judged alike. Without trusted texts in both halves all are kept, with null perplexity.
+    row_key hashes id and text, for taking decisions back to rows. An empty table gives no rows.
     """
     base = keyed_texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
     base = base.withColumn("row_key", key_of())
     ids = trusted_ids(labels)
     trusted = base.join(ids, "doc_id", "left_semi").withColumn("half", F.xxhash64("doc_id") % 2 == 0)
     counts = compact(count_ngrams(trusted, order))
+    # model 0 of all trusted texts, model 1 of one half
+    both = counts.withColumn("m", F.explode(F.when(F.col("half"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    models = compact(train(compact(both.groupBy("m", "gram").agg(F.sum("n").alias("n"))), order))
+    of = lambda m: models.where(F.col("m") == m).drop("m")
     log_ppl = (-F.col("log_prob") / F.col("n")).alias("log_ppl")
-    model = compact(train(compact(counts.groupBy("gram").agg(F.sum("n").alias("n"))), order))
-    scored = cut(perplexities(base, model, order, shard_rows).select("*", log_ppl))
-    half = compact(train(counts.where("half").select("gram", "n"), order))
+    scored = cut(perplexities(base, of(0), order, shard_rows).select("*", log_ppl))
     unseen = trusted.where("not half and text <> ''").drop("half")
-    marked = cut(perplexities(unseen, half, order, shard_rows).select("*", log_ppl))
+    unseen = unseen.where("false") if of(1).isEmpty() else unseen
+    marked = cut(perplexities(unseen, of(1), order, shard_rows).select("*", log_ppl))
     half = F.percentile_approx("log_ppl", F.lit(0.5), 10000)
     all_half = cut(marked.agg(half.alias("half")))
     halves = cut(marked.groupBy("lang").agg(half.alias("half")).dropna(subset="lang"))
