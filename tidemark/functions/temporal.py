@@ -50,13 +50,13 @@ def anchor_on(year: Column, month: Column, day: Column) -> Column:
 
 @dataclass(frozen=True)
 class Period:
-    """A period's columns; ``kind`` is one of KINDS."""
+    """A period's columns; ``kind`` is one of KINDS, as a string where all rows have the same, which spares the rest."""
 
-    kind: Column
-    months: Column | None = None
-    years: Column | None = None
-    start_month: Column | None = None
-    start_day: Column | None = None
+    kind: Column | str
+    months: Column | int | None = None
+    years: Column | int | None = None
+    start_month: Column | int | None = None
+    start_day: Column | int | None = None
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,8 @@ def anniversary(plan: Plan) -> tuple[Column, Column]:
 
 def benefit_year_anchor(period: Period, plan: Plan) -> tuple[Column, Column]:
     """The period's own start, else the plan's benefit year's, else the anniversary if the plan runs by it, else January 1."""
+    if isinstance(period.start_month, int):
+        return F.lit(period.start_month), F.lit(1 if period.start_day is None else period.start_day)
     own_month, own_day = _col(period.start_month), _col(period.start_day)
     plan_month, plan_day = _col(plan.start_month), _col(plan.start_day)
     month, day = anniversary(plan)
@@ -120,13 +122,13 @@ def period_window(period: Period, date: Column, plan: Plan) -> Column:
     elapsed = year_start(date, month, day) - first
     start = first + (F.floor(elapsed / years) * years).cast("int")
     lifetime = _span(F.lit(LIFETIME[0]).cast("date"), F.lit(LIFETIME[1]).cast("date"))
-    return (
-        F.when(period.kind == "benefit_year", by_year)
-        .when(period.kind == "policy_anniversary", by_anniversary)
-        .when(period.kind == "rolling_months", rolling)
-        .when(period.kind == "consecutive_benefit_years", years_from(start, years, month, day))
-        .when(period.kind == "lifetime", lifetime)
-    )
+    windows = {
+        "benefit_year": by_year, "policy_anniversary": by_anniversary, "rolling_months": rolling,
+        "consecutive_benefit_years": years_from(start, years, month, day), "lifetime": lifetime,
+    }
+    if isinstance(period.kind, str):
+        return windows.get(period.kind, F.when(F.lit(False), lifetime))
+    return F.coalesce(*[F.when(period.kind == k, w) for k, w in windows.items()])
 
 
 def current_period(date: Column, plan: Plan) -> Column:
@@ -140,7 +142,7 @@ def current_period(date: Column, plan: Plan) -> Column:
 def next_reset(period: Period, date: Column, plan: Plan) -> Column:
     """The day after the window; null for windows that slide, never end or don't exist."""
     end = period_window(period, date, plan)["end"]
-    return F.when(~period.kind.isin("rolling_months", "lifetime"), F.date_add(end, 1))
+    return F.when(~_col(period.kind).isin("rolling_months", "lifetime"), F.date_add(end, 1))
 
 
 def claim_deadline(date: Column, plan: Plan, submission_days: Column, days_after_end: Column) -> Column:

@@ -177,6 +177,12 @@ def letter_index(i: Column) -> Column:
     return F.when(i < 26, a(i)).when(i < 702, F.concat(a(F.floor((i - 26) / 26)), a((i - 26) % 26)))
 
 
+def letter_number(letters: Column) -> Column:
+    """The reverse of ``letter_index``."""
+    a = lambda i: F.ascii(F.substring(letters, i, 1)) - 65
+    return F.when(F.length(letters) == 1, a(1)).when(F.length(letters) == 2, 26 + a(1) * 26 + a(2))
+
+
 def money_in(text: Column) -> Column:
     """Cents of the amounts in prose, in order."""
     found = F.regexp_extract_all(text, F.lit(r"\$\s?(\d[\d,]*(?:\.\d{1,2})?)"), 1)

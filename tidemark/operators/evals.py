@@ -66,8 +66,9 @@ def words(text: Column) -> Column:
 
 def grams(df: DataFrame, key: str, size: int) -> DataFrame:
     """(key, gram): the distinct runs of ``size`` words, hashed."""
-    w = df.select(key, words(F.col("text")).alias("w")).where(F.size("w") >= size)
-    run = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, size), " ").cast("binary")))
+    hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
+    w = df.select(key, hashed.alias("w")).where(F.size("w") >= size)
+    run = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.slice("w", i, size)))
     return w.select(key, F.explode(F.array_distinct(run)).alias("gram"))
 
 

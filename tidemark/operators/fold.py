@@ -8,6 +8,7 @@ look back over the entries of their benefit.
 from __future__ import annotations
 
 import calendar
+import functools
 import math
 from collections import defaultdict
 from collections.abc import Iterable
@@ -83,6 +84,7 @@ def percent_of(cents: int, percent: float) -> int:
     return half_up(cents * round(percent * 100), 10_000)
 
 
+@functools.lru_cache(100_000)
 def anchored(year: int, month: int, day: int) -> date:
     if year < 1:
         return date.min
@@ -339,16 +341,14 @@ def replay_families(df: DataFrame, plan: PlanRules, family: str = "family_id") -
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        claims = []
-        for cid, g in pdf.sort_values("line_id").groupby("claim_id", sort=True):
-            head = g.iloc[0]
-            lines = [
-                {"id": r.line_id, "benefit": r.benefit_id, "day": r.service_date, "charged": int(r.charged_cents), "other": int(r.other_cents), "quantity": r.quantity}
-                for r in g.itertuples()
-            ]
-            paid = None if pd.isna(head.paid_cents) else int(head.paid_cents)
-            claims.append({"id": cid, "member": head.member_id, "status": head.status, "created": head.created, "paid": paid, "lines": lines})
-        rows = [(e.claim, e.line, e.member, e.benefit, e.paid, e.limited_by, sum(e.shares.values())) for e in replay(plan, claims).entries]
+        names = ["claim_id", "line_id", "member_id", "status", "created", "paid_cents", "benefit_id", "service_date", "charged_cents", "other_cents", "quantity"]
+        claims: dict[object, dict] = {}
+        for cid, line, member, status, created, paid, benefit, day, charged, other, quantity in sorted(zip(*(pdf[n].tolist() for n in names))):
+            if cid not in claims:
+                paid = None if pd.isna(paid) else int(paid)
+                claims[cid] = {"id": cid, "member": member, "status": status, "created": created, "paid": paid, "lines": []}
+            claims[cid]["lines"].append({"id": line, "benefit": benefit, "day": day, "charged": charged, "other": other, "quantity": quantity})
+        rows = [(e.claim, e.line, e.member, e.benefit, e.paid, e.limited_by, sum(e.shares.values())) for e in replay(plan, claims.values()).entries]
         return pd.DataFrame(rows, columns=["claim_id", "line_id", "member_id", "benefit_id", "paid_cents", "limited_by", "share_cents"])
 
     schema = "claim_id bigint, line_id bigint, member_id bigint, benefit_id bigint, paid_cents bigint, limited_by string, share_cents bigint"

@@ -49,24 +49,25 @@ def period_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("member_id")
     eff = F.make_date((1992 + m % 5).cast("int"), (m % 12 + 1).cast("int"), F.least(m % 31 + 1, F.lit(28)).cast("int"))
     kind = F.when(m % 3 == 0, "benefit_year").when(m % 3 == 1, "policy_anniversary").otherwise("lifetime")
-    plan = T.Plan(eff, kind, F.when(m % 2 == 0, F.lit(7)), F.lit(31))
-    d = F.col("created")
-    by = T.period_window(T.Period(F.lit("benefit_year"), start_month=F.lit(2), start_day=F.lit(29)), d, plan)
-    inherited = T.period_window(T.Period(F.lit("benefit_year")), d, plan)
-    ann = T.period_window(T.Period(F.lit("policy_anniversary")), d, plan)
-    rolling = T.period_window(T.Period(F.lit("rolling_months"), months=F.lit(18)), d, plan)
-    years = T.period_window(T.Period(F.lit("consecutive_benefit_years"), years=F.lit(3)), d, plan)
-    life = T.period_window(T.Period(F.lit("lifetime")), d, plan)
-    visit = T.period_window(T.Period(F.lit("per_visit")), d, plan)
-    return c.select(
-        "claim_id", by["start"].alias("own_start"), by["end"].alias("own_end"), inherited["start"].alias("year_start"),
-        inherited["end"].alias("year_end"), ann["start"].alias("ann_start"), ann["end"].alias("ann_end"),
-        rolling["start"].alias("rolling_start"), years["start"].alias("run_start"), years["end"].alias("run_end"),
-        life["end"].cast("string").alias("life_end"), visit["start"].alias("visit_start"),
-        T.current_period(d, plan)["start"].alias("current_start"),
-        T.next_reset(T.Period(F.lit("benefit_year")), d, plan).alias("next_reset"),
-        T.waiting_ends(F.lit(6), F.lit(None).cast("date"), eff).alias("waiting_ends"),
-        T.days_in_month(F.year(d), F.month(d)).alias("days_in_month"), T.is_leap_year(F.year(d)).alias("leap"),
+    c = c.select("claim_id", F.col("created").alias("d"), eff.alias("eff"), kind.alias("kind"), F.when(m % 2 == 0, F.lit(7)).alias("sm"))
+    plan = T.Plan(F.col("eff"), F.col("kind"), F.col("sm"), F.lit(31))
+    month, day = T.benefit_year_anchor(T.Period("benefit_year"), plan)
+    c = c.withColumns({"am": month, "ad": day})  # named, so that they are made once
+    d, year = F.col("d"), T.Period("benefit_year", start_month=F.col("am"), start_day=F.col("ad"))
+    runs = T.Period("consecutive_benefit_years", years=3, start_month=F.col("am"), start_day=F.col("ad"))
+    windows = {
+        "own": T.period_window(T.Period("benefit_year", start_month=2, start_day=29), d, plan), "year": T.period_window(year, d, plan),
+        "ann": T.period_window(T.Period("policy_anniversary"), d, plan), "rolling": T.period_window(T.Period("rolling_months", months=18), d, plan),
+        "run": T.period_window(runs, d, plan), "life": T.period_window(T.Period("lifetime"), d, plan),
+        "visit": T.period_window(T.Period("per_visit"), d, plan), "current": T.current_period(d, plan),
+    }
+    w = c.withColumns(windows)
+    return w.select(
+        "claim_id", *[F.col(f"{n}.{e}").alias(f"{n}_{e}") for n in ("own", "year", "ann", "run") for e in ("start", "end")],
+        F.col("rolling.start").alias("rolling_start"), F.col("life.end").cast("string").alias("life_end"), F.col("visit.start").alias("visit_start"),
+        F.col("current.start").alias("current_start"), F.date_add("year.end", 1).alias("next_reset"),
+        T.waiting_ends(F.lit(6), F.lit(None).cast("date"), F.col("eff")).alias("waiting_ends"),
+        T.days_in_month(F.year("d"), F.month("d")).alias("days_in_month"), T.is_leap_year(F.year("d")).alias("leap"),
     )
 
 
@@ -136,7 +137,7 @@ def _paid_sql(include_submitted: bool = True) -> str:
 
 
 def limit_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = T.period_window(T.Period(F.lit("benefit_year")), _D(AS_OF), the_plan())
+    window = T.period_window(T.Period("benefit_year"), _D(AS_OF), the_plan())
     used = ledger.scoped_sum(paid_lines(spark, sf_dir), "per_person", ["benefit_id"], window)
     return used.select(
         F.col("owner").alias("member_id"), "benefit_id", window["start"].alias("window_start"), window["end"].alias("window_end"),
@@ -164,7 +165,7 @@ _POOL_SQL = """pool AS (SELECT * FROM (VALUES ('P0', 0), ('P0', 1), ('P0', 2), (
 
 def pool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ledger.pool_members(*_dimensions(spark))
-    window = T.period_window(T.Period(F.lit("benefit_year"), start_month=F.lit(1)), _D(AS_OF), the_plan())
+    window = T.period_window(T.Period("benefit_year", start_month=1), _D(AS_OF), the_plan())
     entries = paid_lines(spark, sf_dir).join(F.broadcast(members), "benefit_id")  # at most a row a benefit
     used = ledger.scoped_sum(entries, "per_family", ["pool_id"], window)
     return used.select(
@@ -276,7 +277,7 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by member and benefit: benefits 0, 3, 6 and so on have no limit of their own; pools are of the member."""
     from pyspark.sql import Window
 
-    year = T.period_window(T.Period(F.lit("benefit_year"), start_month=F.lit(1)), _D(AS_OF), the_plan())
+    year = T.period_window(T.Period("benefit_year", start_month=1), _D(AS_OF), the_plan())
     used = ledger.scoped_sum(paid_lines(spark, sf_dir), "per_person", ["benefit_id"], year)
     used = used.join(F.broadcast(ledger.pool_members(*_dimensions(spark))), "benefit_id", "left")
     in_pool = F.sum("used").over(Window.partitionBy("owner", "pool_id"))

@@ -137,8 +137,8 @@ def share_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
     as_of = F.lit("1998-05-05").cast("date")
     plan = T.Plan(F.lit("1990-03-31").cast("date"), F.lit("policy_anniversary"))
-    reset = T.next_reset(T.Period(F.lit("policy_anniversary")), as_of, plan)
-    inside = T.period_window(T.Period(F.lit("policy_anniversary")), as_of, plan)
+    reset = T.next_reset(T.Period("policy_anniversary"), as_of, plan)
+    inside = T.period_window(T.Period("policy_anniversary"), as_of, plan)
     own = o.where(F.to_date("o_orderdate").between(inside["start"], inside["end"]))
     member = own.groupBy(F.col("o_custkey").alias("owner")).agg(F.sum("cents").alias("cents")).withColumn("scope", F.lit("member"))
     family = own.groupBy((F.col("o_custkey") % 10).alias("owner")).agg(F.sum("cents").alias("cents")).withColumn("scope", F.lit("family"))
@@ -229,7 +229,45 @@ def usable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 USABLE_SQL = "SELECT p_type, p_retailprice > 1000 AS in_use, count(*) AS n FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL AND p_size <= 45 GROUP BY 1, 2"
 
+def tokens_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of alias tokens made from customers' numbers."""
+    from ..functions.text import letter_index
+    from ..operators.conversation import token_order
+
+    n = F.col("c_custkey")
+    family = F.element_at(F.array(*[F.lit(f) for f in ("PHONE", "MEMBER", "OTHER")]), (n % 3 + 1).cast("int"))
+    token = F.concat(F.lit("["), family, F.lit("_"), letter_index(n % 300), F.lit("]"))
+    o = token_order(token)
+    return table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"), o["family"].cast("bigint").alias("family"), o["number"].cast("bigint").alias("number"))
+
+
+TOKENS_SQL = """WITH c AS (SELECT c_custkey, c_custkey % 300 AS i, c_custkey % 3 AS f FROM customer)
+SELECT c_custkey, '[' || CASE f WHEN 0 THEN 'PHONE' WHEN 1 THEN 'MEMBER' ELSE 'OTHER' END || '_' || CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER))
+    ELSE chr(CAST(65 + (i - 26) // 26 AS INTEGER)) || chr(CAST(65 + (i - 26) % 26 AS INTEGER)) END || ']' AS token,
+  CAST(CASE f WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 8 END AS BIGINT) AS family, i AS number FROM c"""
+
+
+def retrieval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded truth for what a search found: 4 for the expected source, 2 for its language, else 0, beside the rank."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    d = table(spark, sf_dir, "documents")
+    found = search.overlap_search(q, d.select("doc_id", "text"), 5).select("query_id", "doc_id", "rank")
+    rows = found.join(d.select("doc_id", "source", "lang"), "doc_id")
+    expected = F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))
+    grade = F.when(F.col("source") == expected, 4).when(F.col("lang") == "en", 2).otherwise(0)
+    return rows.select("query_id", "doc_id", "rank", grade.alias("label"))
+
+
+def _labels_sql() -> str:
+    from .documents import OVERLAP_SQL
+
+    return f"""SELECT query_id, doc_id, rank, CASE WHEN source = 'src' || query_id % 20 THEN 4 WHEN lang = 'en' THEN 2 ELSE 0 END AS label
+FROM ({OVERLAP_SQL}) JOIN documents USING (doc_id)"""
+
+
 QUERIES = {
+    "tokens_ordered": (tokens_ordered, TOKENS_SQL),
+    "retrieval_labels": (retrieval_labels, _labels_sql()),
     "headers_merged": (headers_merged, HEADERS_SQL),
     "notes_split": (notes_split, NOTES_SQL),
     "relationships": (relationships, RELATIONSHIPS_SQL),

@@ -252,8 +252,8 @@ SELECT p_partkey, p_name, CASE WHEN n = 1 THEN p_name ELSE p_name || '-' || n EN
 
 
 def learned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that follow a label in any document of a source, found in all documents of it."""
-    labels = {"token": "number", "password": "number", "license, version": "number"}
+    """Keys that follow a label in any document of a source, found in all documents of it."""
+    labels = {"token": "key", "password": "key"}
     return redaction.learn_and_apply(table(spark, sf_dir, "documents"), labels, "source")
 
 

@@ -33,8 +33,8 @@ def _seconds(ts: pd.Series) -> list[float]:
 def rate_limit(df: DataFrame, key: str, ts: str, tie: str, most: int, seconds: float) -> DataFrame:
     """(tie, key, allowed, retry_after): each key's events in order of time against a sliding window.
 
-    After a pause as long as the window nothing before matters, so that a key's events fall apart there and Python
-    holds one stretch at a time. The window function and the groups share one shuffle by key.
+    After a pause as long as the window nothing before matters, so that a key's events fall apart there; Python holds
+    256 such stretches at a time. The window function and the groups share one shuffle by key.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +47,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, most: int, seconds: f
     pause = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
     soon = F.lag(ts).over(w) + pause > F.col(ts)
     rows = df.select(key, ts, tie).withColumn("__new", F.when(soon, 0).otherwise(1))
-    rows = rows.withColumn("__run", F.sum("__new").over(w)).drop("__new")
+    rows = rows.withColumn("__run", F.floor(F.sum("__new").over(w) / 256)).drop("__new")
     return rows.groupBy(key, "__run").applyInPandas(run, f"{tie} {kinds[tie]}, {key} {kinds[key]}, allowed boolean, retry_after bigint")
 
 
@@ -78,10 +78,14 @@ def page_caps(df: DataFrame, most_documents: int = 3, most_pages: int = 120) ->
     """(ip, day, seq, verdict): uploads (ip, day, seq, document, pages array) against caps, in order of seq.
 
     ``ok``, ``page_cap`` (a page above the cap, too many distinct, or twice the cap analysed) or ``booklet_cap``; pages
-    are checked first; refused uploads leave nothing behind.
+    are checked first; refused uploads leave nothing behind. Days are judged each on its own; a month of an address is
+    one call of Python.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([judged(day) for _, day in pdf.groupby("day")])
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
         documents: list = []
         seen: dict[object, set] = {}
         analysed: dict[object, int] = {}
@@ -101,7 +105,8 @@ def page_caps(df: DataFrame, most_documents: int = 3, most_pages: int = 120) ->
             out.append((r.ip, r.day, r.seq, verdict))
         return pd.DataFrame(out, columns=["ip", "day", "seq", "verdict"])
 
-    return df.groupBy("ip", "day").applyInPandas(run, "ip string, day date, seq bigint, verdict string")
+    months = df.withColumn("month", F.trunc("day", "month"))
+    return months.groupBy("ip", "month").applyInPandas(run, "ip string, day date, seq bigint, verdict string")
 
 
 def bins_stream(df: DataFrame, grain: str, late: str, keys: list[str], value: Column) -> DataFrame:
