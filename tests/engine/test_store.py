@@ -27,7 +27,9 @@ def test_reports(spark, tmp_path):
         markdown_table(spark.range(5), most=3)
     (tmp_path / "a.html").write_text("<p>x</p>")
     (tmp_path / "b.html").write_text("")
-    assert sorted((r.path[-6:], r.status) for r in read_files(spark, str(tmp_path)).collect()) == [("a.html", "changed"), ("b.html", "failed")]
+    expected = spark.createDataFrame([("a.html",), ("b.html",), ("c.html",)], "name string")
+    got = {r.name: r.status for r in read_files(expected, str(tmp_path)).collect()}
+    assert got == {"a.html": "changed", "b.html": "failed", "c.html": "failed"}
 
 
 def test_prose():

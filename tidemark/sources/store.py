@@ -57,10 +57,12 @@ class KeyedTable:
         self._write(self.read().limit(0))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, status, content): files as bytes; ``status`` is ``failed`` for empty ones."""
-    df = spark.read.format("binaryFile").load(path)
-    return df.select("path", F.when(F.col("length") > 0, "changed").otherwise("failed").alias("status"), "content")
+def read_files(expected: DataFrame, path: str) -> DataFrame:
+    """``expected`` (name, ...) with status and content of the files of those names; missing and empty ones ``failed``."""
+    df = expected.sparkSession.read.format("binaryFile").load(path)
+    files = df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    status = F.when(F.col("content").isNull(), "failed").otherwise("changed")
+    return expected.join(files, "name", "left").withColumn("status", status)
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
