@@ -43,7 +43,6 @@ def test_pack_round_trip(documents):
     docs = documents(texts).repartition(3)
     rows = packing.pack(docs).collect()
     encoder = packing.public_encoder()
-    encoder.load()
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for x in rows:
         by_doc[x.doc_id].append(x)

@@ -10,6 +10,10 @@ lengths a class; pieces find their place in it by their rank among the pieces of
 
 from __future__ import annotations
 
+import base64
+import functools
+import os
+import re
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -139,50 +143,54 @@ def places(bins: dict[Pattern, int]) -> dict[int, tuple[np.ndarray, np.ndarray,
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in rows.items()}
 
 
+#: Characters outside scripts long in Unicode, a few marks apart.
+_ODD = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+
+
+@functools.cache
+def _tokenizer(path: str):
+    """The tokenizer of a file, once a process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+@functools.cache
+def _rank_encoding(path: str):
+    """The encoding of a rank file, once a process."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
 class Encoder:
     """Token ids by a byte-level BPE file, and the id that ends a document.
 
     The rank file gives the same ids faster. Texts with characters outside scripts long in Unicode, whose classes
-    differ between libraries' tables, or with very long words, are left to the tokenizer itself.
+    differ between libraries' tables, are left to the tokenizer itself, which is only loaded for them.
     """
 
     def __init__(self, path: str, ranks: str | None, end: int = 2):
-        self.path, self.ranks, self.end, self.fast = path, ranks, end, None
-
-    def load(self) -> None:
-        import base64
-        import os
-        import re
+        self.path, self.ranks, self.end = path, ranks, end
 
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(self.path)
-        self.slow.encode_special_tokens = True
-        self.odd = re.compile("[^\x00-ɏ‐-‧€]")
-        self.fast = False
-        if self.ranks:
-            import public_tokenizers
-
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(self.ranks, "rb"))}
-            self.fast = tiktoken.Encoding(
-                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
-            )
+    @property
+    def slow(self):
+        return _tokenizer(self.path)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None:
-            self.load()
-        if self.fast and not self.odd.search(text):
-            ids = self.fast.encode_ordinary(text)
+        if self.ranks and not _ODD.search(text):
+            ids = _rank_encoding(self.ranks).encode_ordinary(text)
         else:
             ids = self.slow.encode(text, add_special_tokens=False).ids
         ids.append(self.end)
         return np.array(ids, np.uint32)
 
-    def __getstate__(self):
-        return {"path": self.path, "ranks": self.ranks, "end": self.end, "fast": None}
-
 
 def public_encoder() -> Encoder:
     import public_tokenizers as p
