@@ -210,6 +210,30 @@ def test_matches(spark, documents, corpus, block_bytes):
     assert decontamination.words_of(texts[d])[x.start_word : x.end_word + 1] == decontamination.words_of(items[k])
 
 
+@pytest.mark.parametrize("exact", [False, True])
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_edited_copies_alone(spark, documents, corpus, every, exact):
+    """Edits destroy seeds; where only edited copies exist, or these and one exact copy, the others still find them."""
+    r = random.Random(8)
+    good, _ = corpus
+    vocab = sorted({w for t in good for w in t.split()})
+    items = [prose(r, n, vocab) for n in (8, 16, 25, 60, 120)]
+    texts = list(good[:10])
+    for item in items:
+        copy = [f"edit{k}" if k % every == every - 1 else w for k, w in enumerate(item.split())]
+        texts.append(f"{good[11]} {' '.join(copy)} {good[12]}")
+    texts += items if exact else []
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontamination.matches(documents(texts), bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for k, i in enumerate(items):
+            a, b = decontamination.words_of(i), decontamination.words_of(t)
+            if (s := brute_sw(a, b)) >= decontamination.least_score(len(a)):
+                want[d, k] = s
+    assert got == want and {(13, 3), (14, 4)} <= set(want)
+
+
 def test_item_in_a_third_of_all(spark, documents, corpus):
     good, _ = corpus
     item = " ".join(good[0].split()[:20])

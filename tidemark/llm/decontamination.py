@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One pass counts, over all documents, in how many each n-gram of the benchmark occurs. Of every ``window`` neighbouring
-n-grams of an item the rarest is a seed, so that any copied run of ``window + n - 1`` words holds one, however common
-the item. A second pass joins documents to items on seeds; where two or more seeds of an item lie near one diagonal,
-the document's words there are aligned with the item: +1 for a match, -1 for a mismatch or a gap. Benchmarks above
+Every n-gram of an item is a seed. A seed that edits destroyed matches nothing, so that choosing among them by document
+counts could pass over those that an edited copy still holds. Documents meet items on seeds; where two or more seeds of
+an item lie near one diagonal, the document's words there are aligned with the item: +1 for a match, -1 for a mismatch
+or a gap. A passage that keeps no two seeds (every third word changed, say) is not found. Benchmarks above
 ``block_bytes`` are taken in blocks, each against all documents.
 """
 
@@ -36,7 +36,7 @@ def least_score(size: int) -> int:
 
 
 class Items:
-    """A block of benchmark items as arrays, with the n-grams that occur in them."""
+    """A block of benchmark items as arrays, with the n-grams that occur in them, all of which are seeds."""
 
     def __init__(self, rows: list[tuple], n: int = 3):
         self.n, self.ids = n, [r[0] for r in rows]
@@ -44,10 +44,13 @@ class Items:
         self.vocab = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}), 1)}
         self.words = [np.array([self.vocab[w] for w in ws], np.int64) for ws in words]
         codes = [self.codes(w) for w in self.words]
-        self.item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        self.place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
-        self.code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        self.grams = np.unique(self.code)
+        item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
+        code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+        order = np.argsort(code, kind="stable")
+        self.seeds, first = np.unique(code[order], return_index=True)
+        self.of_seed = np.append(first, len(order))
+        self.seed_item, self.seed_place = item[order], place[order]
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """Code of the n-gram that begins at each word."""
@@ -85,25 +88,6 @@ class Items:
             at += len(ws) + self.n
         return (np.concatenate(parts) if parts else gap[:0]), np.array(starts, np.int64)
 
-    def choose(self, frequency: dict[int, int], window: int = 3) -> None:
-        """Seeds: of each ``window`` neighbouring n-grams of an item the rarest, ties by place."""
-        many = np.zeros(len(self.grams), np.int64)
-        many[list(frequency)] = list(frequency.values())
-        own, n = many[np.searchsorted(self.grams, self.code)], len(self.code)
-        seed = np.zeros(n, bool)
-        if n >= window:
-            rarest = np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(own, window).argmin(1)
-            seed[rarest[self.item[: n - window + 1] == self.item[window - 1 :]]] = True
-        # items of fewer n-grams than a window: one window
-        order = np.lexsort((self.place, own, self.item))
-        items, first = np.unique(self.item[order], return_index=True)
-        few = np.bincount(self.item, minlength=len(self.ids))[items] < window
-        seed[order[first[few]]] = True
-        order = np.flatnonzero(seed)[np.argsort(self.code[seed], kind="stable")]
-        self.seeds, first = np.unique(self.code[order], return_index=True)
-        self.of_seed = np.append(first, len(order))
-        self.seed_item, self.seed_place = self.item[order], self.place[order]
-
 
 def smith_waterman(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local scores of rows of ``items`` (padded with -1) in rows of ``windows``, and the word they end at.
@@ -189,7 +173,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, n: int = 3, window: int = 3, block_bytes: int = 16 << 20,
+    docs: DataFrame, benchmark: DataFrame, n: int = 3, block_bytes: int = 16 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, score, similarity, start_word, end_word, row_key): passages of items in documents.
@@ -206,23 +190,6 @@ def matches(
     sc, out = docs.sparkSession.sparkContext, None
     for rows in _blocks(test, block_bytes):
         block = Items(rows, n)
-        before = sc.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=before) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            total = np.zeros(len(b.grams), np.int64)
-            for batch in batches:
-                for _, texts in _chunks(batch):
-                    ids, starts = b.read(texts)
-                    at, gram = b.hits(ids, b.grams)
-                    text = np.searchsorted(starts, at, "right") - 1
-                    both = np.unique(text * np.int64(max(1, len(b.grams))) + gram)
-                    total += np.bincount(both % max(1, len(b.grams)), minlength=len(b.grams))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
-
-        counts = base.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n"))
-        block.choose({r[0]: r[1] for r in counts.collect()}, window)  # at most the block's n-grams
         chosen = sc.broadcast(block)
 
         def align(batches: Iterator[pa.RecordBatch], shared=chosen) -> Iterator[pa.RecordBatch]:
