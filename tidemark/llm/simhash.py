@@ -25,6 +25,18 @@ BITS = 64
 SEGMENT = 32
 
 
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles; fewer than ``shingle`` words make one shingle of all."""
+    joined = b" ".join(words)
+    n = len(words) - shingle + 1
+    if n <= 1:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    digest, stops = xxhash.xxh64_intdigest, ends[shingle - 1 :].tolist()
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+
+
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """SimHash of the word shingles of one text, as a signed 64-bit integer.
 
@@ -34,15 +46,7 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     words = text.lower().split() if text else []
     if not words:
         return 0
-    joined = b" ".join(words)
-    n = len(words) - shingle + 1
-    if n <= 1:
-        h = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-        digest, stops = xxhash.xxh64_intdigest, ends[shingle - 1 :].tolist()
-        h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+    h = shingle_hashes(words, shingle, seed)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
