@@ -77,7 +77,8 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
             at += n
             if size < 0x80 or (n > 1 and size < 1 << (8 * (n - 1))):
                 return None
-        if at + size > len(data) or not tag & 0x1F:
+        # number 0 is reserved in the universal class alone; [0] is an ordinary context tag
+        if at + size > len(data) or not tag & 0xDF:
             return None
         content = data[at : at + size]
         if tag & 0x20 and (depth > 8 or der_items(content, depth + 1) is None):
