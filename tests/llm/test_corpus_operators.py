@@ -68,6 +68,19 @@ def test_rules_and_ratio(spark, documents, odd_texts, corpus):
     assert not any(rows[i].kept for i in range(60, 68))
 
 
+def test_threshold_is_the_unseen_quantile(spark, documents, corpus):
+    texts = corpus[0] + corpus[1]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    got = quality_rules.quality(documents(texts), labels).first().threshold
+    grams = [[bucket(x) for x in t.split()] + [bucket(*p) for p in zip(t.split(), t.split()[1:])] for t in texts]
+    half = {i for i in range(40) if xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) % 2 == 0}
+    raw, target = Counter(x for g in grams for x in g), Counter(x for i in half for x in grams[i])
+    n, m, size = sum(raw.values()), sum(target.values()), quality_rules.BUCKETS
+    ratio = lambda x: math.log((target[x] + 1) / (m + size)) - math.log((raw[x] + 1) / (n + size))
+    # 1 % of under a hundred texts is the lowest
+    assert got == pytest.approx(min(sum(map(ratio, grams[i])) / len(grams[i]) for i in range(40) if i not in half), abs=1e-9)
+
+
 def test_native(spark, documents, corpus):
     labels = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
     plan = quality_rules.quality(documents(corpus[0]), labels)._jdf.queryExecution().toString()

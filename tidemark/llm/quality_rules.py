@@ -2,9 +2,9 @@
 
 Words and word pairs hash into ``buckets``; two multinomials over the buckets, of trusted texts and of all texts, give
 each bucket a log ratio, and a document its mean over its n-grams. A document is kept if it passes the rules and its
-score is not under the threshold: ``slack`` times the distance from the trusted median to the trusted ``quantile``,
-taken from the median down. These two come from one half of the trusted texts, scored with the ratios of the other, as
-texts that the ratios have seen score too high.
+score is not under the threshold: the trusted ``quantile`` (``slack`` other than 1 multiplies its distance to the trusted
+median). It comes from one half of the trusted texts, scored with the ratios of the other, as texts that the ratios have
+seen score too high.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ def log_ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, prior: f
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = 0.01, slack: float = 3.0,
+    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = 0.01, slack: float = 1.0,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept).
