@@ -32,8 +32,50 @@ def test_search_raises_squared_fill():
     bins = {(6, 2): 1, (5, 4): 1, (3,): 1}
     after = packing.local_search(bins, 10)
     assert sum(after.values()) == 2
-    assert packing._exchange((5,), (6,), 3) == ((6,), (5,))
-    assert packing._exchange((5, 2), (4, 4), 3) == ((4, 4), (5,)) or packing._exchange((5, 2), (4, 4), 3) is not None
+    r = random.Random(3)
+    for _ in range(200):
+        bins = dict(Counter(tuple(sorted((r.randint(1, 9) for _ in range(r.randint(1, 2))), reverse=True)) for _ in range(12)))
+        bins = {p: n for p, n in bins.items() if sum(p) <= 12}
+        after = packing.local_search(bins, 12)
+        assert packing._score(after) >= packing._score(bins)
+        assert Counter(x for p, n in after.items() for x in p * n) == Counter(x for p, n in bins.items() for x in p * n)
+
+
+def test_exchanges():
+    """One for one, two for one, one for two, and a move: each is found where it alone fits."""
+    for low, full, want in (
+        ((6,), (5, 2), ((6,), (5,))),
+        ((4, 4), (7, 2), ((4, 4), (7,))),
+        ((7,), (4, 2, 2), ((7,), (2, 4))),
+        ((2,), (8,), ((2,), ())),
+    ):
+        under = packing._Underfull(10)
+        under.add(low), under.add(full)
+        taken, other, back = under.best(low, True)
+        assert (taken, other, back) == (want[0], full, want[1]), (low, full)
+
+
+def test_beats_best_fit():
+    """Search saves bins that best-fit decreasing alone needs, down to the least number."""
+    assert sum(packing.best_fit({4: 2, 3: 4}, 10).values()) == 3
+    assert sum(packing.improve(packing.best_fit({4: 2, 3: 4}, 10), 10).values()) == 2
+    r = random.Random(4)
+    best = found = least = 0
+    for _ in range(20):
+        sizes = []
+        for _ in range(30):  # bins that can be filled whole
+            a, b = sorted(r.sample(range(1, 100), 2))
+            sizes += [a, b - a, 100 - b]
+        first = packing.best_fit(dict(Counter(sizes)), 100)
+        best, found, least = best + sum(first.values()), found + sum(packing.improve(first, 100, patience=200).values()), least + 30
+    assert least <= found < best
+
+
+def plain_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pack_round_trip(documents):
@@ -42,7 +84,7 @@ def test_pack_round_trip(documents):
     texts += [None, "", "漢字 mixed 🙂", "<|endoftext|> in text"]
     docs = documents(texts).repartition(3)
     rows = packing.pack(docs).collect()
-    encoder = packing.public_encoder()
+    plain = plain_tokenizer()
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for x in rows:
         by_doc[x.doc_id].append(x)
@@ -50,7 +92,7 @@ def test_pack_round_trip(documents):
         assert zlib.crc32(np.array(x.ids, "<u4").tobytes()) == x.ids_crc32 and len(x.ids) == x.length
     for i, t in enumerate(texts):
         own = sorted(by_doc[i], key=lambda x: x.piece)
-        want = [*encoder.slow.encode(t or "", add_special_tokens=False).ids, 2]
+        want = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         assert [v for x in own for v in x.ids] == want
         assert [x.piece for x in own] == list(range(len(own)))
         assert all(x.length == 1024 for x in own[1:]) and (len(own) == 1 or len(want) > 1024)
@@ -73,10 +115,25 @@ def test_pack_round_trip(documents):
 
 def test_encoders_agree(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
-    encoder = packing.public_encoder()
-    for r in rows:
-        fast = encoder(r.text)
-        assert fast[:-1].tolist() == encoder.slow.encode(r.text, add_special_tokens=False).ids
+    encoder, plain = packing.public_encoder(), plain_tokenizer()
+    for t in [*(r.text for r in rows), "in <|endoftext|> text", "<|endoftext|>", "<|endoftext|", "漢字 ʼn 🙂", "\u2019s \u00a0 x"]:
+        assert encoder(t)[:-1].tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert encoder("in <|endoftext|> text").tolist() == [259, 220, 50256, 2420, 2]
+
+
+def test_equal_rows_and_full_pieces(documents):
+    docs = documents(["word " * 3000] * 7 + ["a b c"] * 50, ids=[1] * 57).repartition(3)
+    rows = packing.pack(docs, with_ids=False, salt_rows=4).collect()
+    places = [(x.sequence_id, x.offset) for x in rows]
+    assert len(set(places)) == len(places)
+    by_bin = defaultdict(list)
+    for x in rows:
+        by_bin[x.sequence_id].append((x.offset, x.length))
+    for own in by_bin.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
+        assert sum(n for _, n in own) <= 1024
+    only = packing.pack(documents([""]), packing.Encoder(packing.public_encoder().path, None), capacity=1).collect()
+    assert [(x.length, x.offset) for x in only] == [(1, 0)]
 
 
 def test_shard(documents):

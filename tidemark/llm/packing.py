@@ -4,15 +4,18 @@ Documents become pieces of at most ``capacity`` tokens. Only the histogram of pi
 counts whatever the input, reaches the driver. There bins are held as classes: a pattern (lengths in a bin) and how
 many bins have it. Best-fit decreasing fills classes; local search then moves one document, or exchanges one for one
 or two for one, from an emptier into a fuller underfull bin, which raises the sum of squared fills, until the emptiest
-bins vanish or nothing improves. The result is a table of (length, rank from, first bin, offset), at most 44 distinct
-lengths a class; pieces find their place in it by their rank among the pieces of their length.
+bins vanish; where it is stuck it starts again from a few bins dealt anew. The result is a table of (length, rank from,
+first bin, offset), at most 44 distinct lengths a class; pieces find their place in it by their rank among the pieces
+of their length. Pieces of full length need no partner and are sequences of their own, numbered where they are.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
+import random
 import re
 import zlib
 from bisect import bisect_left
@@ -61,70 +64,156 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[Patter
     return dict(out)
 
 
-def _takeable(items: Pattern) -> list[tuple[int, Pattern]]:
-    """What one or two documents of a bin sum to."""
+@functools.lru_cache(maxsize=1 << 16)
+def _takeable(items: Pattern) -> tuple[Pattern, ...]:
+    """What can be taken from a bin: nothing, one document or two."""
     distinct = sorted(set(items))
-    pairs = [p for p in combinations(distinct, 2)] + [(x, x) for x in distinct if items.count(x) > 1]
-    return sorted([(x, (x,)) for x in distinct] + [(sum(p), p) for p in pairs])
-
-
-def _exchange(full: Pattern, low: Pattern, free: int) -> tuple[Pattern, Pattern] | None:
-    """What to take from ``low`` into ``full`` and back: the largest gain that fits; at most two for one."""
-    best: tuple[int, Pattern, Pattern] | None = None
-    gives = [(0, ()), *_takeable(full)]
-    sums = [s for s, _ in gives]
-    for got, taken in _takeable(low):
-        # the least sum to give back that makes room, and those above it, as long as they gain
-        for k in range(bisect_left(sums, got - free), len(gives)):
-            gain, back = got - sums[k], gives[k][1]
-            if gain <= 0 or (best and gain <= best[0]):
-                break
-            if len(taken) + len(back) <= 3 and not (len(taken) == 2 and not back):
-                best = (gain, taken, back)
-                break
-    return best and best[1:]
-
-
-def local_search(bins: dict[Pattern, int], capacity: int = CAPACITY, effort: int = 20_000) -> dict[Pattern, int]:
-    """Improve bins until as many as the total needs remain, nothing improves, or ``effort`` pairs were tried.
-
-    ``effort`` bounds time alone: no document is ever left out.
+    twice = [(x, x) for x in distinct if items.count(x) > 1]
+    return ((), *[(x,) for x in distinct], *combinations(distinct, 2), *twice)
+
+
+class _Underfull:
+    """What underfull bins could give in an exchange, as rows of arrays; the rows of bins that are gone stay dead."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.at, self.own = capacity, {}, []
+        self.table = np.zeros((5, 1024), np.int64)  # sum, documents, free room, fill, alive
+
+    def add(self, pattern: Pattern) -> None:
+        if pattern in self.at or sum(pattern) == self.capacity:
+            return
+        gives, first = _takeable(pattern), len(self.own)
+        while first + len(gives) > self.table.shape[1]:
+            self.table = np.hstack([self.table, np.zeros_like(self.table)])
+        end, fill = first + len(gives), sum(pattern)
+        self.own += [(pattern, g) for g in gives]
+        self.table[:2, first:end] = [[sum(g) for g in gives], [len(g) for g in gives]]
+        self.table[2:, first:end] = [[self.capacity - fill], [fill], [1]]
+        self.at[pattern] = slice(first, end)
+
+    def drop(self, pattern: Pattern) -> None:
+        if own := self.at.pop(pattern, None):
+            self.table[4, own] = 0
+
+    def best(self, low: Pattern, alone: bool) -> tuple[Pattern, Pattern, Pattern] | None:
+        """(taken, other bin, given back): the exchange that moves most from ``low`` into a bin at least as full: a
+        move, or at most two documents for one. None if none moves anything."""
+        sums, many, free, fill, alive = self.table[:, : len(self.own)]
+        able = (alive > 0) & (fill >= sum(low))
+        if alone:
+            able[self.at[low]] = False
+        top, out = 0, None
+        for taken in _takeable(low)[1:]:
+            gain = sum(taken) - sums
+            fits = able & (gain > top) & (gain <= free) & (many <= 2 if len(taken) == 1 else many == 1)
+            if fits.any():
+                i = int(np.argmax(np.where(fits, gain, 0)))
+                top, out = int(gain[i]), (taken, *self.own[i])
+        return out
+
+
+def _without(pattern: Pattern, out: Pattern, into: Pattern) -> Pattern:
+    left = list(pattern)
+    for x in out:
+        left.remove(x)
+    return tuple(sorted([*left, *into], reverse=True))
+
+
+def local_search(bins: dict[Pattern, int], capacity: int = CAPACITY) -> dict[Pattern, int]:
+    """Bins as {pattern: count} after all exchanges that raise the sum of squared fills, the emptiest bins first.
+
+    Every exchange moves tokens from one underfull bin into another at least as full, so that the sum of squares rises
+    and the search ends: when no pair of bins has an exchange left, or bins are as few as the total needs.
     """
     bins = dict(bins)
-    need = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
+    excess = sum(bins.values()) - _least(bins, capacity)
+    under = _Underfull(capacity)
+    for p in bins:
+        under.add(p)
+    stuck: set[Pattern] = set()
+    while excess > 0:
+        low = min((p for p in under.at if p not in stuck), key=lambda p: (sum(p), p), default=None)
+        if low is None:
+            break
+        found = under.best(low, bins[low] < 2)
+        if found is None:
+            stuck.add(low)
+            continue
+        taken, full, back = found
+        n = bins[low] // 2 if low == full else min(bins[low], bins[full])
+        for p in (low, full):
+            bins[p] -= n
+            if not bins[p]:
+                del bins[p]
+                under.drop(p)
+        for p in (_without(low, taken, back), _without(full, back, taken)):
+            if p:
+                bins[p] = bins.get(p, 0) + n
+                under.add(p)
+            else:
+                excess -= n
+        stuck.clear()
+    return bins
 
-    def minus(p: Pattern, xs: Pattern) -> list[int]:
-        out = list(p)
-        for x in xs:
-            out.remove(x)
-        return out
 
-    while effort > 0 and sum(bins.values()) > need:
-        under = sorted((sum(p), p) for p in bins if sum(p) < capacity)
-        done = True
-        for i, (fill_low, low) in enumerate(under):
-            for fill, full in reversed(under[i:]):
-                if full == low and bins[low] < 2:
-                    continue
-                effort -= 1
-                if (found := _exchange(full, low, capacity - fill)) is None:
-                    continue
-                taken, back = found
-                n = min(bins[low], bins[full]) if low != full else bins[low] // 2
-                for p in (low, full):
-                    bins[p] -= n
-                    if not bins[p]:
-                        del bins[p]
-                for p in ([*minus(low, taken), *back], [*minus(full, back), *taken]):
-                    if p:
-                        key = tuple(sorted(p, reverse=True))
-                        bins[key] = bins.get(key, 0) + n
-                done = False
-                break
-            if not done or effort <= 0:
-                break
-        if done:
-            break
+def _least(bins: dict[Pattern, int], capacity: int) -> int:
+    """How many bins the total needs at least."""
+    return -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
+
+
+def _dealt(items: list[int], capacity: int) -> dict[Pattern, int]:
+    """Best fit of items in the order given."""
+    bins: list[list[int]] = []
+    for x in items:
+        room = [(sum(b), i) for i, b in enumerate(bins) if sum(b) + x <= capacity]
+        if room:
+            bins[max(room)[1]].append(x)
+        else:
+            bins.append([x])
+    return dict(Counter(tuple(sorted(b, reverse=True)) for b in bins))
+
+
+def _score(bins: dict[Pattern, int]) -> tuple[int, int]:
+    return -sum(bins.values()), sum(sum(p) ** 2 * n for p, n in bins.items())
+
+
+def improve(bins: dict[Pattern, int], capacity: int = CAPACITY, patience: int = 1_000, seed: int = 1) -> dict[Pattern, int]:
+    """Local search, started again from other places where it is stuck.
+
+    A new start empties the two emptiest bins and a few drawn ones, deals their documents by best fit in a slightly
+    shuffled decreasing order and searches among them; it stands if the bins are fewer, or as many with a sum of squares
+    no lower. All equal bins are treated at once, so that the size of the input plays no part. It ends when bins are as
+    few as the total needs, or after ``patience`` starts in a row that gained nothing.
+    """
+    bins = local_search(bins, capacity)
+    least, idle, r = _least(bins, capacity), 0, random.Random(seed)
+    full = sorted(p for p in bins if sum(p) == capacity)
+    under = sorted((sum(p), p) for p in bins if sum(p) < capacity)
+    total = sum(bins.values())
+    while idle < patience and total > least:
+        idle += 1
+        k = min(r.choice((4, 8, 16)), len(under))
+        chosen = {p for _, p in (*under[:2], *r.sample(under, k))} | set(r.sample(full, min(k // 2, len(full))))
+        items = sorted((x for p in sorted(chosen) for x in p), key=lambda x: (r.randint(0, 60) - x, x))
+        old = dict.fromkeys(chosen, 1)
+        new = local_search(_dealt(items, capacity), capacity)
+        if new == old or _score(new) < _score(old):
+            continue
+        times = min(bins[p] for p in chosen)
+        for change, sign in ((old, -1), (new, 1)):
+            for p, n in change.items():
+                before = bins.get(p, 0)
+                after = before + sign * n * times
+                if after:
+                    bins[p] = after
+                else:
+                    del bins[p]
+                if (not before) != (not after):
+                    where, key = (full, p) if sum(p) == capacity else (under, (sum(p), p))
+                    at = bisect_left(where, key)
+                    where[at : at + (not after)] = [key] * (not before)
+        total -= (sum(old.values()) - sum(new.values())) * times
+        idle = 0 if _score(new) > _score(old) else idle
     return bins
 
 
@@ -153,9 +242,14 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _special(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer of a file takes as one token wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
 
 
 @functools.cache
@@ -170,24 +264,22 @@ def _rank_encoding(path: str):
 
 
 class Encoder:
-    """Token ids by a byte-level BPE file, and the id that ends a document.
+    """Token ids by a byte-level BPE file, as its tokenizer gives them without added ones, and the id that ends a
+    document.
 
-    The rank file gives the same ids faster. Texts with characters outside scripts long in Unicode, whose classes
-    differ between libraries' tables, are left to the tokenizer itself, which is only loaded for them.
+    The rank file gives the same ids faster. Texts with one of the tokenizer's special strings, and those with
+    characters outside scripts long in Unicode, whose classes differ between libraries' tables, are left to the
+    tokenizer itself, which is only loaded for them.
     """
 
     def __init__(self, path: str, ranks: str | None, end: int = 2):
         self.path, self.ranks, self.end = path, ranks, end
 
-    @property
-    def slow(self):
-        return _tokenizer(self.path)
-
     def __call__(self, text: str) -> np.ndarray:
-        if self.ranks and not _ODD.search(text):
+        if self.ranks and not _ODD.search(text) and not any(t in text for t in _special(self.path)):
             ids = _rank_encoding(self.ranks).encode_ordinary(text)
         else:
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+            ids = _tokenizer(self.path).encode(text, add_special_tokens=False).ids
         ids.append(self.end)
         return np.array(ids, np.uint32)
 
@@ -235,26 +327,37 @@ def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, with_ids
 
 
 def pack(docs: DataFrame, encoder: Encoder | None = None, capacity: int = CAPACITY, with_ids: bool = True,
-         salts: int = 64, effort: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         salt_rows: int = 1_000_000, patience: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): one row for each piece of a document.
 
-    Pieces of a length are numbered in ``salts`` parts, so that no common length meets in one task. Repeated rows are
-    packed each on its own. A null or empty text is its end token alone. An empty table gives no rows.
+    Pieces of a length are numbered in parts of about ``salt_rows``, so that no common length meets in one task; those
+    of full length are numbered without a shuffle. ``patience``: see ``improve``. Repeated rows are packed each on its
+    own. A null or empty text is its end token alone. An empty table gives no rows.
     """
     rows = cut(pieces(docs, encoder or public_encoder(), capacity, with_ids, id_col, text_col))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    keep = rows.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most capacity rows
+    whole = histogram.pop(capacity, 0)
+    bins = improve(best_fit(histogram, capacity), capacity, patience)
+    alone = rows.where(F.col("length") == capacity) if whole else None
+    if alone is not None:
+        number = F.monotonically_increasing_id() + F.lit(sum(bins.values()))
+        alone = alone.select(*keep, number.alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+        if not histogram:
+            return alone
+    # the row's number in the checkpoint deals equal rows to different salts too
+    salts = F.array(*[F.lit(-(-histogram.get(size, 1) // salt_rows)) for size in range(capacity)])
+    parted = rows.withColumn("number", F.monotonically_increasing_id()).where(F.col("length") < capacity)
+    parted = parted.withColumn("salt", F.pmod("number", F.get(salts, F.col("length").cast("int"))).cast("int"))
+    counts = parted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(counts.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
-    plan = places(local_search(best_fit(histogram, capacity), capacity, effort))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    # at most capacity x salts rows are broadcast
-    ranked = rows.withColumn("row", F.row_number().over(within) - 1).join(F.broadcast(counts), ["length", "salt"])
-    ranked = ranked.select(*[c for c in rows.columns if c != "salt"], (F.col("from") + F.col("row")).alias("rank"))
-    table = docs.sparkSession.sparkContext.broadcast(plan)
-    keep = [c for c in ranked.columns if c != "rank"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(*keep).schema)
+    within = Window.partitionBy("length", "salt").orderBy("number")
+    # a row a length, and one for each salt_rows pieces, are broadcast
+    ranked = parted.withColumn("row", F.row_number().over(within) - 1).join(F.broadcast(counts), ["length", "salt"])
+    ranked = ranked.select(*keep, (F.col("from") + F.col("row")).alias("rank"))
+    table = docs.sparkSession.sparkContext.broadcast(places(bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,4 +373,5 @@ def pack(docs: DataFrame, encoder: Encoder | None = None, capacity: int = CAPACI
             cols = [*[b.column(c) for c in keep], pa.array(bins), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    out = ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return out if alone is None else out.unionByName(alone)
