@@ -24,4 +24,5 @@ def odd_texts():
         None, "", "   \n\t ", "a", "same text here", "same text here", None, "", "x" * 50_000, "no spaces" * 3,
         "word " * 20_000, "é ñ ü 漢字 🙂 \u2003 wide", "line\nline\nline\n", "\x00 nul \x1f", "@" * 3000, "+" * 3000,
         "1" * 5000, "1.1.1." * 2000, "AKIA", "password=", "[" * 100, "a@b.c " * 500,
+        "1.2.3." + "0" * 5000, "0" * 6000 + ".0.0.0", "1.2.3." + "0" * 5000 + "256", "é" * 300_000,
     ]

@@ -1,15 +1,15 @@
 """Secret scans: plain patterns, then structural confirmation of what base64 or hex candidates decode to.
 
 The patterns' matches are always reported. Candidates that decode to a key or a signed token are added: ``pem`` (a
-block whose body decodes to DER or an OpenSSH key), ``der`` (base64 or hex of one ASN.1 SEQUENCE whose nested lengths
-add up and which begins like a key), ``ssh`` (length-prefixed key fields) and ``jwt`` (header, payload and signature
-parts with a JSON header that names an algorithm).
+block whose body, after header lines, decodes to DER or an OpenSSH key, or is encrypted in whole blocks), ``der`` (base64
+or hex of one ASN.1 SEQUENCE whose nested lengths add up and which begins like a key), ``ssh`` (length-prefixed key
+fields) and ``jwt`` (header, payload and signature parts with a JSON header that names an algorithm). Runs of any length
+are decoded, if their first letters can begin one of these structures.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
@@ -29,11 +29,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_LONG = 40
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % _LONG)
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-_TO_SPACE = bytes(c if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-") else 32 for c in range(256))
+#: Runs that can begin a structure: DER opens with 0x30, SSH fields with a length under 2^24, OpenSSH files with their
+#: magic. In base64 that is M and one of A to P, or AAAA, or the magic's letters; in hex their digits.
+_MAGIC = b"openssh-key-v1\0"
+_OPENING = re.compile(r"(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE|30|00|6f70|6F70)[A-Za-z0-9+/_-]*={0,2}")
+_IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_FENCE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+_HEADER = re.compile(r"\s*([A-Za-z0-9-]+):(.*)", re.S)
+#: Three parts, of which the first decodes to a brace or to white space before one.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([eICD][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+#: Block sizes, in bytes, of the ciphers that encrypted PEM bodies name.
+_BLOCKS = {"DES": 8, "AES": 16, "CAMELLIA": 16, "SEED": 16, "IDEA": 8, "BF": 8, "CAST5": 8, "RC2": 8}
 
 
 def base_spans(text: str, raw: bytes) -> list[Span]:
@@ -47,18 +53,13 @@ def base_spans(text: str, raw: bytes) -> list[Span]:
     return out
 
 
-def decoded(run: str) -> bytes | None:
-    """Bytes of a base64 (either alphabet, padding optional) or hex candidate; None if it is neither."""
+def decodings(run: str) -> Iterator[bytes]:
+    """Bytes of a base64 (either alphabet, padding optional) and of a hex candidate, as far as it is either."""
     body = run.rstrip("=")
-    if re.fullmatch(r"[0-9a-fA-F]+", body) and len(body) % 2 == 0:
-        return bytes.fromhex(body)
-    if len(body) % 4 == 1:
-        return None
-    body = body.replace("-", "+").replace("_", "/")
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    if len(body) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", body):
+        yield bytes.fromhex(body)
+    if len(body) % 4 != 1 and re.fullmatch(r"[A-Za-z0-9+/_-]+", body):
+        yield base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
 
 
 def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
@@ -90,7 +91,7 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 def is_key_der(data: bytes) -> bool:
     """One SEQUENCE that opens with a small version number or an algorithm's identifier, with another value after."""
-    if len(data) < 16 or data[0] != 0x30 or (top := der_items(data)) is None or len(top) != 1:
+    if data[:1] != b"\x30" or (top := der_items(data)) is None or len(top) != 1:
         return False
     inner = der_items(top[0][1])
     if not inner or len(inner) < 2:
@@ -101,25 +102,75 @@ def is_key_der(data: bytes) -> bool:
     return version or algorithm
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or length-prefixed fields that fill the data, the first of them a key type's name."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(data):
+def ssh_fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at`` on, up to ``most`` of them or the end, and where they stop; None if a length
+    goes beyond the data."""
+    fields: list[bytes] = []
+    while at < len(data) and len(fields) != most:
+        if at + 4 > len(data):
+            return None
         (size,) = struct.unpack_from(">I", data, at)
         at += 4
         if at + size > len(data):
-            return False
+            return None
         fields.append(data[at : at + size])
         at += size
-    return at == len(data) and len(fields) > 1 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]))
+    return fields, at
+
+
+def is_ssh_public(data: bytes) -> bool:
+    """Fields that fill the data, the first of them a key type's name."""
+    got = ssh_fields(data)
+    return got is not None and len(got[0]) > 1 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", got[0][0]))
+
+
+def is_openssh(data: bytes) -> bool:
+    """The magic, names of cipher and key derivation and its options, a number of public keys, and one private block;
+    all lengths add up, and every public key is one."""
+    if not data.startswith(_MAGIC) or (got := ssh_fields(data, len(_MAGIC), 3)) is None:
+        return False
+    (cipher, kdf, _), at = got if len(got[0]) == 3 else ([b"", b"", b""], 0)
+    if not all(re.fullmatch(rb"[A-Za-z0-9@.-]+", x) for x in (cipher, kdf)) or at + 4 > len(data):
+        return False
+    (keys,) = struct.unpack_from(">I", data, at)
+    rest = ssh_fields(data, at + 4)
+    if rest is None or keys < 1 or len(rest[0]) != keys + 1:
+        return False
+    return bool(rest[0][-1]) and all(map(is_ssh_public, rest[0][:-1]))
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return is_openssh(data) if data.startswith(_MAGIC) else is_ssh_public(data)
+
+
+def is_pem_body(body: str) -> bool:
+    """Header lines, if any, then base64 of a key; an encrypted body is confirmed by its headers (cipher and start
+    value of its block's size) and by whole blocks."""
+    headers: dict[str, str] = {}
+    lines = iter(body.split("\n"))
+    line = ""
+    for line in lines:
+        if m := _HEADER.fullmatch(line):
+            headers[m[1].lower()] = m[2].strip()
+        elif line.strip():
+            break
+    else:
+        return False
+    for data in decodings(re.sub(r"\s", "", "".join([line, *lines]))):
+        if is_key_der(data) or is_ssh_key(data):
+            return True
+        if "ENCRYPTED" in headers.get("proc-type", "").upper() and data:
+            cipher, _, start = headers.get("dek-info", "").partition(",")
+            block = _BLOCKS.get(cipher.strip().upper().split("-")[0])
+            if block and len(data) % block == 0 and re.fullmatch(r"[0-9A-Fa-f]{%d}" % (2 * block), start.strip()):
+                return True
+    return False
 
 
 def _json_part(part: str) -> object:
     try:
         return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (binascii.Error, ValueError, RecursionError):
+    except (ValueError, RecursionError):  # bad base64 and bad JSON are both ValueErrors
         return None
 
 
@@ -127,22 +178,28 @@ def confirmed_spans(text: str, raw: bytes) -> list[Span]:
     """Candidates whose structure confirms a key or a signed token."""
     out: list[Span] = []
     if b"-----BEGIN" in raw:
-        for m in _PEM.finditer(text):
-            data = decoded(re.sub(r"\s", "", m[2]))
-            if data and (is_key_der(data) or is_ssh_key(data)):
-                out.append(("pem", m.start(), m.end()))
-    if b"eyJ" in raw:
-        for m in _JWT.finditer(text):
+        begin = None
+        for m in _FENCE.finditer(text):  # a block has no other fence inside
+            if begin and m[1] == "END" and m[2] == begin[2] and is_pem_body(text[begin.end() : m.start()]):
+                out.append(("pem", begin.start(), m.end()))
+            begin = m if m[1] == "BEGIN" else None
+    if raw.count(b".") > 1:
+        for m in _TOKEN.finditer(text):
             head = _json_part(m[1])
             if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json_part(m[2]), dict):
                 out.append(("jwt", m.start(), m.end()))
-    if max(map(len, raw.translate(_TO_SPACE).split()), default=0) >= _LONG:
-        for m in _RUN.finditer(text):
-            if data := decoded(m[0]):
-                if is_key_der(data):
-                    out.append(("der", m.start(), m.end()))
-                elif is_ssh_key(data):
-                    out.append(("ssh", m.start(), m.end()))
+    blocks = [s for s in out if s[0] == "pem"]
+    for m in _OPENING.finditer(text):
+        if m.start() and text[m.start() - 1] in _IN_RUN:
+            continue  # the rest of a run
+        while blocks and blocks[0][2] <= m.start():
+            blocks.pop(0)
+        if blocks and blocks[0][1] < m.start():
+            continue  # told as a block already
+        for data in decodings(m[0]):
+            if is_key_der(data) or is_ssh_key(data):
+                out.append(("der" if data[:1] == b"\x30" else "ssh", m.start(), m.end()))
+                break
     return out
 
 
@@ -152,7 +209,6 @@ def spans(text: str | None) -> list[Span]:
         return []
     raw = text.encode("utf-8", "surrogatepass")
     out = base_spans(text, raw)
-    # an escape from the costly scan: hex runs are words or parts of words of that length
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     out += confirmed_spans(text, raw)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
