@@ -67,7 +67,7 @@ def test_beats_best_fit():
             a, b = sorted(r.sample(range(1, 100), 2))
             sizes += [a, b - a, 100 - b]
         first = packing.best_fit(dict(Counter(sizes)), 100)
-        best, found, least = best + sum(first.values()), found + sum(packing.improve(first, 100, patience=200).values()), least + 30
+        best, found, least = best + sum(first.values()), found + sum(packing.improve(first, 100, starts=400).values()), least + 30
     assert least <= found < best
 
 

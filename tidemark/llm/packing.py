@@ -177,33 +177,36 @@ def _score(bins: dict[Pattern, int]) -> tuple[int, int]:
     return -sum(bins.values()), sum(sum(p) ** 2 * n for p, n in bins.items())
 
 
-def improve(bins: dict[Pattern, int], capacity: int = CAPACITY, patience: int = 1_000, seed: int = 1) -> dict[Pattern, int]:
-    """Local search, started again from other places where it is stuck.
+def improve(bins: dict[Pattern, int], capacity: int = CAPACITY, starts: int = 6_000, seed: int = 1) -> dict[Pattern, int]:
+    """Local search, then ``starts`` new starts of it from places nearby, or until bins are as few as the total needs.
 
-    A new start empties the two emptiest bins and a few drawn ones, deals their documents by best fit in a slightly
-    shuffled decreasing order and searches among them; it stands if the bins are fewer, or as many with a sum of squares
-    no lower. All equal bins are treated at once, so that the size of the input plays no part. It ends when bins are as
-    few as the total needs, or after ``patience`` starts in a row that gained nothing.
+    A start takes a class of underfull bins, every other time the emptiest, and a few drawn among those with as many bins;
+    it deals the documents of one bin of each by best fit, in a slightly shuffled decreasing order, and searches among
+    them. The result stands, for all bins of these classes at once, if it is of fewer bins, or of as many with a sum of
+    squares no lower. A start costs the same whatever the input, as the classes do not grow with it.
     """
     bins = local_search(bins, capacity)
-    least, idle, r = _least(bins, capacity), 0, random.Random(seed)
+    least, r = _least(bins, capacity), random.Random(seed)
     full = sorted(p for p in bins if sum(p) == capacity)
     under = sorted((sum(p), p) for p in bins if sum(p) < capacity)
     total = sum(bins.values())
-    while idle < patience and total > least:
-        idle += 1
-        k = min(r.choice((4, 8, 16)), len(under))
-        chosen = {p for _, p in (*under[:2], *r.sample(under, k))} | set(r.sample(full, min(k // 2, len(full))))
+    for start in range(starts):
+        if total <= least or not under:
+            break
+        first = under[0 if start % 2 else r.randrange(len(under))][1]
+        k = r.choice((4, 8, 16))
+        chosen = {p for _, p in (*under[:1], *r.sample(under, min(k, len(under))))}
+        chosen = {first} | {p for p in (*sorted(chosen), *r.sample(full, min(k // 2, len(full)))) if bins[p] >= bins[first]}
         items = sorted((x for p in sorted(chosen) for x in p), key=lambda x: (r.randint(0, 60) - x, x))
         old = dict.fromkeys(chosen, 1)
         new = local_search(_dealt(items, capacity), capacity)
         if new == old or _score(new) < _score(old):
             continue
-        times = min(bins[p] for p in chosen)
-        for change, sign in ((old, -1), (new, 1)):
+        times = bins[first]
+        for change, sign in ((old, -times), (new, times)):
             for p, n in change.items():
                 before = bins.get(p, 0)
-                after = before + sign * n * times
+                after = before + sign * n
                 if after:
                     bins[p] = after
                 else:
@@ -213,7 +216,6 @@ def improve(bins: dict[Pattern, int], capacity: int = CAPACITY, patience: int =
                     at = bisect_left(where, key)
                     where[at : at + (not after)] = [key] * (not before)
         total -= (sum(old.values()) - sum(new.values())) * times
-        idle = 0 if _score(new) > _score(old) else idle
     return bins
 
 
@@ -327,11 +329,11 @@ def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, with_ids
 
 
 def pack(docs: DataFrame, encoder: Encoder | None = None, capacity: int = CAPACITY, with_ids: bool = True,
-         salt_rows: int = 1_000_000, patience: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         salt_rows: int = 1_000_000, starts: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): one row for each piece of a document.
 
     Pieces of a length are numbered in parts of about ``salt_rows``, so that no common length meets in one task; those
-    of full length are numbered without a shuffle. ``patience``: see ``improve``. Repeated rows are packed each on its
+    of full length are numbered without a shuffle. ``starts``: see ``improve``. Repeated rows are packed each on its
     own. A null or empty text is its end token alone. An empty table gives no rows.
     """
     rows = cut(pieces(docs, encoder or public_encoder(), capacity, with_ids, id_col, text_col))
@@ -339,7 +341,7 @@ def pack(docs: DataFrame, encoder: Encoder | None = None, capacity: int = CAPACI
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most capacity rows
     whole = histogram.pop(capacity, 0)
-    bins = improve(best_fit(histogram, capacity), capacity, patience)
+    bins = improve(best_fit(histogram, capacity), capacity, starts)
     alone = rows.where(F.col("length") == capacity) if whole else None
     if alone is not None:
         number = F.monotonically_increasing_id() + F.lit(sum(bins.values()))
