@@ -69,8 +69,21 @@ def same_partition(a, b):
     return len(set(zip(a, b))) == len(set(a)) == len(set(b))
 
 
+def pairs_of(spark, fps, dense):
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp bigint")
+    rows = [(r.a, r.b) for r in simhash.links(df, dense).collect()]
+    assert len(rows) == len(set(rows))
+    return {tuple(sorted(p)) for p in rows}
+
+
+def brute_pairs(fps):
+    return {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2}
+
+
 def test_links_and_components(spark):
     fps = near(random.Random(2), 30)
+    for dense in (48, 5, 1):
+        assert pairs_of(spark, fps, dense) == brute_pairs(fps)
     want = list(brute_components(fps).values())
     for dense in (48, 1):  # 1: every shared bucket takes the way for dense ones
         assert same_partition(components_of(spark, fps, dense), want)
@@ -81,6 +94,17 @@ def test_dense_ball(spark):
     center = r.getrandbits(64)
     fps = sorted({center ^ (1 << r.randrange(20)) ^ (1 << r.randrange(20)) ^ (1 << r.randrange(40, 60)) for _ in range(150)})
     assert same_partition(components_of(spark, fps, 10), list(brute_components(fps).values()))
+    assert pairs_of(spark, fps, 10) == brute_pairs(fps)
+
+
+def test_long_chain(spark):
+    """Far more hops than rounds."""
+    x, fps = 0, [0]
+    for i in range(400):
+        x ^= 0b11 << (2 * i % 62)
+        fps.append(x)
+    fps = sorted(set(fps))
+    assert same_partition(components_of(spark, fps, 48), list(brute_components(fps).values()))
 
 
 def test_near_duplicates(documents):
@@ -101,6 +125,8 @@ def test_near_duplicates(documents):
     got = {x.doc_id: x for x in rows.collect()}
     assert [got[i].component_id for i in range(len(texts))] == [want[i] for i in range(len(texts))]
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{f:016x}" for f in fps]
+    distinct = set(fps)
+    assert [got[i].n_links for i in range(len(texts))] == [sum(0 < (f ^ g).bit_count() <= 2 for g in distinct) for f in fps]
     kept = simhash.keep_representatives(docs, rows)
     assert kept.columns == docs.columns
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values()))

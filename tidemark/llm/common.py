@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; only where it is unset (tests) set a folder."""
+    """Use the session's ``spark.checkpoint.dir``; where it is unset, a folder of its own on a local master alone, as in
+    tests. A cluster must name a folder that all its machines share.
+    """
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
 
 
@@ -50,19 +54,70 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark itself uses for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Names a row by id and text, for taking decisions back to rows; equal rows share it."""
+    """Names a row, together with its id, for taking decisions back to rows; equal rows share it."""
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def few(keys: DataFrame, most: int = SMALL_KEYS) -> DataFrame:
-    """``keys`` (longs), marked for broadcast only if a count shows that they are at most ``most``."""
+    """``keys`` (of a few numbers), marked for broadcast only if a count shows that they are at most ``most``."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def by_key(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` joined (left_anti or left_semi) with ``keys`` (doc_id, row_key); ids are compared too, so that texts of
+    equal hash are told apart. Texts are only shuffled if the keys are many.
+    """
+    keys = few(cut(keys.select(F.col("doc_id").alias("key_id"), "row_key").distinct()))
+    name = free_name(docs, "row_key")
+    named = docs.withColumn(name, row_key(id_col, text_col)).alias("d")
+    same = (F.col(f"d.`{name}`") == keys.row_key) & F.col(f"d.`{id_col}`").eqNullSafe(keys.key_id)
+    return named.join(keys, same, how).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
 def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows named by ``keys`` (row_key); texts are only shuffled if the keys are many."""
-    keys = few(cut(keys.select("row_key")))
-    # a name that no column of documents has
-    named = docs.withColumn("__row_key", row_key(id_col, text_col))
-    return named.join(keys, F.col("__row_key") == keys.row_key, "left_anti").drop("__row_key")
+    """``docs`` without the rows named by ``keys`` (doc_id, row_key)."""
+    return by_key(docs, keys, "left_anti", id_col, text_col)
+
+
+def exact_quantile(values: DataFrame, value: str, quantile: float, by: str | None = None, held: int = 100_000) -> DataFrame:
+    """(by, quantile): in each group of ``by``, or in all rows, the least value that at least this share of the
+    values do not exceed. Nulls don't count; groups without values are left out.
+
+    Exact, and the same however rows are dealt: counts over 4,096 equal parts of the range that is left close in on the
+    rank, until at most ``held`` values a group remain to be sorted.
+    """
+    group = F.lit(0) if by is None else F.col(f"`{by}`")
+    # adding 0 turns -0.0 into 0.0
+    rows = cut(values.select(group.alias("g"), (F.col(f"`{value}`") + F.lit(0.0)).alias("x")).dropna(subset=["x"]))
+    state = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    state = cut(state.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * quantile)).cast("bigint")))
+    within = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+    on = rows.g.eqNullSafe(F.col("s.g"))
+    while state.where((F.col("n") > held) & (F.col("lo") < F.col("hi"))).limit(1).count():
+        part = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096), F.lit(4095))
+        part = F.when(F.col("lo") < F.col("hi"), part).otherwise(0)
+        inside = rows.join(few(state).alias("s"), on & within).select("s.g", "k", part.alias("part"), "x")
+        counts = inside.groupBy("g", "k", "part").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("part"))  # at most 4,096 rows a group
+        reached = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
+        state = cut(reached.select("g", "n", "lo", "hi", (F.col("k") - F.col("upto") + F.col("n")).alias("k")))
+    # where all that is left is one value, it need not be listed
+    listed = rows.join(few(state.where("lo < hi")).alias("s"), on & within).groupBy("s.g", "k")
+    listed = listed.agg(F.sort_array(F.collect_list("x")).alias("xs")).select("g", F.element_at("xs", F.col("k").cast("int")).alias("quantile"))
+    out = listed.unionByName(state.where("lo = hi").select("g", F.col("lo").alias("quantile")))
+    return out.select("quantile") if by is None else out.select(F.col("g").alias(by), "quantile")

@@ -4,8 +4,8 @@ With ``max_bits`` = 2 differing bits and two 32-bit segments, one segment differ
 fingerprint is therefore indexed under its one-wildcard variants (segment, wildcard position, segment with that
 bit cleared): 64 equality keys find every pair that can link. A bucket of at most ``dense`` fingerprints has its
 pairs verified; members of larger buckets are instead keyed by all two-wildcard variants of the whole
-fingerprint, in each of which any two members differ by at most two bits, so that a star to the smallest member
-links them without listing pairs. Both ways are exact. Links join distinct fingerprints; copies follow theirs.
+fingerprint, under each of which there are at most four, any two of them linked. Both ways list every link, of which a
+fingerprint can have 2,080. Links join distinct fingerprints; copies follow theirs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_rows, few, keyed_texts
+from .common import by_key, cut, drop_rows, free_name, keyed_texts
 from .common import row_key as key_of
 
 BITS = 64
@@ -75,10 +75,9 @@ def _single_bits() -> list[int]:
 
 
 def links(fps: DataFrame, dense: int = 48) -> DataFrame:
-    """Links (a, b) that connect all of the distinct ``fp`` that differ by at most two bits.
+    """All pairs (a, b), a < b, of the distinct ``fp`` that differ by at most two bits.
 
-    Every pair of a bucket of up to ``dense`` members is listed; in larger ones a star for each clique stands for its
-    pairs, so that connectivity is exact though pairs are not all listed.
+    ``dense`` is the size of a bucket from which its members take the second way; results don't depend on it.
     """
     one = F.array(*[F.lit(x) for x in _single_bits()])
     keyed = fps.select("fp", F.posexplode(one).alias("pos", "bit"))
@@ -108,26 +107,27 @@ def links(fps: DataFrame, dense: int = 48) -> DataFrame:
         "fp", (F.col("i") * BITS + F.col("j")).alias("w"),
         F.col("fp").bitwiseAND(F.bitwise_not(F.col("bi").bitwiseOR(F.col("bj")))).alias("rest"),
     )
-    # in the clique of a two-wildcard key there are at most four fingerprints
-    stars = (
+    # under a two-wildcard key there are at most four fingerprints
+    cliques = (
         two.groupBy("w", "rest")
         .agg(F.collect_set("fp").alias("m"))
         .where(F.size("m") > 1)
-        .select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
-        .where("a <> b")
+        .select("m", F.explode("m").alias("a"))
+        .select("a", F.explode("m").alias("b"))
+        .where("a < b")
     )
-    return pairs.union(stars).distinct()
+    return pairs.union(cliques).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the smallest node reachable.
 
     Alternates large-star and small-star (Kiveris et al. 2014), each round cut by a checkpoint. A hub's neighbours are
-    only aggregated to their minimum and joined back, never gathered into one row.
+    only aggregated to their minimum and joined back, never gathered into one row. Rounds end when edges stay the same.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -139,16 +139,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = 48) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links, row_key): one row for each row of ``docs``.
 
-    component_id: the smallest doc_id reachable over links of at most two bits. n_links: links of the document's
-    fingerprint that were listed to other fingerprints. Null texts and texts without words have fingerprint 0; ids that
+    component_id: the smallest doc_id reachable over links of at most two bits. n_links: how many other fingerprints
+    the document's is linked to. Null texts and texts without words have fingerprint 0; ids that
     are null take part but never give a component its id unless all of its ids are null. Repeated rows are kept. An
     empty table gives no rows.
     """
@@ -178,19 +176,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component of ``rows`` (from ``near_duplicates``): one of its smallest id.
 
-    Rows are dropped by key; where a kept row is there more than once, equal in id and text, one of them stays.
+    Rows are dropped by id and key; where a kept row is there more than once, equal in id and text, one of them stays.
     """
     by = ["component_id", "doc_id", "row_key"]
     groups = cut(rows.groupBy(*by).agg(F.count("*").alias("n")))
     # of equal smallest ids the smaller key; a component whose ids are all null is one of its own
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("b"))
-    best = best.select(F.col("component_id").alias("c"), F.col("b.row_key").alias("best"))
-    told = cut(groups.join(best, F.col("component_id").eqNullSafe(F.col("c"))).select("row_key", "n", "best"))
-    kept = drop_rows(docs, told.where("row_key <> best").select("row_key"), id_col, text_col)
-    again = cut(told.where("row_key = best and n > 1").select("row_key"))
+    best = best.select(F.col("component_id").alias("c"), F.col("b.doc_id").alias("best_id"), F.col("b.row_key").alias("best"))
+    told = groups.join(best, F.col("component_id").eqNullSafe(F.col("c")))
+    told = cut(told.withColumn("chosen", (F.col("row_key") == F.col("best")) & F.col("doc_id").eqNullSafe(F.col("best_id"))))
+    kept = drop_rows(docs, told.where("not chosen"), id_col, text_col)
+    again = told.where("chosen and n > 1").select("doc_id", "row_key")
     if again.isEmpty():
         return kept
     single = drop_rows(kept, again, id_col, text_col)
-    named = kept.withColumn("__row_key", key_of(id_col, text_col))
-    twice = named.join(few(again), F.col("__row_key") == again.row_key, "left_semi").dropDuplicates(["__row_key"])
-    return single.unionByName(twice.drop("__row_key"))
+    name = free_name(docs, "row_key")
+    twice = by_key(kept, again, "left_semi", id_col, text_col).withColumn(name, key_of(id_col, text_col))
+    return single.unionByName(twice.dropDuplicates([id_col, name]).drop(name))
