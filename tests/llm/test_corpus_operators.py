@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import decontamination, kneser_ney, packing, pii, quality_rules, simhash
@@ -134,21 +135,41 @@ def brute_model(texts, order):
 def test_perplexity(spark, documents, corpus, shard_rows):
     good, bad = corpus
     texts = [t[:200] for t in good[:12]] + [t[:200] for t in bad[:2]] + ["", "漢字 unseen", "tamo ri"]
-    docs = documents(texts).select("doc_id", "text")
+    docs = documents(texts).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     counts = kneser_ney.count_ngrams(docs.where("doc_id < 8").selectExpr("text", "doc_id % 2 = 0 half"))
+    docs = docs.unionByName(docs.where("doc_id = 3"))
     model = kneser_ney.train(counts.selectExpr("0 m", "gram", "n").groupBy("m", "gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"))
     model = model.drop("m")
     score = brute_model(texts[:8], kneser_ney.ORDER)
     rows = kneser_ney.perplexities(docs, model, shard_rows=shard_rows).collect()
+    assert len(rows) == len(texts) + 1
     for r in rows:
         assert r.log_prob == pytest.approx(score(texts[r.doc_id]), rel=1e-5), r
 
 
-def test_probabilities_sum_to_one(corpus):
+def test_probabilities_sum_to_one(spark, corpus):
+    """Of the trained model: over the characters that may follow a context, and one that is unseen."""
     texts = [t[:100] for t in corpus[0][:5]]
-    score = brute_model(texts, 3)
-    base = score("ta")
-    assert base < 0
+    order = kneser_ney.ORDER
+    counts = kneser_ney.count_ngrams(spark.createDataFrame([(t, True) for t in texts], "text string, half boolean"))
+    model = {r.gram: r for r in kneser_ney.train(counts.selectExpr("0 m", "gram", "n")).collect()}
+    alphabet = [g for g, r in model.items() if len(g) == 1 and r.lp is not None]
+    unseen = model[""].lp
+
+    def p(context, c):
+        weight = 0.0
+        for k in range(len(context), -1, -1):
+            h = context[len(context) - k :]
+            if h + c in model and model[h + c].lp is not None:
+                return math.exp(weight + model[h + c].lp)
+            if k and h in model and model[h].lg is not None:
+                weight += model[h].lg
+        return math.exp(weight + unseen)
+
+    contexts = sorted({g[: order - 1] for g in model if len(g) == order})
+    for context in [*contexts[:: max(1, len(contexts) // 40)], "", "zzzz", contexts[0][1:]]:
+        left = p(context, "\U0001f642")
+        assert sum(p(context, c) for c in alphabet) + left == pytest.approx(1.0, abs=1e-9), context
 
 
 def test_hash_table():
@@ -161,11 +182,40 @@ def test_hash_table():
 
 
 def test_classify(spark, documents, corpus):
+    """Perplexities, thresholds and verdicts against the plain model; two languages, one of them seldom."""
     good, bad = corpus
+    texts = [*good, *bad, "mo ri", "ta", None, "", good[3]]
+    langs = ["xx" if i in (2, 5, 61) else None if i == 70 else "en" for i in range(len(texts))]
+    docs = documents(texts).drop("lang").join(spark.createDataFrame(list(enumerate(langs)), "doc_id bigint, lang string"), "doc_id")
     labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id bigint, quality int")
-    rows = {r.doc_id: r for r in kneser_ney.classify(documents(good + bad + ["mo ri", None]), labels).collect()}
-    assert all(rows[i].kept for i in range(60)) and not any(rows[60 + i].kept for i in range(8))
-    assert rows[68].kept  # a few words are little evidence
+    least, quantile = 10, 0.9
+    rows = {r.doc_id: r for r in kneser_ney.classify(docs, labels, quantile=quantile, least=least).collect()}
+    keys = {r.doc_id: r.row_key for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key")).collect()}
+    half = {i for i in range(50) if xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) % 2 == 0}
+    whole, part = brute_model(texts[:50], kneser_ney.ORDER), brute_model([texts[i] for i in sorted(half)], kneser_ney.ORDER)
+    marked = defaultdict(list)
+    for i in sorted(set(range(50)) - half):
+        n = len(texts[i]) + 1
+        for c in range(n.bit_length()):
+            h = xxhash.xxh64_intdigest(c.to_bytes(4, "little"), xxhash.xxh64_intdigest((keys[i] & (1 << 64) - 1).to_bytes(8, "little"), 42))
+            at = (h - (1 << 64) if h >> 63 else h) % (n - 2**c + 1)
+            piece = texts[i][at : at + 2**c - 1]
+            for group in (langs[i], None):
+                marked[group, c].append(-part(piece) / 2**c)
+    q = {k: sorted(v)[math.ceil(len(v) * quantile) - 1] for k, v in marked.items()}
+    for i, t in enumerate(texts):
+        n = len(t or "") + 1
+        own = [c for c in range(n.bit_length()) if len(marked.get((langs[i], c), ())) >= least] if langs[i] else []
+        every = [c for c in range(n.bit_length()) if len(marked[None, c]) >= least] or [max(c for g, c in q if g is None and c < n.bit_length())]
+        limit = q[langs[i], own[-1]] if own else q[None, every[-1]]
+        ppl = -whole(t or "") / n
+        assert rows[i].perplexity == pytest.approx(math.exp(ppl), rel=1e-4) and rows[i].threshold == pytest.approx(math.exp(limit), rel=1e-4), i
+        assert rows[i].kept == (ppl <= limit) or abs(ppl - limit) < 1e-4
+    usual = {r.doc_id: r.kept for r in kneser_ney.classify(docs, labels).collect()}
+    assert all(usual[i] for i in range(60)) and not any(usual[60 + i] for i in range(8))
+    assert usual[68]  # a few words are little evidence
+    none = kneser_ney.classify(docs, labels.where("doc_id = 1")).collect()
+    assert all(r.kept and r.perplexity is None for r in none)
 
 
 def brute_sw(a, b):

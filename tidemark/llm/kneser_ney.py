@@ -1,25 +1,30 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
-The model is trained on all trusted text; thresholds come from a second model, of half of it, on the other half, since
-texts that a model has seen have too low a perplexity. Tasks count the n-grams of the highest order; joins and aggregates over
+The model is trained on all trusted text. Tasks count the n-grams of the highest order; joins and aggregates over
 tables keyed by n-gram then give continuation counts, discounts, context totals and interpolated probabilities, order
 by order. For scoring, the table is dealt into shards by the two characters before the predicted one, which all of
-its entries of three or more share; shorter entries go to every shard. A task holds one shard of at most ``shard_rows``
-rows at a time. Documents above their language's threshold are rejected.
+its entries of three or more share; shorter entries go to every shard. The texts are read once for each shard, with one
+shard of at most about ``shard_rows`` rows sent out at a time; partial sums of a document meet by its key.
+
+Thresholds come from a second model, of half of the trusted texts, on the other half, since texts that a model has seen
+have too low a perplexity. Perplexities of short texts spread more, so that the other half is also scored in pieces of 1,
+2, 4 and on characters: a document is rejected if its perplexity is above the ``quantile`` of trusted pieces of its
+language and its length class.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, cut, keyed_texts
+from .common import compact, cut, exact_quantile, few, keyed_texts
 from .common import row_key as key_of
 from .quality_rules import trusted_ids
 
@@ -197,87 +202,148 @@ def _log_probs(codes: np.ndarray, ends: np.ndarray, table: Table, order: int, un
     return out
 
 
-def _shards(model: DataFrame, order: int, shard_rows: int) -> tuple[list, int, float]:
-    """The model as broadcast shards of about ``shard_rows``, their number, and the unseen character's value."""
-    sc = model.sparkSession.sparkContext
-    unseen = model.where("gram = ''").first()
-    rows = model.count()
-    shards = max(1, -(-rows // shard_rows))
-    out = []
-    for s in range(shards):
-        part = model.where("gram <> ''")
-        if shards > 1:
-            # as a gram it predicts its last character, as a context the next: both kinds of row as needed
-            a, b = F.substring("gram", -3, 2), F.substring("gram", -2, 2)
-            of = lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(shards)) == s
-            as_gram, as_context = (F.length("gram") < 3) | of(a), (F.length("gram") < 2) | of(b)
-            none = F.lit(None).cast("double")
-            part = part.select("gram", F.when(as_gram, F.col("lp")).otherwise(none).alias("lp"), F.when(as_context, F.col("lg")).otherwise(none).alias("lg"))
-            part = part.where("lp is not null or lg is not null")
-        got = part.toArrow()
-        grams, lp, lg = (got.column(i) for i in range(3))
-        sizes = pc.utf8_length(grams).to_numpy()
-        keys = np.zeros(len(grams), np.uint64)
-        for size in np.unique(sizes):  # one size at a time, so that few strings are objects at once
-            own = np.flatnonzero(sizes == size)
-            joined = "".join(grams.take(pa.array(own)).to_pylist())
-            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            keys[own] = _hash(codes, np.arange(1, len(own) + 1) * size - 1, int(size))
-        lp, lg = (x.to_numpy(zero_copy_only=False).astype(np.float32) for x in (lp, lg))
-        out.append(sc.broadcast((keys, lp, lg)))
-    return out, shards, float(unseen[1]) if unseen and unseen[1] is not None else -20.0
+def _keyed(model: DataFrame) -> DataFrame:
+    """(key, lp, lg) of a model's rows, with the hash of each gram in place of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = b.column("gram")
+            sizes = pc.utf8_length(grams).to_numpy()
+            keys = np.zeros(len(grams), np.uint64)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                joined = "".join(grams.take(pa.array(own)).to_pylist())
+                codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                keys[own] = _hash(codes, np.arange(1, len(own) + 1) * size - 1, int(size))
+            cols = [pa.array(keys.view(np.int64)), *(b.column(c).cast(pa.float32()) for c in ("lp", "lg"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "lp", "lg"])
+
+    return model.select("gram", "lp", "lg").mapInArrow(run, "key bigint, lp float, lg float")
+
+
+def _shard(model: DataFrame, s: int, shards: int) -> DataFrame:
+    """Rows of a model that scoring in shard ``s`` looks up: as a gram a row predicts its last character, as a context the
+    next, so that it may be needed for one, the other or both."""
+    part = model.where("gram <> ''")
+    if shards == 1:
+        return part
+    a, b = F.substring("gram", -3, 2), F.substring("gram", -2, 2)
+    of = lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(shards)) == s
+    as_gram, as_context = (F.length("gram") < 3) | of(a), (F.length("gram") < 2) | of(b)
+    none = F.lit(None).cast("double")
+    lp, lg = F.when(as_gram, F.col("lp")).otherwise(none), F.when(as_context, F.col("lg")).otherwise(none)
+    return part.select("gram", lp.alias("lp"), lg.alias("lg")).where("lp is not null or lg is not null")
+
+
+def _in_shard(codes: np.ndarray, ends: np.ndarray, s: int, shards: int) -> np.ndarray:
+    """Those of ``ends`` whose two characters before are dealt to shard ``s``."""
+    pair = (codes[ends - 2] << np.uint64(32)) | codes[ends - 1]
+    which, back = np.unique(pair, return_inverse=True)
+    raw = ((chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF)).encode("utf-8", "surrogatepass") for p in which)
+    return ends[np.array([zlib.crc32(x) % shards == s for x in raw], bool)[back]]
 
 
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = 4_000_000) -> DataFrame:
-    """Adds n (characters and the end) and log_prob to (doc_id, text, ...), without the text."""
-    shards, count, unseen = _shards(model, order, shard_rows)
+    """Adds n (characters and the end) and log_prob to docs (doc_id, row_key, text, ...), without the text; checkpointed.
+
+    Rows of equal doc_id and row_key must have equal texts, as they have if row_key is ``common.row_key``. A model of
+    several shards costs a pass over the texts each; a shard is the most that the driver or a task ever holds.
+    """
+    sc = docs.sparkSession.sparkContext
+    first = model.where("gram = ''").first()
+    unseen = float(first[1]) if first and first[1] is not None else -20.0
+    shards = max(1, -(-model.count() // shard_rows))
     keep = [f for f in docs.schema if f.name != "text"]
     names = [f.name for f in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", n bigint, log_prob double"
+    out, more = None, None
+    for s in range(shards):
+        got = _keyed(_shard(model, s, shards)).toArrow()
+        key, lp, lg = (got.column(c).to_numpy() for c in ("key", "lp", "lg"))
+        shared = sc.broadcast((key.view(np.uint64), lp, lg))
+        del got, key, lp, lg
+
+        def run(batches: Iterator[pa.RecordBatch], s: int = s, shared=shared) -> Iterator[pa.RecordBatch]:
+            table = Table(*shared.value)
+            for b in batches:
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                total = np.zeros(len(texts))
+                for at, part in _chunks(texts, SCORED):
+                    _, codes, ends, owner = _codes(part, order)
+                    if shards > 1:
+                        ends = _in_shard(codes, ends, s, shards)
+                    found = _log_probs(codes, ends, table, order, unseen)
+                    total[at : at + len(part)] += np.bincount(owner[ends], found, len(part))
+                n = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+                cols = [b.column(c) for c in names] + [pa.array(n), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "n", "log_prob"])
+
+        scored = cut(docs.select(*names, "text").mapInArrow(run, schema))
+        shared.destroy()
+        if out is None:
+            out = scored
+        else:  # equal rows have equal sums, so that one of them will do
+            scored = scored.groupBy("doc_id", "row_key").agg(F.struct(F.lit(s).alias("s"), F.max("log_prob").alias("p")).alias("p"))
+            more = scored if more is None else more.unionByName(scored)
+    if more is None:
+        return out
+    # added up in the order of the shards, so that sums are the same whenever they are made
+    more = more.groupBy(F.col("doc_id").alias("id"), F.col("row_key").alias("rk")).agg(F.sort_array(F.collect_list("p")).alias("p"))
+    joined = out.join(more, (F.col("row_key") == F.col("rk")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    total = F.aggregate("p", F.col("log_prob"), lambda a, x: a + x["p"])
+    return cut(joined.select(*names, "n", total.alias("log_prob")))
+
+
+def _class(n: Column) -> Column:
+    """Length class of ``n`` characters and the end: c for 2^c to 2^(c+1) - 1."""
+    return (F.length(F.bin(n)) - 1).cast("int")
+
+
+def pieces_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, row_key, lang, text, class): of each text a piece of 2^c - 1 characters for each class c up to its own.
+
+    Where a piece begins is drawn by a hash of the text's key.
+    """
+    n = F.length("text") + 1
+    each = texts.select("*", F.explode(F.sequence(F.lit(0), _class(n.cast("bigint")))).alias("class"))
+    size = F.expr("shiftleft(1, class)")
+    at = F.pmod(F.xxhash64("row_key", "class"), (n - size + 1).cast("bigint")).cast("int")
+    return each.select("doc_id", F.xxhash64("row_key", "class").alias("row_key"), "lang", F.substring("text", at + 1, size - 1).alias("text"), "class")
 
-    def score(texts: list[str], table: Table, s: int) -> np.ndarray:
-        import zlib
 
-        joined, codes, ends, owner = _codes(texts, order)
-        if count > 1:
-            pair = (codes[ends - 2] << np.uint64(32)) | codes[ends - 1]
-            which, back = np.unique(pair, return_inverse=True)
-            own = [zlib.crc32((chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF)).encode("utf-8", "surrogatepass")) % count == s for p in which]
-            ends = ends[np.array(own)[back]]
-        lp = _log_probs(codes, ends, table, order, unseen)
-        return np.bincount(owner[ends], lp, len(texts))
+def thresholds(marked: DataFrame, wanted: DataFrame, quantile: float, least: int) -> DataFrame:
+    """(lang, class, limit) for each wanted (lang, class): the exact quantile of log_ppl in ``marked`` (lang, class).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Table(*shards[0].value) if count == 1 else None
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            total = np.zeros(len(texts))
-            for s in range(count):
-                table = kept or Table(*shards[s].value)
-                for at, part in _chunks(texts, SCORED):
-                    total[at : at + len(part)] += score(part, table, s)
-                if count > 1:
-                    del table
-                    shards[s].__dict__.pop("_value", None)  # only one shard stays in memory
-            n = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-            cols = [b.column(c) for c in names] + [pa.array(n), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n", "log_prob"])
-
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    That of the language's longest class not above the wanted one with ``least`` pieces or more; without any, of the
+    longest such class of all languages; without any, of the longest class there is.
+    """
+    some = F.struct("lang", "class").alias("g")
+    every = F.struct(F.lit(None).cast("string").alias("lang"), "class").alias("g")
+    both = marked.where("lang is not null").select(some, "log_ppl").unionByName(marked.select(every, "log_ppl"))
+    told = cut(exact_quantile(both, "log_ppl", quantile, "g").join(both.groupBy("g").count(), "g"))
+    told = told.select("g.lang", F.col("g.class").alias("of"), "quantile", (F.col("count") >= least).alias("enough"))
+    own = wanted.join(told.where("enough").withColumnRenamed("lang", "l"), (F.col("lang") == F.col("l")) & (F.col("of") <= F.col("class")))
+    own = own.groupBy("lang", "class").agg(F.max_by("quantile", "of").alias("own"))
+    # a row a class at most
+    rest = wanted.select("class").distinct().join(F.broadcast(told.where("lang is null")), F.col("of") <= F.col("class"))
+    rest = rest.groupBy("class").agg(F.max_by("quantile", F.struct("enough", "of")).alias("rest"))
+    key = ["lang", "class"]
+    out = wanted.join(own.select(*[F.col(c).alias(f"_{c}") for c in key], "own"), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("class") == F.col("_class")), "left")
+    return out.join(rest, "class", "left").select(*key, F.coalesce("own", "rest").alias("limit"))
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = 0.99, slack: float = 2.0,
-    prior_chars: int = 128, shard_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = 0.999, least: int = 50,
+    shard_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """(doc_id, lang, n, perplexity, threshold, kept, row_key): one row for each row of ``docs``.
 
-    Trusted medians and quantiles are those of the half that the second model hasn't seen. A document's excess is its
-    log perplexity above its language's trusted median, drawn to 0 as if it had ``prior_chars`` more characters of that
-    median; it is rejected if that is over ``slack`` times the trusted ``quantile`` of its language. Languages without
-    trusted texts, null ones among them, take the threshold of all. Null and empty texts have the perplexity of an
-    immediate end and are judged alike. Without trusted texts in both halves all are kept, with null perplexity.
-    row_key hashes id and text, for taking decisions back to rows. An empty table gives no rows.
+    A document is rejected if its perplexity is above the ``quantile`` of those of pieces of trusted texts, which the
+    second model hasn't seen, of its language and length class; see ``thresholds`` for classes of under ``least``
+    pieces. Languages without trusted texts, null ones among them, take the quantile of all. Null and empty texts have
+    the perplexity of an immediate end and are judged alike. Without trusted texts in both halves all are kept, with
+    null perplexity. row_key hashes id and text, for taking decisions back to rows. Repeated rows count and are judged
+    each. An empty table gives no rows.
     """
     base = keyed_texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
     base = base.withColumn("row_key", key_of())
@@ -289,28 +355,15 @@ def classify(
     models = compact(train(compact(both.groupBy("m", "gram").agg(F.sum("n").alias("n"))), order))
     of = lambda m: models.where(F.col("m") == m).drop("m")
     log_ppl = (-F.col("log_prob") / F.col("n")).alias("log_ppl")
-    scored = cut(perplexities(base, of(0), order, shard_rows).select("*", log_ppl))
+    scored = perplexities(base, of(0), order, shard_rows).select("*", log_ppl, _class(F.col("n")).alias("class"))
     unseen = trusted.where("not half and text <> ''").drop("half")
     unseen = unseen.where("false") if of(1).isEmpty() else unseen
-    marked = cut(perplexities(unseen, of(1), order, shard_rows).select("*", log_ppl))
-    half = F.percentile_approx("log_ppl", F.lit(0.5), 10000)
-    all_half = cut(marked.agg(half.alias("half")))
-    halves = cut(marked.groupBy("lang").agg(half.alias("half")).dropna(subset="lang"))
-
-    def drawn(df: DataFrame) -> DataFrame:
-        """Adds half, the trusted median, and excess: how far a document is above it, less so if it is short."""
-        df = df.join(halves, "lang", "left").withColumn("half", F.coalesce("half", all_half.scalar()))
-        return df.withColumn("excess", (F.col("log_ppl") - F.col("half")) * F.col("n") / (F.col("n") + prior_chars))
-
-    top = F.percentile_approx("excess", F.lit(quantile), 10000)
-    marked = cut(drawn(marked))
-    limits = marked.groupBy("lang").agg((slack * top).alias("limit")).dropna(subset="lang")
-    overall = cut(marked.agg((slack * top).alias("limit")))
-    out = drawn(scored).join(limits, "lang", "left").withColumn("limit", F.coalesce("limit", overall.scalar()))
+    marked = perplexities(pieces_of(unseen), of(1), order, shard_rows).select("*", log_ppl)
+    limits = cut(thresholds(marked, cut(scored.select("lang", "class").distinct()), quantile, least))
+    limits = limits.select(F.col("lang").alias("l"), F.col("class").alias("c"), "limit")
+    out = scored.join(few(limits), F.col("lang").eqNullSafe(F.col("l")) & (F.col("class") == F.col("c")), "left")
     known = F.col("limit").isNotNull()
-    # the threshold is told as the perplexity that a document of this length may have
-    allowed = F.col("half") + F.col("limit") * (F.col("n") + prior_chars) / F.col("n")
     return out.select(
         "doc_id", "lang", (F.col("n") - 1).alias("n"), F.when(known, F.exp("log_ppl")).alias("perplexity"),
-        F.exp(allowed).alias("threshold"), (~known | (F.col("excess") <= F.col("limit"))).alias("kept"), "row_key",
+        F.exp("limit").alias("threshold"), (~known | (F.col("log_ppl") <= F.col("limit"))).alias("kept"), "row_key",
     )

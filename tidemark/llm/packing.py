@@ -329,7 +329,7 @@ def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, with_ids
 
 
 def pack(docs: DataFrame, encoder: Encoder | None = None, capacity: int = CAPACITY, with_ids: bool = True,
-         salt_rows: int = 1_000_000, starts: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         salt_rows: int = 100_000, starts: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): one row for each piece of a document.
 
     Pieces of a length are numbered in parts of about ``salt_rows``, so that no common length meets in one task; those
