@@ -150,27 +150,78 @@ def test_shard(documents):
     assert max(loads.values()) - min(loads.values()) <= 601
 
 
+    assert {x.version for x in rows} == {2}
+
+
+def test_stored_map_is_used_and_edited(documents, tmp_path):
+    """A map stays as it is while shards are balanced; data that skew it make the next version, which moves little."""
+    r = random.Random(7)
+    texts = ["x" * r.randint(0, 200) for _ in range(4000)]
+    path = str(tmp_path / "map")
+    docs = documents(texts).repartition(3)
+    first = {x.doc_id: x for x in sharding.shard(docs, 4, path=path, tolerance=0.01, slots=256).collect()}
+    again = {x.doc_id: x for x in sharding.shard(docs, 4, path=path, tolerance=0.01, slots=256).collect()}
+    assert first == again
+    version = first[0].version
+    hot = [x.doc_id for x in first.values() if x.shard == 0]
+    more = [t * 3 if i in set(hot) else t for i, t in enumerate(texts)]
+    grown = {x.doc_id: x for x in sharding.shard(documents(more), 4, path=path, tolerance=0.01, slots=256).collect()}
+    assert {x.version for x in grown.values()} == {version + 1}
+    load = Counter()
+    for x in grown.values():
+        load[x.shard] += x["size"]
+    assert max(load.values()) < 1.02 * sum(load.values()) / 4
+    moved = sum(grown[i]["size"] for i in grown if grown[i].shard != first[i].shard)
+    over = sum(grown[i]["size"] for i in hot) - sum(load.values()) / 4
+    assert moved < 1.1 * over
+    assert all(grown[i].shard == 0 or first[i].shard == 0 or first[i].shard == grown[i].shard for i in grown)
+
+
+def test_one_id_for_all(documents):
+    """Rows of a hot id are spread over slots and shards."""
+    texts = ["same"] * 3000 + [f"text {i}" for i in range(3000)]
+    rows = sharding.shard(documents(texts, ids=[5] * 3000 + [None] * 3000).repartition(3), shards=8).collect()
+    load = Counter(x.shard for x in rows)
+    assert len(load) == 8 and max(load.values()) < 1.1 * 6000 / 8
+    assert max(Counter(x.virtual_slot for x in rows).values()) < 100
+    for s in load:
+        assert sorted(x.slot for x in rows if x.shard == s) == list(range(load[s]))
+
+
 def test_rebalance_and_store(spark, tmp_path):
     totals = spark.createDataFrame([(i, (i * 37) % 101 + 1, 1) for i in range(256)], "virtual_slot int, bytes bigint, n bigint")
-    one = sharding.assign_map(totals, 8)
-    sharding.store_map(one, str(tmp_path / "map"))
-    two = sharding.rebalance(sharding.load_map(spark, str(tmp_path / "map")), totals, 9)
-    sharding.store_map(two, str(tmp_path / "map"))
-    every = sharding.load_map(spark, str(tmp_path / "map"))
+    path = str(tmp_path / "map")
+    assert sharding.last_version(spark, path) is None
+    one = sharding.first_map(spark, 8, 256)
+    sharding.store_map(one, path)
+    sharding.store_map(one, path)  # a write that is tried again
+    two = sharding.rebalance(sharding.load_map(spark, path), totals, 9)
+    sharding.store_map(two, path)
+    every = sharding.load_map(spark, path)
+    assert every.count() == 512 and sharding.last_version(spark, path) == 2
     a = {r.virtual_slot: r.shard for r in every.where("version = 1").collect()}
-    b = {r.virtual_slot: r.shard for r in sharding.load_map(spark, str(tmp_path / "map"), 2).collect()}
+    b = {r.virtual_slot: r.shard for r in sharding.load_map(spark, path, 2).collect()}
     size = {r.virtual_slot: r.bytes for r in totals.collect()}
-    assert set(a) == set(b) == set(range(256)) and set(b.values()) == set(range(9))
+    assert a == {i: i % 8 for i in range(256)} and set(b) == set(range(256)) and set(b.values()) == set(range(9))
     load = Counter()
     for s, shard in b.items():
         load[shard] += size[s]
     assert max(load.values()) <= 1.05 * sum(size.values()) / 9
     assert sum(size[s] for s in a if a[s] != b[s]) <= 1.2 * sum(size.values()) / 9
+    two = sharding.load_map(spark, path, 2)
+    assert not sharding.skewed(two, totals, 9, 0.05) and sharding.skewed(two, totals, 8, 0.5)
+    assert sharding.skewed(sharding.load_map(spark, path, 1), totals, 9, 0.5)
+    # fewer shards: those of the last are dealt out
+    back = {r.virtual_slot: r.shard for r in sharding.rebalance(every, totals, 7).collect()}
+    assert set(back.values()) == set(range(7))
 
 
-def test_pure_greedy(spark):
+def test_dealing_is_greedy(spark):
+    """Slots of shards that are gone go, largest first, each to the lightest shard."""
     rows = [(i, b, 1) for i, b in enumerate([9, 7, 7, 5, 3, 3, 2, 0])]
-    got = {r.virtual_slot: r.shard for r in sharding.assign_map(spark.createDataFrame(rows, "virtual_slot int, bytes bigint, n bigint"), 3).collect()}
+    totals = spark.createDataFrame(rows, "virtual_slot int, bytes bigint, n bigint")
+    old = spark.createDataFrame([(1, i, 5) for i in range(8)], "version int, virtual_slot int, shard int")
+    got = {r.virtual_slot: r.shard for r in sharding.rebalance(old, totals, 3).collect()}
     load, want = [0, 0, 0], {}
     for i, b, _ in sorted(rows, key=lambda x: (-x[1], x[0])):
         want[i] = load.index(min(load))
