@@ -229,11 +229,61 @@ def brute_sw(a, b):
 def test_smith_waterman():
     r = np.random.default_rng(4)
     sizes = r.integers(1, 12, 40)
-    items, windows = np.full((40, 12), -1), r.integers(0, 4, (40, 25))
+    items, texts = np.full((40, 12), -1), r.integers(1, 5, (40, 25))
     for i, s in enumerate(sizes):
-        items[i, :s] = r.integers(0, 4, s)
-    score, _ = decontamination.smith_waterman(items, sizes, windows)
-    assert score.tolist() == [brute_sw(items[i, :s].tolist(), windows[i].tolist()) for i, s in enumerate(sizes)]
+        items[i, :s] = r.integers(1, 5, s)
+    # a band that holds every diagonal
+    score, _, _ = decontamination.smith_waterman(items, sizes, np.pad(texts, ((0, 0), (12, 12))))
+    assert score.tolist() == [brute_sw(items[i, :s].tolist(), texts[i].tolist()) for i, s in enumerate(sizes)]
+
+
+def test_recall_of_edited_copies():
+    """Items of 12 to 60 words, edited by substitution alone or by all three edits, among the text of others: how many of
+    those whose full alignment reaches the least score are found."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(600)]
+    weights = [1 / (i + 3) for i in range(600)]
+    items = [" ".join(r.choices(vocab, weights, k=r.randint(12, 60))) for _ in range(120)]
+    block = decontamination.Items(list(enumerate(items)))
+    for share, floor in ((0.1, 0.99), (0.2, 0.97), (0.3, 0.93)):
+        for mixed in (False, True):
+            hit = total = 0
+            texts = []
+            for item in items:
+                out = []
+                for w in item.split():
+                    kind = r.random() if mixed else 0.0
+                    if r.random() >= share:
+                        out.append(w)
+                    elif kind < 1 / 3:
+                        out.append(f"new{r.random()}")
+                    elif kind < 2 / 3:
+                        out += [w, f"new{r.random()}"]
+                texts.append(" ".join([*r.choices(vocab, weights, k=40), *out, *r.choices(vocab, weights, k=40)]))
+            got = {(t, i) for t, i, *_ in decontamination._align(block, *block.read(texts))}
+            for i, t in enumerate(texts):
+                a, b = decontamination.words_of(items[i]), decontamination.words_of(t)
+                if brute_sw(a, b) >= decontamination.least_score(len(a)):
+                    total += 1
+                    hit += (i, i) in got
+            assert total > 20 and hit >= floor * total, (share, mixed, hit, total)
+
+
+def test_long_and_repeated_items(spark, documents):
+    """Items of many words are found whole, cut short or edited; those of one word over and over cost no more than they hold."""
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    long = [r.choice(vocab) for _ in range(6000)]
+    items = [" ".join(long), "again " * 3000, "x", "p q", "a b c"]
+    noise = [r.choice(vocab) for _ in range(3000)]
+    edited = [w for k, w in enumerate(long[2000:4000]) if k % 9 != 4]
+    texts = [" ".join(noise), " ".join(noise + long), " ".join(noise[:500] + edited + noise[:500]), " ".join(noise[:50] + long[1019:1049] + noise[:50]),
+             "again " * 4000, "again " * 9, "x p q", "say a b c", " ".join(noise[:90] + long[:8] + noise[:90])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontamination.matches(documents(texts), bench).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (4, 1), (7, 4)}
+    assert got[3, 0].score == 30 and (got[3, 0].start_word, got[3, 0].end_word) == (50, 79)
+    assert got[1, 0].score >= 512 and got[4, 1].score >= 512 and got[2, 0].score > 300
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 24, 600])

@@ -1,10 +1,12 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Every n-gram of an item is a seed. A seed that edits destroyed matches nothing, so that choosing among them by document
-counts could pass over those that an edited copy still holds. Documents meet items on seeds; where two or more seeds of
-an item lie near one diagonal, the document's words there are aligned with the item: +1 for a match, -1 for a mismatch
-or a gap. A passage that keeps no two seeds (every third word changed, say) is not found. Benchmarks above
-``block_bytes`` are taken in blocks, each against all documents.
+counts could pass over those that an edited copy still holds; what keeps them rare is that both texts must have one near
+the same diagonal. Documents meet items on seeds, one of which is enough; around each the document's words are aligned
+with the item in a band of diagonals: +1 for a match, -1 for a mismatch or a gap. Bands in which too few of the item's
+words occur to reach the least score are left out first. Items of many words are aligned in overlapping segments, so
+that work grows with the seeds met and never with the square of a length. Benchmarks above ``block_bytes`` are taken in
+blocks, each against all documents.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ from .common import keyed_texts
 from .common import row_key as key_of
 
 GAP = 1
-BAND = 32
+#: Diagonals of a band; bands begin a third of that apart, so that a seed is 16 diagonals from either edge at least.
+BAND, STEP = 48, 16
+#: Words of an item's segment, and those before and after it that are aligned with it.
+SEGMENT, MARGIN = 512, 128
+#: Seeds met that are expanded at once, and bands that are aligned at once.
+EXPANDED, ALIGNED = 1 << 20, 512
 _NOT_WORD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -51,6 +58,11 @@ class Items:
         self.seeds, first = np.unique(code[order], return_index=True)
         self.of_seed = np.append(first, len(order))
         self.seed_item, self.seed_place = item[order], place[order]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.least = np.array([least_score(x) for x in self.sizes], np.int64)
+        # which words an item has, as sorted (item, word)
+        self.base = len(self.vocab) + 1
+        self.has = np.unique(np.concatenate([i * self.base + w for i, w in enumerate(self.words)] or [np.zeros(0, np.int64)]))
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """Code of the n-gram that begins at each word."""
@@ -89,74 +101,95 @@ class Items:
         return (np.concatenate(parts) if parts else gap[:0]), np.array(starts, np.int64)
 
 
-def smith_waterman(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best local scores of rows of ``items`` (padded with -1) in rows of ``windows``, and the word they end at.
+def smith_waterman(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local scores of rows of ``items`` (padded with -1) in a band of rows of ``windows``, and the places in item and
+    window they end at.
 
-    The left neighbour's share is a running maximum of score plus gaps so far, so that a whole row is made at once.
+    Word i of an item meets words i to i + band - 1 of its window, which is as many words longer than the item. The left
+    neighbour's share is a running maximum of score plus gaps so far, so that a whole row is made at once.
     """
-    n, width = windows.shape
+    n, longest = items.shape
+    width = windows.shape[1] - longest
     ramp = GAP * np.arange(width, dtype=np.int32)
-    h = np.zeros((n, width + 1), np.int32)
-    best, end = np.zeros(n, np.int32), np.zeros(n, np.int64)
+    h = np.zeros((n, width + 1), np.int32)  # by diagonal; the last stays 0
+    best, at_item, at_window = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(int(sizes.max(initial=0))):
-        same = windows == items[:, i : i + 1]
+        same = windows[:, i : i + width] == items[:, i : i + 1]
+        # the same diagonal, or the one above: an item's word that the window lacks
         new = np.maximum(h[:, :-1] + np.where(same, 1, -1), h[:, 1:] - GAP)
         np.maximum(new, 0, out=new)
         new = np.maximum.accumulate(new + ramp, axis=1) - ramp
         new[i >= sizes] = 0
-        h[:, 1:] = new
+        h[:, :-1] = new
         top = new.max(axis=1)
-        better = top > best
-        if better.any():
-            best[better] = top[better]
-            end[better] = new[better].argmax(axis=1)
-    return best, end
+        better = np.flatnonzero(top > best)
+        best[better], at_item[better], at_window[better] = top[better], i, i + new[better].argmax(axis=1)
+    return best, at_item, at_window
 
 
-def _align(block: Items, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, score, first word, last word) of the best passage of each text and item that has one."""
+def _bands(block: Items, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(text, item, band, segment) rows in which a seed lies."""
     at, seed = block.hits(ids, block.seeds)
     each = block.of_seed[seed + 1] - block.of_seed[seed]
-    k = np.repeat(block.of_seed[seed], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    pos = np.repeat(at, each)
-    item, place = block.seed_item[k], block.seed_place[k]
-    text = np.searchsorted(starts, pos, "right") - 1
-    diagonal = pos - place - starts[text]
-    # bands of BAND diagonals, half overlapping
-    rows = np.stack([np.tile(text, 2), np.tile(item, 2), np.concatenate([diagonal // BAND * 2, (diagonal + BAND // 2) // BAND * 2 - 1]), np.tile(place, 2)], 1)
-    rows = np.unique(rows, axis=0)
-    if not len(rows):
-        return []
-    bands, count = np.unique(rows[:, :3], axis=0, return_counts=True)
-    size = np.array([len(w) for w in block.words])
-    # items of a few words have few seeds
-    bands = bands[count >= np.where(size[bands[:, 1]] < 2 * block.n + 2, 1, 2)]
+    parts, upto = [np.zeros((0, 4), np.int64)], np.cumsum(each)
+    first = 0
+    while first < len(at):  # a seed at many places of many texts is expanded in parts
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + EXPANDED, "right")))
+        n, s = each[first:last], seed[first:last]
+        k = np.repeat(block.of_seed[s], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pos = np.repeat(at[first:last], n)
+        text = np.searchsorted(starts, pos, "right") - 1
+        diagonal = pos - block.seed_place[k] - starts[text]
+        rows = np.stack([text, block.seed_item[k], (diagonal + STEP // 2) // STEP, block.seed_place[k] // SEGMENT], 1)
+        parts.append(np.unique(rows, axis=0))
+        first = last
+    return np.unique(np.concatenate(parts), axis=0)
+
+
+def _align(block: Items, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, score, first word, last word) of the best passage of each text and item that has one."""
+    bands = _bands(block, ids, starts)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     ends = np.append(starts[1:], len(ids)) - block.n
-    order = np.argsort(size[bands[:, 1]], kind="stable")
-    for a in range(0, len(order), 256):
-        part = bands[order[a : a + 256]]
-        sizes = size[part[:, 1]]
+    bands = bands[np.argsort(block.sizes[bands[:, 1]], kind="stable")]
+    for a in range(0, len(bands), ALIGNED):
+        text, item, band, segment = bands[a : a + ALIGNED].T
+        first = np.maximum(0, segment * SEGMENT - MARGIN)
+        sizes = np.minimum(block.sizes[item], (segment + 1) * SEGMENT + MARGIN) - first
         longest = int(sizes.max())
-        items = np.full((len(part), longest), -1, np.int64)
-        for r, i in enumerate(part[:, 1]):
-            items[r, : sizes[r]] = block.words[i]
-        low = part[:, 2] // 2 * BAND - np.where(part[:, 2] % 2, -BAND // 2, 0) - 8
-        span = low[:, None] + np.arange(BAND + 16 + longest)
-        last = (ends - starts)[part[:, 0]][:, None]
-        inside = (span >= 0) & (span < last)
-        windows = np.where(inside, ids[np.where(inside, span, 0) + starts[part[:, 0]][:, None]], 0)
-        score, end = smith_waterman(items, sizes, windows)
-        for r in np.flatnonzero(score >= [least_score(s) for s in sizes]):
-            key, got = (int(part[r, 0]), int(part[r, 1])), (int(score[r]), r, int(end[r]))
-            if key not in found or got[0] > found[key][0]:
-                # the same backwards, up to the end found, gives the start
-                back = windows[r : r + 1, : got[2] + 1][:, ::-1]
-                _, stop = smith_waterman(items[r : r + 1, : sizes[r]][:, ::-1], sizes[r : r + 1], back)
-                found[key] = (got[0], int(low[r]) + got[2] - int(stop[0]), int(low[r]) + got[2])
+        low = first + band * STEP - BAND // 2
+        span = low[:, None] + np.arange(longest + BAND)
+        inside = (span >= 0) & (span < (ends - starts)[text][:, None]) & (np.arange(longest + BAND) < sizes[:, None] + BAND)
+        windows = np.where(inside, ids[np.where(inside, span, 0) + starts[text][:, None]], 0)
+        # no alignment scores more than there are words of the item
+        key = item[:, None] * block.base + windows
+        known = block.has[np.minimum(np.searchsorted(block.has, key), len(block.has) - 1)] == key
+        able = np.flatnonzero(((windows > 0) & known).sum(axis=1) >= block.least[item])
+        if not len(able):
+            continue
+        text, item, first, sizes, low, windows = (x[able] for x in (text, item, first, sizes, low, windows))
+        items = np.full((len(able), longest), -1, np.int64)
+        for r, (i, f, n) in enumerate(zip(item, first, sizes)):
+            items[r, :n] = block.words[i][f : f + n]
+        score, at_item, at_window = smith_waterman(items, sizes, windows)
+        for r in np.flatnonzero(score >= block.least[item]):
+            key, top = (int(text[r]), int(item[r])), int(score[r])
+            if key not in found or top > found[key][0]:
+                last = int(low[r]) + int(at_window[r])
+                found[key] = (top, last - _reach(items[r], windows[r], int(at_item[r]), int(at_window[r])), last)
     return [(t, i, *v) for (t, i), v in sorted(found.items())]
 
 
+def _reach(item: np.ndarray, window: np.ndarray, at_item: int, at_window: int) -> int:
+    """How many words before its last one the best alignment begins: the same backwards, in the same band."""
+    shift = BAND - 1 - (at_window - at_item)  # the band's last diagonal becomes its first
+    words = window[: at_window + 1 + shift][::-1].copy()
+    words[:shift] = 0  # what comes after the end
+    back = item[: at_item + 1][::-1]
+    _, _, stop = smith_waterman(back[None, :], np.array([len(back)]), np.pad(words, (0, len(back) + BAND - len(words)))[None, :])
+    return int(stop[0]) - shift
+
+
 def _chunks(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[int, list[str | None]]]:
     for a in range(0, batch.num_rows, rows):
         yield a, batch.column("text").slice(a, rows).to_pylist()
@@ -179,8 +212,9 @@ def matches(
     """(doc_id, item_id, score, similarity, start_word, end_word, row_key): passages of items in documents.
 
     One row, of the best passage, for each row of ``docs`` and row of ``benchmark`` that share one; words count from 0,
-    both ends inclusive; similarity is score over the item's words. Null and empty texts on either side match nothing;
-    items of under ``n`` words neither. Repeated rows are reported each. Empty tables give no rows.
+    both ends inclusive; similarity is score over the item's words, of which a passage holds at most those of a segment.
+    Null and empty texts on either side match nothing; items of under ``n`` words neither: they are no passage. Repeated
+    rows are reported each. Empty tables give no rows.
     """
     base = keyed_texts(docs, id_col, text_col).withColumn("row_key", key_of())
     test = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
