@@ -2,9 +2,9 @@
 
 Words and word pairs hash into ``buckets``; two multinomials over the buckets, of trusted texts and of all texts, give
 each bucket a log ratio, and a document its mean over its n-grams. A document is kept if it passes the rules and its
-score is not under the threshold: the trusted ``quantile`` (``slack`` other than 1 multiplies its distance to the trusted
-median). It comes from one half of the trusted texts, scored with the ratios of the other, as texts that the ratios have
-seen score too high.
+score is not under the threshold, the exact trusted ``quantile``. That comes from one half of the trusted texts, scored
+with the ratios of the other, as texts that the ratios have seen score too high. A word is hashed once; pairs and
+windows hash its hash.
 """
 
 from __future__ import annotations
@@ -12,16 +12,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few, keyed_texts
+from .common import cut, exact_quantile, few, keyed_texts
 
 BUCKETS = 8192
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def with_words(df: DataFrame) -> DataFrame:
-    """Adds ``words``; a null text has none."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")
-    return df.withColumn("words", words)
+    """Adds ``words`` and ``hashes``, one of each word; a null text has none."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")
+    return df.withColumn("words", words).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def following(h: Column, by: int) -> Column:
+    """``h`` from its element number ``by`` on, from 0."""
+    return F.slice(h, by + 1, F.size(h))
+
+
+def triples(h: Column) -> Column:
+    """A hash of each window of three words."""
+    pairs = F.zip_with(h, following(h, 1), lambda a, b: F.xxhash64(a, b))
+    every = F.zip_with(pairs, following(h, 2), lambda a, b: F.xxhash64(a, b))
+    return F.slice(every, 1, F.greatest(F.size(h) - 2, F.lit(0)))
 
 
 def repeated_words(h: Column) -> Column:
@@ -50,46 +62,39 @@ def repeated_words(h: Column) -> Column:
 
 
 def rules(df: DataFrame) -> DataFrame:
-    """Adds the rules' counts to (text, words)."""
+    """Adds the rules' counts to (text, words, hashes)."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("words")
-    triples = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumns({"lines": lines, "triples": triples})
+    df = df.withColumns({"lines": F.split(text, "\n"), "triples": triples(F.col("hashes"))})
     df = df.withColumn("distinct", F.size(F.array_distinct("triples")))
     zero = F.lit(0).cast("bigint")
-    repeated = F.when(F.col("distinct") < F.size("triples"), repeated_words(F.col("triples"))).otherwise(zero)
+    # looked at closely only where anything is there twice
+    filled = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    twice = F.size(F.array_distinct("lines")) < F.size("lines")
     df = df.withColumns(
         {
-            "n_words": n.cast("bigint"),
+            "n_words": F.size("words").cast("bigint"),
             "word_chars": F.length(F.array_join("words", "")).cast("bigint"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"),
-            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
-            "n_repeat_words": repeated,
+            "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint"),
+            "n_dup_lines": F.when(twice, F.size(filled) - F.size(F.array_distinct(filled))).otherwise(0).cast("bigint"),
+            "n_repeat_words": F.when(F.col("distinct") < F.size("triples"), repeated_words(F.col("triples"))).otherwise(zero),
         }
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return df.withColumn("base_failed", failed).drop("lines", "triples", "distinct")
 
 
+def bucket_of(*hashes: Column, buckets: int) -> Column:
+    """Bucket of a word by its hash, or of a pair by both."""
+    h = hashes[0] if len(hashes) == 1 else F.xxhash64(*hashes)
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
 def hashed(buckets: int) -> Column:
-    """Buckets of the words and of the word pairs of ``words``."""
-    one = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    n = F.size("words")
-    pairs = F.when(
-        n >= 2,
-        F.transform(
-            F.sequence(F.lit(0), n - 2),
-            lambda i: F.pmod(F.xxhash64(F.get("words", i), F.get("words", i + 1)), F.lit(buckets)).cast("int"),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
-    return F.concat(one, pairs)
+    """Buckets of the words and of the word pairs of ``hashes``."""
+    h = F.col("hashes")
+    one = F.transform(h, lambda a: bucket_of(a, buckets=buckets))
+    two = F.zip_with(h, following(h, 1), lambda a, b: bucket_of(a, b, buckets=buckets))
+    return F.concat(one, F.slice(two, 1, F.greatest(F.size(h) - 1, F.lit(0))))
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -132,34 +137,44 @@ def log_ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, prior: f
     )
 
 
+def as_literal(values: list[float]) -> Column:
+    """A constant array, which functions over arrays can use as it is; a column of it would be copied into each row."""
+    return F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), "array<double>")
+
+
+def mean_ratio(ratios: Column, buckets: int) -> Column:
+    """The mean of ``ratios`` over the words and pairs of ``hashes``; 0 without any."""
+    h, n = F.col("hashes"), F.size("hashes")
+    each = F.zip_with(
+        h, following(h, 1),
+        lambda a, b: F.get(ratios, bucket_of(a, buckets=buckets))
+        + F.when(b.isNull(), 0.0).otherwise(F.get(ratios, bucket_of(a, b, buckets=buckets))),
+    )
+    return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / (2 * n - 1)).otherwise(0.0)
+
+
 def quality(
-    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = 0.01, slack: float = 1.0,
+    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = 0.01,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept).
 
     One row for each row of ``docs``. Null and empty texts have no words, score 0 and fail the rules. Without trusted
-    texts all ratios are 0, and without two halves of them the rules alone decide. Repeated rows count and are judged each. Labels of unknown
-    documents and null labels have no effect. An empty table gives no rows.
+    texts all ratios are 0, and without two halves of them the rules alone decide. Repeated rows count and are judged
+    each. Labels of unknown documents and null labels have no effect. An empty table gives no rows.
     """
     base = keyed_texts(docs, id_col, text_col)
     ids = trusted_ids(labels)
-    ratios = cut(log_ratios(base, ids, buckets))
-    both = {name: ratios.select(name).scalar() for name in ratios.columns}
-    df = rules(with_words(base).withColumns(both)).withColumn("grams", hashed(buckets))
-
-    def mean(name: str) -> Column:
-        total = F.aggregate("grams", F.lit(0.0), lambda a, x: a + F.get(name, x))
-        return F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
-
+    ratios = log_ratios(base, ids, buckets).first()  # ``buckets`` numbers, whatever the input
+    df = rules(with_words(base))
     # only those documents are scored twice that could be among the unseen
-    unseen = F.when(~in_half() & F.col("half_ratios").isNotNull(), mean("half_ratios"))
-    df = df.withColumns({"score": mean("ratios"), "unseen": unseen})
-    out = cut(df.drop("text", "words", "grams", *ratios.columns))
+    unseen = F.lit(None).cast("double")
+    if ratios.half_ratios is not None:
+        unseen = F.when(~in_half(), mean_ratio(as_literal(ratios.half_ratios), buckets))
+    df = df.withColumns({"score": mean_ratio(as_literal(ratios.ratios), buckets), "unseen": unseen})
+    out = cut(df.drop("text", "words", "hashes"))
     marked = out.where("not base_failed and unseen is not null").join(ids, "doc_id", "left_semi")
-    q = marked.agg(F.percentile_approx("unseen", F.array(F.lit(quantile), F.lit(0.5)), 10000).alias("q"))
-    q = cut(q.select((F.col("q")[1] - slack * (F.col("q")[1] - F.col("q")[0])).alias("threshold")))
-    out = out.drop("unseen")
-    out = out.withColumn("threshold", q.scalar())
+    q = cut(exact_quantile(marked, "unseen", quantile).select(F.col("quantile").alias("threshold")))
+    out = out.drop("unseen").withColumn("threshold", q.scalar())
     passes = F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))
     return out.withColumn("kept", ~F.col("base_failed") & passes)
