@@ -96,28 +96,34 @@ def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
 
 def exact_quantile(values: DataFrame, value: str, quantile: float, by: str | None = None, held: int = 100_000) -> DataFrame:
     """(by, quantile): in each group of ``by``, or in all rows, the least value that at least this share of the
-    values do not exceed. Nulls don't count; groups without values are left out.
+    values do not exceed. Nulls don't count; groups without values are left out. ``values`` should be checkpointed.
 
     Exact, and the same however rows are dealt: counts over 4,096 equal parts of the range that is left close in on the
     rank, until at most ``held`` values a group remain to be sorted.
     """
     group = F.lit(0) if by is None else F.col(f"`{by}`")
     # adding 0 turns -0.0 into 0.0
-    rows = cut(values.select(group.alias("g"), (F.col(f"`{value}`") + F.lit(0.0)).alias("x")).dropna(subset=["x"]))
-    state = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    state = cut(state.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * quantile)).cast("bigint")))
+    rows = values.select(group.alias("g"), (F.col(f"`{value}`") + F.lit(0.0)).alias("x")).dropna(subset=["x"])
+    rank = F.greatest(F.lit(1), F.ceil(F.count("*") * quantile)).cast("bigint").alias("k")
+    state = rows.groupBy("g").agg(rank, F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    many = state.agg(F.max("n")).first()[0] or 0
     within = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
     on = rows.g.eqNullSafe(F.col("s.g"))
-    while state.where((F.col("n") > held) & (F.col("lo") < F.col("hi"))).limit(1).count():
-        part = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096), F.lit(4095))
-        part = F.when(F.col("lo") < F.col("hi"), part).otherwise(0)
-        inside = rows.join(few(state).alias("s"), on & within).select("s.g", "k", part.alias("part"), "x")
-        counts = inside.groupBy("g", "k", "part").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        upto = F.sum("n").over(Window.partitionBy("g").orderBy("part"))  # at most 4,096 rows a group
-        reached = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
-        state = cut(reached.select("g", "n", "lo", "hi", (F.col("k") - F.col("upto") + F.col("n")).alias("k")))
-    # where all that is left is one value, it need not be listed
-    listed = rows.join(few(state.where("lo < hi")).alias("s"), on & within).groupBy("s.g", "k")
-    listed = listed.agg(F.sort_array(F.collect_list("x")).alias("xs")).select("g", F.element_at("xs", F.col("k").cast("int")).alias("quantile"))
-    out = listed.unionByName(state.where("lo = hi").select("g", F.col("lo").alias("quantile")))
+    if many > held:
+        state = cut(state)
+        while state.where((F.col("n") > held) & (F.col("lo") < F.col("hi"))).limit(1).count():
+            part = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096), F.lit(4095))
+            part = F.when(F.col("lo") < F.col("hi"), part).otherwise(0)
+            inside = rows.join(few(state).alias("s"), on & within).select("s.g", "k", part.alias("part"), "x")
+            counts = inside.groupBy("g", "k", "part").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            upto = F.sum("n").over(Window.partitionBy("g").orderBy("part"))  # at most 4,096 rows a group
+            reached = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
+            state = cut(reached.select("g", (F.col("k") - F.col("upto") + F.col("n")).alias("k"), "n", "lo", "hi"))
+        # where all that is left is one value, it need not be listed
+        left = rows.join(few(state.where("lo < hi")).alias("s"), on & within).groupBy("s.g", "k").agg(F.collect_list("x").alias("xs"))
+        one = state.where("lo = hi").select("g", F.col("lo").alias("quantile"))
+    else:
+        left, one = rows.groupBy("g").agg(rank, F.collect_list("x").alias("xs")), None
+    out = left.select("g", F.element_at(F.sort_array("xs"), F.col("k").cast("int")).alias("quantile"))
+    out = out if one is None else out.unionByName(one)
     return out.select("quantile") if by is None else out.select(F.col("g").alias(by), "quantile")

@@ -33,7 +33,7 @@ START, END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Characters that are counted, and scored, at once.
-COUNTED, SCORED = 1 << 20, 1 << 18
+COUNTED, SCORED = 1 << 19, 1 << 17
 
 
 def _codes(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +69,14 @@ def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
         yield at, part
 
 
-def count_ngrams(docs: DataFrame, order: int = ORDER, held: int = 1_000_000) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that few texts are objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def count_ngrams(docs: DataFrame, order: int = ORDER, held: int = 500_000) -> DataFrame:
     """(gram, half, n) of all texts, by ``half`` of docs (text, half): tasks send the counts they hold, at the latest
     when these are ``held``.
     """
@@ -84,7 +91,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, held: int = 1_000_000) ->
                 own.clear()
                 yield pa.RecordBatch.from_arrays(cols, names=["gram", "half", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             rows = list(zip(b.column("text").to_pylist(), b.column("half").to_pylist()))
             for half, own in counts.items():
                 for _, texts in _chunks([t for t, h in rows if t and h == half], COUNTED):
@@ -265,7 +272,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_ro
 
         def run(batches: Iterator[pa.RecordBatch], s: int = s, shared=shared) -> Iterator[pa.RecordBatch]:
             table = Table(*shared.value)
-            for b in batches:
+            for b in slices(batches):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 total = np.zeros(len(texts))
                 for at, part in _chunks(texts, SCORED):

@@ -173,7 +173,7 @@ def quality(
         unseen = F.when(~in_half(), mean_ratio(as_literal(ratios.half_ratios), buckets))
     df = df.withColumns({"score": mean_ratio(as_literal(ratios.ratios), buckets), "unseen": unseen})
     out = cut(df.drop("text", "words", "hashes"))
-    marked = out.where("not base_failed and unseen is not null").join(ids, "doc_id", "left_semi")
+    marked = cut(out.where("not base_failed and unseen is not null").join(ids, "doc_id", "left_semi").select("unseen"))
     q = cut(exact_quantile(marked, "unseen", quantile).select(F.col("quantile").alias("threshold")))
     out = out.drop("unseen").withColumn("threshold", q.scalar())
     passes = F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))
