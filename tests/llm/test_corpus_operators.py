@@ -131,8 +131,26 @@ def brute_model(texts, order):
     return score
 
 
+@pytest.mark.parametrize("most", [1, 3, 7, 100])
+def test_texts_in_parts(most):
+    """However long the parts, every character and end is predicted once, after the characters before it."""
+    texts, order = ["", "a", "abcdefg", "xy" * 9, "", "zz\U0001f642z"], 5
+    got = {i: [] for i in range(len(texts))}
+    for parts in kneser_ney._parts(texts, order, most):
+        assert sum(len(b) for *_, b in parts) <= most + max(most, 1) + 1
+        joined, codes, ends, owner = kneser_ney._codes(parts, order)
+        assert len(codes) == len(joined)
+        for e, i in zip(ends.tolist(), owner.tolist()):
+            got[i].append(joined[e - order + 1 : e + 1])
+    for i, t in enumerate(texts):
+        s = "\x02" * (order - 1) + t + "\x03"
+        assert got[i] == [s[k : k + order] for k in range(len(t) + 1)]
+
+
 @pytest.mark.parametrize("shard_rows", [4_000_000, 150])
-def test_perplexity(spark, documents, corpus, shard_rows):
+def test_perplexity(spark, documents, corpus, shard_rows, monkeypatch):
+    if shard_rows == 150:
+        monkeypatch.setattr(kneser_ney, "SCORED", 64)
     good, bad = corpus
     texts = [t[:200] for t in good[:12]] + [t[:200] for t in bad[:2]] + ["", "漢字 unseen", "tamo ri"]
     docs = documents(texts).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))

@@ -36,16 +36,32 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 COUNTED, SCORED = 1 << 19, 1 << 17
 
 
-def _codes(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts joined with their boundaries, as a string and code points; which places are predicted; document of each."""
-    pad = START * (order - 1)
-    joined = "".join(f"{pad}{t}{END}" for t in texts)
+Part = tuple[int, str, str]  # index of the text, the characters before, characters that are predicted
+
+
+def _parts(texts: list[str], order: int, most: int) -> Iterator[list[Part]]:
+    """Texts and their ends in lists of about ``most`` characters; longer texts go on in the next, with what was before."""
+    out: list[Part] = []
+    size, pad = 0, START * (order - 1)
+    for i, t in enumerate(texts):
+        for at in range(0, len(t) + 1, most):
+            body = t[at : at + most] + (END if at + most > len(t) else "")
+            out.append((i, (pad + t[max(0, at - order + 1) : at])[-(order - 1) :], body))
+            size += len(body)
+            if size >= most:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def _codes(parts: list[Part], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts joined, as a string and code points; which places are predicted; the text of each of these."""
+    joined = "".join(before + body for _, before, body in parts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter((len(t) + order for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    real = np.arange(len(codes)) - starts[owner] >= order - 1
-    return joined, codes, np.flatnonzero(real), owner
+    sizes = np.fromiter((len(body) for *_, body in parts), np.int64, len(parts))
+    ends = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(parts) + 1) * (order - 1), sizes)
+    return joined, codes, ends, np.repeat(np.fromiter((i for i, *_ in parts), np.int64, len(parts)), sizes)
 
 
 def _hash(codes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -56,19 +72,6 @@ def _hash(codes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``most`` characters; the index of the first."""
-    at, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield at, part
-            at, part, size = i + 1, [], 0
-    if part:
-        yield at, part
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Parts of batches, so that few texts are objects at once."""
     for b in batches:
@@ -94,8 +97,8 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, held: int = 500_000) -> Da
         for b in slices(batches):
             rows = list(zip(b.column("text").to_pylist(), b.column("half").to_pylist()))
             for half, own in counts.items():
-                for _, texts in _chunks([t for t, h in rows if t and h == half], COUNTED):
-                    joined, codes, ends, _ = _codes(texts, order)
+                for parts in _parts([t for t, h in rows if t and h == half], order, COUNTED):
+                    joined, codes, ends, _ = _codes(parts, order)
                     _, first, n = np.unique(_hash(codes, ends, order), return_index=True, return_counts=True)
                     for e, k in zip(ends[first].tolist(), n.tolist()):
                         own[joined[e - order + 1 : e + 1]] += k
@@ -243,11 +246,11 @@ def _shard(model: DataFrame, s: int, shards: int) -> DataFrame:
 
 
 def _in_shard(codes: np.ndarray, ends: np.ndarray, s: int, shards: int) -> np.ndarray:
-    """Those of ``ends`` whose two characters before are dealt to shard ``s``."""
+    """Which of ``ends`` have two characters before them that are dealt to shard ``s``."""
     pair = (codes[ends - 2] << np.uint64(32)) | codes[ends - 1]
     which, back = np.unique(pair, return_inverse=True)
     raw = ((chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF)).encode("utf-8", "surrogatepass") for p in which)
-    return ends[np.array([zlib.crc32(x) % shards == s for x in raw], bool)[back]]
+    return np.array([zlib.crc32(x) % shards == s for x in raw], bool)[back]
 
 
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = 4_000_000) -> DataFrame:
@@ -275,12 +278,15 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_ro
             for b in slices(batches):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 total = np.zeros(len(texts))
-                for at, part in _chunks(texts, SCORED):
-                    _, codes, ends, owner = _codes(part, order)
+                for parts in _parts(texts, order, SCORED):
+                    _, codes, ends, owner = _codes(parts, order)
                     if shards > 1:
-                        ends = _in_shard(codes, ends, s, shards)
+                        own = _in_shard(codes, ends, s, shards)
+                        ends, owner = ends[own], owner[own]
                     found = _log_probs(codes, ends, table, order, unseen)
-                    total[at : at + len(part)] += np.bincount(owner[ends], found, len(part))
+                    first = parts[0][0]
+                    sums = np.bincount(owner - first, found)
+                    total[first : first + len(sums)] += sums
                 n = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
                 cols = [b.column(c) for c in names] + [pa.array(n), pa.array(total)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n", "log_prob"])
