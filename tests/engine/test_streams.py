@@ -3,7 +3,6 @@
 import datetime
 import json
 import random
-from collections import deque
 
 import pytest
 
@@ -14,8 +13,19 @@ from tidemark.streaming import guards
 T0 = datetime.datetime(2024, 1, 1)
 
 
-def test_slide():
-    assert list(guards.slide([0, 1, 2, 3, 60.5, 61.5], deque(), 2, 60)) == [None, None, 58, 57, None, None]
+def test_waits():
+    assert guards.waits([0, 1, 2, 3, 60.5, 61.5], [], 2, 60) == [None, None, 58, 57, None, None]
+    r = random.Random(3)
+    for _ in range(50):
+        times, most = sorted(r.uniform(0, 50) for _ in range(60)), r.randint(1, 6)
+        got, admitted = guards.waits(times, [], most, 7.0), []
+        for t, wait in zip(times, got):
+            inside = [x for x in admitted if x > t - 7.0]
+            assert (wait is None) == (len(inside) < most)
+            if wait is None:
+                admitted.append(t)
+            else:
+                assert wait - 1 < inside[0] + 7.0 - t <= wait
 
 
 @pytest.fixture(scope="module")
@@ -66,9 +76,9 @@ EVENTS = [
 
 def test_message_fold(spark, tmp_path):
     f = MessageFold.of(EVENTS)
-    kinds = [(p["type"], p.get("state"), p.get("text") or p.get("data") or p.get("output")) for p in f.state["parts"]]
+    kinds = [(p["type"], p.get("state"), p.get("text") or p.get("data") or p.get("output")) for p in f.message["parts"]]
     assert kinds == [("step-start", None, None), ("text", "done", "hey"), ("data-x", None, 2), ("step-start", None, None), ("tool-get", "output-available", 5)]
-    assert f.continues() and not MessageFold.of(EVENTS[:-2]).continues() and f.state["finish"] == "stop"
+    assert f.continues() and not MessageFold.of(EVENTS[:-2]).continues() and f.message["finish"] == "stop"
     rows = [(1, i, json.dumps(e)) for i, e in enumerate(EVENTS)] + [(2, i, json.dumps(e)) for i, e in enumerate(EVENTS[:5])]
     schema = "message_id bigint, seq bigint, event string"
     batch = {r.message_id: r.json for r in conversation.fold_messages(spark.createDataFrame(rows, schema)).collect()}
@@ -80,11 +90,31 @@ def test_message_fold(spark, tmp_path):
     assert batch[1] in {r.json for r in got} and batch[2] in {r.json for r in got}
 
 
+def test_fold_of_odd_events():
+    m = MessageFold.of([
+        {"type": "text-start", "id": "0"}, {"type": "text-delta", "id": "0", "delta": "one"}, {"type": "text-end", "id": "0"},
+        {"type": "text-start", "id": "0"}, {"type": "text-delta", "id": "0", "delta": "two"}, {"type": "text-end", "id": "9"},
+        {"type": "text-delta", "id": "1", "delta": "x"}, {"type": "tool-approval-request", "toolCallId": "u", "approvalId": "a"},
+        {"type": "tool-output-available", "toolCallId": "u", "output": 1}, {"type": "tool-output-denied", "toolCallId": "u"},
+        {"type": "tool-output-error", "toolCallId": "v"}, {"type": "tool-input-error", "toolCallId": "w", "toolName": "t", "input": 2},
+        {"type": "tool-approval-request", "toolCallId": "w", "approvalId": "b"}, {"type": "unknown"}, {}, {"type": "message-metadata", "messageMetadata": {"agent": "k"}},
+        {"type": "error"}, {"type": "abort"},
+    ]).message
+    assert [(p["type"], p.get("text"), p["state"]) for p in m["parts"]] == [
+        ("text", "one", "done"), ("text", "two", "streaming"), ("text", "x", "streaming"), ("tool-t", None, "approval-requested")
+    ]
+    assert m["parts"][-1]["approval"] == {"id": "b"} and m["parts"][-1]["input"] == 2 and m["parts"][-1]["errorText"] == ""
+    assert m["approvals"] == {"u": "a", "w": "b"} and m["outputs"] == {"u": 1} and m["errors"] == {"v": None} and m["denied"] == ["u"]
+    assert (m["metadata"], m["error"], m["finish"]) == ({"agent": "k"}, "error", "abort")
+
+
 def test_page_caps(spark):
     d = datetime.date(2024, 1, 1)
-    rows = [("ip", d, 0, "a", [1, 2]), ("ip", d, 1, "a", [130]), ("ip", d, 2, "b", [1]), ("ip", d, 3, "c", [1]), ("ip", d, 4, "d", [1]), ("ip", d, 5, "a", list(range(1, 121))), ("ip", d, 6, "a", list(range(1, 121)))]
+    many = list(range(1, 121))
+    rows = [("ip", d, 0, "a", [1, 2]), ("ip", d, 1, "a", [130]), ("ip", d, 2, "b", [1]), ("ip", d, 3, "c", [1]), ("ip", d, 4, "d", [1]), ("ip", d, 5, "a", many), ("other", d, 6, "a", many),
+            ("other", d, 7, "d", many), ("other", d, 8, "d", [121]), ("ip", d, 9, "d", [5] * 118), ("ip", d, 10, "d", [5] * 3)]
     got = guards.page_caps(spark.createDataFrame(rows, "ip string, day date, seq bigint, document string, pages array<int>")).collect()
-    assert [r.verdict for r in sorted(got, key=lambda r: r.seq)] == ["ok", "page_cap", "ok", "ok", "booklet_cap", "ok", "page_cap"]
+    assert [r.verdict for r in sorted(got, key=lambda r: r.seq)] == ["ok", "page_cap", "ok", "ok", "booklet_cap", "ok", "page_cap", "ok", "page_cap", "booklet_cap", "page_cap"]
 
 
 def test_replay(spark):

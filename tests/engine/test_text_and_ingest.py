@@ -39,7 +39,8 @@ def test_ratios(a, b):
 
 def test_names():
     assert X.names_match("Massage Therapy", "therapy massage") == 100
-    assert X.names_match("Massage therapists", "massage therapist") == 100
+    assert X.names_match("Massage therapists", "massage therapist") == 100 and X.names_match("orthotics", "orthot") == 100
+    assert X.stem("orthopaedic") == "orthopaed" and X.stem("settlement") == "settlement" and X.stem("dental") == "dental"
     assert X.names_match("Dental", "Vision") < 60 and X.names_match("", "x") == 0
     assert X.token_set_ratio("eye exam", "eye exam and glasses") == 100
     assert X.quote_score("Up to $500 — per “year”", "covers up to $500 - per \"year\" in all") == 100
@@ -52,6 +53,10 @@ def test_identifiers(spark):
     df = spark.createDataFrame([[v[0] for v in row.values()]], list(row))
     got = df.select(I.is_sin(F.col("sin")), I.is_ontario_health(F.col("ohip")), I.is_abn(F.col("abn")), I.is_tfn(F.col("tfn")), I.is_medicare(F.col("medicare"))).first()
     assert all(got), got
+    others = [("21234567010", "21234567011", "8003608166690503", "8003618166690503", "6798")]
+    got = spark.createDataFrame(others, "a string, b string, c string, d string, e string")
+    got = got.select(I.is_medicare(F.col("a")), I.is_medicare(F.col("b")), I.is_ihi(F.col("c")), I.is_ihi(F.col("d")), I.postcode_state(F.col("e"))).first()
+    assert tuple(got) == (False, True, True, False, "WA")
     bad = spark.createDataFrame([("046454287", None, "x")], "a string, b string, c string")
     assert not any(bad.select(I.is_sin(F.col("a")), I.is_sin(F.col("b")), I.is_abn(F.col("c")), I.is_ramq(F.col("c"))).first())
     assert spark.createDataFrame([("TREM85560412",)], "r string").select(I.is_ramq(F.col("r"))).first()[0]
@@ -60,20 +65,59 @@ def test_identifiers(spark):
 
 
 @pytest.mark.parametrize(
-    "text, kind, months",
-    [("every 24 months", "rolling_months", 24), ("per calendar year", "benefit_year", None), ("Lifetime", "lifetime", None),
-     ("2 consecutive benefit years", "consecutive_benefit_years", None), ("per visit", "per_visit", None), ("", "benefit_year", None), ("policy anniversary", "policy_anniversary", None)],
+    "text, given, kind, months, guessed",
+    [("every 24 months", None, "rolling_months", 24, False), ("per calendar year", 5, "benefit_year", None, False), ("Lifetime", None, "lifetime", None, False),
+     ("2 consecutive benefit years", None, "consecutive_benefit_years", None, False), ("per visit", None, "per_visit", None, False), ("", None, "benefit_year", None, True),
+     ("policy anniversary", None, "policy_anniversary", None, False), ("3 years", None, "rolling_months", 36, True), ("treatment", None, "per_visit", None, False),
+     ("rolling", 200, "rolling_months", 120, False), ("rolling", None, "benefit_year", None, True), (None, 12, "benefit_year", None, True), ("hmm", None, "benefit_year", None, True)],
 )
-def test_map_period(spark, text, kind, months):
-    p = spark.createDataFrame([(text,)], "t string").select(T.map_period(F.col("t")).alias("p")).first().p
-    assert (p.kind, p.months, p.guessed) == (kind, months, text == "")
+def test_map_period(spark, text, given, kind, months, guessed):
+    df = spark.createDataFrame([(text, given)], "t string, m int")
+    p = df.select(T.map_period(F.col("t"), F.col("m")).alias("p")).first().p
+    assert (p.kind, p.months, p.guessed) == (kind, months, guessed)
 
 
 def test_dates(spark):
-    texts = ["2024-02-29", "2023-02-29", "2024-01-01T10:00", "March 5, 2024", "5 Mar 2024", "31/12/2024", "soon", None]
+    texts = ["2024-02-29", "2023-02-29", "2024-01-01T10:00", "March 5, 2024", "march 5 2024", "5 Mar 2024", "31/12/2024", "2024/3/9", "20240115", "soon", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [str(r[0]) for r in df.select(T.parse_free_date(F.col("t"))).collect()]
-    assert got == ["2024-02-29", "None", "2024-01-01", "2024-03-05", "2024-03-05", "2024-12-31", "None", "None"]
+    assert got == ["2024-02-29", "None", "2024-01-01", "2024-03-05", "2024-03-05", "2024-03-05", "None", "2024-03-09", "2024-01-15", "None", "None"]
+
+
+def test_slugs_and_lists(spark):
+    texts = ["Équipe — ﬁne ½", "漢字", "a漢b", "x" * 60, " -- ", "Straße Ⅳ ＡＢ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.slug(F.col("t"))).collect()] == ["equipe-fine-12", "item", "ab", "x" * 48, "item", "strae-iv-ab"]
+    one = spark.createDataFrame([(" a ,b;;\n a\n\tc ",)], "t string")
+    assert one.select(X.distinct_list(F.col("t"))).first()[0] == ["a", "b", "c"]
+
+
+def test_letters_and_tokens(spark):
+    from tidemark.operators import conversation as C
+
+    rows = spark.createDataFrame([(i,) for i in [0, 25, 26, 701, 702, 18277, 18278, 475253]], "i bigint").select("i", X.letter_index(F.col("i")).alias("a"))
+    got = rows.select("a", X.letter_number(F.col("a")).alias("n"), "i").collect()
+    assert [r.a for r in got] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "ZZZZ"] and all(r.n == r.i for r in got)
+    values = spark.createDataFrame([("policy", v, i) for i, v in enumerate(["p", "q", "r", "s", "p"])], "family string, value string, seen int")
+    stored = spark.createDataFrame([("policy", "q", "[POLICY_2]"), ("policy", "gone", "[POLICY_4]"), ("member", "m", "[MEMBER_A]")], "family string, value string, token string")
+    got = {r.value: r.token for r in C.allocate_tokens(values, stored, "family", "value", "seen").collect()}
+    assert got == {"q": "[POLICY_2]", "p": "[POLICY_1]", "r": "[POLICY_3]", "s": "[POLICY_5]"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab \n", max_size=60), st.integers(4, 12))
+def test_split_text(text, most):
+    from tidemark.functions import prose
+
+    parts = prose.split_text(text, most)
+    assert "".join(p for _, p in parts) == text and [a for a, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+    for at, p in parts:
+        rest = text[at:]
+        if len(rest) <= most:
+            assert p == rest
+            continue
+        blanks = [i for i in range(most // 2 + 1, most) if rest[i] in " \n"]
+        assert len(p) == (blanks[-1] + 1 if blanks else most)
 
 
 def test_aliases():
@@ -85,7 +129,12 @@ def test_aliases():
     assert redaction.label_spans("Member ID no: 12", ["member", "member id", "id no"]) == [(0, 9)]
     assert [v[0] for v in redaction.labelled_values("Date of birth: 1990-01-02\nName Jane Doe", {"date of birth": "date", "name": "name"})] == ["date of birth", "name"]
     assert redaction.merge_boxes([(0, 0, 2, 2), (5, 5, 6, 6), (1, 1, 5.5, 5.5)]) == [(0, 0, 6, 6)]
-    assert redaction.chat_check("1990-01-02 and 416-555-0199, 046 454 286, a@b.co") == [("dob", 0, 10), ("phone", 15, 27), ("nine_digits", 29, 40), ("email", 42, 48)]
+    text = "Born on: 1990-01-02, on 1990-01-02; 416-555-0199, 046 454 286, 9876-543-217 AB, 2123 45670 1 a@b.co"
+    assert [(k, t, text[a:b]) for k, t, a, b in redaction.chat_check(text)] == [
+        ("DateOfBirth", "hard", "Born on: 1990-01-02"), ("PhoneNumber", "advisory", "416-555-0199"), ("CASocialInsuranceNumber", "hard", "046 454 286"),
+        ("CAHealthServiceNumber", "hard", "9876-543-217 AB"), ("CAHealthServiceNumber", "hard", "2123 45670 1"), ("Email", "advisory", "a@b.co"),
+    ]
+    assert redaction.chat_check("dob 3 May 1990", "AU") == [("DateOfBirth", "hard", 0, 14)] and redaction.chat_check("$123456789 or 1.234567890") == []
 
 
 def test_learned_values(spark):

@@ -25,14 +25,15 @@ def parse_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.year(d) >= 1), d)
 
 
-#: The orders of day, month and year that free dates are tried in, after the ISO prefix.
-FREE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d")
+#: The formats that free dates are tried in, after the ISO prefix.
+FREE_FORMATS = ("MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMM yyyy", "yyyy/M/d")
 
 
 def parse_free_date(text: Column) -> Column:
     """A date by the first format that fits."""
-    t = F.trim(text)
-    return F.coalesce(parse_date(F.substring(t, 1, 10)), *[F.try_to_date(t, f) for f in FREE_FORMATS])
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    compact = F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd"))
+    return F.coalesce(parse_date(F.substring(t, 1, 10)), compact, *[F.try_to_date(t, f) for f in FREE_FORMATS])
 
 
 def is_leap_year(year: Column) -> Column:
@@ -157,29 +158,54 @@ def waiting_ends(months: Column, coverage_start: Column, effective: Column) -> C
     return F.when(months > 0, F.add_months(F.coalesce(coverage_start, effective), months))
 
 
-def map_period(text: Column) -> Column:
-    """struct<kind, months, years, guessed> from free text, by keywords in order; calendar years where none fits."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"[\s_-]+", " ")
-    number = F.regexp_extract(t, r"(\d+)", 1).try_cast("int")
-    has = t.rlike
-
-    def made(kind: str, months: Column | None = None, years: Column | None = None, guessed: bool = False) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), _col(months).cast("int").alias("months"), _col(years).cast("int").alias("years"),
-            F.lit(guessed).alias("guessed"),
-        )
-
-    return (
-        F.when(t.isNull() | (t == ""), made("benefit_year", guessed=True))
-        .when(has("lifetime"), made("lifetime"))
-        .when(has("per visit|each visit|per service"), made("per_visit"))
-        .when(has("admission|per stay"), made("per_admission"))
-        .when(has("rolling") | (has("month") & number.isNotNull()), made("rolling_months", months=F.coalesce(number, F.lit(12))))
-        .when(has("consecutive|benefit years|calendar years") & number.isNotNull(), made("consecutive_benefit_years", years=number))
-        .when(has("anniversary|policy year"), made("policy_anniversary"))
-        .when(has("year|annual"), made("benefit_year"))
-        .otherwise(made("benefit_year", guessed=True))
-    )
+#: Words of periods that stand for a visit, and texts that stand for the plan's own year.
+VISIT_WORDS = ("visit", "treatment", "service", "trip", "occurrence", "session")
+OWN_YEAR = ("benefit_year", "per_benefit_year", "plan_year", "year", "yearly", "annual", "annually", "per_year", "benefit_period")
+
+
+def map_period(text: Column, months: Column | None = None, default: str = "benefit_year",
+               start_month: Column | None = None, start_day: Column | None = None) -> Column:
+    """struct<kind, months, years, start_month, start_day, guessed> from free text and a number of months, by the first
+    rule that fits; ``default``, with the plan's start, where none says more.
+
+    Months are clamped to 1 to 120, years to 1 to 10. A number of years alone is taken for rolling months, as a guess.
+    """
+    t = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")), r"[\s\-]+", "_")
+    none = F.lit(None).cast("int")
+    clamp = lambda x, top: F.least(F.greatest(x, F.lit(1)), F.lit(top))
+    given = none if months is None else F.when(months > 0, clamp(months, 120))
+    number = F.nullif(F.regexp_extract(t, r"(\d+)", 1), F.lit("")).try_cast("int")
+    own_month, own_day = (none if x is None else x for x in (start_month, start_day))
+    has = lambda *words: t.rlike("|".join(words))
+
+    def made(kind: str, months: Column = none, years: Column = none, month: Column = none, day: Column = none, guessed: bool = False) -> Column:
+        fields = {"kind": F.lit(kind), "months": months, "years": years, "start_month": month, "start_day": day}
+        typed = [(v if k == "kind" else v.cast("int")).alias(k) for k, v in fields.items()]
+        return F.struct(*typed, F.lit(guessed).alias("guessed"))
+
+    plan = lambda guessed: made(default, month=own_month, day=own_day, guessed=guessed)
+    run = F.coalesce(F.bround(given / 12), number)
+    consecutive = lambda years, guessed: made("consecutive_benefit_years", years=years, month=own_month, day=own_day, guessed=guessed)
+    length = F.coalesce(given, number)
+    rules = [
+        (t == "", plan(True)),
+        (has("calendar"), made("benefit_year", month=F.lit(1), day=F.lit(1))),
+        (has("consecutive") & (run > 0), consecutive(clamp(run, 10), False)),
+        (has("consecutive"), consecutive(F.lit(2), True)),
+        (has("anniversary", "policy_year", "membership_year"), made("policy_anniversary")),
+        (has("lifetime"), made("lifetime")),
+        (has("admission", "hospital_stay"), made("per_admission")),
+        (has(*VISIT_WORDS), made("per_visit")),
+        (has("rolling", "month") & (length > 0), made("rolling_months", months=clamp(length, 120))),
+        (has("rolling", "month"), plan(True)),
+        (t.isin(*OWN_YEAR), plan(False)),
+        (has("year") & (number > 0), made("rolling_months", months=clamp(number.cast("bigint") * 12, 120), guessed=True)),
+        (has("year"), plan(False)),
+    ]
+    out = F.when(*rules[0])
+    for condition, period in rules[1:]:
+        out = out.when(condition, period)
+    return out.otherwise(plan(True))
 
 
 def seconds_to_midnight(ts: Column) -> Column:

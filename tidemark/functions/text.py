@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -34,24 +35,47 @@ def normalize_text(text: str | None) -> str:
     return " ".join(t.split()).lower()
 
 
+@functools.cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition holds one ASCII character, and that; and those with several."""
+    one, many = {}, {}
+    for c in map(chr, (*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if plain:
+            (one if len(plain) == 1 else many)[c] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+def ascii_text(text: Column) -> Column:
+    """Accents off, ligatures and widths undone, as far as Latin scripts and signs go; other characters left out."""
+    one, plain, many = _decompositions()
+    out = F.translate(text, one, plain)
+    # only texts with such a character at all are looked at for each
+    pairs = F.array(*[F.struct(F.lit(c).alias("a"), F.lit(x).alias("b")) for c, x in many.items()])
+    several = F.aggregate(pairs, out, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    out = F.when(out.rlike("[" + "".join(many) + "]"), several).otherwise(out)
+    return F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+
+
 def slug(text: Column, most: int = 48) -> Column:
     """ASCII slug; ``item`` if nothing is left."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "(^-+)|(-+$)", "")
+    t = F.regexp_replace(F.regexp_replace(F.lower(ascii_text(text)), "[^a-z0-9]+", "-"), "(^-+)|(-+$)", "")
     t = F.regexp_replace(F.substring(t, 1, most), "-+$", "")
     return F.when(t == "", F.lit("item")).otherwise(t)
 
 
 def distinct_list(text: Column) -> Column:
-    """Parts of a comma or semicolon list, in order, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != ""))
+    """Parts of a list by commas, semicolons or lines, in order, each once."""
+    parts = F.transform(F.split(text, r"[,;\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
-#: Suffixes that similar names may differ in, longest first.
-SUFFIXES = ("ations", "ation", "ments", "ment", "ings", "ists", "ies", "ing", "ist", "ed", "es", "al", "s")
+#: Suffixes that similar names may differ in, in the order in which they are tried.
+SUFFIXES = ("ations", "ation", "ists", "ist", "ics", "ic", "ors", "or", "ies", "y", "es", "s")
 
 
 def stem(word: str) -> str:
-    """The word without its longest listed suffix, if four letters stay."""
+    """The word without the first listed suffix that leaves four letters."""
     return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) - len(s) >= 4), word)
 
 
@@ -162,9 +186,10 @@ def snippet(text: Column, most: int = 480) -> Column:
     return F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t)
 
 
-def content_id(*parts: Column) -> Column:
-    """A content-addressed id."""
-    return F.substring(F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256), 1, 32)
+def chunk_id(source: Column, section: Column, content: Column) -> Column:
+    """Id of a chunk: its source's, and the start of a digest of section and content."""
+    digest = F.sha2(F.concat(section, F.lit("\n"), content).cast("binary"), 256)
+    return F.concat_ws("-", source, F.substring(digest, 1, 20))
 
 
 def content_hash(text: Column) -> Column:
@@ -172,15 +197,21 @@ def content_hash(text: Column) -> Column:
 
 
 def letter_index(i: Column) -> Column:
-    """0, 1, ... as A to Z, AA to ZZ, for the first 702."""
-    a = lambda n: F.char((n + 65).cast("int"))
-    return F.when(i < 26, a(i)).when(i < 702, F.concat(a(F.floor((i - 26) / 26)), a((i - 26) % 26)))
+    """0, 1, ... as A to Z, AA to ZZ, AAA and on, up to six letters."""
+    i, out, first = i.cast("bigint"), None, 0
+    for size in range(1, 7):
+        place = [F.char((F.floor((i - first) / 26**k) % 26 + 65).cast("int")) for k in range(size - 1, -1, -1)]
+        here = F.concat(*place)
+        after = first + 26**size
+        out = F.when(i < after, here) if out is None else out.when(i < after, here)
+        first = after
+    return out
 
 
 def letter_number(letters: Column) -> Column:
     """The reverse of ``letter_index``."""
-    a = lambda i: F.ascii(F.substring(letters, i, 1)) - 65
-    return F.when(F.length(letters) == 1, a(1)).when(F.length(letters) == 2, 26 + a(1) * 26 + a(2))
+    codes = F.transform(F.regexp_extract_all(letters, F.lit("[A-Z]"), 0), lambda c: (F.ascii(c) - 64).cast("bigint"))
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, x: acc * 26 + x) - 1
 
 
 def money_in(text: Column) -> Column:

@@ -98,14 +98,16 @@ def apply_corrections(df: DataFrame, patch: str, allowed: dict[str, str]) -> Dat
     return df.withColumns({c: F.coalesce(values[c].try_cast(t), F.col(c)) for c, t in allowed.items()})
 
 
-def merge_issues(*issues: DataFrame) -> DataFrame:
-    """Issues by code, page, category and row, each once: for advisory ones whatever the message; by page."""
-    every = issues[0]
-    for x in issues[1:]:
-        every = every.unionByName(x)
-    text = F.when(F.col("severity") == "advisory", F.lit("")).otherwise(F.col("message"))
-    w = Window.partitionBy("code", "page", "category", "row_id", text).orderBy("message")
-    return every.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def merge_issues(*issues: DataFrame, order: str) -> DataFrame:
+    """Issues (code, page, category, row_id, message, ``order``) by all but the order, each once, for those of code
+    ``pii_advisory`` whatever the message: the first by list, then by ``order``."""
+    every = None
+    for i, x in enumerate(issues):
+        one = x.withColumn("__list", F.lit(i))
+        every = one if every is None else every.unionByName(one)
+    text = F.when(F.col("code") != "pii_advisory", F.col("message")).otherwise("")
+    w = Window.partitionBy("code", "page", "category", "row_id", text).orderBy("__list", order)
+    return every.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__list")
 
 
 def unique_ids(df: DataFrame, base: str, order: list[str], out: str = "id") -> DataFrame:
@@ -123,10 +125,17 @@ def page_windows(df: DataFrame, key: str, pages: str, size: int = 5, overlap: in
     )
 
 
-def uncovered(df: DataFrame, covered: DataFrame, key: str, last: str) -> DataFrame:
-    """(key, page): pages 1 to ``last`` that ``covered`` (key, page) lacks."""
-    pages = df.select(key, F.explode(F.sequence(F.lit(1), F.col(last).cast("int"))).alias("page"))
-    return pages.join(covered, [key, "page"], "left_anti")
+def uncovered(df: DataFrame, covered: DataFrame, key: str, last: str, block: int = 65_536) -> DataFrame:
+    """(key, page): pages 1 to ``last`` that ``covered`` (key, page) lacks.
+
+    A key's pages are made block by block, so that no row holds all of them and blocks spread over tasks.
+    """
+    n = F.col(last).cast("bigint")
+    blocks = df.select(key, n.alias("__last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(n, F.lit(1)) - 1) / block))).alias("__b"))
+    blocks = blocks.where("__last > 0").repartition(key, "__b")
+    low = F.col("__b") * block + 1
+    pages = blocks.select(key, F.explode(F.sequence(low, F.least(low + (block - 1), F.col("__last")))).alias("page"))
+    return pages.join(covered.select(key, F.col("page").cast("bigint").alias("page")), [key, "page"], "left_anti")
 
 
 def batches(df: DataFrame, group: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:

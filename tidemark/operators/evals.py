@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import names_match
+from .joins import bounded
 
 
 def greedy_match(golden: DataFrame, predicted: DataFrame, group: str, threshold: float = 80.0) -> DataFrame:
@@ -60,8 +61,13 @@ def gate_summary(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.select("metric", "value", gate(F.col("value"), F.col("low"), F.col("high"), F.col("required")).alias("status"))
 
 
+#: The class of words in which runs are counted, and the longest run that an excerpt may share.
+WORD = "[a-z0-9']+"
+EXCERPT_WORDS = 50
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9à-ÿ]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def grams(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -72,9 +78,10 @@ def grams(df: DataFrame, key: str, size: int) -> DataFrame:
     return w.select(key, F.explode(F.array_distinct(run)).alias("gram"))
 
 
-def overruns(docs: DataFrame, excerpts: DataFrame, most: int = 7) -> DataFrame:
+def overruns(docs: DataFrame, excerpts: DataFrame, most: int = EXCERPT_WORDS) -> DataFrame:
     """(doc_id, item_id, shared): documents that share more than ``most`` words in a row with an excerpt, and in how
-    many places of it: an equality join on runs of ``most`` + 1 words.
+    many places of it: an equality join on runs of ``most`` + 1 words. Runs of the excerpts, if they are few, go to the
+    documents, so that only what both have is shuffled.
     """
     a, b = grams(docs, "doc_id", most + 1), grams(excerpts, "item_id", most + 1)
-    return a.join(b, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    return a.join(bounded(b), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))

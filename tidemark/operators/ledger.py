@@ -131,17 +131,21 @@ def member_headline(usage: DataFrame) -> DataFrame:
     )
 
 
-def out_of_pocket(claims: DataFrame, lines: DataFrame, year: int) -> DataFrame:
-    """(member_id, out_of_pocket_cents): over decided claims with a service in the year, what was neither paid by this
-    plan nor by another, 0 at least for each claim. ``claims`` has paid_cents.
+#: Statuses of claims that are decided.
+DECIDED = ("paid", "partially_paid", "rejected")
+
+
+def out_of_pocket(claims: DataFrame, lines: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(member_id, out_of_pocket_cents): over decided claims, rejected ones too, with a service from ``start`` to ``end``
+    (the plan's period), what was neither paid by this plan nor by another, 0 at least for each claim. ``claims`` has
+    paid_cents, null if nothing was paid.
     """
     per = lines.groupBy("claim_id").agg(
-        F.sum(F.col("charged_cents") - F.col("other_cents")).alias("open"),
-        F.bool_or(F.year("service_date") == year).alias("touches"),
+        F.sum(F.col("charged_cents") - F.coalesce("other_cents", F.lit(0))).alias("open"),
+        F.bool_or(F.col("service_date").between(start, end)).alias("touches"),
     )
-    decided = counted_claims(claims, include_submitted=False)
-    joined = decided.join(per.where("touches"), "claim_id")
-    owed = F.greatest(F.lit(0), F.col("open") - F.col("paid_cents"))
+    joined = claims.where(F.col("status").isin(*DECIDED)).join(per.where("touches"), "claim_id")
+    owed = F.greatest(F.lit(0), F.col("open") - F.coalesce("paid_cents", F.lit(0)))
     return joined.groupBy("member_id").agg(F.sum(owed).cast("bigint").alias("out_of_pocket_cents"))
 
 

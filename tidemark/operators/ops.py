@@ -68,22 +68,37 @@ def remaining_percent(spent: Column, limit: Column) -> Column:
 
 #: Status of each error code.
 STATUS = {
-    "invalid_request": 400, "not_found": 404, "rate_limited": 429, "budget_exhausted": 429, "booklet_cap_exceeded": 429,
-    "page_cap_exceeded": 413, "upstream_error": 502, "internal_error": 500,
-}
+    "payload_too_large": 413,
+    "unsupported_media_type": 415,
+    "pii_detected": 422,
+    "unsafe_image": 422,
+    "content_filtered": 422,
+    "prompt_injection": 422,
+    "invalid_request": 400,
+    "page_cap_exceeded": 413,
+    "booklet_cap_exceeded": 429,
+    "rate_limited": 429,
+    "budget_exhausted": 429,
+    "ai_disabled": 503,
+    "upstream_error": 502,
+    "internal_error": 500,
+}
 
 
 def status_of(code: Column) -> Column:
     return F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in STATUS.items()], F.lit(500))
 
 
-#: Which status a claim may go to from each.
+#: Which other status a claim may go to from each.
 TRANSITIONS = {
-    "draft": ["submitted"], "submitted": ["paid", "partially_paid", "rejected"], "paid": [], "partially_paid": ["paid"],
-    "rejected": ["submitted"],
-}
+    "draft": ["submitted"],
+    "submitted": ["paid", "partially_paid", "rejected", "draft"],
+    "paid": ["partially_paid", "rejected"],
+    "partially_paid": ["paid", "rejected"],
+    "rejected": ["paid", "partially_paid"],
+}
 
 
 def may_go(a: Column, b: Column) -> Column:
-    """Whether a claim may change from one status to another."""
-    return F.coalesce(*[F.when(a == k, b.isin(*v) if v else F.lit(False)) for k, v in TRANSITIONS.items()], F.lit(False))
+    """Whether a claim may change from one status to another, or stay as it is; false for unknown ones."""
+    return F.coalesce(*[F.when(a == k, b.isin(k, *v)) for k, v in TRANSITIONS.items()], F.lit(False))

@@ -5,23 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Identifiers that always stop a page, and those that do when they are sure enough.
-HARD_CATEGORIES = ("sin", "tfn", "medicare", "ohip", "card")
-SOFT_CATEGORIES = ("email", "phone", "address", "person")
-#: What group of the review each issue code is shown in.
+#: Categories that stop a text, and those that only advise.
+HARD_CATEGORIES = (
+    "CASocialInsuranceNumber",
+    "CAHealthServiceNumber",
+    "CAPersonalHealthIdentification",
+    "CABankAccountNumber",
+    "AUTaxFileNumber",
+    "AUMedicalAccountNumber",
+    "AUBankAccountNumber",
+    "AUDriversLicenseNumber",
+    "DateOfBirth",
+)
+SOFT_CATEGORIES = ("Person", "Organization", "Address", "PhoneNumber", "Email")
+#: What group of the review each issue code is shown in; others in ``other``.
 ISSUE_GROUPS = {
-    "duplicate_removed": "cleaned", "row_dropped": "cleaned", "page_excluded": "pages", "page_empty": "pages",
-    "uncovered_pages": "pages", "low_confidence": "check", "unsupported": "check", "ungrounded": "check",
-    "unlinked_pool": "links", "unlinked_share": "links",
-}
+    "pii_advisory": "personal",
+    "page_excluded": "excluded",
+    "prompt_injection": "excluded",
+    "ocr_empty": "excluded",
+    "unsupported_row": "rows",
+    "low_confidence": "rows",
+    "ungrounded_quote": "rows",
+    "verifier_rounds_exhausted": "rows",
+}
+#: Patterns of questions that are out of scope, of those on general rules, and of words that keep a question
+#: with the plan all the same.
+OFF_TOPIC = r"\b(poem|joke|weather|recipe|bitcoin|stock|football|movie|song|capital of|ignore (all|previous|your)|system prompt)\b"
+KNOWLEDGE = (
+    r"\b(tax|medical expenses?|metc|cra|medicare|levy|rebate|lifetime health cover|waiting periods? (for|in) (private|hospital)"
+    r"|ohip|provincial plan|private health insurance rules?)\b"
+)
+ABOUT_PLAN = r"\b(my|covered|claim|left|remaining)\b"
 
 
 def pii_tier(category: Column, confidence: Column, hard: float = 0.8, soft: float = 0.5) -> Column:
-    """``hard``, ``advisory`` or null by category and confidence."""
-    return (
-        F.when(category.isin(*HARD_CATEGORIES) & (confidence >= hard), "hard")
-        .when(category.isin(*HARD_CATEGORIES, *SOFT_CATEGORIES) & (confidence >= soft), "advisory")
-    )
+    """``hard`` for a sure enough hard category; ``advisory`` for those less sure and for soft ones; else null."""
+    is_hard = category.isin(*HARD_CATEGORIES) & (confidence >= hard)
+    known = category.isin(*HARD_CATEGORIES, *SOFT_CATEGORIES) & (confidence >= soft)
+    return F.when(is_hard, "hard").when(known, "advisory")
 
 
 def issue_group(code: Column) -> Column:
@@ -38,15 +60,9 @@ def unsafe(severities: Column, most: int = 4) -> Column:
 
 
 def route(text: Column) -> Column:
-    """``off_topic``, ``knowledge`` or ``plan``: by the first rule whose words a question has; plans are the default."""
-    t = F.lower(text)
-    plan_words = t.rlike(r"\b(my|our|left|remaining|claim|plan)\b")
-    return (
-        F.when(t.isNull() | (F.trim(t) == ""), "plan")
-        .when(t.rlike(r"\b(weather|recipe|poem|football|stocks?)\b"), "off_topic")
-        .when(t.rlike(r"\b(what is|how do|tax|rebate|rule|rules)\b") & ~plan_words, "knowledge")
-        .otherwise("plan")
-    )
+    """``off_topic``, ``knowledge`` or ``plan_claims``, the default."""
+    has = lambda p: F.coalesce(text.rlike(f"(?i){p}"), F.lit(False))
+    return F.when(has(OFF_TOPIC), "off_topic").when(has(KNOWLEDGE) & ~has(ABOUT_PLAN), "knowledge").otherwise("plan_claims")
 
 
 def relevant_pages(pages: DataFrame, triage: DataFrame, keys: list[str]) -> DataFrame:

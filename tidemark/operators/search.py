@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +11,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that queries ignore.
-STOP_WORDS = ("a", "an", "and", "are", "for", "how", "i", "in", "is", "my", "of", "on", "the", "to", "what")
+#: Words that searches in a plan ignore, and those that the substring search does.
+STOP_WORDS = (
+    "item", "items", "number", "no", "code", "for", "the", "a", "an", "my", "of", "and", "is", "are", "do", "i", "how", "much", "what", "does",
+)
+SUBSTRING_STOP_WORDS = ("the", "and", "for", "what", "does", "can", "how", "are", "with", "that", "this", "your", "you", "is")
+#: The classes of terms of the searches over knowledge, and over plans.
+KNOWLEDGE_TERM = "[a-z]{3,}"
+PLAN_TERM = r"[\p{L}\p{N}_'-]+"
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case ASCII words."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
+    """Distinct runs of three or more ASCII letters, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(KNOWLEDGE_TERM), 0))
+
+
+def plan_terms(text: Column) -> Column:
+    """Words of a plan's text in lower case, apostrophes and hyphens inside, without stop words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PLAN_TERM), 0)
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+
+
+def asked(query: str) -> list[str]:
+    """The same of a query, each word once."""
+    return list(dict.fromkeys(w for w in re.findall(r"[\w'-]+", query.lower()) if w not in STOP_WORDS))
 
 
 def top_k(df: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
@@ -24,24 +43,65 @@ def top_k(df: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def overlap_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, doc_id, hits, size, rank): shared words over the query's words, best k.
+def overlap_search(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+    """(query_id, doc_id, hits, size, score, rank): shared terms over the query's terms, best k of the same region; ties by
+    id, and documents that share nothing where too few do.
 
-    ``queries`` (query_id, text), ``docs`` (doc_id, text). Joins postings; texts never meet texts.
+    ``queries`` (query_id, text, region or not), ``docs`` (doc_id, text, region or not). Queries are taken in blocks of
+    about ``block``, each against all documents; a task keeps k candidates a query, so that neither a common term's
+    postings nor pairs of queries and documents are shuffled.
     """
-    q = queries.select("query_id", terms(F.col("text")).alias("t")).select("query_id", F.size("t").alias("size"), F.explode("t").alias("term"))
-    d = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-    hits = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.first("size").cast("bigint").alias("size"))
-    scored = hits.withColumn("score", F.col("hits") / F.greatest(F.lit(1), F.col("size")))
-    return top_k(scored, "query_id", "score", "doc_id", k)
+    by_region = "region" in queries.columns and "region" in docs.columns
+    region = lambda df: (F.col("region").cast("string") if by_region else F.lit("")).alias("region")
+    q = queries.select("query_id", region(queries), terms(F.col("text")).alias("t"))
+    d = docs.select("doc_id", region(docs), "text")
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (d, "doc_id"))}
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, hits bigint, size bigint, score double"
+    many = max(1, -(-queries.count() // block))
+    sc, out = docs.sparkSession.sparkContext, None
+    for part in range(many):
+        own = q if many == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == part)
+        shared = sc.broadcast([(r[0], r[1], list(r[2] or ())) for r in own.collect()])  # about ``block`` rows
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            asked_for = shared.value
+            postings: dict[str, list[int]] = {}
+            for i, (_, _, ts) in enumerate(asked_for):
+                for t in ts:
+                    postings.setdefault(t, []).append(i)
+            postings = {t: np.array(v) for t, v in postings.items()}
+            regions = {r: np.array([i for i, x in enumerate(asked_for) if x[1] == r]) for r in {x[1] for x in asked_for}}
+            word = re.compile(KNOWLEDGE_TERM)
+            best: list[list[tuple[int, object]]] = [[] for _ in asked_for]  # (-hits, id), sorted
+            for pdf in frames:
+                for doc, where, text in zip(pdf["doc_id"].tolist(), pdf["region"], pdf["text"]):
+                    places = regions.get(where)
+                    if places is None:
+                        continue
+                    found = [postings[t] for t in set(word.findall((text or "").lower())) if t in postings]
+                    hits = np.bincount(np.concatenate(found), minlength=len(asked_for)) if found else np.zeros(len(asked_for), np.int64)
+                    for i in places.tolist():
+                        mine, key = best[i], (-int(hits[i]), doc)
+                        if len(mine) < k or key < mine[-1]:
+                            bisect.insort(mine, key)
+                            del mine[k:]
+            rows = [(asked_for[i][0], doc, -h, len(asked_for[i][2]), -h / max(1, len(asked_for[i][2]))) for i, own in enumerate(best) for h, doc in own]
+            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "hits", "size", "score"])
+
+        got = d.mapInPandas(run, schema)
+        out = got if out is None else out.unionByName(got)
+    return top_k(out, "query_id", "score", "doc_id", k)
 
 
-def substring_search(docs: DataFrame, words: list[str], k: int = 3) -> DataFrame:
-    """(doc_id, score): query words that occur anywhere in the text, 4 at most, stop words apart; the best k."""
-    low = F.lower("text")
-    hit = [F.contains(low, F.lit(w)).cast("int") for w in dict.fromkeys(words) if w not in STOP_WORDS]
-    scored = docs.select("doc_id", F.least(F.lit(4), sum(hit, F.lit(0))).cast("bigint").alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+def substring_search(docs: DataFrame, query: str, region: str | None = None, k: int = 3) -> DataFrame:
+    """(doc_id, score, reranked): how many terms of the query occur anywhere in title and content, of the region's
+    documents; the best, three at most, by the whole count and then id; ``reranked`` is the count up to 4."""
+    found = [w for w in dict.fromkeys(re.findall(KNOWLEDGE_TERM, query.lower())) if w not in SUBSTRING_STOP_WORDS]
+    own = docs if region is None else docs.where(F.col("region") == region)
+    hay = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "content") if c in docs.columns]))
+    score = sum((F.contains(hay, F.lit(w)).cast("bigint") for w in found), F.lit(0).cast("bigint"))
+    scored = own.select("doc_id", score.alias("score")).withColumn("reranked", F.least(F.lit(4), "score").cast("bigint"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(max(1, min(k, 3)))
 
 
 def _begins(words: Column, head: str) -> Column:
@@ -49,37 +109,40 @@ def _begins(words: Column, head: str) -> Column:
 
 
 def fielded_search(df: DataFrame, fields: dict[str, float], query: str, key: str, k: int) -> DataFrame:
-    """(key, score): for each query word the best field that has it, a word's beginning at half weight; the best k."""
-    asked = [w for w in dict.fromkeys(query.lower().split()) if w not in STOP_WORDS]
+    """(key, score): for each query word the best field that has it, a word's beginning, from two letters on, at half
+    weight; the best k."""
     total = F.lit(0.0)
-    for w in asked:
+    for w in asked(query):
         per = []
         for name, boost in fields.items():
-            words = F.split(F.lower(F.col(name)), "[^a-z0-9]+")
-            per.append(F.when(F.array_contains(words, w), boost).when(_begins(words, w), boost / 2).otherwise(0.0))
+            words = plan_terms(F.col(name))
+            begins = _begins(words, w) if len(w) >= 2 else F.lit(False)
+            per.append(F.when(F.array_contains(words, w), boost).when(begins, boost / 2).otherwise(0.0))
         total = total + (F.greatest(*per) if len(per) > 1 else per[0])
     scored = df.select(key, total.alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
-def bm25_search(docs: DataFrame, fields: dict[str, float], query: str, key: str, k: int, fuzzy: float = 0.2) -> DataFrame:
-    """(key, score): BM25 over boosted fields, with prefixes (from two letters) and near spellings (from four, none with
-    digits) of query words; any word may match.
+def bm25_search(docs: DataFrame, fields: dict[str, float], query: str, key: str, k: int, fuzzy: float = 0.2,
+                prefix_from: int = 2, fuzzy_from: int = 4) -> DataFrame:
+    """(key, score): BM25 over boosted fields, with prefixes (words of ``prefix_from`` letters or more) and near spellings
+    (of ``fuzzy_from``, none with digits) of query words; any word may match.
     """
-    asked = [w for w in dict.fromkeys(query.lower().split()) if w not in STOP_WORDS]
+    wanted = asked(query)
     post = None
     for name, boost in fields.items():
-        words = F.filter(F.split(F.lower(F.col(name)), "[^a-z0-9]+"), lambda w: w != "")
-        one = df_field = docs.select(key, F.lit(boost).alias("boost"), F.size(words).alias("len"), F.explode(words).alias("term"))
-        post = one if post is None else post.unionByName(df_field)
+        words = plan_terms(F.col(name))
+        one = docs.select(key, F.lit(boost).alias("boost"), F.explode(words).alias("term"))
+        post = one if post is None else post.unionByName(one)
     tf = post.groupBy(key, "term").agg(F.sum("boost").alias("tf"))
     n = docs.count()
     forms = []
-    for w in asked:
+    for w in wanted:
         same, head = F.col("term") == w, F.col("term").startswith(w)
-        near = F.levenshtein("term", F.lit(w)) <= round(fuzzy * len(w)) if len(w) >= 4 and w.isalpha() else F.lit(False)
-        forms.append(F.when(same, 1.0).when(head if len(w) >= 2 else F.lit(False), 0.375).when(near, 0.45).otherwise(0.0))
-    weight = F.greatest(*forms) if len(forms) > 1 else forms[0]
+        spelt = len(w) >= fuzzy_from and not any(c.isdigit() for c in w)
+        near = F.levenshtein("term", F.lit(w)) <= round(fuzzy * len(w)) if spelt else F.lit(False)
+        forms.append(F.when(same, 1.0).when(head if len(w) >= prefix_from else F.lit(False), 0.375).when(near, 0.45).otherwise(0.0))
+    weight = F.greatest(*forms, F.lit(0.0)) if forms else F.lit(0.0)
     hits = tf.withColumn("w", weight).where("w > 0")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -304,14 +304,17 @@ SELECT member_id, CAST(sum(CASE WHEN pool_id IS NULL THEN coalesce(own, 0) ELSE
 
 
 def out_of_pocket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = claims(spark, sf_dir).withColumn("paid_cents", div(F.col("total_cents") * 3, 5))
-    return ledger.out_of_pocket(c, claim_lines(spark, sf_dir), 1998)
+    """In a plan's year that begins on April 1; every seventh claim rejected, with nothing paid."""
+    rejected = F.col("claim_id") % 7 == 0
+    c = claims(spark, sf_dir).withColumns({"paid_cents": F.when(~rejected, div(F.col("total_cents") * 3, 5)), "status": F.when(rejected, "rejected").otherwise(F.col("status"))})
+    window = T.current_period(_D("1998-05-05"), T.Plan(_D("1990-01-31"), F.lit("benefit_year"), F.lit(4), F.lit(1)))
+    return ledger.out_of_pocket(c, claim_lines(spark, sf_dir), window["start"], window["end"])
 
 
 OUT_OF_POCKET_SQL = f"""WITH {CLAIMS_SQL}, {LINES_SQL}, p AS (
-  SELECT claim_id, sum(charged_cents - other_cents) AS open, bool_or(year(service_date) = 1998) AS touches FROM lines GROUP BY 1)
-SELECT member_id, CAST(sum(greatest(0, open - total_cents * 3 // 5)) AS BIGINT) AS out_of_pocket_cents
-FROM claims JOIN p USING (claim_id) WHERE touches AND status <> 'submitted' GROUP BY 1"""
+  SELECT claim_id, sum(charged_cents - other_cents) AS open, bool_or(service_date BETWEEN DATE '1998-04-01' AND DATE '1999-03-31') AS touches FROM lines GROUP BY 1)
+SELECT member_id, CAST(sum(greatest(0, open - CASE WHEN claim_id % 7 = 0 THEN 0 ELSE total_cents * 3 // 5 END)) AS BIGINT) AS out_of_pocket_cents
+FROM claims JOIN p USING (claim_id) WHERE touches AND (claim_id % 7 = 0 OR status <> 'submitted') GROUP BY 1"""
 
 
 def claim_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:

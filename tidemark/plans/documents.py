@@ -62,15 +62,15 @@ SELECT doc_id, CAST((first - 1) // 4 AS INTEGER) AS "window", CAST(first AS INTE
 
 def uncovered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers from 1 to each source's largest id that none of its documents in English has."""
-    d = docs(spark, sf_dir).where("doc_id > 0")
-    last = d.groupBy("source").agg(F.max("doc_id").cast("int").alias("last"))
-    covered = d.where("lang = 'en'").select("source", F.col("doc_id").cast("int").alias("page")).distinct()
+    d = docs(spark, sf_dir)
+    last = d.groupBy("source").agg(F.max("doc_id").alias("last"))
+    covered = d.where("lang = 'en'").select("source", F.col("doc_id").alias("page")).distinct()
     return assembly.uncovered(last, covered, "source", "last")
 
 
-UNCOVERED_SQL = """WITH l AS (SELECT source, max(doc_id) AS m FROM documents WHERE doc_id > 0 GROUP BY 1),
+UNCOVERED_SQL = """WITH l AS (SELECT source, max(doc_id) AS m FROM documents GROUP BY 1),
 p AS (SELECT source, unnest(generate_series(1, m)) AS page FROM l)
-SELECT source, CAST(page AS INTEGER) AS page FROM p WHERE NOT EXISTS (
+SELECT source, page FROM p WHERE NOT EXISTS (
   SELECT 1 FROM documents d WHERE d.source = p.source AND d.doc_id = p.page AND d.lang = 'en')"""
 
 
@@ -78,8 +78,8 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.normalize_ascii(F.col("text"))
     return docs(spark, sf_dir).select(
         "doc_id", F.md5(t.cast("binary")).alias("hash"), F.length(t).cast("bigint").alias("n"),
-        X.slug(F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string"))).alias("slug"),
-        F.array_join(X.distinct_list(F.concat_ws(",", "source", "lang", "source")), "/").alias("parts"),
+        X.slug(F.concat_ws(" ", F.lit("Équipe — ﬁne"), "source", "lang", F.col("doc_id").cast("string"))).alias("slug"),
+        F.array_join(X.distinct_list(F.concat(F.col("source"), F.lit(" ,\n"), F.col("lang"), F.lit(";; "), F.col("source"), F.lit("\n"), F.lit("x"))), "/").alias("parts"),
     )
 
 
@@ -87,7 +87,7 @@ NORMALIZED_SQL = r"""WITH n AS (SELECT *, lower(trim(regexp_replace(regexp_repla
     translate(text, '‘’‚‛“”„‟«»–—−‐‑…', '''''''''""""""-----.'), '<[^<>]*>', ' ', 'g'), '[*_`#|\\>]', ' ', 'g'),
     '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS t FROM documents)
 SELECT doc_id, md5(t) AS hash, length(t) AS n,
-  regexp_replace(source || '-' || lang || '-' || doc_id, '[^a-z0-9]+', '-', 'g') AS slug, source || '/' || lang AS parts FROM n"""
+  'equipe-fine-' || regexp_replace(source || '-' || lang || '-' || doc_id, '[^a-z0-9]+', '-', 'g') AS slug, source || '/' || lang || '/x' AS parts FROM n"""
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +103,14 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.chunk_documents(html_to_markdown(spark, sf_dir), target=200, overlap=40, least=40)
+    return ingest.chunk_documents(table(spark, sf_dir, "pages"), target=200, overlap=40, least=40)
 
 
 def content_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.with_hashes(docs(spark, sf_dir)).select("doc_id", "id", "content_hash")
+    return ingest.with_hashes(docs(spark, sf_dir).withColumn("section", F.col("lang"))).select("doc_id", "id", "content_hash")
 
 
-HASH_SQL = """SELECT doc_id, substr(sha256(source || chr(31) || text), 1, 32) AS id, sha256(text) AS content_hash FROM documents"""
+HASH_SQL = """SELECT doc_id, source || '-' || substr(sha256(lang || chr(10) || text), 1, 20) AS id, sha256(text) AS content_hash FROM documents"""
 
 
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,14 +196,21 @@ SELECT doc_id, CAST(cluster AS BIGINT) AS cluster, kind, start, "end", "from", "
 
 
 def excerpt_overrun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evals.overruns(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    """Documents that quote more of a passage than an excerpt may, and than eight words."""
+    d, b = docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    every = [evals.overruns(d, b, most).withColumn("most", F.lit(most)) for most in (evals.EXCERPT_WORDS, 8)]
+    return every[0].unionByName(every[1])
 
 
-_W = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), lambda w: w <> '')"
-OVERRUN_SQL = f"""WITH d AS (SELECT doc_id AS id, {_W} AS w FROM documents), b AS (SELECT item_id AS id, {_W} AS w FROM benchmark),
-dg AS (SELECT DISTINCT id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
-bg AS (SELECT DISTINCT id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM b WHERE len(w) >= 8))
-SELECT dg.id AS doc_id, bg.id AS item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY 1, 2"""
+def _overrun_sql(most: int) -> str:
+    w = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
+    grams = "SELECT DISTINCT id, array_to_string(w[i:i + {0}], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - {0})) AS i FROM {1} WHERE len(w) > {0})"
+    return f"""SELECT * FROM (WITH d AS (SELECT doc_id AS id, {w} AS w FROM documents), b AS (SELECT item_id AS id, {w} AS w FROM benchmark),
+dg AS ({grams.format(most, 'd')}), bg AS ({grams.format(most, 'b')})
+SELECT dg.id AS doc_id, bg.id AS item_id, count(*) AS shared, {most} AS most FROM dg JOIN bg USING (g) GROUP BY 1, 2)"""
+
+
+OVERRUN_SQL = f"{_overrun_sql(50)} UNION ALL {_overrun_sql(8)}"
 
 
 def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,41 +223,53 @@ TAGS_SQL = f"""SELECT doc_id, array_to_string(list_filter([lang, {_TAGS}], lambd
 
 
 def overlap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.overlap_search(q, docs(spark, sf_dir).select("doc_id", "text")).drop("score")
+    """Passages of the benchmark against documents of one language, by the number of the passage."""
+    region = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("item_id") % 5 + 1).cast("int"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", region.alias("region"))
+    return search.overlap_search(q, docs(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("region"))).drop("score")
+
 
+LANGUAGES = ["en", "de", "fr", "es", "xx"]
 
-_T = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))"
-OVERLAP_SQL = f"""WITH q AS (SELECT item_id AS query_id, {_T} AS t FROM benchmark), d AS (SELECT doc_id, unnest({_T}) AS term FROM documents),
-h AS (SELECT query_id, doc_id, count(*) AS hits, len(any_value(t)) AS size FROM (SELECT query_id, t, unnest(t) AS term FROM q) JOIN d USING (term) GROUP BY 1, 2),
+
+def overlap_sql(queries: str, documents: str, k: int) -> str:
+    """``queries`` (query_id, text, region), ``documents`` (doc_id, text, region)."""
+    t = "list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))"
+    return f"""WITH q AS (SELECT query_id, region, {t} AS t FROM ({queries})), d AS (SELECT doc_id, region, {t} AS t FROM ({documents})),
+h AS (SELECT query_id, doc_id, len(list_intersect(q.t, d.t)) AS hits, len(q.t) AS size FROM q JOIN d USING (region)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM h)
-SELECT query_id, doc_id, hits, size, rank FROM r WHERE rank <= 5"""
+SELECT query_id, doc_id, hits, size, rank FROM r WHERE rank <= {k}"""
+
+
+OVERLAP_SQL = overlap_sql(f"SELECT item_id AS query_id, text, {LANGUAGES}[item_id % 5 + 1] AS region FROM benchmark", "SELECT doc_id, text, lang AS region FROM documents", 5)
 
 
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.substring_search(docs(spark, sf_dir), ["the", "license", "public", "password", "version"])
+    d = docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("region"))
+    return search.substring_search(d, "What does the license, public password version of THE all rights?", "en")
 
 
-SUBSTRING_SQL = """SELECT doc_id, CAST(least(4, contains(lower(text), 'license')::INT + contains(lower(text), 'public')::INT
-  + contains(lower(text), 'password')::INT + contains(lower(text), 'version')::INT) AS BIGINT) AS score FROM documents
-ORDER BY score DESC, doc_id LIMIT 3"""
+_HAY = "lower(source || ' ' || text)"
+_SCORE = " + ".join(f"contains({_HAY}, '{w}')::BIGINT" for w in ("license", "public", "password", "version", "all", "rights"))
+SUBSTRING_SQL = f"""SELECT doc_id, CAST({_SCORE} AS BIGINT) AS score, CAST(least(4, {_SCORE}) AS BIGINT) AS reranked FROM documents
+WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 3"""
 _FIELDS = {"p_name": 3.0, "p_type": 2.0, "p_brand": 1.0}
 
 
 def benefit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fielded_search(table(spark, sf_dir, "part"), _FIELDS, "small rin econ 7", "p_partkey", 24)
+    return search.fielded_search(table(spark, sf_dir, "part"), _FIELDS, "How much small rin of econ 7 s", "p_partkey", 24)
 
 
 def _field_sql(word: str) -> str:
-    per = [
-        f"CASE WHEN list_contains(regexp_split_to_array(lower({f}), '[^a-z0-9]+'), '{word}') THEN {b} WHEN "
-        f"len(list_filter(regexp_split_to_array(lower({f}), '[^a-z0-9]+'), lambda w: starts_with(w, '{word}'))) > 0 THEN {b / 2} ELSE 0 END"
-        for f, b in _FIELDS.items()
-    ]
+    per = []
+    for f, b in _FIELDS.items():
+        words = f"regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}_''-]+')"
+        begins = f"WHEN len(list_filter({words}, lambda w: starts_with(w, '{word}'))) > 0 THEN {b / 2}" if len(word) > 1 else ""
+        per.append(f"CASE WHEN list_contains({words}, '{word}') THEN {b} {begins} ELSE 0 END")
     return f"greatest({', '.join(per)})"
 
 
-FIELD_SQL = f"""WITH s AS (SELECT p_partkey, CAST({' + '.join(_field_sql(w) for w in ('small', 'rin', 'econ', '7'))} AS DOUBLE) AS score FROM part)
+FIELD_SQL = f"""WITH s AS (SELECT p_partkey, CAST({' + '.join(_field_sql(w) for w in ('small', 'rin', 'econ', '7', 's'))} AS DOUBLE) AS score FROM part)
 SELECT * FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 24"""
 
 
@@ -275,7 +294,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = v.where("vec_id % 100 = 0")
     by_vector = search.vector_top_k(v, some, 25).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     q = d.join(some.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
-    by_word = search.overlap_search(q, d.select("doc_id", "text"), 25).where("doc_id <> query_id")
+    by_word = search.overlap_search(q, d.select("doc_id", "text"), 25).where("doc_id <> query_id and hits > 0")
     return search.reciprocal_rank_fusion(by_word, by_vector, "query_id", "doc_id", 5)
 
 

@@ -162,18 +162,34 @@ NEAREST_SQL = """SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY
 
 
 def page_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads made from events against daily caps."""
+    """Uploads made from events against daily caps; documents are sent from several addresses."""
     e = table(spark, sf_dir, "events")
-    pages = F.sequence((F.col("event_id") % 100 + 1).cast("int"), (F.col("event_id") % 100 + 1 + F.col("event_id") % 30).cast("int"))
-    up = e.select(F.col("user_id").cast("string").alias("ip"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.col("event_type").alias("document"), pages.alias("pages"))
-    return guards.page_caps(up)
+    first = (F.col("event_id") * 13 % 110 + 1).cast("int")
+    pages = F.sequence(first, first + (F.col("event_id") % 30).cast("int"))
+    document = F.concat_ws("-", "event_type", (F.col("user_id") % 4).cast("string"))
+    up = e.select((F.col("user_id") % 40).cast("string").alias("ip"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), document.alias("document"), pages.alias("pages"))
+    return guards.page_caps(up, most_documents=5)
+
+
+PAGE_CAPS_SQL = """WITH RECURSIVE u AS (SELECT CAST(user_id % 40 AS VARCHAR) AS ip, CAST(ts AS DATE) AS day, event_id AS seq, event_type || '-' || user_id % 4 AS document,
+    generate_series(event_id * 13 % 110 + 1, event_id * 13 % 110 + 1 + event_id % 30) AS pages FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY day, document ORDER BY seq) AS n FROM u),
+r AS (SELECT ip, day, seq, document, n, list_max(pages) <= 120 AS fits, CASE WHEN list_max(pages) <= 120 THEN pages ELSE [] END AS seen,
+    CASE WHEN list_max(pages) <= 120 THEN len(pages) ELSE 0 END AS total FROM n WHERE n = 1
+  UNION ALL SELECT x.ip, x.day, x.seq, x.document, x.n, x.ok, CASE WHEN x.ok THEN x.merged ELSE x.seen END, CASE WHEN x.ok THEN x.total + len(x.pages) ELSE x.total END FROM (
+    SELECT n.*, r.seen, r.total, list_distinct(list_concat(r.seen, n.pages)) AS merged,
+      list_max(n.pages) <= 120 AND len(list_distinct(list_concat(r.seen, n.pages))) <= 120 AND r.total + len(n.pages) <= 240 AS ok
+    FROM r JOIN n ON n.day = r.day AND n.document = r.document AND n.n = r.n + 1) x),
+f AS (SELECT *, min(seq) FILTER (fits) OVER (PARTITION BY ip, day, document) AS first FROM r),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY ip, day ORDER BY first NULLS LAST) AS place FROM f)
+SELECT ip, day, seq, CASE WHEN NOT fits THEN 'page_cap' WHEN place > 5 THEN 'booklet_cap' ELSE 'ok' END AS verdict FROM p"""
 
 
 def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the benchmark, each text once, by words, beginnings and near spellings."""
+    """Lines of the benchmark, each text once, by words, beginnings of three letters and near spellings of five."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"(?<=\.)\s+")).alias("n", "text"))
     once = b.groupBy("text").agg(F.min(F.concat_ws(":", "item_id", "n")).alias("passage"))
-    return search.bm25_search(once, {"text": 1.0}, "that thing ofthe andther", "passage", 5)
+    return search.bm25_search(once, {"text": 1.0}, "that thing ofthe andther th", "passage", 5, prefix_from=3, fuzzy_from=5)
 
 
 def needle_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,21 +246,26 @@ def usable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 USABLE_SQL = "SELECT p_type, p_retailprice > 1000 AS in_use, count(*) AS n FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL AND p_size <= 45 GROUP BY 1, 2"
 
 def tokens_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of alias tokens made from customers' numbers."""
+    """Places of alias tokens made from customers' numbers: of lettered and numbered families, and of what is no token."""
     from ..functions.text import letter_index
     from ..operators.conversation import token_order
 
     n = F.col("c_custkey")
-    family = F.element_at(F.array(*[F.lit(f) for f in ("PHONE", "MEMBER", "OTHER")]), (n % 3 + 1).cast("int"))
-    token = F.concat(F.lit("["), family, F.lit("_"), letter_index(n % 300), F.lit("]"))
+    family = F.element_at(F.array(*[F.lit(f) for f in ("PHONE", "MEMBER", "OTHER", "CERT", "ID", "EMPLOYER")]), (n % 6 + 1).cast("int"))
+    mark = F.when(n % 5 == 0, (n % 40).cast("string")).otherwise(letter_index(n % 900))
+    token = F.concat(F.lit("["), family, F.lit("_"), F.when(family.isin("CERT", "ID") & (n % 2 == 0), (n % 77).cast("string")).otherwise(mark), F.lit("]"))
     o = token_order(token)
-    return table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"), o["family"].cast("bigint").alias("family"), o["number"].cast("bigint").alias("number"))
+    return table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"), o["family"].cast("bigint").alias("family"), o["number"].alias("number"), o["text"].alias("rest"))
 
 
-TOKENS_SQL = """WITH c AS (SELECT c_custkey, c_custkey % 300 AS i, c_custkey % 3 AS f FROM customer)
-SELECT c_custkey, '[' || CASE f WHEN 0 THEN 'PHONE' WHEN 1 THEN 'MEMBER' ELSE 'OTHER' END || '_' || CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER))
-    ELSE chr(CAST(65 + (i - 26) // 26 AS INTEGER)) || chr(CAST(65 + (i - 26) % 26 AS INTEGER)) END || ']' AS token,
-  CAST(CASE f WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 8 END AS BIGINT) AS family, i AS number FROM c"""
+TOKENS_SQL = """WITH c AS (SELECT c_custkey, c_custkey % 900 AS i, ['PHONE', 'MEMBER', 'OTHER', 'CERT', 'ID', 'EMPLOYER'][c_custkey % 6 + 1] AS f FROM customer),
+l AS (SELECT *, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN chr(CAST(65 + (i - 26) // 26 AS INTEGER)) || chr(CAST(65 + (i - 26) % 26 AS INTEGER))
+  ELSE chr(CAST(65 + (i - 702) // 676 AS INTEGER)) || chr(CAST(65 + (i - 702) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (i - 702) % 26 AS INTEGER)) END AS letters FROM c),
+m AS (SELECT c_custkey, f, i, CASE WHEN f IN ('CERT', 'ID') AND c_custkey % 2 = 0 THEN CAST(c_custkey % 77 AS VARCHAR) WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 40 AS VARCHAR) ELSE letters END AS mark FROM l),
+g AS (SELECT *, CASE WHEN f IN ('PHONE', 'MEMBER', 'EMPLOYER') AND regexp_full_match(mark, '[A-Z]+') THEN i
+  WHEN f IN ('CERT', 'ID') AND TRY_CAST(mark AS BIGINT) >= 1 THEN TRY_CAST(mark AS BIGINT) - 1 END AS number, '[' || f || '_' || mark || ']' AS token FROM m)
+SELECT c_custkey, token, CAST(CASE WHEN number IS NULL THEN 9 ELSE list_position(['MEMBER', 'EMPLOYER', 'POLICY', 'CERT', 'ADDRESS', 'PHONE', 'EMAIL', 'ID'], f) END AS BIGINT) AS family,
+  CAST(number AS BIGINT) AS number, CASE WHEN number IS NULL THEN token END AS rest FROM g"""
 
 
 def retrieval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,13 +280,59 @@ def retrieval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels_sql() -> str:
-    from .documents import OVERLAP_SQL
+    from .documents import overlap_sql
 
+    found = overlap_sql("SELECT item_id AS query_id, text, 1 AS region FROM benchmark", "SELECT doc_id, text, 1 AS region FROM documents", 5)
     return f"""SELECT query_id, doc_id, rank, CASE WHEN source = 'src' || query_id % 20 THEN 4 WHEN lang = 'en' THEN 2 ELSE 0 END AS label
-FROM ({OVERLAP_SQL}) JOIN documents USING (doc_id)"""
+FROM ({found}) JOIN documents USING (doc_id)"""
+
+
+def periods_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free periods read, with a number of months beside some."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    text = F.element_at(F.array(*[F.lit(x) for x in PERIODS]), (k % len(PERIODS) + 1).cast("int"))
+    months = F.when(k % 3 == 0, (k % 150).cast("int"))
+    p = T.map_period(text, months, start_month=F.lit(4), start_day=F.lit(6))
+    return e.select("event_id", *[p[c].alias(c) for c in ("kind", "months", "years", "start_month", "start_day", "guessed")])
+
+
+PERIODS = [
+    "", "per calendar year", "2 consecutive benefit years", "consecutive years", "Policy  Anniversary", "membership-year", "Lifetime", "per hospital stay", "each visit",
+    "per trip", "rolling 24 months", "rolling", "500 months", "annual", "benefit year", "3 years", "every year", "now and then", "lifetime calendar", "20 years", "per session",
+]
+# what each text gives without months, and with m: kind, months, years, month, day, guessed
+_PERIOD_ROWS = [
+    "('benefit_year', NULL, NULL, 4, 6, true)", "('benefit_year', NULL, NULL, 1, 1, false)", "('consecutive_benefit_years', NULL, y2, 4, 6, false)",
+    "('consecutive_benefit_years', NULL, y0, 4, 6, g0)", "('policy_anniversary', NULL, NULL, NULL, NULL, false)", "('policy_anniversary', NULL, NULL, NULL, NULL, false)",
+    "('lifetime', NULL, NULL, NULL, NULL, false)", "('per_admission', NULL, NULL, NULL, NULL, false)", "('per_visit', NULL, NULL, NULL, NULL, false)",
+    "('per_visit', NULL, NULL, NULL, NULL, false)", "('rolling_months', coalesce(m, 24), NULL, NULL, NULL, false)",
+    "CASE WHEN m IS NULL THEN ('benefit_year', NULL, NULL, 4, 6, true) ELSE ('rolling_months', m, NULL, NULL, NULL, false) END",
+    "('rolling_months', coalesce(m, 120), NULL, NULL, NULL, false)", "('benefit_year', NULL, NULL, 4, 6, false)", "('benefit_year', NULL, NULL, 4, 6, false)",
+    "('rolling_months', 36, NULL, NULL, NULL, true)", "('benefit_year', NULL, NULL, 4, 6, false)", "('benefit_year', NULL, NULL, 4, 6, true)",
+    "('benefit_year', NULL, NULL, 1, 1, false)", "('rolling_months', 120, NULL, NULL, NULL, true)", "('per_visit', NULL, NULL, NULL, NULL, false)",
+]
+PERIODS_SQL = f"""WITH e AS (SELECT event_id, event_id % {len(PERIODS)} AS i, CASE WHEN event_id % 3 = 0 AND event_id % 150 > 0 THEN least(120, event_id % 150) END AS m FROM events),
+y AS (SELECT *, CAST(round_even(m / 12, 0) AS INTEGER) AS y FROM e),
+z AS (SELECT *, CASE WHEN m IS NULL THEN 2 WHEN y = 0 THEN 2 ELSE least(10, y) END AS y0, m IS NULL OR y = 0 AS g0, CASE WHEN m IS NULL THEN 2 WHEN y = 0 THEN 2 ELSE least(10, y) END AS y2 FROM y),
+r AS (SELECT event_id, CASE i {' '.join(f"WHEN {i} THEN CAST({row} AS STRUCT(kind VARCHAR, months INTEGER, years INTEGER, start_month INTEGER, start_day INTEGER, guessed BOOLEAN))" for i, row in enumerate(_PERIOD_ROWS))} END AS p FROM z)
+SELECT event_id, p.kind AS kind, p.months AS months, p.years AS years, p.start_month AS start_month, p.start_day AS start_day, p.guessed AS guessed FROM r"""
+
+
+def dates_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in seven ways and read back; a way that is not read gives nothing."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    ways = ["yyyy-MM-dd", "MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy/MM/dd", "dd/MM/yyyy", "MM-dd-yyyy"]
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(ways) == i, F.date_format("d", w)) for i, w in enumerate(ways)])
+    return o.select("o_orderkey", T.parse_free_date(F.concat(F.lit(" "), text)).alias("read"))
+
+
+DATES_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 9 < 7 THEN CAST(o_orderdate AS DATE) END AS read FROM orders"
 
 
 QUERIES = {
+    "periods_read": (periods_read, PERIODS_SQL),
+    "dates_read": (dates_read, DATES_SQL),
     "tokens_ordered": (tokens_ordered, TOKENS_SQL),
     "retrieval_labels": (retrieval_labels, _labels_sql()),
     "headers_merged": (headers_merged, HEADERS_SQL),
@@ -278,7 +345,7 @@ QUERIES = {
     "slow_days": (slow_days, SLOW_SQL),
     "share_list": (share_list, SHARES_SQL),
     "nearest_rank": (nearest_rank, NEAREST_SQL),
-    "page_caps": (page_caps, None),
+    "page_caps": (page_caps, PAGE_CAPS_SQL),
     "passage_search": (passage_search, None),
     "needle_leaks": (needle_leaks, NEEDLES_SQL),
     "argument_matches": (argument_matches, ARGUMENTS_SQL),

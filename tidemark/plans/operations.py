@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assembly, conversation, evals, ops
@@ -102,28 +102,35 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.element_at(F.array(*[F.lit(c) for c in [*ops.STATUS, "other"]]), (F.col("k") % 9 + 1).cast("int"))
+    codes = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("k") % len(CODES) + 1).cast("int"))
     return events(spark, sf_dir).groupBy(ops.status_of(codes).alias("status")).agg(F.count("*").alias("n"))
 
 
-_CODES = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(ops.STATUS.values()))
-STATUS_SQL = f"SELECT CASE CAST(json_extract(props, '$.k') AS BIGINT) % 9 {_CODES} ELSE 500 END AS status, count(*) AS n FROM events GROUP BY 1"
+CODES = [
+    "invalid_request", "pii_detected", "unsafe_image", "content_filtered", "prompt_injection", "payload_too_large", "page_cap_exceeded",
+    "unsupported_media_type", "rate_limited", "budget_exhausted", "booklet_cap_exceeded", "ai_disabled", "upstream_error", "internal_error", "other",
+]
+STATUS_SQL = """SELECT CAST([400, 422, 422, 422, 422, 413, 413, 415, 429, 429, 429, 503, 502, 500, 500][CAST(json_extract(props, '$.k') AS BIGINT) % 15 + 1] AS INTEGER) AS status,
+  count(*) AS n FROM events GROUP BY 1"""
 
 
 def claim_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each customer's consecutive orders, which changes of status a claim could make."""
+    """Of each customer's consecutive orders, with statuses by their numbers, which changes of status a claim could make."""
     from pyspark.sql import Window
 
     from ..sources.adapter import claims
 
     w = Window.partitionBy("member_id").orderBy("created", "claim_id")
-    c = claims(spark, sf_dir).withColumn("before", F.lag("status").over(w)).where("before is not null")
+    status = F.element_at(F.array(*[F.lit(x) for x in (*ops.TRANSITIONS, "lost")]), (F.col("claim_id") * 7 % 6 + 1).cast("int"))
+    c = claims(spark, sf_dir).withColumn("status", status).withColumn("before", F.lag("status").over(w)).where("before is not null")
     return c.groupBy("before", "status").agg(F.count("*").alias("n"), F.first(ops.may_go(F.col("before"), F.col("status"))).alias("allowed"))
 
 
-TRANSITIONS_SQL = """WITH c AS (SELECT o_custkey, o_orderdate, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'submitted' ELSE 'partially_paid' END AS status FROM orders),
+TRANSITIONS_SQL = """WITH c AS (SELECT o_custkey, o_orderdate, o_orderkey, ['draft', 'submitted', 'paid', 'partially_paid', 'rejected', 'lost'][o_orderkey * 7 % 6 + 1] AS status FROM orders),
+t(a, b) AS (VALUES ('draft', 'submitted'), ('submitted', 'paid'), ('submitted', 'partially_paid'), ('submitted', 'rejected'), ('submitted', 'draft'),
+  ('paid', 'partially_paid'), ('paid', 'rejected'), ('partially_paid', 'paid'), ('partially_paid', 'rejected'), ('rejected', 'paid'), ('rejected', 'partially_paid')),
 b AS (SELECT status, lag(status) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS before FROM c)
-SELECT before, status, count(*) AS n, (before = 'submitted' AND status <> 'submitted') OR (before = 'partially_paid' AND status = 'paid') AS allowed
+SELECT before, status, count(*) AS n, (before = status AND before <> 'lost') OR (before, status) IN (SELECT (a, b) FROM t) AS allowed
 FROM b WHERE before IS NOT NULL GROUP BY 1, 2"""
 
 
@@ -186,12 +193,19 @@ FROM n WHERE NOT bad AND NOT (role = 'user' AND next_bad) AND trim(text) <> ''""
 
 
 def history_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation.truncate(turns(spark, sf_dir), 4).select("conv_id", "turn", "role")
+    """Conversations cut to four turns and to two, begun by a system turn and ended by others."""
+    t = turns(spark, sf_dir)
+    every = [conversation.truncate(t, most).select("conv_id", "turn", "role", F.lit(most).alias("most")) for most in (60, 4, 1)]
+    return every[0].unionByName(every[1]).unionByName(every[2])
 
 
-TRUNCATE_SQL = """WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
-f AS (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS first FROM n WHERE n <= 4)
-SELECT conv_id, turn, role FROM f WHERE turn >= coalesce(first, turn)"""
+def _truncate_sql(most: int) -> str:
+    return f"""SELECT conv_id, turn, role, {most} AS most FROM (SELECT *, min(turn) FILTER (role = 'user' AND n <= {most}) OVER (PARTITION BY conv_id) AS first FROM n)
+WHERE n <= {most} AND (many <= {most} OR turn >= first)"""
+
+
+TRUNCATE_SQL = f"""WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, count(*) OVER (PARTITION BY conv_id) AS many FROM conversations)
+{_truncate_sql(60)} UNION ALL {_truncate_sql(4)} UNION ALL {_truncate_sql(1)}"""
 
 
 def router_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,45 +214,88 @@ def router_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROUTER_SQL = """WITH c AS (SELECT conv_id, turn, role, coalesce(string_agg(role || ': ' || substr(text, 1, 300), chr(10))
-  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations)
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations WHERE role IN ('user', 'assistant'))
 SELECT conv_id, turn, md5(context) AS context_hash FROM c WHERE role = 'user'"""
 
 
+def _families() -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in ("member", "policy", "id", "phone")]), (F.length("text") % 4 + 1).cast("int"))
+
+
 def alias_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In each conversation, turns' lengths as values that get letters by first sight."""
-    v = turns(spark, sf_dir).select("conv_id", "role", (F.length("text") % 50).cast("bigint").alias("value"), "turn")
-    return conversation.alias_tokens(v, "conv_id", "role", "value", "turn")
+    """In each conversation, turns' lengths as values that get letters or numbers by first sight."""
+    v = turns(spark, sf_dir).select("conv_id", _families().alias("family"), (F.length("text") % 50).cast("bigint").alias("value"), "turn")
+    return conversation.alias_tokens(v, "conv_id", "family", "value", "turn")
 
 
-ALIAS_SQL = """WITH f AS (SELECT conv_id, role, length(text) % 50 AS value, min(turn) AS first FROM conversations GROUP BY 1, 2, 3),
-i AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY first, value) - 1 AS i FROM f)
-SELECT conv_id, role, CAST(value AS BIGINT) AS value, '[' || upper(role) || '_' || CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER))
-  ELSE chr(CAST(65 + (i - 26) // 26 AS INTEGER)) || chr(CAST(65 + (i - 26) % 26 AS INTEGER)) END || ']' AS token FROM i"""
+def _token_sql(family: str, i: str) -> str:
+    letters = f"""CASE WHEN {i} < 26 THEN chr(CAST(65 + {i} AS INTEGER)) WHEN {i} < 702 THEN chr(CAST(65 + ({i} - 26) // 26 AS INTEGER)) || chr(CAST(65 + ({i} - 26) % 26 AS INTEGER))
+    ELSE chr(CAST(65 + ({i} - 702) // 676 AS INTEGER)) || chr(CAST(65 + ({i} - 702) // 26 % 26 AS INTEGER)) || chr(CAST(65 + ({i} - 702) % 26 AS INTEGER)) END"""
+    return f"'[' || {family} || '_' || CASE WHEN {family} IN ('POLICY', 'CERT', 'ID') THEN CAST({i} + 1 AS VARCHAR) ELSE {letters} END || ']'"
+
+
+ALIAS_SQL = f"""WITH f AS (SELECT conv_id, ['member', 'policy', 'id', 'phone'][length(text) % 4 + 1] AS family, length(text) % 50 AS value, min(turn) AS first FROM conversations GROUP BY 1, 2, 3),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id, family ORDER BY first, value) - 1 AS i FROM f)
+SELECT conv_id, family, CAST(value AS BIGINT) AS value, {_token_sql('upper(family)', 'i')} AS token FROM i"""
+
+
+def allocated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' keys as values by brand, some of which have a stored token: indices that are taken are passed over."""
+    p = table(spark, sf_dir, "part").select(
+        F.element_at(F.array(F.lit("member"), F.lit("policy")), (F.col("p_partkey") % 2 + 1).cast("int")).alias("family"), F.col("p_partkey").alias("value"), "p_size"
+    )
+    stored = p.where("value % 5 = 0").select("family", "value", conversation.format_token(F.upper("family"), F.floor(F.col("value") / 2)).alias("token"))
+    return conversation.allocate_tokens(p, stored, "family", "value", "p_size")
+
+
+ALLOCATED_SQL = f"""WITH p AS (SELECT CASE p_partkey % 2 WHEN 0 THEN 'member' ELSE 'policy' END AS family, p_partkey AS value, p_size FROM part),
+s AS (SELECT family, value, value // 2 AS i FROM p WHERE value % 5 = 0),
+m AS (SELECT family, max(i) + count(*) AS top FROM p LEFT JOIN s USING (family, value) GROUP BY 1),
+c AS (SELECT family, unnest(generate_series(0, top)) AS i FROM m),
+free AS (SELECT family, i, row_number() OVER (PARTITION BY family ORDER BY i) AS r FROM c WHERE (family, i) NOT IN (SELECT (family, i) FROM s)),
+n AS (SELECT family, value, row_number() OVER (PARTITION BY family ORDER BY p_size, value) AS r FROM p WHERE value % 5 <> 0),
+e AS (SELECT family, value, i FROM s UNION ALL SELECT family, value, i FROM n JOIN free USING (family, r))
+SELECT family, value, {_token_sql('upper(family)', 'i')} AS token FROM e"""
 
 
 def message_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's turns as the events of one message, folded."""
-    event = F.to_json(F.struct(F.lit("text-delta").alias("type"), F.col("role").alias("id"), F.col("text").alias("delta")))
-    return conversation.fold_messages(turns(spark, sf_dir).select(F.col("conv_id").alias("message_id"), F.col("turn").alias("seq"), event.alias("event"))).drop("json")
+    """Each conversation's turns as the events of one message: texts that open again under a role's name, data that take
+    the place of earlier ones, and calls of tools."""
+    t = turns(spark, sf_dir)
+    k = F.col("turn") % 4
+    call = F.concat(F.lit("c"), F.floor(F.col("turn") / 8).cast("string"))
+    event = (
+        F.when(k == 0, F.to_json(F.struct(F.lit("text-start").alias("type"), F.col("role").alias("id"))))
+        .when(k == 1, F.to_json(F.struct(F.lit("text-delta").alias("type"), F.col("role").alias("id"), F.length("text").cast("string").alias("delta"))))
+        .when(k == 2, F.to_json(F.struct(F.lit("data-n").alias("type"), F.col("role").alias("id"), F.col("turn").alias("data"))))
+        .otherwise(F.to_json(F.struct(F.when(F.col("turn") % 8 == 3, "tool-input-start").otherwise("tool-output-denied").alias("type"), call.alias("toolCallId"))))
+    )
+    return conversation.fold_messages(t.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("seq"), event.alias("event"))).drop("json")
 
 
-FOLD_SQL = "SELECT conv_id AS message_id, count(DISTINCT role) AS parts, CAST(NULL AS VARCHAR) AS finish FROM conversations GROUP BY 1"
+FOLD_SQL = """WITH t AS (SELECT *, turn % 4 AS k FROM conversations),
+d AS (SELECT t.conv_id, t.role, t.turn FROM t WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM t o WHERE o.conv_id = t.conv_id AND o.role = t.role AND o.k < 2 AND o.turn < t.turn))
+SELECT conv_id AS message_id, count(*) FILTER (k = 0) + (SELECT count(*) FROM d WHERE d.conv_id = t.conv_id) + count(DISTINCT role) FILTER (k = 2)
+  + count(*) FILTER (turn % 8 = 3) AS parts, CAST(NULL AS VARCHAR) AS finish FROM t GROUP BY 1"""
 
 
 def issue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues made from documents in two lists, those of the second with messages of their own."""
     d = table(spark, sf_dir, "documents")
-    severity = F.when(F.col("doc_id") % 2 == 0, "advisory").otherwise("warning")
-    make = lambda df: df.select(
-        (F.col("doc_id") % 4).cast("string").alias("code"), (F.col("n_chars") % 9).alias("page"), F.col("lang").alias("category"),
-        F.col("source").alias("row_id"), severity.alias("severity"), (F.col("doc_id") % 10).cast("string").alias("message"),
+    code = F.when(F.col("doc_id") % 2 == 0, "pii_advisory").otherwise(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))
+    make = lambda df, mark: df.select(
+        code.alias("code"), F.when(F.col("n_chars") % 9 > 0, F.col("n_chars") % 9).alias("page"), F.col("lang").alias("category"),
+        F.col("source").alias("row_id"), F.concat(F.lit(mark), (F.col("doc_id") % 10).cast("string")).alias("message"), "doc_id",
     )
-    return assembly.merge_issues(make(d), make(d.where("doc_id % 3 = 0")))
+    return assembly.merge_issues(make(d.where("doc_id % 3 <> 0"), "z"), make(d, "a"), make(d, "z"), order="doc_id")
+
 
+ISSUES_SQL = """WITH l(i, mark) AS (VALUES (0, 'z'), (1, 'a'), (2, 'z')),
+i AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'pii_advisory' ELSE 'c' || doc_id % 3 END AS code, nullif(n_chars % 9, 0) AS page, lang AS category, source AS row_id,
+  mark || doc_id % 10 AS message, doc_id, i FROM documents, l WHERE i > 0 OR doc_id % 3 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY code, page, category, row_id, CASE WHEN code = 'pii_advisory' THEN '' ELSE message END ORDER BY i, doc_id) AS n FROM i)
+SELECT code, page, category, row_id, message, doc_id FROM n WHERE n = 1"""
 
-ISSUES_SQL = """WITH i AS (SELECT CAST(doc_id % 4 AS VARCHAR) AS code, n_chars % 9 AS page, lang AS category, source AS row_id,
-  CASE WHEN doc_id % 2 = 0 THEN 'advisory' ELSE 'warning' END AS severity, CAST(doc_id % 10 AS VARCHAR) AS message FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY code, page, category, row_id, CASE WHEN severity = 'advisory' THEN '' ELSE message END ORDER BY message) AS n FROM i)
-SELECT code, page, category, row_id, severity, message FROM n WHERE n = 1"""
 
 QUERIES = {
     "metric_bins": (metric_bins, BINS_SQL),
@@ -259,6 +316,7 @@ QUERIES = {
     "history_truncated": (history_truncated, TRUNCATE_SQL),
     "router_context": (router_context, ROUTER_SQL),
     "alias_tokens": (alias_tokens, ALIAS_SQL),
+    "allocated_tokens": (allocated_tokens, ALLOCATED_SQL),
     "message_fold": (message_fold, FOLD_SQL),
     "issue_merge": (issue_merge, ISSUES_SQL),
 }

@@ -17,8 +17,8 @@ def _pick_sql(values: list[str], n: str) -> str:
     return f"[{', '.join(repr(v) for v in values)}][({n}) % {len(values)} + 1]"
 
 
-CATEGORIES = ["sin", "email", "card", "person", "postal"]
-CODES = [*rules.ISSUE_GROUPS, "else"]
+CATEGORIES = ["CASocialInsuranceNumber", "Email", "CreditCardNumber", "Organization", "DateOfBirth", "AUDriversLicenseNumber", "Person"]
+CODES = ["pii_advisory", "page_excluded", "prompt_injection", "ocr_empty", "unsupported_row", "low_confidence", "ungrounded_quote", "verifier_rounds_exhausted", "duplicate_removed"]
 
 
 def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TIER = f"""CASE WHEN c IN {rules.HARD_CATEGORIES} AND p >= 80 THEN 'hard'
-  WHEN c IN {(*rules.HARD_CATEGORIES, *rules.SOFT_CATEGORIES)} AND p >= 50 THEN 'advisory' END"""
-_GROUP = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.ISSUE_GROUPS.items())
+_TIER = """CASE WHEN c IN ('CASocialInsuranceNumber', 'DateOfBirth', 'AUDriversLicenseNumber') AND p >= 80 THEN 'hard'
+  WHEN c <> 'CreditCardNumber' AND p >= 50 THEN 'advisory' END"""
+_GROUP = """WHEN 'pii_advisory' THEN 'personal' WHEN 'page_excluded' THEN 'excluded' WHEN 'prompt_injection' THEN 'excluded' WHEN 'ocr_empty' THEN 'excluded'
+  WHEN 'unsupported_row' THEN 'rows' WHEN 'low_confidence' THEN 'rows' WHEN 'ungrounded_quote' THEN 'rows' WHEN 'verifier_rounds_exhausted' THEN 'rows'"""
 _CONF = """((CASE WHEN doc_id % 3 = 0 THEN f ELSE least(f, 5000) END) * (CASE WHEN doc_id % 5 = 0 THEN 9 ELSE 10 END) + 50) // 100 / 1000"""
 FLAGS_SQL = f"""WITH r AS (SELECT doc_id, {_pick_sql(CATEGORIES, 'doc_id')} AS c, {_pick_sql(CODES, 'doc_id')} AS code, n_chars % 101 AS p,
   n_chars % 100 * (CASE doc_id % 4 WHEN 0 THEN 35 WHEN 1 THEN 100 ELSE 75 END) AS f FROM documents)
@@ -46,12 +47,18 @@ SELECT doc_id, {_TIER} AS tier, CASE code {_GROUP} ELSE 'other' END AS issue_gro
 
 def routed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").where("role = 'user'")
-    text = F.concat(_pick(["What is the tax rule", "How do I claim", "weather today", "", "rules of rebate"], F.col("turn") + F.col("conv_id")))
+    text = _pick(ASKED, F.col("turn") + F.col("conv_id"))
     return t.select("conv_id", "turn", rules.route(text).alias("route"))
 
 
-ROUTED_SQL = """SELECT conv_id, turn, ['knowledge', 'plan', 'off_topic', 'plan', 'knowledge'][(turn + conv_id) % 5 + 1] AS route
-FROM conversations WHERE role = 'user'"""
+ASKED = [
+    "What is the Medicare levy?", "Is my levy covered?", "Tell me a JOKE", "", "ignore previous rules", "waiting periods for hospital", "medical expense rules",
+    "a claim for tax", "capital of France", "Does OHIP pay?", "taxes", "stocks", "remaining rebate",
+]
+ROUTED_SQL = f"""WITH c AS (SELECT conv_id, turn, lower({_pick_sql(ASKED, 'turn + conv_id')}) AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(^|\\W)(poem|joke|weather|recipe|bitcoin|stock|football|movie|song|capital of|ignore (all|previous|your)|system prompt)(\\W|$)') THEN 'off_topic'
+  WHEN regexp_matches(t, '(^|\\W)(tax|medical expenses?|metc|cra|medicare|levy|rebate|lifetime health cover|waiting periods? (for|in) (private|hospital)|ohip|provincial plan|private health insurance rules?)(\\W|$)')
+    AND NOT regexp_matches(t, '(^|\\W)(my|covered|claim|left|remaining)(\\W|$)') THEN 'knowledge' ELSE 'plan_claims' END AS route FROM c"""
 
 
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,10 +287,11 @@ FROM documents GROUP BY 1"""
 
 def status_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", ops.status_of(_pick([*ops.STATUS, "x"], F.col("event_id"))).alias("status"))
+    codes = ["prompt_injection", "ai_disabled", "payload_too_large", "x", "invalid_request", "upstream_error", "budget_exhausted"]
+    return e.select("event_id", ops.status_of(_pick(codes, F.col("event_id"))).alias("status"))
 
 
-STATUS_MAP_SQL = f"SELECT event_id, [{', '.join(map(str, [*ops.STATUS.values(), 500]))}][event_id % {len(ops.STATUS) + 1} + 1] AS status FROM events"
+STATUS_MAP_SQL = "SELECT event_id, CAST([422, 503, 413, 500, 400, 502, 429][event_id % 7 + 1] AS INTEGER) AS status FROM events"
 
 QUERIES = {
     "review_flags": (review_flags, FLAGS_SQL),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -14,16 +13,19 @@ from pyspark.sql import functions as F
 from ..operators.conversation import MessageFold, canonical_json
 
 
-def slide(times: Iterable[float], hits: deque, most: int, seconds: float) -> Iterator[int | None]:
-    """For each time None if it is let in, else seconds to wait. Refused ones take no place in the window."""
+def waits(times: Iterable[float], let_in: list[float], most: int, seconds: float) -> list[int | None]:
+    """For each time, in order, None if it is let in, else whole seconds to wait.
+
+    A time is let in if the one that was let in ``most`` times before it lies outside the window; refused ones take no
+    place. ``let_in`` holds earlier ones and is added to; only its last ``most`` matter.
+    """
+    out: list[int | None] = []
     for t in times:
-        while hits and hits[0] <= t - seconds:
-            hits.popleft()
-        if len(hits) >= most:
-            yield max(1, math.ceil(hits[0] + seconds - t))
-        else:
-            hits.append(t)
-            yield None
+        left = let_in[-most] + seconds - t if len(let_in) >= most else 0.0
+        out.append(math.ceil(left) if left > 0 else None)
+        if left <= 0:
+            let_in.append(t)
+    return out
 
 
 def _seconds(ts: pd.Series) -> list[float]:
@@ -39,7 +41,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, most: int, seconds: f
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, tie])
-        wait = list(slide(_seconds(pdf[ts]), deque(), most, seconds))
+        wait = waits(_seconds(pdf[ts]), [], most, seconds)
         return pd.DataFrame({tie: pdf[tie], key: pdf[key], "allowed": [w is None for w in wait], "retry_after": pd.array(wait, "Int64")})
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (tie, key)}
@@ -61,10 +63,10 @@ def rate_limit_stream(df: DataFrame, key: str, ts: str, tie: str, most: int, sec
         if state.hasTimedOut:
             state.remove()
             return
-        hits = deque(state.get[0]) if state.exists else deque()
+        let_in = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(frames)).sort_values([ts, tie])
-        wait = list(slide(_seconds(pdf[ts]), hits, most, seconds))
-        state.update((list(hits),))
+        wait = waits(_seconds(pdf[ts]), let_in, most, seconds)
+        state.update((let_in[-most:],))
         state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame({tie: pdf[tie], key: keys[0], "allowed": [w is None for w in wait], "retry_after": pd.array(wait, "Int64")})
 
@@ -74,39 +76,41 @@ def rate_limit_stream(df: DataFrame, key: str, ts: str, tie: str, most: int, sec
     )
 
 
+def pages_fit(uploads: Iterable[list[int]], most: int) -> list[bool]:
+    """Of one document's uploads of a day, in order, which fit: no page above ``most``, no more than that distinct ones
+    with those of uploads that fitted before, and no more than twice as many pages in all."""
+    seen, total, out = 0, 0, []
+    for pages in uploads:
+        low = max(pages, default=0) <= most
+        own = sum(1 << p for p in set(pages)) if low else 0  # a set of pages as bits
+        fits = low and (seen | own).bit_count() <= most and total + len(pages) <= 2 * most
+        if fits:
+            seen, total = seen | own, total + len(pages)
+        out.append(fits)
+    return out
+
+
 def page_caps(df: DataFrame, most_documents: int = 3, most_pages: int = 120) -> DataFrame:
-    """(ip, day, seq, verdict): uploads (ip, day, seq, document, pages array) against caps, in order of seq.
+    """(ip, day, seq, verdict): uploads (ip, day, seq, document, pages array) against caps of the day, in order of seq.
 
-    ``ok``, ``page_cap`` (a page above the cap, too many distinct, or twice the cap analysed) or ``booklet_cap``; pages
-    are checked first; refused uploads leave nothing behind. Days are judged each on its own; a month of an address is
-    one call of Python.
+    ``page_cap``: the pages don't fit (``pages_fit``); a document's pages count over all addresses. ``booklet_cap``: the
+    pages fit, and count, but the address has had ``most_documents`` others that fitted before. Else ``ok``. The second rule
+    needs no fold: an address may send those documents whose first fitting uploads were its first.
     """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in ("ip", "day", "seq", "document")}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([judged(day) for _, day in pdf.groupby("day")])
-
-    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
-        documents: list = []
-        seen: dict[object, set] = {}
-        analysed: dict[object, int] = {}
-        out = []
-        for r in pdf.sort_values("seq").itertuples():
-            pages = [int(p) for p in r.pages]
-            merged = seen.get(r.document, set()) | set(pages)
-            total = analysed.get(r.document, 0) + len(pages)
-            if r.document not in documents and len(documents) >= most_documents:
-                verdict = "booklet_cap"
-            elif max(pages, default=0) > most_pages or len(merged) > most_pages or total > 2 * most_pages:
-                verdict = "page_cap"
-            else:
-                verdict = "ok"
-                seen[r.document], analysed[r.document] = merged, total
-                documents += [] if r.document in documents else [r.document]
-            out.append((r.ip, r.day, r.seq, verdict))
-        return pd.DataFrame(out, columns=["ip", "day", "seq", "verdict"])
-
-    months = df.withColumn("month", F.trunc("day", "month"))
-    return months.groupBy("ip", "month").applyInPandas(run, "ip string, day date, seq bigint, verdict string")
+        pdf = pdf.sort_values("seq")
+        fits = pages_fit(([int(p) for p in pages] for pages in pdf["pages"]), most_pages)
+        return pdf[["ip", "day", "seq", "document"]].assign(fits=fits)
+
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", fits boolean"
+    judged = df.select("ip", "day", "seq", "document", "pages").groupBy("day", "document").applyInPandas(run, schema)
+    first = F.min(F.when(F.col("fits"), F.col("seq"))).over(Window.partitionBy("ip", "day", "document"))
+    place = F.dense_rank().over(Window.partitionBy("ip", "day").orderBy(F.col("__first").asc_nulls_last()))
+    ranked = judged.withColumn("__first", first).withColumn("__place", place)
+    verdict = F.when(~F.col("fits"), "page_cap").when(F.col("__place") > most_documents, "booklet_cap").otherwise("ok")
+    return ranked.select("ip", "day", "seq", verdict.alias("verdict"))
 
 
 def bins_stream(df: DataFrame, grain: str, late: str, keys: list[str], value: Column) -> DataFrame:
@@ -128,13 +132,12 @@ def fold_stream(df: DataFrame) -> DataFrame:
         fold = MessageFold(json.loads(state.get[0]) if state.exists else None)
         for e in pd.concat(list(frames)).sort_values("seq")["event"]:
             fold.feed(json.loads(e))
-        text = canonical_json(fold.state)
-        if fold.state["finish"]:
+        if fold.message["finish"]:
             if state.exists:
                 state.remove()
         else:
-            state.update((text,))
-        yield pd.DataFrame([(keys[0], text)], columns=["message_id", "json"])
+            state.update((canonical_json(fold.state),))
+        yield pd.DataFrame([(keys[0], canonical_json(fold.message))], columns=["message_id", "json"])
 
     return df.groupBy("message_id").applyInPandasWithState(run, "message_id bigint, json string", "json string", "update", "NoTimeout")
 
