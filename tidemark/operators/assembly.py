@@ -110,6 +110,12 @@ def merge_issues(*issues: DataFrame, order: str) -> DataFrame:
     return every.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__list")
 
 
+def duplicate_issues(rows: DataFrame, kept_by: DataFrame, key: str, page: str) -> DataFrame:
+    """(page, removed, code, severity): how many rows of each page a duplicate search (key, kept_by) left out for another."""
+    gone = rows.join(kept_by.where(F.col("kept_by") != F.col(key)).select(key), key, "left_semi")
+    return gone.groupBy(page).agg(F.count("*").alias("removed")).select(page, "removed", F.lit("duplicate_removed").alias("code"), F.lit("info").alias("severity"))
+
+
 def unique_ids(df: DataFrame, base: str, order: list[str], out: str = "id") -> DataFrame:
     """Ids of a base name, with -2, -3, ... after the first."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))

@@ -61,6 +61,13 @@ def gate_summary(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.select("metric", "value", gate(F.col("value"), F.col("low"), F.col("high"), F.col("required")).alias("status"))
 
 
+def citation_rates(results: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows, pass_rate, expected_rate): shares of answers whose citations passed, and that cite the expected source;
+    null flags count as not."""
+    yes = lambda c: F.avg(F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0))
+    return results.groupBy(*keys).agg(F.count("*").alias("rows"), yes(F.col("passed")).alias("pass_rate"), yes(F.col("expected_hit")).alias("expected_rate"))
+
+
 #: The class of words in which runs are counted, and the longest run that an excerpt may share.
 WORD = "[a-z0-9']+"
 EXCERPT_WORDS = 50

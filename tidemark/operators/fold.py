@@ -72,6 +72,9 @@ class PlanRules:
     pools: dict[str, Limit] = field(default_factory=dict)
     period: Period = Period("benefit_year")
     effective: date | None = None
+    submission_days: int | None = None
+    days_after_end: int | None = None
+    hospital: frozenset = frozenset()  # benefits whose estimates are a guide only
 
 
 def half_up(n: float, d: int = 1) -> int:
@@ -292,6 +295,103 @@ def estimate(ledger: Ledger, benefit: object, member: object, day: date, charged
     return pays, reason, applied
 
 
+@dataclass(frozen=True)
+class Quote:
+    """An estimate of one line: what is eligible, who pays what, what limits it, what is left after it, by when to claim,
+    and warnings as (code, date or None)."""
+
+    eligible: int
+    pays: int
+    member_pays: int
+    limited_by: str | None
+    shares: dict[str, int]
+    limit_left: int | None
+    pool_left: int | None
+    deadline: date | None
+    warnings: tuple[tuple[str, date | None], ...]
+
+
+def deadline(plan: PlanRules, day: date) -> date | None:
+    """The later of so many days after the service and after the end of the plan's own window, as far as there are rules."""
+    own = window(plan.period, day, plan)
+    ends = [day + timedelta(plan.submission_days)] if plan.submission_days is not None else []
+    ends += [own[1] + timedelta(plan.days_after_end)] if plan.days_after_end is not None and own and own != LIFETIME else []
+    return max(ends, default=None)
+
+
+def next_eligible(ledger: Ledger, benefit: object, member: object, day: date) -> date | None:
+    """The first day on which a benefit's frequency, over rolling months and already used up, allows a service again."""
+    rule = ledger.plan.benefits[benefit].frequency
+    if rule is None or rule.period.kind != "rolling_months" or rule.value <= 0:
+        return None
+    w = window(rule.period, day, ledger.plan)
+    mine = [e for e in ledger.of_benefit[benefit] if e.paid > 0 and w[0] <= e.day <= w[1] and (rule.scope != "per_person" or e.member == member)]
+    days = sorted(e.day for e in mine for _ in range(max(1, math.ceil(e.quantity))))
+    if len(days) < rule.value:
+        return None
+    leaves = days[len(days) - int(rule.value)]
+    after = add_months(leaves, rule.period.months)
+    # the first day whose window no longer reaches back to it
+    return next(d for d in (after + timedelta(k) for k in range(5)) if add_months(d, -rule.period.months) >= leaves)
+
+
+def quote(ledger: Ledger, benefit: object, member: object, day: date, charged: int, other: int = 0, quantity: float = 1,
+          code: str | None = None, today: date | None = None) -> Quote:
+    """``estimate`` with all that is told beside it; windows are those of the service's day."""
+    plan, b = ledger.plan, ledger.plan.benefits.get(benefit)
+    eligible = max(0, charged)
+    balance = eligible - min(eligible, max(0, other))
+    due = deadline(plan, day)
+    if b is None or (plan.effective and day < plan.effective):
+        why = ("not_in_plan", None) if b is None else ("before_coverage", plan.effective)
+        return Quote(eligible, 0, balance, "not_covered", {}, None, None, due, (why,))
+    pays, reason, shares = estimate(ledger, benefit, member, day, charged, other, quantity, code)
+    warnings: list[tuple[str, date | None]] = []
+    if b.coverage.kind == "schedule" and not covered(b.coverage, eligible, 1, code)[2]:
+        warnings.append(("item_unknown" if code else "item_missing", None))
+
+    def left(key: tuple, limit: Limit) -> tuple[float, bool]:
+        used = ledger.used(key, limit, member, day)
+        return max(0, limit.value - (used or 0)), used is not None
+
+    if b.frequency and left(("frequency", benefit), b.frequency)[0] <= 0:
+        again = next_eligible(ledger, benefit, member, day)
+        warnings.append(("not_again_until", again) if again else ("already_used", None))
+    limits = [(limit, *left(("limit", benefit, i), limit)) for i, limit in enumerate(b.limits)]
+    warnings += [("limit_used_up", None) for _, rest, _ in limits if rest <= 0]
+    money = [int(rest) for limit, rest, in_window in limits if limit.unit == "cents" and in_window]
+    pool = plan.pools.get(b.pool)
+    pool_left = None
+    if pool:
+        rest, in_window = left(("pool", b.pool), pool)
+        pool_left = max(0, int(rest) - pays) if pool.unit == "cents" and in_window else None
+        warnings += [("pool_used_up", None)] if rest <= 0 else []
+    if reason == "waiting_period":
+        warnings.append(("waiting_until", add_months(plan.effective, b.waiting_months)))
+    if due and today and due < today:
+        warnings.append(("deadline_passed", due))
+    if benefit in plan.hospital:
+        warnings.append(("guide_only", None))
+    return Quote(eligible, pays, balance - pays, reason, shares, max(0, min(money) - pays) if money else None, pool_left, due, tuple(warnings))
+
+
+def estimate_claim(plan: PlanRules, claims: Iterable[dict], claim: dict, today: date | None = None, include_submitted: bool = True) -> list[Quote]:
+    """Quotes of a claim's lines, in their order, on the ledger of all other claims. Lines see those of the same claim
+    with an earlier date, or the same date and an earlier place."""
+    ledger = replay(plan, (c for c in claims if c["id"] != claim["id"]), include_submitted)
+    lines = claim["lines"]
+    out: list[Quote | None] = [None] * len(lines)
+    for i in sorted(range(len(lines)), key=lambda i: (lines[i]["day"], i)):
+        x = lines[i]
+        quantity = x.get("quantity") or 1
+        quantity = quantity if quantity > 0 else 1
+        q = quote(ledger, x["benefit"], claim["member"], x["day"], x["charged"], x.get("other", 0), quantity, x.get("code"), today)
+        out[i] = q
+        if x["benefit"] in plan.benefits:
+            ledger.add(Entry(claim["id"], x["id"], claim["member"], x["benefit"], x["day"], quantity, q.pays, q.limited_by, q.shares))
+    return out
+
+
 def allocate(total: int, weights: list[int]) -> list[int]:
     """Integer parts by largest remainder, exact in sum; all to the first without any weight."""
     safe = [max(0, w) for w in weights]
@@ -333,6 +433,36 @@ def replay(plan: PlanRules, claims: Iterable[dict], include_submitted: bool = Tr
     return ledger
 
 
+def _claims_of(pdf: pd.DataFrame) -> dict[object, dict]:
+    """A family's claims by id, from joined rows of claims and lines."""
+    names = ["claim_id", "line_id", "member_id", "status", "created", "paid_cents", "benefit_id", "service_date", "charged_cents", "other_cents", "quantity"]
+    claims: dict[object, dict] = {}
+    for cid, line, member, status, created, paid, benefit, day, charged, other, quantity in sorted(zip(*(pdf[n].tolist() for n in names))):
+        if cid not in claims:
+            paid = None if pd.isna(paid) else int(paid)
+            claims[cid] = {"id": cid, "member": member, "status": status, "created": created, "paid": paid, "lines": []}
+        claims[cid]["lines"].append({"id": line, "benefit": benefit, "day": day, "charged": charged, "other": other, "quantity": quantity})
+    return claims
+
+
+def quote_families(df: DataFrame, plan: PlanRules, today: date | None = None, family: str = "family_id") -> DataFrame:
+    """(claim_id, line_id, pays, member_pays, limited_by, limit_left, pool_left, deadline, warnings): quotes of every
+    submitted claim, each on the ledger of its family's other claims. ``df``: see ``replay_families``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        claims = _claims_of(pdf)
+        rows = []
+        for c in claims.values():
+            if c["status"] == "submitted":
+                for x, q in zip(c["lines"], estimate_claim(plan, claims.values(), c, today)):
+                    rows.append((c["id"], x["id"], q.pays, q.member_pays, q.limited_by, q.limit_left, q.pool_left, q.deadline, ",".join(w for w, _ in q.warnings)))
+        out = pd.DataFrame(rows, columns=["claim_id", "line_id", "pays", "member_pays", "limited_by", "limit_left", "pool_left", "deadline", "warnings"])
+        return out.astype({"limit_left": "Int64", "pool_left": "Int64"})
+
+    schema = "claim_id bigint, line_id bigint, pays bigint, member_pays bigint, limited_by string, limit_left bigint, pool_left bigint, deadline date, warnings string"
+    return df.groupBy(family).applyInPandas(run, schema)
+
+
 def replay_families(df: DataFrame, plan: PlanRules, family: str = "family_id") -> DataFrame:
     """(claim_id, line_id, member_id, benefit_id, paid_cents, limited_by, share_cents) of joined claims and lines.
 
@@ -341,13 +471,7 @@ def replay_families(df: DataFrame, plan: PlanRules, family: str = "family_id") -
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = ["claim_id", "line_id", "member_id", "status", "created", "paid_cents", "benefit_id", "service_date", "charged_cents", "other_cents", "quantity"]
-        claims: dict[object, dict] = {}
-        for cid, line, member, status, created, paid, benefit, day, charged, other, quantity in sorted(zip(*(pdf[n].tolist() for n in names))):
-            if cid not in claims:
-                paid = None if pd.isna(paid) else int(paid)
-                claims[cid] = {"id": cid, "member": member, "status": status, "created": created, "paid": paid, "lines": []}
-            claims[cid]["lines"].append({"id": line, "benefit": benefit, "day": day, "charged": charged, "other": other, "quantity": quantity})
+        claims = _claims_of(pdf)
         rows = [(e.claim, e.line, e.member, e.benefit, e.paid, e.limited_by, sum(e.shares.values())) for e in replay(plan, claims.values()).entries]
         return pd.DataFrame(rows, columns=["claim_id", "line_id", "member_id", "benefit_id", "paid_cents", "limited_by", "share_cents"])
 

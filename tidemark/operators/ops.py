@@ -62,6 +62,26 @@ def usage_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
     return F.round(priced).cast("bigint")
 
 
+def tool_report(calls: DataFrame, durations: DataFrame) -> DataFrame:
+    """(tool, executor, calls, errors, error_rate_pct, p95_ms): calls (tool, executor, outcome, n) beside the weighted 95th
+    percentile of durations (tool, executor, n, total_ms), null where none was measured."""
+    keys = ["tool", "executor"]
+    bad = F.col("outcome").isin("error", "rejected")
+    per = calls.groupBy(*keys).agg(F.sum("n").alias("calls"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("errors"))
+    timed = durations.where("n > 0").withColumn("p95_ms", F.col("total_ms") / F.col("n"))
+    p95 = weighted_percentile(timed, keys, "p95_ms", "n", 0.95)
+    rate = F.round(100.0 * F.col("errors") / F.col("calls"), 1).alias("error_rate_pct")
+    return per.join(p95, keys, "left").select(*keys, "calls", "errors", rate, F.round("p95_ms", 0).alias("p95_ms"))
+
+
+def budget_alerts(spend: DataFrame, budgets: DataFrame, day: Column, share: float = 80.0) -> DataFrame:
+    """(namespace, spent, budget, used_pct): namespaces with a budget of which a day's spend (namespace, ts, amount) has
+    used this many percent or more."""
+    per = spend.where(F.to_date("ts") == day).groupBy("namespace").agg(F.sum("amount").alias("spent"))
+    used = F.round(100.0 * F.col("spent") / F.col("budget"), 1)
+    return per.join(F.broadcast(budgets), "namespace").select("namespace", "spent", "budget", used.alias("used_pct")).where(F.col("used_pct") >= share)
+
+
 def remaining_percent(spent: Column, limit: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(100.0 * (limit - spent) / limit, 2)))
 

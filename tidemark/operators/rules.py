@@ -46,6 +46,18 @@ def pii_tier(category: Column, confidence: Column, hard: float = 0.8, soft: floa
     return F.when(is_hard, "hard").when(known, "advisory")
 
 
+def tier_counts(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tier, category, n): hits (keys, category, confidence) by tier and category; those of no tier are left out."""
+    told = hits.withColumn("tier", pii_tier(F.col("category"), F.col("confidence"))).where("tier is not null")
+    return told.groupBy(*keys, "tier", "category").agg(F.count("*").alias("n"))
+
+
+def advisories(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, page, category): each page and category with an advisory hit, once."""
+    tier = pii_tier(F.col("category"), F.col("confidence"))
+    return hits.where(tier == "advisory").select(*keys, "page", "category").distinct()
+
+
 def issue_group(code: Column) -> Column:
     return F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in ISSUE_GROUPS.items()], F.lit("other"))
 

@@ -57,6 +57,25 @@ class KeyedTable:
         self._write(self.read().limit(0))
 
 
+def write_version(df: DataFrame, path: str, number: int) -> None:
+    """Version ``number`` of a table at ``path``; written again, it takes its own place."""
+    df.write.mode("overwrite").parquet(f"{path}/batch-{number:012d}")
+
+
+def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The last whole version at ``path``, or the last below a number; None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(f.getPath().getName()) for f in fs.listStatus(root)] if fs.exists(root) else []
+    numbers = [int(n.removeprefix("batch-")) for n in names if n.startswith("batch-") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+    return max((n for n in numbers if below is None or n < below), default=None)
+
+
+def read_version(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/batch-{number:012d}")
+
+
 def read_files(expected: DataFrame, path: str) -> DataFrame:
     """``expected`` (name, ...) with status and content of the files of those names; missing and empty ones ``failed``."""
     df = expected.sparkSession.read.format("binaryFile").load(path)
