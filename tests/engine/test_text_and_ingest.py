@@ -64,6 +64,31 @@ def test_identifiers(spark):
     assert tuple(scores) == (0.99, 0.7)
 
 
+def found(spark, text, region):
+    df = spark.createDataFrame([(1, text, region)], "doc_id int, text string, region string")
+    return {(r.kind, r.value, round(r.score, 2), r.chosen) for r in I.detections(df, F.col("region")).collect()}
+
+
+def test_detections(spark):
+    assert found(spark, "SIN: 046 454 286", "CA") == {("sin", "046 454 286", 0.95, True)}
+    assert found(spark, "046 454 287 and 046454286", "CA") == {("sin", "046454286", 0.75, True)}
+    assert found(spark, "social insurance no. 046 454 287", "CA") == {("sin", "046 454 287", 0.55, True)}
+    assert found(spark, "OHIP 9876-543-217 AB", "CA") == {("on_health", "9876-543-217 AB", 0.95, True), ("bc_phn", "9876-543-217", 0.55, True)}
+    assert {k for k, *_ in found(spark, "TREM 8556 0412 or TREM 8513 0412", "CA")} == {"ramq"}
+    assert found(spark, "Toronto, ON M5V 2T6; M5V 2T6", "CA") == {("postal", "M5V 2T6", 0.65, True), ("postal", "M5V 2T6", 0.6, True)}
+    assert found(spark, "call (416) 555-0199 or 1-800-555-0199 or 116 555 0199", "CA") == {("phone_ca", "(416) 555-0199", 0.6, True), ("phone_ca", "1-800-555-0199", 0.6, False)}
+    assert found(spark, "Medicare card no: 2123 45670 1/2, 2123 45670 1+5", "AU") == {("medicare", "2123 45670 1/2", 0.95, True), ("medicare", "2123 45670 1", 0.75, True)}
+    assert found(spark, "TFN 123 456 782", "AU") == {("tfn", "123 456 782", 0.95, True)}
+    assert found(spark, "8003 6081 6669 0503 8003 6181 6669 0503", "AU") == {("ihi", "8003 6081 6669 0503", 0.8, True)}
+    assert found(spark, "ABN: 51 824 753 556", "AU") == {("abn", "51 824 753 556", 0.75, False)}
+    assert found(spark, "BSB 062-000 then 062-001", "AU") == {("bsb", "062-000", 0.8, True)}
+    assert found(spark, "Perth WA 6798, NSW 3000", "AU") == {("postcode", "6798", 0.6, True), ("postcode", "3000", 0.55, True)}
+    assert found(spark, "0412 345 678; 1300 123 456", "AU") == {("phone_au", "0412 345 678", 0.6, True), ("phone_au", "1300 123 456", 0.6, False)}
+    assert found(spark, "Email: info@x.org, jo.doe@x.org", "CA") == {("email", "info@x.org", 1.0 - 0.01, True), ("email", "jo.doe@x.org", 0.8, True)}
+    assert found(spark, "write to info@x.org", "AU") == {("email", "info@x.org", 0.8, False)} and found(spark, None, "CA") == set()
+    assert I.labels_in("my address is here\nAddress: x") == [(19, 26, "address")]
+
+
 @pytest.mark.parametrize(
     "text, given, kind, months, guessed",
     [("every 24 months", None, "rolling_months", 24, False), ("per calendar year", 5, "benefit_year", None, False), ("Lifetime", None, "lifetime", None, False),

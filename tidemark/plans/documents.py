@@ -140,7 +140,9 @@ def checksum_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select(
         "doc_id", yes(I.is_luhn(nine)).alias("luhn"), yes(I.is_sin(nine)).alias("sin"), yes(I.is_tfn(nine)).alias("tfn"),
         yes(I.is_ontario_health(ten)).alias("ohip"), yes(I.is_bc_phn(F.concat(F.lit("9"), nine))).alias("bc"),
-        yes(I.is_medicare(ten)).alias("medicare"), yes(I.is_abn(eleven)).alias("abn"),
+        yes(I.is_medicare(ten)).alias("medicare"), yes(I.is_medicare(F.concat(ten, (F.col("doc_id") % 3).cast("string")))).alias("medicare_11"), yes(I.is_abn(eleven)).alias("abn"),
+        yes(I.is_ihi(F.concat(F.lit("800360"), ten))).alias("ihi"), yes(I.is_ihi(F.concat(F.lit("800361"), ten))).alias("ihi_other"),
+        yes(I.is_ramq(F.concat(F.lit("TREM"), F.substring(eleven, 4, 8)))).alias("ramq"), I.postcode_state((F.col("doc_id") % 5 + 6795).cast("string")).alias("west"),
         I.postcode_state(F.substring(nine, 1, 4)).alias("state"),
     )
 
@@ -165,6 +167,10 @@ SELECT doc_id, {_luhn_sql('a')} AS luhn, substr(a, 1, 1) <> '8' AND {_luhn_sql('
   {_weighted_sql('a', I.TFN_WEIGHTS)} % 11 = 0 AS tfn, substr(b, 1, 1) <> '0' AND {_luhn_sql('b')} AS ohip,
   k < 10 AND k = CAST(substr(a, 9, 1) AS INTEGER) AS bc,
   substr(b, 1, 1) BETWEEN '2' AND '6' AND {_weighted_sql('b', I.MEDICARE_WEIGHTS)} % 10 = CAST(substr(b, 9, 1) AS INTEGER) AS medicare,
+  doc_id % 3 > 0 AND substr(b, 1, 1) BETWEEN '2' AND '6' AND {_weighted_sql('b', I.MEDICARE_WEIGHTS)} % 10 = CAST(substr(b, 9, 1) AS INTEGER) AS medicare_11,
+  {_luhn_sql("('800360' || b)")} AS ihi, false AS ihi_other, 'WA' AS west,
+  CASE WHEN CAST(substr(c, 6, 2) AS INTEGER) > 50 THEN CAST(substr(c, 6, 2) AS INTEGER) - 50 ELSE CAST(substr(c, 6, 2) AS INTEGER) END BETWEEN 1 AND 12
+    AND CAST(substr(c, 8, 2) AS INTEGER) BETWEEN 1 AND 31 AS ramq,
   substr(c, 1, 1) <> '0' AND ({_weighted_sql('c', I.ABN_WEIGHTS)} - 10) % 89 = 0 AS abn, CASE {_STATES_SQL} END AS state FROM m"""
 
 
@@ -178,8 +184,8 @@ def span_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.cast("int").alias("start"), (start + 4 + (F.col("doc_id") * F.col("k")) % 9).cast("int").alias("end"),
         ((F.col("doc_id") + F.col("k")) % 10).cast("int").alias("score"),
     ).distinct()
-    priority = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "phone", 1).otherwise(2)
-    return I.best_of_cluster(s, ["doc_id"], priority)
+    priority = F.when(F.col("kind") == "email", 2).when(F.col("kind") == "phone", 1).otherwise(0)
+    return I.best_of_cluster(s, ["doc_id"], priority, (F.col("kind") == "name") & (F.col("start") % 3 == 0))
 
 
 SPAN_SQL = """WITH k AS (SELECT doc_id, unnest(generate_series(1, 6)) AS k FROM documents),
@@ -189,9 +195,11 @@ s AS (SELECT DISTINCT doc_id, CASE k % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'phone'
 b AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
 c AS (SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END)
   OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, kind ROWS UNBOUNDED PRECEDING) AS cluster FROM b),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY CASE kind WHEN 'email' THEN 0 WHEN 'phone' THEN 1 ELSE 2 END,
+o AS (SELECT *, (kind <> 'email' AND EXISTS (SELECT 1 FROM c e WHERE e.doc_id = c.doc_id AND e.cluster = c.cluster AND e.kind = 'email' AND e.start <= c.start AND e."end" >= c."end"
+    AND e."end" - e.start > c."end" - c.start)) OR (kind = 'name' AND start % 3 = 0 AND "end" - start < 0.6 * (max("end") OVER (PARTITION BY doc_id, cluster) - min(start) OVER (PARTITION BY doc_id, cluster))) AS out FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY out, CASE kind WHEN 'email' THEN 2 WHEN 'phone' THEN 1 ELSE 0 END,
   score DESC, start, kind) AS n, min(start) OVER (PARTITION BY doc_id, cluster) AS "from",
-  max("end") OVER (PARTITION BY doc_id, cluster) AS "to", count(*) OVER (PARTITION BY doc_id, cluster) AS members FROM c)
+  max("end") OVER (PARTITION BY doc_id, cluster) AS "to", count(*) OVER (PARTITION BY doc_id, cluster) AS members FROM o)
 SELECT doc_id, CAST(cluster AS BIGINT) AS cluster, kind, start, "end", "from", "to", members FROM r WHERE n = 1"""
 
 
