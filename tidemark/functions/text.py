@@ -214,10 +214,67 @@ def letter_number(letters: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, x: acc * 26 + x) - 1
 
 
+#: How amounts, dates and numbers are written in prose.
+_GROUP = "[,\u2009\u202f\u00a0 ]"
+MONEY = (
+    rf"(?i)(?<![\w.])(?:(?:CA|AU|C|A)\$|\$)\s?(\d{{1,3}}(?:{_GROUP}\d{{3}})+|\d+)(?:\.(\d{{1,2}}))?(?!\d)"
+    rf"|(?<![\w.$])(\d{{1,3}}(?:{_GROUP}\d{{3}})+|\d+)(?:\.(\d{{2}}))?\s?(?:dollars|CAD|AUD)\b"
+)
+_MONTH = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
+DATES = (
+    (r"\b(\d{4})-(\d{2})-(\d{2})\b", (1, 2, 3)),
+    (rf"(?i)\b({_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", (3, 1, 2)),
+    (rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH})\.?,?\s+(\d{{4}})\b", (3, 2, 1)),
+)
+NUMBER = r"\d[\d,]*(?:\.\d+)?"
+
+
+def _group(hit: Column, pattern: str, i: int) -> Column:
+    return F.nullif(F.regexp_extract(hit, pattern, i), F.lit(""))
+
+
 def money_in(text: Column) -> Column:
-    """Cents of the amounts in prose, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"\$\s?(\d[\d,]*(?:\.\d{1,2})?)"), 1)
-    return F.transform(found, lambda x: (F.round(F.regexp_replace(x, ",", "").cast("decimal(18,2)") * 100)).cast("bigint"))
+    """Cents of the amounts in prose, in order: after a dollar sign, or before the currency's name."""
+    found = F.regexp_extract_all(text, F.lit(MONEY), 0)
+
+    def cents(hit: Column) -> Column:
+        units = F.coalesce(_group(hit, MONEY, 1), _group(hit, MONEY, 3))
+        part = F.coalesce(_group(hit, MONEY, 2), _group(hit, MONEY, 4), F.lit("0"))
+        return F.regexp_replace(units, "[^0-9]", "").try_cast("bigint") * 100 + F.rpad(part, 2, "0").cast("bigint")
+
+    return F.transform(found, cents)
+
+
+def dates_in(text: Column) -> Column:
+    """Dates in prose, each once, sorted: ISO ones, and those with a month's name before or after the day."""
+    months = F.array(*[F.lit(x) for x in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")])
+
+    def found(pattern: str, y: int, m: int, d: int) -> Column:
+        def day(hit: Column) -> Column:
+            month = F.regexp_extract(hit, pattern, m)
+            number = F.coalesce(month.try_cast("int"), F.array_position(months, F.lower(F.substring(month, 1, 3))).cast("int"))
+            parts = [F.regexp_extract(hit, pattern, y), F.lpad(number.cast("string"), 2, "0"), F.lpad(F.regexp_extract(hit, pattern, d), 2, "0")]
+            return F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd")
+
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), day)
+
+    every = [found(pattern, *places) for pattern, places in DATES]
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*every))))
+
+
+def numbers_in(text: Column) -> Column:
+    """Numbers in prose, commas between thousands left out, each once, sorted."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), 0)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("double"))))
+
+
+def fact_holds(kind: Column, text: Column, cents: Column, day: Column, tolerance: Column, number: Column, options: Column) -> Column:
+    """Whether an answer states a fact: an amount, a date within so many days, a number, or one of several texts."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    near = F.exists(dates_in(text), lambda d: F.abs(F.date_diff(d, day)) <= F.coalesce(tolerance, F.lit(0)))
+    said = F.exists(options, lambda o: F.contains(low, F.lower(o)))
+    holds = F.when(kind == "money", F.array_contains(money_in(text), cents)).when(kind == "date", near).when(kind == "number", F.array_contains(numbers_in(text), number)).when(kind == "text", said)
+    return F.coalesce(holds, F.lit(False))
 
 
 def fold_digits(text: Column) -> Column:

@@ -154,17 +154,33 @@ def best_per_source(hits: DataFrame, keys: list[str], score: str) -> DataFrame:
     return hits.groupBy(*keys).agg(F.max(score).alias(score))
 
 
-def scenario_scores(required: DataFrame, calls: DataFrame, caps: DataFrame) -> DataFrame:
-    """(scenario, missing, over, passed): required (scenario, tool) that weren't called, tools called above their cap.
+def scenario_scores(required: DataFrame, calls: DataFrame, caps: DataFrame, forbidden: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """(scenario, missing, mismatched, forbidden, over, wrong_facts, tools_ok, passed), counted.
 
-    ``calls`` (scenario, tool), ``caps`` (tool, most).
+    ``required`` (scenario, place, tool, arguments or null): a requirement may be met by any of several tools, rows of one
+    place; it is missing if none was called, mismatched if it names arguments and no call of its tools has them.
+    ``calls`` (scenario, tool, arguments). ``caps`` (tool, most). ``forbidden`` (scenario, tool). ``facts`` (scenario, holds).
     """
-    missing = required.join(calls, ["scenario", "tool"], "left_anti").groupBy("scenario").agg(F.count("*").alias("missing"))
-    many = calls.groupBy("scenario", "tool").agg(F.count("*").alias("n")).join(caps, "tool").where("n > most")
-    over = many.groupBy("scenario").agg(F.count("*").alias("over"))
-    every = required.select("scenario").union(calls.select("scenario")).distinct()
-    out = every.join(missing, "scenario", "left").join(over, "scenario", "left").fillna(0, ["missing", "over"])
-    return out.withColumn("passed", (F.col("missing") == 0) & (F.col("over") == 0))
+    met = required.join(calls.select("scenario", "tool", F.col("arguments").alias("__a"), F.lit(True).alias("__c")), ["scenario", "tool"], "left")
+    per = met.groupBy("scenario", "place").agg(
+        F.coalesce(F.bool_or("__c"), F.lit(False)).alias("called"), F.bool_or(F.col("arguments").isNotNull()).alias("named"),
+        F.coalesce(F.bool_or(F.when(F.col("__c"), F.col("arguments").isNull() | (F.col("arguments") == F.col("__a")))), F.lit(False)).alias("same"),
+    )
+    parts = [
+        per.groupBy("scenario").agg(F.count_if(~F.col("called")).alias("missing"), F.count_if(F.col("called") & F.col("named") & ~F.col("same")).alias("mismatched")),
+        calls.groupBy("scenario", "tool").agg(F.count("*").alias("n")).join(caps, "tool").where("n > most").groupBy("scenario").agg(F.count("*").alias("over")),
+    ]
+    if forbidden is not None:
+        parts.append(forbidden.join(calls, ["scenario", "tool"], "left_semi").groupBy("scenario").agg(F.count("*").alias("forbidden")))
+    if facts is not None:
+        parts.append(facts.groupBy("scenario").agg(F.count_if(~F.coalesce("holds", F.lit(False))).alias("wrong_facts")))
+    out = required.select("scenario").union(calls.select("scenario")).distinct()
+    for p in parts:
+        out = out.join(p, "scenario", "left")
+    names = ["missing", "mismatched", "forbidden", "over", "wrong_facts"]
+    out = out.select("scenario", *[(F.coalesce(c, F.lit(0)) if c in out.columns else F.lit(0)).cast("bigint").alias(c) for c in names])
+    tools = (F.col("missing") == 0) & (F.col("mismatched") == 0) & (F.col("forbidden") == 0) & (F.col("over") == 0)
+    return out.withColumn("tools_ok", tools).withColumn("passed", F.col("tools_ok") & (F.col("wrong_facts") == 0))
 
 
 def pass_rate(passed: Column, failed: Column) -> Column:

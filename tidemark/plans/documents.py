@@ -27,9 +27,10 @@ DEDUPE_SQL = """SELECT doc_id, lang, hash FROM (SELECT doc_id, lang, md5(text) A
 
 
 def fuzzy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opening = F.array_join(F.slice(F.split(X.normalize_ascii(F.col("text")), " "), 1, 4), " ")
-    d = docs(spark, sf_dir).withColumns({"opening": opening, "confidence": (F.col("n_chars") % 100) / 100})
-    return assembly.fuzzy_dedupe(d, ["lang", "opening"], "doc_id", "text", "confidence")
+    """Names of parts, written in three ways, within their brand and kind: what a page and an identity are to a row."""
+    way = F.element_at(F.array(F.col("p_name"), F.concat(F.upper("p_name"), F.lit("s")), F.concat(F.lit("the "), F.col("p_name"), F.lit(" with all that goes with it"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").withColumns({"quote": way, "confidence": (F.col("p_size") % 100) / 100})
+    return assembly.fuzzy_dedupe(p, ["p_brand", "p_type"], "p_partkey", "quote", "confidence")
 
 
 BENEFIT_NAMES = ["small rings", "red widgets", "large bolt", "Massage therapy", "green gear assembly", "Blue valve", "heavy chain", "Dental"]
@@ -40,13 +41,16 @@ def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document's lines stand among the document's own pages of ten lines: each fifth line is a quote."""
+    """Where each document's lines stand among the document's own pages of ten lines; in every third one a letter is
+    misread, so that it has to be scored."""
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     w = Window.partitionBy("doc_id", "page").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     numbered = lines.withColumn("page", F.floor(F.col("n") / 10).cast("int"))
     text = F.array_join(F.collect_list("line").over(w), "\n")
     pages = numbered.withColumn("text", text).groupBy("doc_id", "page").agg(F.first("text").alias("text"))
-    quotes = lines.where("n % 5 = 2 and length(line) > 20").select("doc_id", F.concat_ws("-", "doc_id", "n").alias("quote_id"), F.col("line").alias("quote"))
+    misread = F.concat(F.substring("line", 1, 5), F.lit("~"), F.substring("line", 7, 1 << 30))
+    quote = F.when((F.col("n") % 3 == 1) & (F.length("line") > 6), misread).otherwise(F.col("line"))
+    quotes = lines.where("trim(line) <> ''").select("doc_id", F.concat_ws("-", "doc_id", "n").alias("quote_id"), quote.alias("quote"))
     return assembly.ground_quotes(quotes, pages, "doc_id")
 
 
@@ -282,7 +286,26 @@ SELECT * FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 24"""
 
 
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25_search(table(spark, sf_dir, "part"), _FIELDS, "small ringg economy", "p_partkey", 24)
+    return search.bm25_search(table(spark, sf_dir, "part"), _FIELDS, "How much small ringg economy st plate9", "p_partkey", 24)
+
+
+def bm25_sql(rows: str, key: str, fields: dict[str, float], words: list[str], k: int, prefix_from: int, fuzzy_from: int) -> str:
+    stop = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+    posts = " UNION ALL ".join(
+        f"SELECT {key} AS key, {b} AS boost, unnest(list_filter(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}_''-]+'), lambda w: w NOT IN ({stop}))) AS term FROM d" for f, b in fields.items()
+    )
+    forms = []
+    for w in words:
+        head = f"WHEN starts_with(term, '{w}') THEN 0.375" if len(w) >= prefix_from else ""
+        near = f"WHEN levenshtein(term, '{w}') <= {round(0.2 * len(w))} THEN 0.45" if len(w) >= fuzzy_from and not any(c.isdigit() for c in w) else ""
+        forms.append(f"CASE WHEN term = '{w}' THEN 1.0 {head} {near} ELSE 0.0 END")
+    return f"""WITH d AS ({rows}), p AS ({posts}), t AS (SELECT key, term, sum(boost)::DOUBLE AS tf, greatest({', '.join(forms)})::DOUBLE AS w FROM p GROUP BY 1, 2),
+h AS (SELECT * FROM t WHERE w > 0), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
+s AS (SELECT key AS {key}, round(sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score FROM h JOIN f USING (term), n GROUP BY 1)
+SELECT * FROM s ORDER BY score DESC, {key} LIMIT {k}"""
+
+
+RANKED_SQL = bm25_sql("SELECT * FROM part", "p_partkey", _FIELDS, ["small", "ringg", "economy", "st", "plate9"], 24, 2, 4)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,6 +329,14 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.reciprocal_rank_fusion(by_word, by_vector, "query_id", "doc_id", 5)
 
 
+HYBRID_SQL = f"""WITH a AS ({overlap_sql("SELECT doc_id AS query_id, text, 1 AS region FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)", "SELECT doc_id, text, 1 AS region FROM documents", 25)}),
+b AS ({VECTOR_SQL.replace('rank <= 5', 'rank <= 25')}),
+u AS (SELECT query_id, doc_id, rank FROM a WHERE doc_id <> query_id AND hits > 0 UNION ALL SELECT query_id, vec_id, rank FROM b),
+f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5"""
+
+
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = docs(spark, sf_dir).select(F.explode(X.tags(F.col("text"), CATEGORY_TAGS, hints=F.array("lang"))).alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("n"))
@@ -353,9 +384,9 @@ QUERIES = {
     "overlap_search": (overlap_search, OVERLAP_SQL),
     "substring_search": (substring_search, SUBSTRING_SQL),
     "benefit_search": (benefit_search, FIELD_SQL),
-    "ranked_search": (ranked_search, None),
+    "ranked_search": (ranked_search, RANKED_SQL),
     "vector_topk": (vector_topk, VECTOR_SQL),
-    "hybrid_topk": (hybrid_topk, None),
+    "hybrid_topk": (hybrid_topk, HYBRID_SQL),
     "index_statistics": (index_statistics, STATISTICS_SQL),
     "money_extracted": (money_extracted, MONEY_SQL),
 }

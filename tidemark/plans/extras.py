@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import prose as P
 from ..functions import temporal as T
+from ..functions import text as X
 from ..operators import search
 from ..sources.adapter import table
 from ..streaming import guards
@@ -59,30 +60,45 @@ NOTES_SQL = """SELECT p_partkey, 2 AS items, 100050 + (p_partkey % 1000) * 100 A
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    token = F.concat(F.lit("[MEMBER_"), F.char((n % 26 + 65).cast("int")), F.lit("]"))
-    text = (
-        F.when(n % 4 == 0, F.concat(F.lit("Spouse: "), token)).when(n % 4 == 1, F.concat(F.lit("see "), token, F.lit(" (child)")))
-        .when(n % 4 == 2, F.concat(F.lit("Husband [MEMBER_1] then "), token)).otherwise("nobody")
-    )
+    token = F.concat(F.lit("["), F.when(n % 9 == 8, "CHILD").otherwise("MEMBER"), F.lit("_"), F.char((n % 26 + 65).cast("int")), F.lit("]"))
+    ways = ["Spouse: @", "see @ (child)", "Husband [MEMBER_1] then @", "nobody", "wife of the plan member @", "@, dependant", "then @ and later: daughter @", "main member @", "insured person far, far away from here, @ - partner"]
+    text = F.replace(F.element_at(F.array(*[F.lit(w) for w in ways]), (n % len(ways) + 1).cast("int")), F.lit("@"), token)
     return c.select("c_custkey", P.relationship(text, token).alias("relationship"))
 
 
-RELATIONSHIPS_SQL = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'spouse' WHEN 1 THEN 'child' END AS relationship FROM customer"
+RELATIONSHIPS_SQL = """SELECT c_custkey, ['spouse', 'child', NULL, NULL, 'self', 'dependent', 'child', 'self', 'child'][c_custkey % 9 + 1] AS relationship FROM customer"""
 
 
 def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint") - 20_000_000
-    return o.select("o_orderkey", P.money_text(cents).alias("money"), P.bytes_text(F.col("o_orderkey") * 977).alias("size"), P.escape_html(F.concat(F.lit('<a href="'), F.col("o_orderpriority"), F.lit('">&'))).alias("html"))
+    return o.select(
+        "o_orderkey", P.money_text(cents).alias("money"), P.money_text(cents, whole=True).alias("whole"), P.bytes_text(F.col("o_orderkey") * 977).alias("size"),
+        P.percent_text(F.col("o_orderkey") % 1000 / 8, 1).alias("percent"), P.date_text(F.to_date("o_orderdate")).alias("canada"), P.date_text(F.to_date("o_orderdate"), "AUD").alias("australia"),
+        P.escape_html(F.concat(F.lit('<a href="'), F.col("o_orderpriority"), F.lit('">&'))).alias("html"), P.clipped(F.col("o_orderpriority"), 4).alias("clipped"),
+    )
+
+
+_UNITS = "CASE WHEN c < 0 THEN '-' ELSE '' END || '$' || replace(format('{:,}', abs(c) // 100), ',', chr(8201))"
+FORMATTED_SQL = f"""WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS d, CAST(round(o_totalprice * 100) AS BIGINT) - 20000000 AS c, o_orderkey * 977 AS n FROM orders)
+SELECT o_orderkey, {_UNITS} || '.' || lpad(CAST(abs(c) % 100 AS VARCHAR), 2, '0') AS money, {_UNITS} AS whole,
+  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(round(n / 1024, 1) AS DECIMAL(18,1)) || ' KB' ELSE CAST(round(n / 1048576, 2) AS DECIMAL(18,2)) || ' MB' END AS size,
+  CAST(o_orderkey % 1000 * 125 / 1000.0 AS DECIMAL(18,1)) || '%' AS percent, strftime(d, '%b %-d, %Y') AS canada, strftime(d, '%-d %b %Y') AS australia,
+  '&lt;a href=&quot;' || o_orderpriority || '&quot;&gt;&amp;' AS html, CASE WHEN length(o_orderpriority) > 4 THEN substr(o_orderpriority, 1, 4) || '… [truncated]' ELSE o_orderpriority END AS clipped FROM o"""
+
 
+def facts_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of orders, and whether they state an amount, a date within a day, a number and a text."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("d"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("c"))
+    k = F.col("o_orderkey")
+    amount = F.element_at(F.array(P.money_text(F.col("c")), F.concat(F.format_number(F.col("c") / 100, 2), F.lit(" dollars")), F.concat(F.lit("CA$"), (F.col("c") / 100).cast("decimal(18,2)").cast("string")), F.lit("x$5")), (k % 4 + 1).cast("int"))
+    day = F.element_at(F.array(F.date_format("d", "MMMM d, yyyy"), F.date_format("d", "d MMM yyyy"), F.date_format(F.date_add("d", 1), "yyyy-MM-dd"), F.date_format(F.date_add("d", 2), "yyyy-MM-dd")), (k % 4 + 1).cast("int"))
+    text = F.concat_ws(" ", F.lit("It pays"), amount, F.lit("until"), day, F.lit(", item"), F.format_number(k, 0), F.lit("at"), F.lower("o_orderpriority"))
+    holds = lambda kind: X.fact_holds(F.lit(kind), text, F.col("c"), F.col("d"), F.lit(1), k.cast("double"), F.array(F.lit("Never this"), F.col("o_orderpriority")))
+    return o.select("o_orderkey", *[holds(x).alias(x) for x in ("money", "date", "number", "text")])
 
-_ABS = "abs(c) // 100"
-FORMATTED_SQL = f"""WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) - 20000000 AS c, o_orderkey * 977 AS n FROM orders)
-SELECT o_orderkey, CASE WHEN c < 0 THEN '−' ELSE '' END || '$' || replace(format('{{:,}}', {_ABS}), ',', chr(8201)) ||
-    CASE WHEN c % 100 <> 0 THEN '.' || lpad(CAST(abs(c) % 100 AS VARCHAR), 2, '0') ELSE '' END AS money,
-  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN regexp_replace(format('{{:,.1f}}', n / 1024), '\\.0$', '') || ' KB'
-    ELSE regexp_replace(format('{{:,.1f}}', n / 1048576), '\\.0$', '') || ' MB' END AS size,
-  '&lt;a href=&quot;' || o_orderpriority || '&quot;&gt;&amp;' AS html FROM o"""
+
+FACTS_SQL = "SELECT o_orderkey, o_orderkey % 4 < 3 AS money, o_orderkey % 4 < 3 AS date, true AS number, true AS text FROM orders"
 
 
 def same_line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +208,14 @@ def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_search(once, {"text": 1.0}, "that thing ofthe andther th", "passage", 5, prefix_from=3, fuzzy_from=5)
 
 
+def _passage_sql() -> str:
+    from .documents import bm25_sql
+
+    rows = """SELECT text AS t0, min(item_id || ':' || n) AS passage FROM (SELECT item_id, unnest(s) AS text, unnest(range(len(s))) AS n FROM (
+      SELECT item_id, regexp_split_to_array(regexp_replace(text, '\\.\\s+', '.' || chr(1), 'g'), chr(1)) AS s FROM benchmark)) GROUP BY 1"""
+    return bm25_sql(rows, "passage", {"t0": 1.0}, ["that", "thing", "ofthe", "andther", "th"], 5, 3, 5)
+
+
 def needle_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Needles in JSON made of conversations, by kind and place."""
     needles = {"assistant": "role", "the": "word", "555-0100": "phone"}
@@ -331,6 +355,7 @@ DATES_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 9 < 7 THEN CAST(o_orderda
 
 
 QUERIES = {
+    "facts_stated": (facts_stated, FACTS_SQL),
     "periods_read": (periods_read, PERIODS_SQL),
     "dates_read": (dates_read, DATES_SQL),
     "tokens_ordered": (tokens_ordered, TOKENS_SQL),
@@ -346,7 +371,7 @@ QUERIES = {
     "share_list": (share_list, SHARES_SQL),
     "nearest_rank": (nearest_rank, NEAREST_SQL),
     "page_caps": (page_caps, PAGE_CAPS_SQL),
-    "passage_search": (passage_search, None),
+    "passage_search": (passage_search, _passage_sql()),
     "needle_leaks": (needle_leaks, NEEDLES_SQL),
     "argument_matches": (argument_matches, ARGUMENTS_SQL),
     "empty_pages": (empty_pages, EMPTY_SQL),

@@ -101,6 +101,13 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.rate_limit(events(spark, sf_dir), "user_id", "ts", "event_id", most=3, seconds=6 * 3600)
 
 
+RATE_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_id, user_id, n, true AS allowed, CAST(NULL AS BIGINT) AS retry_after, [t] AS hits FROM e WHERE n = 1
+  UNION ALL SELECT event_id, user_id, n, ok, CASE WHEN NOT ok THEN CAST(ceil(wait / 1e6) AS BIGINT) END, CASE WHEN ok THEN list_append(hits, t)[-3:] ELSE hits END FROM (
+    SELECT e.*, r.hits, len(r.hits) < 3 OR r.hits[1] + 21600000000 - e.t <= 0 AS ok, r.hits[1] + 21600000000 - e.t AS wait FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) x)
+SELECT event_id, user_id, allowed, retry_after FROM r"""
+
+
 def status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("k") % len(CODES) + 1).cast("int"))
     return events(spark, sf_dir).groupBy(ops.status_of(codes).alias("status")).agg(F.count("*").alias("n"))
@@ -306,7 +313,7 @@ QUERIES = {
     "daily_spend_gate": (daily_spend_gate, GATE_SQL),
     "budget_left": (budget_left, BUDGET_SQL),
     "usage_cost": (usage_cost, COST_SQL),
-    "rate_limit": (rate_limit, None),
+    "rate_limit": (rate_limit, RATE_SQL),
     "status_codes": (status_codes, STATUS_SQL),
     "claim_transitions": (claim_transitions, TRANSITIONS_SQL),
     "confusion_scores": (confusion_scores, CONFUSION_SQL),

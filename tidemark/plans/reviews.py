@@ -216,16 +216,30 @@ ATTACK_SQL = " UNION ALL ".join(f"SELECT user_id, '{t}' AS attack, count(*) FILT
 
 
 def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("scenario"), F.col("event_type").alias("tool"))
-    need = calls.select("scenario").distinct().select("scenario", F.explode(F.array(F.lit("signup"), F.when(F.col("scenario") % 3 == 0, "refund").otherwise("view"))).alias("tool"))
+    """Each user's events as the calls of a scenario: two requirements, the second met by either of two tools and one of
+    them with arguments, a forbidden tool, caps, and a fact."""
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.col("user_id").alias("scenario"), F.col("event_type").alias("tool"), (F.col("event_id") % 40).cast("string").alias("arguments"))
+    s = calls.groupBy("scenario").agg(F.count("*").alias("n"))
+    row = lambda place, tool, arguments: F.struct(F.lit(place).alias("place"), tool.alias("tool"), arguments.cast("string").alias("arguments"))
+    none = F.lit(None)
+    rows = F.array(
+        row(1, F.when(F.col("scenario") % 5 == 0, "refund").otherwise("signup"), none), row(2, F.lit("refund"), none),
+        row(2, F.lit("click"), F.when(F.col("scenario") % 2 == 0, "7")),
+    )
+    need = s.select("scenario", F.explode(rows).alias("r")).select("scenario", "r.*")
     caps = spark.createDataFrame([("error", 14), ("view", 20)], "tool string, most bigint")
-    return rules.scenario_scores(need, calls, F.broadcast(caps))
+    bad = s.select("scenario", F.when(F.col("scenario") % 3 == 0, "purchase").otherwise("nothing").alias("tool"))
+    facts = s.select("scenario", (F.col("n") % 4 != 0).alias("holds"))
+    return rules.scenario_scores(need, calls, F.broadcast(caps), bad, facts)
 
 
-SCENARIO_SQL = """WITH s AS (SELECT user_id AS scenario, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'view') AS b,
-  count(*) FILTER (event_type = 'error') AS c FROM events GROUP BY 1),
-m AS (SELECT scenario, CAST((a = 0)::INT + (CASE WHEN scenario % 3 = 0 THEN 1 ELSE (b = 0)::INT END) AS BIGINT) AS missing, CAST((c > 14)::INT + (b > 20)::INT AS BIGINT) AS over FROM s)
-SELECT *, missing = 0 AND over = 0 AS passed FROM m"""
+SCENARIO_SQL = """WITH s AS (SELECT user_id AS scenario, count(*) AS n, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'click') AS b,
+  count(*) FILTER (event_type = 'click' AND event_id % 40 = 7) AS b7, count(*) FILTER (event_type = 'error') AS c, count(*) FILTER (event_type = 'view') AS v,
+  count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1),
+m AS (SELECT scenario, CAST((a = 0 OR scenario % 5 = 0)::INT + (b = 0)::INT AS BIGINT) AS missing, CAST((b > 0 AND b7 = 0 AND scenario % 2 = 0)::INT AS BIGINT) AS mismatched,
+  CAST((p > 0 AND scenario % 3 = 0)::INT AS BIGINT) AS forbidden, CAST((c > 14)::INT + (v > 20)::INT AS BIGINT) AS over, CAST((n % 4 = 0)::INT AS BIGINT) AS wrong_facts FROM s)
+SELECT *, missing + mismatched + forbidden + over = 0 AS tools_ok, missing + mismatched + forbidden + over + wrong_facts = 0 AS passed FROM m"""
 
 
 def status_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
