@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import benefits, documents, extras, more, operations, reviews
+from .plans import benefits, documents, exchange, extras, more, operations, reviews
 
-_ALL = benefits.QUERIES | documents.QUERIES | operations.QUERIES | reviews.QUERIES | extras.QUERIES | more.QUERIES
+_ALL = benefits.QUERIES | documents.QUERIES | operations.QUERIES | reviews.QUERIES | extras.QUERIES | more.QUERIES | exchange.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

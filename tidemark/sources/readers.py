@@ -110,13 +110,14 @@ def encode_frames(df: DataFrame, event: str, data: str) -> Column:
 
 
 def parse_frames(df: DataFrame, column: str = "body") -> DataFrame:
-    """Rows (frame, event, data): frames of event-stream text in order; data lines are joined by line feeds."""
+    """Rows (frame, event, data): frames of event-stream text that have data, in order; data lines are joined by line feeds,
+    comments left out."""
     text = F.regexp_replace(column, "\r\n?", "\n")
     frames = df.select("*", F.posexplode(F.split(text, "\n\n")).alias("frame", "__t")).where("trim(__t) <> ''")
     rows = F.split("__t", "\n")
     event = F.get(F.filter(rows, lambda r: r.startswith("event:")), F.lit(0))
     data = F.transform(F.filter(rows, lambda r: r.startswith("data:")), lambda r: F.regexp_replace(r, "^data: ?", ""))
-    return frames.select(*df.columns, "frame", F.trim(F.substring(event, 7, 1000)).alias("event"), F.array_join(data, "\n").alias("data"))
+    return frames.where(F.size(data) > 0).select(*df.columns, "frame", F.trim(F.substring(event, 7, 1000)).alias("event"), F.array_join(data, "\n").alias("data"))
 
 
 def export_all(tables: dict[str, DataFrame], path: str, drop: dict[str, list[str]] | None = None) -> None:
