@@ -131,8 +131,40 @@ def member_headline(usage: DataFrame) -> DataFrame:
     )
 
 
-#: Statuses of claims that are decided.
+#: Statuses of claims that are decided, and the order in which statuses are listed.
 DECIDED = ("paid", "partially_paid", "rejected")
+STATUS_ORDER = ("draft", "submitted", "partially_paid", "paid", "rejected")
+
+
+def claims_by_status(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, status, place, n, charged_cents, paid_cents): claims (keys, status, charged_cents, paid_cents or null) by
+    status; ``place`` is that of the fixed order, and statuses without claims are left out."""
+    per = claims.groupBy(*keys, "status").agg(
+        F.count("*").alias("n"), F.sum("charged_cents").alias("charged_cents"), F.sum(F.coalesce("paid_cents", F.lit(0))).cast("bigint").alias("paid_cents")
+    )
+    return per.withColumn("place", F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("status")))
+
+
+def listed(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``row``, a claim's place among those of its keys and status: the latest service first, then the latest change."""
+    w = Window.partitionBy(*keys, "status").orderBy(F.col("last_service").desc_nulls_last(), F.desc("updated"), "claim_id")
+    return claims.withColumn("row", F.row_number().over(w))
+
+
+def claim_kpis(claims: DataFrame, quotes: DataFrame, year_start: Column) -> DataFrame:
+    """(member_id, paid_cents, awaiting_cents, decided, drafts): what was paid for claims whose last service is in the year or
+    later, what submitted claims are estimated to pay, each on the ledger of the others, and how many were decided.
+
+    ``claims`` (claim_id, member_id, status, last_service, paid_cents or null without an outcome), ``quotes`` (claim_id, pays).
+    """
+    expected = quotes.groupBy("claim_id").agg(F.sum("pays").alias("__pays"))
+    rows = claims.join(expected, "claim_id", "left")
+    in_year = F.col("last_service") >= year_start
+    return rows.groupBy("member_id").agg(
+        F.sum(F.when(in_year, F.coalesce("paid_cents", F.lit(0))).otherwise(0)).cast("bigint").alias("paid_cents"),
+        F.sum(F.when(F.col("status") == "submitted", F.coalesce("__pays", F.lit(0))).otherwise(0)).cast("bigint").alias("awaiting_cents"),
+        F.count_if(in_year & F.col("paid_cents").isNotNull()).alias("decided"), F.count_if(F.col("status") == "draft").alias("drafts"),
+    )
 
 
 def out_of_pocket(claims: DataFrame, lines: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -51,15 +51,25 @@ def spend_gate(df: DataFrame, key: str, cents: Column, limit: int) -> DataFrame:
     return out.withColumn("spent", spent).withColumn("allowed", F.col("spent") < limit).drop("__before", "__own", "__m")
 
 
-#: List prices in dollars per million tokens, in and out.
-PRICES = {"gpt-5-mini": (0.25, 2.0), "gpt-5-nano": (0.05, 0.4), "embed-small": (0.02, 0.0)}
+#: List prices in dollars, per million tokens in and out, and per thousand pages, fields' pages and records;
+#: the model whose price unknown ones have.
+PRICES = {"gpt-5-mini": (0.25, 2.00), "gpt-5-nano": (0.05, 0.40), "text-embedding-3-small": (0.02, 0.0)}
+CHAT_MODEL = "gpt-5-mini"
+PAGE, FIELD_PAGE, LANGUAGE_RECORD, SAFETY_RECORD = 5.0, 5.0, 1.0, 0.75
 
 
-def usage_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Micro-dollars of a call; unknown models cost what the dearest does."""
-    dear = max(PRICES.values(), key=sum)
-    priced = F.coalesce(*[F.when(model == m, tokens_in * a + tokens_out * b) for m, (a, b) in PRICES.items()], tokens_in * dear[0] + tokens_out * dear[1])
-    return F.round(priced).cast("bigint")
+def token_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
+    """Micro-dollars of a model's tokens, as a decimal."""
+    exact = lambda x: F.lit(str(x)).cast("decimal(10,4)")
+    price = lambda pair: tokens_in * exact(pair[0]) + tokens_out * exact(pair[1])
+    return F.coalesce(*[F.when(model == m, price(p)) for m, p in PRICES.items()], price(PRICES[CHAT_MODEL]))
+
+
+def usage_cost(tokens: Column, pages: Column, field_pages: Column, language: Column, safety: Column) -> Column:
+    """Dollars of a request, to six places: micro-dollars of its tokens, and its pages and records."""
+    rate = lambda n, dollars: n * F.lit(str(dollars * 1000)).cast("decimal(10,2)")
+    micro = tokens + rate(pages, PAGE) + rate(field_pages, FIELD_PAGE) + rate(language, LANGUAGE_RECORD) + rate(safety, SAFETY_RECORD)
+    return F.round(micro / 1_000_000, 6).cast("double")
 
 
 def tool_report(calls: DataFrame, durations: DataFrame) -> DataFrame:

@@ -113,15 +113,22 @@ SELECT *, CAST(date_diff('day', DATE '{AS_OF}', deadline) AS BIGINT) AS days_lef
 
 
 def counted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = claims(spark, sf_dir)
-    per = c.groupBy("status").agg(F.count("*").alias("n"), F.sum("total_cents").alias("total_cents"), F.max("created").alias("latest"))
-    order = F.array_position(F.array(*[F.lit(s) for s in ("submitted", "partially_paid", "paid")]), F.col("status"))
-    return per.select("*", order.cast("bigint").alias("place"), F.col("status").isin(*ledger.COUNTED).alias("decided"))
+    """Claims by status, every seventh one rejected and every eleventh a draft, in the fixed order, with the newest of each."""
+    c, k = claims(spark, sf_dir), F.col("claim_id")
+    status = F.when(k % 7 == 0, "rejected").when(k % 11 == 0, "draft").otherwise(F.col("status"))
+    c = c.withColumn("status", status)
+    c = c.select(
+        "claim_id", "status", F.col("total_cents").alias("charged_cents"), F.when(F.col("status").isin("paid", "partially_paid"), div(F.col("total_cents"), 2)).alias("paid_cents"),
+        F.when(k % 5 != 0, F.col("created")).alias("last_service"), F.col("created").alias("updated"),
+    )
+    newest = ledger.listed(c, []).where("row = 1").select("status", F.col("claim_id").alias("newest"))
+    return ledger.claims_by_status(c, []).join(F.broadcast(newest), "status")
 
 
-COUNTED_CLAIMS_SQL = f"""WITH {CLAIMS_SQL} SELECT status, count(*) AS n, CAST(sum(total_cents) AS BIGINT) AS total_cents,
-  max(created) AS latest, CAST(CASE status WHEN 'submitted' THEN 1 WHEN 'partially_paid' THEN 2 ELSE 3 END AS BIGINT) AS place,
-  status <> 'submitted' AS decided FROM claims GROUP BY status"""
+COUNTED_CLAIMS_SQL = f"""WITH {CLAIMS_SQL}, c AS (SELECT claim_id, created, total_cents, CASE WHEN claim_id % 7 = 0 THEN 'rejected' WHEN claim_id % 11 = 0 THEN 'draft' ELSE status END AS status FROM claims),
+r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY CASE WHEN claim_id % 5 <> 0 THEN created END DESC NULLS LAST, created DESC, claim_id) AS n FROM c)
+SELECT status, count(*) AS n, CAST(sum(total_cents) AS BIGINT) AS charged_cents, CAST(sum(CASE WHEN status IN ('paid', 'partially_paid') THEN total_cents // 2 ELSE 0 END) AS BIGINT) AS paid_cents,
+  CAST(list_position(['draft', 'submitted', 'partially_paid', 'paid', 'rejected'], status) AS BIGINT) AS place, max(claim_id) FILTER (r.n = 1) AS newest FROM r GROUP BY 1"""
 
 
 def paid_lines(spark: SparkSession, sf_dir: str, include_submitted: bool = True) -> DataFrame:
@@ -317,22 +324,41 @@ SELECT member_id, CAST(sum(greatest(0, open - CASE WHEN claim_id % 7 = 0 THEN 0
 FROM claims JOIN p USING (claim_id) WHERE touches AND (claim_id % 7 = 0 OR status <> 'submitted') GROUP BY 1"""
 
 
+#: A plan of shares alone, so that estimates of claims don't act on one another and SQL can say them.
+GUIDE = fold.PlanRules(
+    {i: fold.Benefit(fold.Coverage("percent", 80.0), waiting_months=24 if i == 3 else 0) for i in range(12)},
+    period=fold.Period("benefit_year", start_month=4), effective=date(1994, 4, 30), submission_days=400, days_after_end=60, hospital=frozenset({5}),
+)
+
+
+def guide_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of every submitted claim under that plan, as of 1998."""
+    c = claims(spark, sf_dir).withColumns({"family_id": div(F.col("member_id"), 4), "paid_cents": F.lit(None).cast("bigint")})
+    lines = claim_lines(spark, sf_dir, numbered=True)
+    return fold.quote_families(lines.join(c, "claim_id"), GUIDE, date(1998, 1, 1))
+
+
+GUIDE_SQL = f"""{CLAIMS_SQL}, {LINES_SQL}, l AS (SELECT lines.*, charged_cents - least(charged_cents, other_cents) AS balance,
+    CASE WHEN month(service_date) >= 4 THEN year(service_date) + 1 ELSE year(service_date) END AS y FROM lines JOIN claims USING (claim_id) WHERE status = 'submitted'),
+d AS (SELECT *, greatest(service_date + 400, make_date(y, 3, 31) + 60) AS deadline, (2 * charged_cents * 80 + 100) // 200 AS raw,
+  CASE WHEN benefit_id >= 12 THEN 'plan' WHEN service_date < DATE '1994-04-30' THEN 'date' WHEN benefit_id = 3 AND service_date < DATE '1996-04-30' THEN 'wait' END AS bar FROM l),
+p AS (SELECT *, CASE WHEN bar IS NOT NULL THEN 0 ELSE least(raw, balance) END AS pays FROM d)"""
+
+
 def claim_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members' counts and sums by decision: paid since the year began, awaiting, decided."""
-    c = claims(spark, sf_dir)
-    since = F.col("created") >= _D("1998-01-01")
-    decided = F.col("status").isin(*ledger.COUNTED)
-    return c.groupBy("member_id").agg(
-        F.sum(F.when(decided & since, F.col("total_cents")).otherwise(0)).alias("paid_cents"),
-        F.sum(F.when(~decided, F.col("total_cents")).otherwise(0)).alias("awaiting_cents"),
-        F.count_if(decided).alias("decided"), F.count("*").alias("n"),
-    )
+    """Members' figures for a year that began on April 1, 1998: paid, awaited and decided claims, drafts."""
+    c, k = claims(spark, sf_dir), F.col("claim_id")
+    last = claim_lines(spark, sf_dir).groupBy("claim_id").agg(F.max("service_date").alias("last_service"))
+    paid = F.when(F.col("status") != "submitted", div(F.col("total_cents") * 3, 5))
+    rows = c.join(last, "claim_id", "left").select("claim_id", "member_id", F.when((k % 9 == 0) & (F.col("status") != "submitted"), "draft").otherwise(F.col("status")).alias("status"), "last_service", F.when(k % 9 != 0, paid).alias("paid_cents"))
+    return ledger.claim_kpis(rows, guide_quotes(spark, sf_dir), _D("1998-04-01"))
 
 
-CLAIM_KPIS_SQL = f"""WITH {CLAIMS_SQL} SELECT member_id,
-  CAST(sum(CASE WHEN status <> 'submitted' AND created >= DATE '1998-01-01' THEN total_cents ELSE 0 END) AS BIGINT) AS paid_cents,
-  CAST(sum(CASE WHEN status = 'submitted' THEN total_cents ELSE 0 END) AS BIGINT) AS awaiting_cents,
-  CAST(count(*) FILTER (status <> 'submitted') AS BIGINT) AS decided, count(*) AS n FROM claims GROUP BY 1"""
+CLAIM_KPIS_SQL = f"""WITH {GUIDE_SQL}, q AS (SELECT claim_id, sum(pays) AS pays FROM p GROUP BY 1), s AS (SELECT claim_id, max(service_date) AS last FROM lines GROUP BY 1),
+r AS (SELECT member_id, status = 'submitted' AS open, claim_id % 9 = 0 AND status <> 'submitted' AS draft, coalesce(last >= DATE '1998-04-01', false) AS own,
+  CASE WHEN status <> 'submitted' AND claim_id % 9 <> 0 THEN total_cents * 3 // 5 END AS paid, coalesce(pays, 0) AS pays FROM claims LEFT JOIN s USING (claim_id) LEFT JOIN q USING (claim_id))
+SELECT member_id, CAST(sum(CASE WHEN own THEN coalesce(paid, 0) ELSE 0 END) AS BIGINT) AS paid_cents, CAST(sum(CASE WHEN open THEN pays ELSE 0 END) AS BIGINT) AS awaiting_cents,
+  CAST(count(*) FILTER (own AND paid IS NOT NULL) AS BIGINT) AS decided, CAST(count(*) FILTER (draft) AS BIGINT) AS drafts FROM r GROUP BY 1"""
 
 
 def recent_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,10 +346,29 @@ FACETS_SQL = f"SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(tags,
 
 
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.index_statistics(docs(spark, sf_dir), "text")
+    """An index of vectors with their labels."""
+    return ingest.index_statistics(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
 
 
-STATISTICS_SQL = "SELECT count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS vector_bytes FROM documents"
+STATISTICS_SQL = """SELECT count(*) AS documents, CAST(sum(length('{"vec_id":' || vec_id || '}')) AS BIGINT) AS bytes, CAST(sum(len(embedding) * 4) AS BIGINT) AS vector_bytes FROM embeddings"""
+
+
+def licensed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of their sources: a third of these only linked, a third in excerpts, a third whole."""
+    d = docs(spark, sf_dir)
+    n = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 3
+    sources = d.select("source", F.coalesce(n != 0, F.lit(True)).alias("index"), F.coalesce(n == 1, F.lit(True)).alias("verbatim")).distinct()
+    short = F.when(F.length("text") < 100, F.col("text")).otherwise(F.concat(F.repeat(F.lit("word "), 299), F.lit("word. End.")))
+    out = ingest.licensed_chunks(d.select("doc_id", "source", F.col("doc_id").alias("place"), short.alias("content")), sources)
+    return out.select("doc_id", F.md5(F.col("content").cast("binary")).alias("hash"))
+
+
+# 300 words and their full stops make more than 300 tokens: the first sentence is too long, so that 299 words or fewer stay
+LICENSED_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER) % 3, 1) AS k,
+  CASE WHEN length(text) < 100 THEN text ELSE repeat('word ', 299) || 'word. End.' END AS content FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM d WHERE k <> 0),
+c AS (SELECT *, CASE WHEN k = 1 OR length(content) < 100 THEN content ELSE repeat('word ', 208) || 'word …' END AS kept FROM n WHERE k = 1 OR n <= 20)
+SELECT doc_id, md5(kept) AS hash FROM c"""
 
 
 def money_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +406,7 @@ QUERIES = {
     "ranked_search": (ranked_search, RANKED_SQL),
     "vector_topk": (vector_topk, VECTOR_SQL),
     "hybrid_topk": (hybrid_topk, HYBRID_SQL),
+    "licensed_chunks": (licensed_chunks, LICENSED_SQL),
     "index_statistics": (index_statistics, STATISTICS_SQL),
     "money_extracted": (money_extracted, MONEY_SQL),
 }

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import prose as P
 from ..functions import temporal as T
 from ..functions import text as X
-from ..operators import search
+from ..operators import ingest, search
 from ..sources.adapter import table
 from ..streaming import guards
 
@@ -252,22 +252,27 @@ ARGUMENTS_SQL = "SELECT event_type, count(*) FILTER (CAST(json_extract(props, '$
 
 
 def empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of under 60 characters as empty pages, those with a password as attacks; both are issues, the rest stays."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.contains("text", F.lit("password")), "page_excluded").when(F.length("text") < 60, "page_empty").alias("code"))
-    return d.groupBy(F.coalesce("code", F.lit("kept")).alias("code")).agg(F.count("*").alias("n"))
+    """Documents as pages, those with a password as attacks and every ninth one without text: issues, and what may be read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, " \n ").otherwise(F.col("text")).alias("text"), F.contains("text", F.lit("password")).alias("attacked"))
+    kept, issues = ingest.usable_pages(d, F.col("attacked"), "text")
+    return issues.select("doc_id", "code").unionByName(kept.select("doc_id", F.lit("kept").alias("code")))
 
 
-EMPTY_SQL = """SELECT CASE WHEN contains(text, 'password') THEN 'page_excluded' WHEN length(text) < 60 THEN 'page_empty' ELSE 'kept' END AS code, count(*) AS n
-FROM documents GROUP BY 1"""
+EMPTY_SQL = """WITH d AS (SELECT doc_id, doc_id % 9 = 0 AS blank, contains(text, 'password') AS attacked FROM documents)
+SELECT doc_id, 'ocr_empty' AS code FROM d WHERE blank UNION ALL SELECT doc_id, 'prompt_injection' FROM d WHERE attacked
+UNION ALL SELECT doc_id, 'page_excluded' FROM d WHERE attacked UNION ALL SELECT doc_id, 'kept' FROM d WHERE NOT blank AND NOT attacked"""
 
 
 def usable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in use and not, of those that have all they need."""
-    p = table(spark, sf_dir, "part").where(F.col("p_name").isNotNull() & F.col("p_brand").isNotNull() & (F.size(F.array_compact(F.array(F.when(F.col("p_size") > 45, "large")))) == 0))
-    return p.groupBy("p_type", (F.col("p_retailprice") > 1000).alias("in_use")).agg(F.count("*").alias("n"))
+    """Rows that have all they need and no errors, of rows that lack one thing or have an error."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    errors = F.when(k % 5 == 0, F.array(F.lit("large"))).when(k % 5 == 1, F.array().cast("array<string>"))
+    rows = p.select(k.alias("k"), F.when(k % 7 != 0, F.col("p_name")).alias("name"), F.when(k % 11 != 0, F.col("p_brand")).alias("brand"), errors.alias("errors"))
+    return ingest.whole_items(rows, ["k", "name", "brand"], "errors")
 
 
-USABLE_SQL = "SELECT p_type, p_retailprice > 1000 AS in_use, count(*) AS n FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL AND p_size <= 45 GROUP BY 1, 2"
+USABLE_SQL = "SELECT p_partkey AS k, p_name AS name, p_brand AS brand FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 5 <> 0"
+
 
 def tokens_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of alias tokens made from customers' numbers: of lettered and numbered families, and of what is no token."""

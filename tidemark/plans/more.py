@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.money import div
-from ..operators import assembly, conversation, evals, fold, ingest, linking, ops, rules, usage
+from ..operators import assembly, conversation, evals, ingest, linking, ops, rules, usage
 from ..sources.adapter import CLAIMS_SQL, LINES_SQL, claim_lines, claims, table
+from .benefits import GUIDE_SQL, guide_quotes
 
 KEYS = ["plan_id"]
 
@@ -149,25 +147,12 @@ def schedule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCHEDULE_LISTS_SQL = f"""WITH {_USAGE_SQL} SELECT plan_id, benefit_id, 'frequency' AS list, count(*) AS n FROM w WHERE benefit_id = plan_id GROUP BY 1, 2
 UNION ALL SELECT plan_id, benefit_id, CASE WHEN waiting THEN 'waiting' ELSE 'served' END, count(*) FROM w WHERE benefit_id % 4 > 0 GROUP BY ALL"""
 
-_GUIDE = fold.PlanRules(
-    {i: fold.Benefit(fold.Coverage("percent", 80.0), waiting_months=24 if i == 3 else 0) for i in range(12)},
-    period=fold.Period("benefit_year", start_month=4), effective=datetime.date(1994, 4, 30), submission_days=400, days_after_end=60,
-    hospital=frozenset({5}),
-)
-
-
 def claim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of submitted claims under a plan of shares alone: who pays what, by when to claim, warnings."""
-    c = claims(spark, sf_dir).withColumns({"family_id": div(F.col("member_id"), 4), "paid_cents": F.lit(None).cast("bigint")})
-    lines = claim_lines(spark, sf_dir, numbered=True)
-    return fold.quote_families(lines.join(c, "claim_id"), _GUIDE, datetime.date(1998, 1, 1)).drop("limit_left", "pool_left")
+    return guide_quotes(spark, sf_dir).drop("limit_left", "pool_left")
 
 
-CLAIM_QUOTES_SQL = f"""WITH {CLAIMS_SQL}, {LINES_SQL}, l AS (SELECT lines.*, charged_cents - least(charged_cents, other_cents) AS balance,
-    CASE WHEN month(service_date) >= 4 THEN year(service_date) + 1 ELSE year(service_date) END AS y FROM lines JOIN claims USING (claim_id) WHERE status = 'submitted'),
-d AS (SELECT *, greatest(service_date + 400, make_date(y, 3, 31) + 60) AS deadline, (2 * charged_cents * 80 + 100) // 200 AS raw,
-  CASE WHEN benefit_id >= 12 THEN 'plan' WHEN service_date < DATE '1994-04-30' THEN 'date' WHEN benefit_id = 3 AND service_date < DATE '1996-04-30' THEN 'wait' END AS bar FROM l),
-p AS (SELECT *, CASE WHEN bar IS NOT NULL THEN 0 ELSE least(raw, balance) END AS pays FROM d)
+CLAIM_QUOTES_SQL = f"""WITH {GUIDE_SQL}
 SELECT claim_id, line_id, CAST(pays AS BIGINT) AS pays, CAST(balance - pays AS BIGINT) AS member_pays,
   CASE WHEN bar = 'wait' THEN 'waiting_period' WHEN bar IS NOT NULL THEN 'not_covered' WHEN pays = charged_cents THEN NULL WHEN balance < raw THEN 'other_plan' ELSE 'coverage' END AS limited_by,
   deadline, CASE bar WHEN 'plan' THEN 'not_in_plan' WHEN 'date' THEN 'before_coverage' ELSE concat_ws(',', CASE WHEN bar = 'wait' THEN 'waiting_until' END,

@@ -87,14 +87,17 @@ SELECT event_type, coalesce(spent, 0) AS spent, budget,
 
 
 def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = F.when(F.col("event_type") == "view", "gpt-5-nano").when(F.col("event_type") == "click", "embed-small").when(F.col("event_type") == "error", "gpt-5-mini").otherwise("other")
-    df = events(spark, sf_dir).withColumn("micro", ops.usage_cost(model, F.col("k") * 100, F.col("k") * 10))
-    return df.groupBy("user_id").agg(F.sum("micro").alias("micro_dollars"))
+    """Each user's calls of models, known and not, pages and records, in dollars."""
+    model = F.when(F.col("event_type") == "view", "gpt-5-nano").when(F.col("event_type") == "click", "text-embedding-3-small").when(F.col("event_type") == "error", "gpt-5-mini").otherwise("other")
+    df = events(spark, sf_dir).withColumn("micro", ops.token_cost(model, F.col("k") * 101, F.col("k") * 13))
+    n = lambda i: F.count_if(F.col("event_id") % 4 == i)
+    per = df.groupBy("user_id").agg(F.sum("micro").alias("micro"), *[n(i).alias(f"n{i}") for i in range(4)])
+    return per.select("user_id", ops.usage_cost(F.col("micro"), *[F.col(f"n{i}") for i in range(4)]).alias("dollars"))
 
 
-COST_SQL = """WITH e AS (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT user_id, CAST(sum(CAST(round(CASE event_type WHEN 'view' THEN k * 100 * 0.05 + k * 10 * 0.4 WHEN 'click' THEN k * 100 * 0.02
-  ELSE k * 100 * 0.25 + k * 10 * 2.0 END) AS BIGINT)) AS BIGINT) AS micro_dollars FROM e GROUP BY 1"""
+COST_SQL = """WITH e AS (SELECT user_id, event_type, event_id % 4 AS m, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT user_id, CAST(round((sum(CASE event_type WHEN 'view' THEN k * 101 * 0.05 + k * 13 * 0.40 WHEN 'click' THEN k * 101 * 0.02 ELSE k * 101 * 0.25 + k * 13 * 2.00 END)
+  + 5000 * count(*) FILTER (m < 2) + 1000 * count(*) FILTER (m = 2) + 750 * count(*) FILTER (m = 3)) / 1000000.0, 6) AS DOUBLE) AS dollars FROM e GROUP BY 1"""
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:

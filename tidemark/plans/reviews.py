@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assembly, ops, redaction, rules
+from ..operators import assembly, ingest, ops, redaction, rules
 from ..sources.adapter import table
 
 
@@ -189,21 +189,22 @@ RETRIEVED_SQL = "SELECT source, lang, max(n_chars % 1000) AS score FROM document
 
 
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of a run over pages, by host: fetched, changed, unchanged, failed, and the share that was empty."""
-    p = table(spark, sf_dir, "pages")
-    status = _pick(["changed", "unchanged", "failed"], F.length("url"))
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    per = p.groupBy(host.alias("host")).agg(
-        F.count("*").alias("fetched"), F.count_if(status == "changed").alias("changed"), F.count_if(status == "unchanged").alias("unchanged"),
-        F.count_if(status == "failed").alias("failed"), F.count_if(F.length("html") < 500).alias("empty"),
+    """Counters of a run over pages, by host, with statuses by their numbers and the errors of failed ones."""
+    p, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    status = _pick(["changed", "unchanged", "failed", "link_only", "failed"], n)
+    rows = p.select(
+        F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), status.alias("status"), _pick(["timeout", "http_404", "robots"], n).alias("error"),
+        F.when(n % 5 < 2, n % 9).otherwise(0).alias("chunks"), F.when(n % 5 < 2, n % 3).otherwise(0).alias("empty_chunks"),
     )
-    return per.withColumn("decided_rate", F.round(rules.pass_rate(F.col("changed"), F.col("failed")), 6))
+    return ingest.run_report(rows, ["host"])
 
 
-REPORT_SQL = """WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(url) % 3 AS s, length(html) AS n FROM pages)
-SELECT host, count(*) AS fetched, count(*) FILTER (s = 0) AS changed, count(*) FILTER (s = 1) AS unchanged, count(*) FILTER (s = 2) AS failed,
-  count(*) FILTER (n < 500) AS empty, round(count(*) FILTER (s = 0) / nullif(count(*) FILTER (s = 0) + count(*) FILTER (s = 2), 0), 6) AS decided_rate
-FROM p GROUP BY 1"""
+REPORT_SQL = """WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id % 5 AS s, ['timeout', 'http_404', 'robots'][page_id % 3 + 1] AS e,
+  CASE WHEN page_id % 5 < 2 THEN page_id % 9 ELSE 0 END AS c, CASE WHEN page_id % 5 < 2 THEN page_id % 3 ELSE 0 END AS z FROM pages),
+f AS (SELECT host, string_agg(e || ' × ' || n, ', ' ORDER BY e) AS failures FROM (SELECT host, e, count(*) AS n FROM p WHERE s IN (2, 4) GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT host, count(*) FILTER (s < 2) AS fetched, count(*) FILTER (s = 0) AS changed, count(*) FILTER (s = 1) AS unchanged, count(*) FILTER (s IN (2, 4)) AS failed,
+  count(*) FILTER (s = 3) AS link_only, CAST(sum(c) AS BIGINT) AS chunks, round(coalesce(sum(z) / nullif(sum(c + z), 0), 0.0::DOUBLE), 4) AS empty_rate FROM p GROUP BY 1)
+SELECT r.*, failures FROM r LEFT JOIN f USING (host)"""
 
 
 def attack_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
