@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prose import altered_quotes, plain_quote
 from ..functions.text import names_match
 from .joins import bounded
+from .rules import resolve_citations
 
 
 def greedy_match(golden: DataFrame, predicted: DataFrame, group: str, threshold: float = 80.0) -> DataFrame:
@@ -61,6 +63,37 @@ def gate_summary(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.select("metric", "value", gate(F.col("value"), F.col("low"), F.col("high"), F.col("required")).alias("status"))
 
 
+def judge_citations(answers: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, citations, unknown, link_only, licence, attribution, overrun, altered, expected_hit, passed) for each answer.
+
+    ``answers`` (id, response, context, expected array), ``citations`` (id, ref, licence or null, attribution), ``sources``
+    (source_id, url, index, licence, verbatim). A citation counts as unknown, of a source that is only linked, of another
+    licence than its source's, or without attribution; an answer overruns if it cites a source of excerpts and shares more
+    words in a row with its context than an excerpt may, and alters quotes if it cites one that must be quoted as it is.
+    It passes if it cites at all and nothing of that counts.
+    """
+    s = sources.select(F.col("source_id").alias("__s"), "index", F.col("licence").alias("__licence"), "verbatim")
+    found = resolve_citations(citations, sources).join(s, F.col("source_id") == F.col("__s"), "left")
+    known, yes = F.col("__s").isNotNull(), lambda c: F.coalesce(c, F.lit(False))
+    other = F.col("licence").isNotNull() & (plain_quote(F.col("licence")) != plain_quote(F.col("__licence")))
+    per = found.groupBy("id").agg(
+        F.count("*").alias("citations"), F.count_if(~known).alias("unknown"), F.count_if(known & ~yes(F.col("index"))).alias("link_only"), F.count_if(known & other).alias("licence"),
+        F.count_if(known & (F.trim(F.coalesce("attribution", F.lit(""))) == "")).alias("attribution"), F.bool_or(known & ~yes(F.col("verbatim"))).alias("__excerpt"),
+        F.bool_or(known & yes(F.col("verbatim"))).alias("__verbatim"), F.collect_set("__s").alias("__cited"),
+    )
+    runs = lambda c: word_runs(F.coalesce(c, F.lit("")), EXCERPT_WORDS + 1)
+    told = F.trim(F.coalesce("context", F.lit(""))) != ""
+    rows = answers.join(per, "id", "left")
+    rows = rows.withColumns(
+        {"overrun": told & yes(F.col("__excerpt")) & F.arrays_overlap(runs("response"), runs("context")),
+         "altered": F.when(told & yes(F.col("__verbatim")), F.size(altered_quotes(F.col("response"), F.col("context")))).otherwise(0)}
+    )
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("citations", "unknown", "link_only", "licence", "attribution")]
+    out = rows.select("id", *counts, F.coalesce("overrun", F.lit(False)).alias("overrun"), "altered", F.coalesce(F.arrays_overlap("__cited", "expected"), F.lit(False)).alias("expected_hit"))
+    clean = F.col("unknown") + F.col("link_only") + F.col("licence") + F.col("attribution") + F.col("altered") == 0
+    return out.withColumn("passed", (F.col("citations") > 0) & clean & ~F.col("overrun"))
+
+
 def citation_rates(results: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, rows, pass_rate, expected_rate): shares of answers whose citations passed, and that cite the expected source;
     null flags count as not."""
@@ -77,6 +110,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
+def word_runs(text: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` words of a text."""
+    hashed = F.transform(words(text), lambda x: F.xxhash64(x))
+    n = F.size(hashed) - size + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(hashed, i, size)))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def grams(df: DataFrame, key: str, size: int) -> DataFrame:
     """(key, gram): the distinct runs of ``size`` words, hashed."""
     hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))

@@ -84,7 +84,7 @@ FORMATTED_SQL = f"""WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderd
 SELECT o_orderkey, {_UNITS} || '.' || lpad(CAST(abs(c) % 100 AS VARCHAR), 2, '0') AS money, {_UNITS} AS whole,
   CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(round(n / 1024, 1) AS DECIMAL(18,1)) || ' KB' ELSE CAST(round(n / 1048576, 2) AS DECIMAL(18,2)) || ' MB' END AS size,
   CAST(o_orderkey % 1000 * 125 / 1000.0 AS DECIMAL(18,1)) || '%' AS percent, strftime(d, '%b %-d, %Y') AS canada, strftime(d, '%-d %b %Y') AS australia,
-  '&lt;a href=&quot;' || o_orderpriority || '&quot;&gt;&amp;' AS html, CASE WHEN length(o_orderpriority) > 4 THEN substr(o_orderpriority, 1, 4) || '… [truncated]' ELSE o_orderpriority END AS clipped FROM o"""
+  '&lt;a href=&quot;' || o_orderpriority || '&quot;&gt;&amp;' AS html, CASE WHEN length(o_orderpriority) > 4 THEN substr(o_orderpriority, 1, 4) || '…[truncated]' ELSE o_orderpriority END AS clipped FROM o"""
 
 
 def facts_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +115,15 @@ SELECT doc_id, line FROM x WHERE contains(t, '@') AND regexp_matches(t, '[0-9]{3
 
 
 def altered_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of benchmark items that were changed in every second one."""
-    b = table(spark, sf_dir, "benchmark")
-    said = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("so "), F.col("text"))).otherwise(F.upper("text"))
-    answer = F.concat(F.lit('As "'), F.translate(said, '"', ""), F.lit('" and "too short".'))
-    return b.select("item_id", F.size(P.altered_quotes(answer, F.col("text"))).alias("altered"), F.size(P.quotes_in(answer)).alias("quotes"))
+    """Quotes of benchmark items: with words before them, with other spaces, in capitals, and too short ones."""
+    b, n = table(spark, sf_dir, "benchmark"), F.col("item_id") % 4
+    text = F.regexp_replace(F.translate("text", '"“”', ""), r"\s+", " ")
+    said = F.when(n == 0, F.concat(F.lit("so "), text)).when(n == 1, F.regexp_replace(text, " ", "  ")).when(n == 2, F.upper(text)).otherwise(F.substring_index(text, " ", 3))
+    answer = F.concat(F.lit('As “'), said, F.lit('” and "it is too short".'))
+    return b.select("item_id", F.size(P.altered_quotes(answer, text)).alias("altered"), F.size(P.quotes_in(answer)).alias("quotes"))
 
 
-QUOTES_SQL = "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END AS altered, 1 AS quotes FROM benchmark"
+QUOTES_SQL = """SELECT item_id, CASE WHEN item_id % 4 IN (0, 2) THEN 1 ELSE 0 END AS altered, CASE WHEN item_id % 4 < 3 THEN 1 ELSE 0 END AS quotes FROM benchmark"""
 
 
 def capped_results(spark: SparkSession, sf_dir: str) -> DataFrame:

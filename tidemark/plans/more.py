@@ -159,24 +159,48 @@ SELECT claim_id, line_id, CAST(pays AS BIGINT) AS pays, CAST(balance - pays AS B
     CASE WHEN deadline < DATE '1998-01-01' THEN 'deadline_passed' END, CASE WHEN benefit_id = 5 THEN 'guide_only' END) END AS warnings FROM p"""
 
 
-def step_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as calls of tools, some of them declined, against eight steps."""
-    t = table(spark, sf_dir, "conversations")
-    n = F.length("text")
-    state = F.element_at(F.array(*[F.lit(s) for s in ("output-available", "output-denied", "input-streaming", "output-error")]), (n % 4 + 1).cast("int"))
-    calls = t.where("role <> 'user'").select(
-        "conv_id", "turn", F.concat(F.lit("tool"), (n % 3).cast("string")).alias("name"), F.to_json(F.struct((n % 2).alias("a"))).alias("arguments"),
-        F.when(n % 5 == 0, n % 3).alias("nested"), state.alias("state"),
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as messages: of the assistant a text and a call of a tool, whose state goes by the text's length."""
+    t, n = table(spark, sf_dir, "conversations"), F.length("text")
+    states = ["output-available", "output-denied", "input-streaming", "output-error", "approval-responded", "approval-requested"]
+    state = F.element_at(F.array(*[F.lit(s) for s in states]), (n % 6 + 1).cast("int"))
+    text = F.to_json(F.struct(F.lit("text").alias("type"), F.when(n % 10 == 9, " ").otherwise(F.md5(F.col("text").cast("binary"))).alias("text")))
+    call = F.to_json(
+        F.struct(
+            F.concat(F.lit("tool-t"), (n % 3).cast("string")).alias("type"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("toolCallId"), state.alias("state"),
+            F.struct((n % 2).alias("b"), F.lit(1).alias("a")).alias("input"), F.when(n % 6 == 0, F.struct((n % 4).alias("nestedToolCalls"))).alias("output"),
+            F.struct((n % 12 == 10).alias("approved")).alias("approval"),
+        )
     )
-    out = conversation.step_budget(calls, t, 8)
+    parts = F.concat(F.lit("["), text, F.when(F.col("role") == "assistant", F.concat(F.lit(","), call)).otherwise(""), F.lit("]"))
+    return t.select("conv_id", "turn", "role", parts.alias("parts"), (n % 13 == 5).alias("blocked"))
+
+
+def replayed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.replay_items(_messages(spark, sf_dir))
+
+
+def step_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps used in the current turn, against two."""
+    out = conversation.step_budget(replayed_items(spark, sf_dir), table(spark, sf_dir, "conversations"), 2)
     return out.withColumn("declined", F.array_join("declined", "|"))
 
 
-STEP_BUDGET_SQL = """WITH t AS (SELECT *, length(text) AS n, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last FROM conversations),
-c AS (SELECT conv_id, n, turn > coalesce(last, -1) AND role <> 'user' AND n % 4 <> 2 AS own FROM t)
-SELECT conv_id, CAST(sum(CASE WHEN own THEN 1 + CASE WHEN n % 5 = 0 THEN n % 3 ELSE 0 END ELSE 0 END) AS BIGINT) AS steps_used,
-  CAST(greatest(0, 8 - sum(CASE WHEN own THEN 1 + CASE WHEN n % 5 = 0 THEN n % 3 ELSE 0 END ELSE 0 END)) AS BIGINT) AS steps_left,
-  coalesce(array_to_string(list_sort(list_distinct(list('tool' || n % 3 || ':{"a":' || n % 2 || '}') FILTER (own AND n % 4 = 1))), '|'), '') AS declined FROM c GROUP BY 1"""
+_ITEMS_SQL = """u AS (SELECT conv_id, turn, role, text, length(text) AS n, role = 'assistant' AND length(text) % 13 = 5 AS bad,
+  max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last_user FROM conversations WHERE role IN ('user', 'assistant')),
+k AS (SELECT *, coalesce(lead(bad) OVER (PARTITION BY conv_id ORDER BY turn), false) AS next_bad FROM u),
+m AS (SELECT *, n % 6 = 1 OR (n % 6 = 4 AND n % 12 <> 10) AS no, 't' || n % 3 AS tool, '{"a":1,"b":' || n % 2 || '}' AS args FROM k WHERE NOT bad AND NOT (role = 'user' AND next_bad)),
+i AS (SELECT conv_id, turn, 0 AS p, role, 'message' AS type, NULL AS call_id, NULL AS name, md5(text) AS content, 0 AS steps, NULL AS declined, turn > coalesce(last_user, -1) AS now FROM m WHERE n % 10 <> 9
+  UNION ALL SELECT conv_id, turn, 1, role, 'function_call', 'c' || turn, tool, args, CASE WHEN n % 6 = 0 THEN 1 + n % 4 ELSE 1 END, CASE WHEN no THEN tool || ':' || args END, turn > coalesce(last_user, -1) FROM m WHERE role = 'assistant' AND n % 6 <> 2
+  UNION ALL SELECT conv_id, turn, 2, role, 'function_call_output', 'c' || turn, NULL, CASE WHEN no THEN '{"declined":true,"reason":null}' WHEN n % 6 = 0 THEN '{"nestedToolCalls":' || n % 4 || '}'
+    WHEN n % 6 = 3 THEN '{"error":"The tool failed."}' WHEN n % 6 = 5 THEN '{"declined":true,"reason":"The user did not respond to the approval request."}'
+    ELSE '{"error":"not_executed","message":"The tool did not run."}' END, 0, NULL, turn > coalesce(last_user, -1) FROM m WHERE role = 'assistant' AND n % 6 <> 2)"""
+REPLAYED_SQL = f"""WITH {_ITEMS_SQL} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p) AS item, role, type, call_id, name, content, CAST(steps AS INTEGER) AS steps, declined,
+  now AS in_current_turn FROM i"""
+STEP_BUDGET_SQL = f"""WITH {_ITEMS_SQL}, s AS (SELECT conv_id, sum(CASE WHEN now THEN steps ELSE 0 END) AS used,
+  coalesce(array_to_string(list_sort(list_distinct(list(declined) FILTER (now AND declined IS NOT NULL))), '|'), '') AS declined FROM i GROUP BY 1),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id, CAST(coalesce(used, 0) AS BIGINT) AS steps_used, CAST(greatest(0, 2 - coalesce(used, 0)) AS BIGINT) AS steps_left, coalesce(declined, '') AS declined FROM c LEFT JOIN s USING (conv_id)"""
 
 
 def tool_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +271,29 @@ CITATION_RATES_SQL = """SELECT lang, count(*) AS rows, count(*) FILTER (n_chars
   count(*) FILTER (doc_id % 2 = 0) / count(*) AS expected_rate FROM documents GROUP BY 1"""
 
 
+def citations_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as answers to their own text: cited well, wrongly in one way each, and not at all."""
+    b, n = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    words = F.regexp_replace(F.translate("text", '"“”', ""), r"\s+", " ")
+    sources = spark.createDataFrame(
+        [("a", "https://x/a/", True, "CC BY", True), ("b", "https://x/b", True, "Crown", False), ("c", "https://x/c", False, "CC  BY", True)],
+        "source_id string, url string, index boolean, licence string, verbatim boolean",
+    )
+    answers = b.select(
+        n.alias("id"), F.concat(F.lit('It says "'), F.when(n % 8 == 6, F.upper(words)).otherwise(words), F.lit('" there.')).alias("response"),
+        F.when(n % 8 == 5, " ").otherwise(words).alias("context"), F.array(F.lit("a"), F.lit("zz")).alias("expected"),
+    )
+    ways = [("https://x/a#p", "CC  BY", "by a"), ("b-17", None, "by b"), ("c", "CC BY", "by c"), ("nowhere", "CC BY", "by"), ("a", "GPL", "by a"), ("b", "Crown", " "), ("a", None, "by a")]
+    way = F.array(*[F.struct(F.lit(r).alias("ref"), F.lit(x).cast("string").alias("licence"), F.lit(t).alias("attribution")) for r, x, t in ways])
+    cited = b.where("item_id % 8 < 7").select(n.alias("id"), F.element_at(way, (n % 8 + 1).cast("int")).alias("w")).select("id", "w.*")
+    return evals.judge_citations(answers, cited, sources)
+
+
+CITATIONS_JUDGED_SQL = """WITH b AS (SELECT item_id AS id, item_id % 8 AS k, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) > 50 AS long FROM benchmark)
+SELECT id, CASE WHEN k < 7 THEN 1 ELSE 0 END::BIGINT AS citations, (k = 3)::BIGINT AS unknown, (k = 2)::BIGINT AS link_only, (k = 4)::BIGINT AS licence, (k = 5)::BIGINT AS attribution,
+  k = 1 AND long AS overrun, CASE WHEN k = 6 THEN 1 ELSE 0 END AS altered, k IN (0, 4, 6) AS expected_hit, k = 0 OR (k = 1 AND NOT long) AS passed FROM b"""
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["DateOfBirth", "Person", "CreditCardNumber", "CABankAccountNumber", "Email"]
     category = F.element_at(F.array(*[F.lit(c) for c in names]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -301,11 +348,13 @@ QUERIES = {
     "headline_rows": (headline_rows, HEADLINE_ROWS_SQL),
     "schedule_lists": (schedule_lists, SCHEDULE_LISTS_SQL),
     "claim_quotes": (claim_quotes, CLAIM_QUOTES_SQL),
+    "replayed_items": (replayed_items, REPLAYED_SQL),
     "step_budget": (step_budget, STEP_BUDGET_SQL),
     "tool_report": (tool_report, TOOL_REPORT_SQL),
     "budget_alerts": (budget_alerts, BUDGET_ALERTS_SQL),
     "embedding_texts": (embedding_texts, EMBEDDING_SQL),
     "batch_report": (batch_report, BATCH_SQL),
+    "citations_judged": (citations_judged, CITATIONS_JUDGED_SQL),
     "citation_rates": (citation_rates, CITATION_RATES_SQL),
     "tier_counts": (tier_counts, TIER_COUNTS_SQL),
     "duplicate_issues": (duplicate_issues, DUPLICATES_SQL),
