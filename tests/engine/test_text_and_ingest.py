@@ -178,6 +178,9 @@ def test_html():
     title, md = ingest.html_to_markdown(HTML)
     assert title == "Big title"
     assert md == "# Big **title**\n\nOne two\nthree\n\n- a\n- b *c*\n\n| h1 | h2 |\n| --- | --- |\n| 1 | x\\|y |\n\n```\ncode\n here\n```\n\nUnclosed link\n"
+    page = '<body><article>no</article><div id="wb-cont"><p>yes</p><div id="subnav">menu</div><p class="a btn-group">b</p><ul class="toc__wrapper"><li>x</li></ul><p aria-hidden="true">h</p></div></body>'
+    assert ingest.html_to_markdown(page)[1] == "yes\n"
+    assert ingest.html_to_markdown('<main> </main><div role="main" class="share">kept</div>')[1] == "kept\n"
     assert ingest.html_to_markdown(None) == (None, "\n") and ingest.html_to_markdown("<p>" * 3000 + "x")[1].strip() == "x"
 
 
