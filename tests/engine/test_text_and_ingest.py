@@ -265,9 +265,11 @@ def test_readers(spark, tmp_path):
     layout = json.dumps({"content": "hello world", "pages": [{"pageNumber": 1, "spans": [{"offset": 0, "length": 5}]}, {"pageNumber": 2, "spans": [{"offset": 6, "length": 5}]}]})
     pages = readers.layout_pages(spark.createDataFrame([(layout,)], "json string")).collect()
     assert [(r.page, r.text) for r in pages] == [(1, "hello"), (2, "world")]
-    receipt = json.dumps({"providerName": {"valueString": "Clinic", "confidence": 0.9}, "totalAmount": {"content": "$1,234.50", "confidence": 0.4}, "serviceDate": {"valueDate": "2025-01-02"}})
-    r = readers.parse_receipts(spark.createDataFrame([(receipt,)], "json string")).first()
-    assert (r.provider_name, r.total_cents, str(r.service_date)) == ("Clinic", 123450, "2025-01-02")
-    assert r.missing == ["providerType"] and r.low_confidence == ["totalAmount"]
+    leaf = lambda v, c=0.9: {"valueString": v, "confidence": c}
+    receipt = json.dumps({"providerName": leaf("Clinic"), "total": {"valueNumber": 1234.5, "confidence": 0.4}, "serviceLines": {"valueArray": [{"valueObject": {"serviceDate": {"valueDate": "2025-01-02"}, "amount": leaf("-1")}}]}})
+    r = readers.parse_receipts(spark.createDataFrame([(receipt,)], "json string"), region="AU").first()
+    assert (r.provider_name, r.total_cents, r.currency, str(r.lines[0].service_date), r.lines[0].amount_cents) == ("Clinic", 123450, "AUD", "2025-01-02", None)
+    assert r.missing == ["currency", "providerType", "providerRegistrationNo"] and [(i.code, i.field) for i in r.issues][0] == ("assumed_default", "currency")
+    assert [i.field for i in r.issues if i.code == "low_confidence"] == ["totalCents"]
     frames = readers.parse_frames(spark.createDataFrame([("event: a\ndata: 1\ndata: 2\n\nevent: b\ndata: {}\n\n",)], "body string")).collect()
     assert [(f.event, f.data) for f in frames] == [("a", "1\n2"), ("b", "{}")]

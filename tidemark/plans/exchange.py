@@ -28,38 +28,66 @@ def _strings(fn):
 
 
 def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as layouts of three pages, the second in two spans, read back."""
+    """Documents as layouts of three pages, the second in two spans with words in both and outside; every fourth one without a
+    list of pages; read back."""
     d = table(spark, sf_dir, "documents")
     n = F.length("text")
     a, b = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
     span = lambda x, y: F.struct(x.alias("offset"), (y - x).alias("length"))
-    page = lambda i, *spans: F.struct(F.lit(i).alias("pageNumber"), F.array(*spans).alias("spans"))
-    pages = F.array(page(1, span(F.lit(0), a)), page(2, span(a, b), span(b, n)), page(3, span(n, n)))
-    layout = F.to_json(F.struct(F.col("text").alias("content"), pages.alias("pages")))
-    out = readers.layout_pages(d.select("doc_id", layout.alias("json")))
-    return out.select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("hash"))
-
-
-LAYOUT_SQL = """SELECT doc_id, 1 AS page, md5(substr(text, 1, length(text) // 3)) AS hash FROM documents UNION ALL
-SELECT doc_id, 2, md5(substr(text, length(text) // 3 + 1)) FROM documents UNION ALL SELECT doc_id, 3, md5('') FROM documents"""
+    word = lambda at: F.struct(F.lit("w").alias("content"), F.struct(at.alias("offset"), F.lit(1).alias("length")).alias("span"), F.lit("D(2,1.5,2,3,4)").alias("source"))
+    none = F.array().cast("array<struct<content:string,span:struct<offset:int,length:int>,source:string>>")
+    page = lambda i, *spans, words=none: F.struct(F.lit(i).alias("pageNumber"), F.array(*spans).alias("spans"), words.alias("words"))
+    # the second page begins with the last part of the text
+    pages = F.array(page(1, span(F.lit(0), a)), page(2, span(b, n), span(a, b), words=F.array(word(b), word(a), word(F.lit(0)), word(n + 5))), page(3, span(n, n)))
+    layout = F.to_json(F.struct(F.replace("text", F.lit("\n"), F.lit("<!-- PageBreak -->")).alias("content"), F.when(F.col("doc_id") % 4 != 0, pages).alias("pages")))
+    whole = F.to_json(F.struct(F.col("text").alias("content"), pages.alias("pages")))
+    out = readers.layout_pages(d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, layout).otherwise(whole).alias("json")))
+    words = F.array_join(F.transform("words", lambda w: F.concat_ws("/", w["offset"].cast("string"), F.size(w["polygon"]).cast("string"))), ",")
+    return out.select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("hash"), words.alias("words"))
+
+
+_PAGES = "SELECT doc_id, text, length(text) AS n, length(text) // 3 AS a, length(text) // 2 AS b FROM documents WHERE doc_id % 4 <> 0"
+LAYOUT_SQL = f"""WITH p AS ({_PAGES}) SELECT doc_id, 1 AS page, md5(substr(text, 1, a)) AS hash, '' AS words FROM p
+UNION ALL SELECT doc_id, 2, md5(substr(text, b + 1) || substr(text, a + 1, b - a)), concat_ws(',', CASE WHEN b < n THEN '0/4' END, CASE WHEN a < b THEN n - b || '/4' WHEN a = b AND b < n THEN '0/4' END,
+  CASE WHEN b = 0 AND n > 0 THEN '0/4' WHEN a = 0 AND b > 0 THEN n - b || '/4' END) FROM p
+UNION ALL SELECT doc_id, 3, md5(''), '' FROM p
+UNION ALL SELECT doc_id, CAST(i AS INTEGER), md5(l[i]), '' FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 4 = 0))"""
 
 
 def receipts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as receipts, some fields missing, some unsure, amounts as text or as numbers, read back."""
+    """Orders as receipts, some fields missing, some unsure, two service lines, amounts as text or as numbers, read back."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    amount = F.when(k % 2 == 0, F.struct(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("content"), ((k % 10) / 10).alias("confidence")))
-    amount = amount.otherwise(F.struct(F.round("o_totalprice", 2).cast("string").alias("content"), ((k % 10) / 10).alias("confidence")))
-    fields = F.struct(
-        F.struct(F.col("o_orderpriority").alias("valueString"), F.lit(0.9).alias("confidence")).alias("providerName"), amount.alias("totalAmount"),
-        F.when(k % 3 != 0, F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("valueDate"), F.lit(0.6).alias("confidence"))).alias("serviceDate"),
+    text = lambda c, sure=0.9: F.struct(c.alias("valueString"), F.lit(sure).alias("confidence"))
+    total = F.when(k % 2 == 0, F.to_json(F.struct(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("valueString"), ((k % 10) / 10).alias("confidence"))))
+    total = total.otherwise(F.to_json(F.struct(F.round("o_totalprice", 2).alias("valueNumber"), ((k % 10) / 10).alias("confidence"))))
+    line = lambda i: F.struct(
+        F.struct(
+            F.struct(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00")).alias("valueDate")).alias("serviceDate"), text(F.col("o_orderpriority")).alias("description"),
+            F.struct((k + i).alias("valueInteger")).alias("itemCode"), F.struct(F.lit(float(i - 1)).alias("valueNumber")).alias("quantity"),
+            F.struct(F.lit("$1,234.505").alias("valueString"), F.lit(0.5).alias("confidence")).alias("amount"),
+        ).alias("valueObject")
     )
-    r = readers.parse_receipts(o.select("o_orderkey", F.to_json(fields).alias("json")))
-    return r.select("o_orderkey", "provider_name", "total_cents", "service_date", F.array_join("missing", ",").alias("missing"), F.array_join("low_confidence", ",").alias("low"))
-
-
-RECEIPTS_SQL = """SELECT o_orderkey, o_orderpriority AS provider_name, CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents,
-  CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS service_date, CASE WHEN o_orderkey % 3 <> 0 THEN 'providerType' ELSE 'providerType,serviceDate' END AS missing,
-  CASE WHEN o_orderkey % 10 < 6 THEN 'totalAmount' ELSE '' END AS low FROM orders"""
+    rest = F.to_json(
+        F.struct(
+            F.when(k % 3 != 0, text(F.col("o_orderpriority"))).alias("providerName"), F.struct(F.lit("").alias("valueString")).alias("providerType"),
+            F.struct(k.alias("valueInteger")).alias("providerRegistrationNo"), F.when(k % 4 == 0, text(F.lit("aud"))).when(k % 4 == 1, text(F.lit("$"))).when(k % 4 == 2, text(F.lit("EUR"))).alias("currency"),
+            F.when(k % 5 != 0, F.struct(F.array(line(0), line(1)).alias("valueArray"))).alias("serviceLines"),
+        )
+    )
+    body = F.concat(F.regexp_replace(rest, "}$", ""), F.lit(',"total":'), total, F.lit("}"))
+    r = readers.parse_receipts(o.select("o_orderkey", body.alias("json")))
+    lines = F.array_join(F.transform("lines", lambda x: F.concat_ws("/", x["service_date"].cast("string"), x["item_code"], x["quantity"].cast("string"), x["amount_cents"].cast("string"))), ";")
+    issues = F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["code"], x["field"])), ",")
+    return r.select("o_orderkey", "provider_name", "provider_no", "total_cents", "currency", lines.alias("lines"), F.array_join("missing", ",").alias("missing"), issues.alias("issues"), F.size("confidence").alias("sure"))
+
+
+RECEIPTS_SQL = """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS d, o_totalprice AS t FROM orders)
+SELECT k AS o_orderkey, CASE WHEN k % 3 <> 0 THEN p END AS provider_name, CAST(k AS VARCHAR) AS provider_no, CAST(round(t * 100) AS BIGINT) AS total_cents,
+  CASE k % 4 WHEN 0 THEN 'AUD' WHEN 2 THEN NULL ELSE 'CAD' END AS currency, CASE WHEN k % 5 <> 0 THEN d || '/' || k || '/123451;' || d || '/' || (k + 1) || '/0.0/123451' ELSE '' END AS lines,
+  concat_ws(',', CASE WHEN k % 5 = 0 THEN 'serviceLines' END, CASE WHEN k % 4 IN (1, 3) THEN 'currency' END, CASE WHEN k % 3 = 0 THEN 'providerName' END, 'providerType') AS missing,
+  concat_ws(',', CASE WHEN k % 5 = 0 THEN 'field_missing:serviceLines' END, CASE WHEN k % 4 IN (1, 3) THEN 'assumed_default:currency' END, CASE WHEN k % 3 = 0 THEN 'field_missing:providerName' END, 'field_missing:providerType',
+    CASE WHEN k % 5 <> 0 THEN 'low_confidence:serviceLines[0].amountCents,low_confidence:serviceLines[1].amountCents' END, CASE WHEN k % 10 < 6 THEN 'low_confidence:totalCents' END) AS issues,
+  CAST(1 + (k % 3 <> 0)::INT + (k % 4 <> 3)::INT + 4 * (k % 5 <> 0)::INT AS INTEGER) AS sure FROM o"""
 
 
 def frames_read(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,52 +56,126 @@ def load_manifest(spark: SparkSession, text: str, only: Iterable[str] | None = N
     return spark.createDataFrame(rows, schema)
 
 
-LAYOUT = "struct<content:string,pages:array<struct<pageNumber:int,spans:array<struct<offset:int,length:int>>>>>"
+LAYOUT = (
+    "struct<content:string,pages:array<struct<pageNumber:int,spans:array<struct<offset:int,length:int>>,"
+    "words:array<struct<content:string,span:struct<offset:int,length:int>,source:string,confidence:double>>>>>"
+)
+#: What parts pages where a layout lists none.
+PAGE_BREAK = "<!-- PageBreak -->"
+
+
+def _relative(spans: Column, offset: Column) -> Column:
+    """Place in a page's text of a place in the whole content; null outside the page's spans."""
+    start = F.struct(F.lit(0).alias("before"), F.lit(None).cast("int").alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = (offset >= s["offset"]) & (offset < s["offset"] + s["length"])
+        at = F.when(acc["at"].isNull() & inside, acc["before"] + offset - s["offset"]).otherwise(acc["at"])
+        return F.struct((acc["before"] + s["length"]).alias("before"), at.alias("at"))
+
+    return F.aggregate(spans, start, step)["at"]
 
 
 def layout_pages(df: DataFrame, column: str = "json") -> DataFrame:
-    """Rows (page, text) of layout JSON: each page's text is its spans of the content, joined."""
+    """Rows (page, text, words) of layout JSON: a page's text is its spans of the content, joined; without a list of pages the
+    content is parted at page breaks. Words are (content, offset, length, polygon, confidence), offsets those in the page's
+    text; words outside its spans are left out. A polygon is the numbers of ``D(page,x1,y1,...)``.
+    """
     got = df.withColumn("__l", F.from_json(column, LAYOUT)).drop(column)
-    pages = got.withColumn("__p", F.explode("__l.pages"))
-    text = F.array_join(
-        F.transform("__p.spans", lambda s: F.substring(F.col("__l.content"), s["offset"] + 1, s["length"])), ""
+    word = "array<struct<content:string,span:struct<offset:int,length:int>,source:string,confidence:double>>"
+    content = F.col("__l.content")
+    parted = F.transform(
+        F.split(content, f"\\Q{PAGE_BREAK}\\E"), lambda t, i: F.struct((i + 1).alias("page"), t.alias("text"), F.array().cast("array<struct<offset:int,length:int>>").alias("spans"), F.array().cast(word).alias("words"))
     )
-    return pages.withColumns({"page": F.col("__p.pageNumber"), "text": text}).drop("__l", "__p")
+    listed = F.transform(
+        "__l.pages",
+        lambda p: F.struct(
+            p["pageNumber"].alias("page"), F.array_join(F.transform(p["spans"], lambda s: F.substring(content, s["offset"] + 1, s["length"])), "").alias("text"),
+            p["spans"].alias("spans"), F.coalesce(p["words"], F.array().cast(word)).alias("words"),
+        ),
+    )
+    pages = got.withColumn("__p", F.explode(F.when(F.size("__l.pages") > 0, listed).otherwise(parted)))
+    numbers = lambda w: F.transform(F.split(F.regexp_extract(w["source"], r"^D\([0-9]+,(.*)\)$", 1), ","), lambda x: x.try_cast("double"))
+    words = F.transform(
+        "__p.words",
+        lambda w: F.struct(
+            w["content"].alias("content"), _relative(F.col("__p.spans"), w["span"]["offset"]).alias("offset"), w["span"]["length"].alias("length"),
+            F.when(w["source"].rlike(r"^D\("), numbers(w)).alias("polygon"), w["confidence"].alias("confidence"),
+        ),
+    )
+    return pages.withColumns({"page": F.col("__p.page"), "text": F.col("__p.text"), "words": F.filter(words, lambda w: w["offset"].isNotNull())}).drop("__l", "__p")
+
+
+#: A field's members, in the order in which they are looked at.
+MEMBERS = ("valueString", "valueDate", "valueNumber", "valueInteger", "valueBoolean", "valueTime")
 
 
 def typed_value(field: Column) -> Column:
-    """A field's value from whichever of its typed members is there, as text."""
-    members = ("valueString", "valueDate", "valueNumber", "valueInteger", "valueBoolean", "content")
-    return F.coalesce(*[field[m].cast("string") for m in members])
+    """A field's value from the first of its typed members that is there, as text."""
+    return F.coalesce(*[field[m].cast("string") for m in MEMBERS])
 
 
 def parse_money(text: Column) -> Column:
-    """Cents of amounts like ``$1,234.50``; null if there is no number."""
-    plain = F.regexp_replace(text, r"[^0-9.\-]", "")
-    return (F.round(plain.try_cast("decimal(18,4)") * 100)).cast("bigint")
-
-
-FIELD = "struct<valueString:string,valueDate:string,valueNumber:double,valueInteger:bigint,valueBoolean:boolean,content:string,confidence:double>"
-RECEIPT_FIELDS = ("providerName", "providerType", "totalAmount", "serviceDate")
-
-
-def parse_receipts(df: DataFrame, column: str = "json", low: float = 0.6) -> DataFrame:
-    """Adds provider_name, provider_type, total_cents, service_date, confidence (map), missing and low_confidence lists."""
-    fields = F.from_json(column, f"map<string,{FIELD}>")
-    df = df.withColumn("__f", fields)
-    value = {name: typed_value(F.col("__f")[name]) for name in RECEIPT_FIELDS}
-    names = F.array(*[F.lit(n) for n in RECEIPT_FIELDS])
-    return df.withColumns(
+    """Cents of amounts like ``$1,234.50``, halves up; null if there is no number or a negative one."""
+    plain = F.trim(F.translate(text, "$,", ""))
+    cents = F.round(plain.try_cast("decimal(20,6)") * 100).cast("bigint")
+    return F.when(cents >= 0, cents)
+
+
+_LEAF = "struct<valueString:string,valueDate:string,valueNumber:double,valueInteger:bigint,valueBoolean:boolean,valueTime:string,confidence:double>"
+_LINE = f"struct<valueObject:struct<serviceDate:{_LEAF},description:{_LEAF},itemCode:{_LEAF},quantity:{_LEAF},amount:{_LEAF}>>"
+#: A receipt's fields and what they are called when read.
+RECEIPT_FIELDS = {
+    "currency": "currency", "providerName": "providerName", "providerType": "providerType", "providerRegistrationNo": "providerRegistrationNo",
+    "total": "totalCents", "insurerPaid": "insurerPaidCents",
+}
+LINE_FIELDS = {"serviceDate": "serviceDate", "description": "description", "itemCode": "itemCode", "quantity": "quantity", "amount": "amountCents"}
+RECEIPT = "struct<" + ",".join(f"{n}:{_LEAF}" for n in RECEIPT_FIELDS) + f",serviceLines:struct<valueArray:array<{_LINE}>>>"
+DOLLAR_SIGNS = ("$", "DOLLAR", "DOLLARS", "C$", "CA$", "A$", "AU$", "")
+
+
+def parse_receipts(df: DataFrame, column: str = "json", region: str = "CA", low: float = 0.6) -> DataFrame:
+    """Adds what a receipt's JSON says: provider_name, provider_type, provider_no, total_cents, insurer_paid_cents, currency,
+    lines, confidence (map by field, lines by number), missing, issues (code, field).
+
+    A currency that is only a dollar sign, or not there, is the region's, and told of as assumed. ``insurerPaidCents`` is
+    never missing: most receipts lack it. Issues: ``assumed_default``, ``field_missing``, and ``low_confidence`` by name.
+    """
+    df = df.withColumn("__f", F.from_json(column, RECEIPT))
+    f = F.col("__f")
+    value = {n: typed_value(f[n]) for n in RECEIPT_FIELDS}
+    rows = F.coalesce(f["serviceLines"]["valueArray"], F.array().cast(f"array<{_LINE}>"))
+
+    def line(x: Column) -> Column:
+        part = {n: typed_value(x["valueObject"][n]) for n in LINE_FIELDS}
+        quantity = part["quantity"].try_cast("double")
+        return F.struct(
+            F.try_to_date(F.substring(part["serviceDate"], 1, 10), "yyyy-MM-dd").alias("service_date"), part["description"].alias("description"), part["itemCode"].alias("item_code"),
+            F.when(quantity >= 0, quantity).alias("quantity"), parse_money(part["amount"]).alias("amount_cents"),
+        )
+
+    said = F.upper(F.trim(F.coalesce(value["currency"], F.lit(""))))
+    assumed = said.isin(*DOLLAR_SIGNS)
+    currency = F.when(said.isin("CAD", "AUD"), said).when(assumed, "CAD" if region == "CA" else "AUD")
+    entry = lambda name, c: F.when(c.isNotNull(), F.struct(name.alias("key"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)).alias("value")))
+    own = F.array(*[entry(F.lit(t), f[n]["confidence"]) for n, t in RECEIPT_FIELDS.items()])
+    of_lines = F.flatten(
+        F.transform(rows, lambda x, i: F.array(*[entry(F.concat(F.lit("serviceLines["), i.cast("string"), F.lit(f"].{t}")), x["valueObject"][n]["confidence"]) for n, t in LINE_FIELDS.items()]))
+    )
+    confidence = F.map_from_entries(F.array_compact(F.concat(own, of_lines)))
+    lacking = [F.when(F.size(rows) == 0, "serviceLines"), F.when(assumed | (F.coalesce(value["currency"], F.lit("")) == ""), "currency")]
+    lacking += [F.when(F.coalesce(value[n], F.lit("")) == "", t) for n, t in RECEIPT_FIELDS.items() if n not in ("currency", "insurerPaid")]
+    df = df.withColumns(
         {
-            "provider_name": value["providerName"],
-            "provider_type": value["providerType"],
-            "total_cents": parse_money(value["totalAmount"]),
-            "service_date": F.try_to_date(value["serviceDate"], "yyyy-MM-dd"),
-            "confidence": F.transform_values("__f", lambda k, v: v["confidence"]),
-            "missing": F.filter(names, lambda n: F.col("__f")[n].isNull()),
-            "low_confidence": F.filter(names, lambda n: F.col("__f")[n]["confidence"] < low),
+            "provider_name": value["providerName"], "provider_type": value["providerType"], "provider_no": F.when(value["providerRegistrationNo"] != "", value["providerRegistrationNo"]),
+            "total_cents": parse_money(value["total"]), "insurer_paid_cents": parse_money(value["insurerPaid"]), "currency": currency, "lines": F.transform(rows, line),
+            "confidence": confidence, "missing": F.array_compact(F.array(*lacking)),
         }
-    ).drop("__f", column)
+    ).drop("__f", column)
+    issue = lambda code, name: F.struct(code.alias("code"), name.alias("field"))
+    told = F.transform("missing", lambda m: issue(F.when((m == "currency") & F.col("currency").isNotNull(), "assumed_default").otherwise("field_missing"), m))
+    unsure = F.transform(F.sort_array(F.map_keys(F.map_filter("confidence", lambda k, v: v < low))), lambda k: issue(F.lit("low_confidence"), k))
+    return df.withColumn("issues", F.concat(told, unsure))
 
 
 def encode_frames(df: DataFrame, event: str, data: str) -> Column:
