@@ -150,7 +150,14 @@ def test_aliases():
     text = "DOE, JANE Q. lives at 12 Main St. and has (416) 555-0199; not 4165550199x."
     assert redaction.apply_aliases(text, aliases) == "DOE, JANE Q. lives at [ADDRESS_A]. and has ([PHONE_A]; not 4165550199x."
     assert redaction.apply_aliases("Doe, Jane Q. and J. Doe", {"Jane Doe": "[NAME_A]"}) == "[NAME_A] Q. and [NAME_A]"
-    assert redaction.repair_tokens("{NAME A) and [PHONE-0] but [OTHER_A]", ["NAME", "PHONE"]) == "[NAME_A] and [PHONE_O] but [OTHER_A]"
+    text = "{NAME A) x [PHONE_B] y IMEMBER-C] but NAME B and [OTHER_A]"
+    r = redaction.repair(text)
+    assert r.text == "[NAME_A] x [PHONE_B] y [MEMBER_C] but NAME B and [OTHER_A]" and [r.text[a:b] for a, b in r.tokens] == ["[NAME_A]", "[PHONE_B]", "[MEMBER_C]", "[OTHER_A]"]
+    assert redaction.tokens_in(text + " [NAME_A]") == ["[NAME_A]", "[PHONE_B]", "[MEMBER_C]", "[OTHER_A]"]
+    damaged = "pre MEMBER_A post (CERT 1) end"
+    r = redaction.repair(damaged)
+    assert r.text == "pre [MEMBER_A] post [CERT_1] end" and r.original(r.text.index("post")) == damaged.index("post") and r.original(r.text.index("end")) == damaged.index("end")
+    assert r.original(0) == 0 and r.original(4) == 4 and r.original(13) == 12 and r.share(4, 14) == 1.0 and r.share(0, 8) == 0.5 and r.share(3, 3) == 0.0
     assert redaction.label_spans("Member ID no: 12", ["member", "member id", "id no"]) == [(0, 9)]
     assert [v[0] for v in redaction.labelled_values("Date of birth: 1990-01-02\nName Jane Doe", {"date of birth": "date", "name": "name"})] == ["date of birth", "name"]
     assert redaction.merge_boxes([(0, 0, 2, 2), (5, 5, 6, 6), (1, 1, 5.5, 5.5)]) == [(0, 0, 6, 6)]

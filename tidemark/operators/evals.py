@@ -7,36 +7,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prose import altered_quotes, plain_quote
-from ..functions.text import names_match
+from ..functions.text import ratio, scored, token_set_ratio, token_sort_ratio
 from .joins import bounded
 from .rules import resolve_citations
 
 
-def greedy_match(golden: DataFrame, predicted: DataFrame, group: str, threshold: float = 80.0) -> DataFrame:
+#: Likeness from which rows match, and from which a field is right; fields that are compared loosely, and
+#: those that are lists.
+MATCH_SCORE, FIELD_SCORE = 80.0, 90.0
+FUZZY_FIELDS = ("insurer", "plan_name", "category_name", "benefit_name", "pool_name", "name")
+LIST_FIELDS = ("item_codes", "benefit_names", "applies_to")
+
+
+def plain_name(text: str | None) -> str:
+    return " ".join((text or "").lower().replace("&", "and").split())
+
+
+def greedy_match(golden: DataFrame, predicted: DataFrame, group: str, threshold: float = MATCH_SCORE, kind: str | None = None) -> DataFrame:
     """(group, golden_id, predicted_id, score): each golden row, in order of id, takes the most alike predicted row
-    that is left; rows without a partner on either side have a null. Both: (group, id, name).
+    that is left, the first of equals; rows without a partner on either side have a null. Both: (group, id, name), and
+    ``kind``, if named, which must be equal. Only distinct names are scored.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pairs = lambda df: sorted(zip(df["id"], df["name"])) if len(df) else []
-        free = dict(pairs(right))
+        rows_of = lambda df: sorted(zip(df["id"], df["name"].map(plain_name), df[kind] if kind else [None] * len(df))) if len(df) else []
+        free = {i: (name, k) for i, name, k in rows_of(right)}
+        known: dict[tuple[str, str], float] = {}
         rows = []
         key = (left if len(left) else right)[group].iloc[0]
-        for i, name in pairs(left):
-            best = max(((names_match(name, n), -j) for j, n in free.items()), default=(0.0, 0))
+        for i, name, own in rows_of(left):
+            best = (-1.0, 0)
+            for j, (other, k) in free.items():
+                if kind and own != k:
+                    continue
+                if (name, other) not in known:
+                    known[name, other] = token_set_ratio(name, other)
+                if known[name, other] > best[0]:
+                    best = (known[name, other], j)
             if best[0] >= threshold:
-                rows.append((key, i, -best[1], best[0]))
-                del free[-best[1]]
+                rows.append((key, i, best[1], best[0]))
+                del free[best[1]]
             else:
                 rows.append((key, i, None, None))
         rows += [(key, None, i, None) for i in free]
         out = pd.DataFrame(rows, columns=[group, "golden_id", "predicted_id", "score"])
         return out.astype({"golden_id": "Int64", "predicted_id": "Int64", "score": "Float64"})
 
-    kind = golden.schema[group].dataType.simpleString()
-    schema = f"{group} {kind}, golden_id bigint, predicted_id bigint, score double"
+    by = golden.schema[group].dataType.simpleString()
+    schema = f"{group} {by}, golden_id bigint, predicted_id bigint, score double"
+    names = [group, "id", "name", *([kind] if kind else [])]
     # fresh columns, as both sides may stem from one table
-    a, b = (df.select(*[F.col(c).alias(c) for c in (group, "id", "name")]).groupBy(group) for df in (golden, predicted))
+    a, b = (df.select(*[F.col(c).alias(c) for c in names]).groupBy(group) for df in (golden, predicted))
     return a.cogroup(b).applyInPandas(run, schema)
 
 
@@ -48,6 +69,52 @@ def accuracy(matches: DataFrame, group: str) -> DataFrame:
     )
 
 
+def _list_parts(text: str | None) -> list[str]:
+    return sorted(x for x in (p.strip() for p in plain_name(text).split(",")) if x)
+
+
+def _alike_lists(a: str | None, b: str | None) -> float:
+    """100 if both lists are as long and each part of the first is like one of the second."""
+    x, y = _list_parts(a), _list_parts(b)
+    return 100.0 if len(x) == len(y) and all(any(ratio(p, q) >= FIELD_SCORE for q in y) for p in x) else 0.0
+
+
+_loose = scored(lambda a, b: token_sort_ratio(plain_name(a), plain_name(b)))
+_lists = scored(_alike_lists)
+
+
+def field_right(name: str, kind: str, golden: Column, predicted: Column) -> Column:
+    """Whether a field is as it should be: numbers to half a cent, names loosely, lists part by part, other texts but for case
+    and spaces; null on one side alone is wrong."""
+    if kind in ("double", "float", "int", "bigint") or kind.startswith("decimal"):
+        same = F.abs(golden.cast("double") - predicted.cast("double")) <= 0.005
+    elif kind == "boolean":
+        same = golden == predicted
+    elif name in LIST_FIELDS:
+        same = _lists(golden, predicted) == 100.0
+    elif name in FUZZY_FIELDS:
+        same = _loose(golden, predicted) >= FIELD_SCORE
+    else:
+        plain = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), r"\s+", " "))
+        same = plain(golden) == plain(predicted)
+    return golden.isNotNull() & predicted.isNotNull() & same
+
+
+def field_accuracy(golden: DataFrame, predicted: DataFrame, matches: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """(group, correct, total, accuracy) over the fields of matched rows, but for those that both lack; all that an unmatched
+    row has, on either side, counts as wrong."""
+    a = golden.select(F.col(group).alias(group), F.col("id").alias("golden_id"), *[F.col(f).alias(f"a_{f}") for f in fields])
+    b = predicted.select(F.col(group).alias(group), F.col("id").alias("predicted_id"), *[F.col(f).alias(f"b_{f}") for f in fields])
+    rows = matches.join(a, [group, "golden_id"], "left").join(b, [group, "predicted_id"], "left")
+    kinds = {f: golden.schema[f].dataType.simpleString() for f in fields}
+    right = {f: field_right(f, kinds[f], F.col(f"a_{f}"), F.col(f"b_{f}")) for f in fields}
+    rows = rows.withColumns({f"ok_{f}": F.coalesce(c, F.lit(False)) for f, c in right.items()})
+    many = sum(((F.col(f"a_{f}").isNotNull() | F.col(f"b_{f}").isNotNull()).cast("int") for f in fields), F.lit(0))
+    good = sum((F.col(f"ok_{f}").cast("int") for f in fields), F.lit(0))
+    per = rows.groupBy(group).agg(F.sum(good).alias("correct"), F.sum(many).alias("total"))
+    return per.select(group, "correct", "total", F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)).alias("accuracy"))
+
+
 def gate(value: Column, low: Column, high: Column, required: Column) -> Column:
     """``fail`` for a missing required value or one outside its bounds, ``skipped`` for another missing one, else ``pass``."""
     outside = F.coalesce(value < low, F.lit(False)) | F.coalesce(value > high, F.lit(False))

@@ -144,17 +144,17 @@ PATHS_SQL = "SELECT p_partkey, p_size || ',' || (p_size + 1) || '|' || p_name ||
 def aliases_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known values written in other ways in notes about customers, replaced by their tokens; damaged tokens repaired."""
     known = {"Jane Q. Doe": "[MEMBER_A]", "12 Main Street": "[ADDRESS_A]", "1 416 555 0199": "[PHONE_A]"}
-    ways = ["saw Jane Q. Doe today", "at 12 MAIN ST.", "call 416-555-0199 now", "janeqdoes no", "{MEMBER A) said (PHONE-8] ok", "Zoë 12, Main Street; Jane-Q-Doe"]
+    ways = ["saw Jane Q. Doe today", "at 12 MAIN ST.", "call 416-555-0199 now", "janeqdoes no", "{MEMBER A) said PHONE_B and IMEMBER-CI ok, MEMBER D", "Zoë 12, Main Street; Jane-Q-Doe"]
 
     def clean(text: str) -> str:
-        return redaction.repair_tokens(redaction.apply_aliases(text, known), ["MEMBER", "PHONE"])
+        return redaction.repair_tokens(redaction.apply_aliases(text, known))
 
     c = table(spark, sf_dir, "customer")
     text = F.element_at(F.array(*[F.lit(w) for w in ways]), (F.col("c_custkey") % len(ways) + 1).cast("int"))
     return c.select("c_custkey", _strings(clean)(F.concat_ws(" ", text, F.col("c_custkey").cast("string"))).alias("text"))
 
 
-ALIASES_SQL = """SELECT c_custkey, ['saw [MEMBER_A] today', 'at [ADDRESS_A].', 'call [PHONE_A] now', 'janeqdoes no', '[MEMBER_A] said [PHONE_B] ok',
+ALIASES_SQL = """SELECT c_custkey, ['saw [MEMBER_A] today', 'at [ADDRESS_A].', 'call [PHONE_A] now', 'janeqdoes no', '[MEMBER_A] said [PHONE_B] and [MEMBER_C] ok, MEMBER D',
   'Zoë [ADDRESS_A]; [MEMBER_A]'][c_custkey % 6 + 1] || ' ' || c_custkey AS text FROM customer"""
 
 

@@ -178,12 +178,45 @@ SELECT metric, value, CASE WHEN value IS NULL THEN CASE WHEN required THEN 'fail
   WHEN coalesce(value < low, false) OR coalesce(value > high, false) THEN 'fail' ELSE 'pass' END AS status FROM t LEFT JOIN m USING (metric)"""
 
 
+def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Part names with a number, against the same with words turned round, some fields wrong or lacking, some rows missing and
+    some of another kind."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"), k.alias("id"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.col("p_type").alias("kind"), F.col("p_name").alias("benefit_name"),
+        F.col("p_retailprice").alias("limit_value"), F.when(k % 4 != 0, F.concat_ws(", ", F.lit("one"), "p_name")).alias("item_codes"), F.upper("p_type").alias("scope"),
+    )
+    turned = F.array_join(F.reverse(F.split("benefit_name", " ")), " ")
+    q = p.where("id % 7 <> 0").withColumns(
+        {"kind": F.when(F.col("id") % 11 == 0, "other").otherwise(F.col("kind")), "benefit_name": F.when(F.col("id") % 5 == 0, "quite another").otherwise(F.upper(turned)),
+         "limit_value": F.when(F.col("id") % 3 != 0, F.col("limit_value") + F.when(F.col("id") % 3 == 1, 0.004).otherwise(0.02)),
+         "item_codes": F.concat_ws(" ,", F.upper("benefit_name"), F.lit(" ONE ")), "scope": F.concat(F.lit(" "), F.lower("scope"))}
+    )
+    return p, q
+
+
+def extraction_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows matched one to one within a brand, kinds equal."""
+    p, q = _extracted(spark, sf_dir)
+    return evals.greedy_match(p, q, "brand", kind="kind").select("brand", "golden_id", "predicted_id", (F.col("score") == 100).alias("whole"))
+
+
+MATCHES_SQL = """WITH p AS (SELECT p_brand AS brand, p_partkey AS k FROM part)
+SELECT brand, k AS golden_id, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN k END AS predicted_id, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN true END AS whole FROM p
+UNION ALL SELECT brand, NULL, k, NULL FROM p WHERE k % 7 <> 0 AND k % 11 = 0"""
+
+
 def extraction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against names with words turned round or dropped, by brand, matched one to one."""
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    turned = F.array_join(F.reverse(F.split("name", " ")), " ")
-    predicted = p.where("id % 7 <> 0").withColumn("name", F.when(F.col("id") % 5 == 0, F.upper(turned)).otherwise(F.concat(turned, F.lit("s"))))
-    return evals.accuracy(evals.greedy_match(p, predicted, "brand"), "brand")
+    """How many fields of matched rows are right, by brand."""
+    p, q = _extracted(spark, sf_dir)
+    matches = evals.greedy_match(p, q, "brand", threshold=100.0, kind="kind")
+    return evals.field_accuracy(p, q, matches, "brand", ["benefit_name", "limit_value", "item_codes", "scope"])
+
+
+ACCURACY_SQL = """WITH p AS (SELECT p_brand AS brand, p_partkey AS k FROM part), m AS (SELECT *, k % 7 <> 0 AND k % 11 <> 0 AS met FROM p),
+f AS (SELECT brand, CASE WHEN met THEN (k % 5 <> 0)::INT + (k % 3 = 1)::INT + (k % 4 <> 0)::INT + 1 ELSE 0 END AS good,
+  CASE WHEN met THEN 4 ELSE 3 + (k % 4 <> 0)::INT + CASE WHEN k % 7 <> 0 THEN 3 + (k % 3 <> 0)::INT ELSE 0 END END AS every FROM m)
+SELECT brand, CAST(sum(good) AS BIGINT) AS correct, CAST(sum(every) AS BIGINT) AS total, sum(good) / sum(every) AS accuracy FROM f GROUP BY 1"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +354,8 @@ QUERIES = {
     "claim_transitions": (claim_transitions, TRANSITIONS_SQL),
     "confusion_scores": (confusion_scores, CONFUSION_SQL),
     "gate_summary": (gate_summary, GATES_SQL),
-    "extraction_accuracy": (extraction_accuracy, None),
+    "extraction_matches": (extraction_matches, MATCHES_SQL),
+    "extraction_accuracy": (extraction_accuracy, ACCURACY_SQL),
     "conversation_replay": (conversation_replay, REPLAY_SQL),
     "history_truncated": (history_truncated, TRUNCATE_SQL),
     "router_context": (router_context, ROUTER_SQL),
