@@ -107,28 +107,29 @@ def raw_reimbursement(bp: int = 8_000) -> Column:
     return F.least(percent_of(F.col("charged_cents"), bp), balance)
 
 
-def member_headline(usage: DataFrame) -> DataFrame:
+def member_headline(usage: DataFrame, every: bool = False) -> DataFrame:
     """(member_id, remaining_cents, paid_cents, used_benefits) from usage rows by benefit.
 
-    ``usage``: member_id, benefit_id, used_cents, own_remaining (null: unlimited), pool_id, pool_remaining. A pool counts
-    once, as the lesser of its remainder and the sum of what its used benefits have left; unlimited ones without a pool
-    are left out.
+    ``usage``: member_id, benefit_id, used_cents, own_remaining (null: unlimited), pool_id, pool_remaining, and ``waiting`` if
+    it is to be over every benefit that waits for nothing instead of the used ones. A pool counts once, as the lesser of its
+    remainder and the sum of what its benefits have left; unlimited ones without a pool are left out. What was paid and how
+    many were used is told of all rows.
     """
-    used = F.col("used_cents") > 0
+    used = ~F.col("waiting") if every else F.col("used_cents") > 0
     in_pool = F.col("pool_id").isNotNull()
     per_pool = (
         usage.where(used)
         .groupBy("member_id", F.when(in_pool, F.col("pool_id")).alias("pool_id"))
         .agg(
             F.sum(F.coalesce("own_remaining", F.when(in_pool, F.col("pool_remaining")))).alias("own"),
-            F.first("pool_remaining").alias("pool_remaining"), F.sum("used_cents").alias("paid"), F.count("*").alias("n"),
+            F.first("pool_remaining").alias("pool_remaining"),
         )
     )
     part = F.when(F.col("pool_id").isNotNull(), F.least("own", "pool_remaining")).otherwise(F.coalesce("own", F.lit(0)))
-    return per_pool.groupBy("member_id").agg(
-        F.sum(part).cast("bigint").alias("remaining_cents"), F.sum("paid").cast("bigint").alias("paid_cents"),
-        F.sum("n").cast("bigint").alias("used_benefits"),
-    )
+    left = per_pool.groupBy("member_id").agg(F.sum(part).cast("bigint").alias("remaining_cents"))
+    told = usage.groupBy("member_id").agg(F.sum("used_cents").cast("bigint").alias("paid_cents"), F.count_if(F.col("used_cents") > 0).alias("used_benefits"))
+    remaining_cents = F.coalesce("remaining_cents", F.lit(0).cast("bigint")).alias("remaining_cents")
+    return told.join(left, "member_id", "left").select("member_id", remaining_cents, "paid_cents", "used_benefits")
 
 
 #: Statuses of claims that are decided, and the order in which statuses are listed.

@@ -31,12 +31,9 @@ def dense_usage(members: DataFrame, benefits: DataFrame, used: DataFrame, as_of:
     )
 
 
-def shown(usage: DataFrame) -> DataFrame:
-    """Rows of ``dense_usage`` that a member's headline is made of: the used ones; for members who used nothing, all that
-    wait for nothing."""
-    any_used = usage.groupBy("plan_id", "member_id").agg((F.max("used_cents") > 0).alias("any"))
-    rows = usage.join(any_used, ["plan_id", "member_id"])
-    return rows.where((F.col("any") & (F.col("used_cents") > 0)) | (~F.col("any") & ~F.col("waiting"))).drop("any")
+def shown(usage: DataFrame, every: bool = False) -> DataFrame:
+    """Rows of ``dense_usage`` that a member's headline is made of: the used ones, or every one that waits for nothing."""
+    return usage.where(~F.col("waiting") if every else F.col("used_cents") > 0)
 
 
 def schedule_lists(usage: DataFrame, benefits: DataFrame) -> DataFrame:

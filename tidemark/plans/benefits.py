@@ -296,7 +296,10 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def member_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.member_headline(usage_rows(spark, sf_dir))
+    """Over used benefits, and over all that a member has rows of and that wait for nothing."""
+    rows = usage_rows(spark, sf_dir).withColumn("waiting", F.col("benefit_id") == 4)
+    per = [ledger.member_headline(rows, every).withColumn("every", F.lit(every)) for every in (False, True)]
+    return per[0].unionByName(per[1])
 
 
 HEADLINE_SQL = f"""WITH {_paid_sql()}, {_POOL_SQL}, u AS (
@@ -304,10 +307,13 @@ HEADLINE_SQL = f"""WITH {_paid_sql()}, {_POOL_SQL}, u AS (
 v AS (SELECT u.*, pool_id, CASE WHEN u.benefit_id % 3 <> 0 THEN greatest(0, {LIMIT_CENTS} - used) END AS own,
   CASE WHEN pool_id IS NOT NULL THEN greatest(0, {POOL_CENTS} - sum(used) OVER (PARTITION BY member_id, pool_id)) END AS left_in_pool
   FROM u LEFT JOIN pool USING (benefit_id)),
-g AS (SELECT member_id, pool_id, sum(coalesce(own, left_in_pool)) AS own, max(left_in_pool) AS left_in_pool, sum(used) AS paid, count(*) AS n
-  FROM v WHERE used > 0 GROUP BY 1, 2)
-SELECT member_id, CAST(sum(CASE WHEN pool_id IS NULL THEN coalesce(own, 0) ELSE least(own, left_in_pool) END) AS BIGINT) AS remaining_cents,
-  CAST(sum(paid) AS BIGINT) AS paid_cents, CAST(sum(n) AS BIGINT) AS used_benefits FROM g GROUP BY 1"""
+e AS (SELECT unnest([false, true]) AS every),
+g AS (SELECT every, member_id, pool_id, sum(coalesce(own, left_in_pool)) AS own, max(left_in_pool) AS left_in_pool
+  FROM v, e WHERE CASE WHEN every THEN benefit_id <> 4 ELSE used > 0 END GROUP BY 1, 2, 3),
+r AS (SELECT every, member_id, sum(CASE WHEN pool_id IS NULL THEN coalesce(own, 0) ELSE least(own, left_in_pool) END) AS remaining FROM g GROUP BY 1, 2),
+t AS (SELECT member_id, sum(used) AS paid, count(*) FILTER (used > 0) AS n FROM v GROUP BY 1)
+SELECT t.member_id, CAST(coalesce(remaining, 0) AS BIGINT) AS remaining_cents, CAST(paid AS BIGINT) AS paid_cents, CAST(n AS BIGINT) AS used_benefits, e.every
+FROM t CROSS JOIN e LEFT JOIN r ON r.member_id = t.member_id AND r.every = e.every"""
 
 
 def out_of_pocket(spark: SparkSession, sf_dir: str) -> DataFrame:

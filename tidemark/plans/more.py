@@ -132,11 +132,18 @@ PLAN_USAGE_SQL = f"WITH {_USAGE_SQL} SELECT * FROM w"
 
 
 def headline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.shown(_usage(spark, sf_dir)[0]).groupBy("plan_id", "member_id").agg(F.count("*").alias("n"), F.sum("remaining_cents").alias("remaining_cents"))
-
-
-HEADLINE_ROWS_SQL = f"""WITH {_USAGE_SQL}, s AS (SELECT *, max(used_cents) OVER (PARTITION BY member_id) > 0 AS used_any FROM w)
-SELECT plan_id, member_id, count(*) AS n, CAST(sum(remaining_cents) AS BIGINT) AS remaining_cents FROM s WHERE (used_any AND used_cents > 0) OR (NOT used_any AND NOT waiting) GROUP BY 1, 2"""
+    """What members' headlines are made of, over used benefits and over all that wait for nothing."""
+    rows = _usage(spark, sf_dir)[0]
+    per = [
+        usage.shown(rows, every).groupBy("plan_id", "member_id", F.lit(every).alias("every")).agg(F.count("*").alias("n"), F.sum("remaining_cents").alias("remaining_cents"))
+        for every in (False, True)
+    ]
+    return per[0].unionByName(per[1])
+
+
+HEADLINE_ROWS_SQL = f"""WITH {_USAGE_SQL}
+SELECT plan_id, member_id, false AS every, count(*) AS n, CAST(sum(remaining_cents) AS BIGINT) AS remaining_cents FROM w WHERE used_cents > 0 GROUP BY 1, 2
+UNION ALL SELECT plan_id, member_id, true, count(*), CAST(sum(remaining_cents) AS BIGINT) FROM w WHERE NOT waiting GROUP BY 1, 2"""
 
 
 def schedule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
