@@ -44,9 +44,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     all; no words (or null) give 0.
     """
     words = text.lower().split() if text else []
-    if not words:
-        return 0
-    h = shingle_hashes(words, shingle, seed)
+    return majority(shingle_hashes(words, shingle, seed)) if words else 0
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of some hashes, as a signed 64-bit integer."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
