@@ -92,6 +92,28 @@ def row_confidence(score: Column, verdict: Column, grounded: Column, exhausted:
     return F.round(c * F.when(exhausted, exact(0.9, "decimal(3,2)")).otherwise(exact(1, "decimal(3,2)")), 3).cast("double")
 
 
+#: The score from which a quote has a ground, and the confidence below which a row is to be looked at.
+GROUNDED_SCORE, LOW_CONFIDENCE = 85.0, 0.6
+
+
+def judge_rows(rows: DataFrame, verdicts: DataFrame, pages: DataFrame, exhausted: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with verdict, confidence and ground, and issues (row_id, page, code, severity).
+
+    ``rows`` (row_id, page, score of the quote on its page), ``verdicts`` (row_id, verdict, last one wins by ``place``),
+    ``pages`` (page) of the chunk. Rows of other pages are dropped and told of. Of the rest each has one issue at most:
+    the verifier's, else a missing ground, else low confidence.
+    """
+    said = verdicts.groupBy("row_id").agg(F.max_by("verdict", "place").alias("verdict"))
+    known = rows.join(pages.select("page").distinct(), "page", "left_semi").join(said, "row_id", "left")
+    grounded = F.col("score") >= GROUNDED_SCORE
+    out = known.withColumns({"grounded": grounded, "confidence": row_confidence(F.col("score"), F.col("verdict"), grounded, exhausted)})
+    outside = rows.join(pages.select("page").distinct(), "page", "left_anti").select("row_id", "page", F.lit("unsupported_row").alias("code"), F.lit("warning").alias("severity"))
+    code = F.when(F.col("verdict") == "unsupported", "unsupported_row").when(~F.col("grounded"), "ungrounded_quote").when(F.col("confidence") < LOW_CONFIDENCE, "low_confidence")
+    told = out.withColumn("code", code).where("code is not null")
+    severity = F.when(F.col("code") == "low_confidence", "info").otherwise("warning")
+    return out, outside.unionByName(told.select("row_id", "page", "code", severity.alias("severity")))
+
+
 def apply_corrections(df: DataFrame, patch: str, allowed: dict[str, str]) -> DataFrame:
     """Columns replaced by what a JSON object names, if allowed and readable as the column's type."""
     values = F.from_json(patch, "map<string,string>")

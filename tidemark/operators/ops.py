@@ -72,6 +72,21 @@ def usage_cost(tokens: Column, pages: Column, field_pages: Column, language: Col
     return F.round(micro / 1_000_000, 6).cast("double")
 
 
+#: Chunks that are read at once, pages of a chunk and those it shares with the next, and how much is read twice.
+CONCURRENCY, CHUNK_PAGES, SHARED_PAGES = 4, 5, 1
+PASSES = 2 * 1.3
+
+
+def projection(p95_s: Column, pages: Column, tokens_per_page: Column, tokens_per_minute_k: Column) -> Column:
+    """struct<chunks, wall_minutes, tokens, quota_minutes>: what a booklet of so many pages would take."""
+    chunks = F.greatest(F.lit(1), F.ceil((pages - SHARED_PAGES) / (CHUNK_PAGES - SHARED_PAGES))).cast("bigint")
+    wall = F.round(F.ceil(chunks / CONCURRENCY) * p95_s / 60, 1)
+    tokens = pages * tokens_per_page * F.lit(PASSES)
+    return F.struct(
+        chunks.alias("chunks"), wall.alias("wall_minutes"), F.round(tokens).cast("bigint").alias("tokens"), F.round(tokens / (tokens_per_minute_k * 1000), 2).alias("quota_minutes")
+    )
+
+
 def tool_report(calls: DataFrame, durations: DataFrame) -> DataFrame:
     """(tool, executor, calls, errors, error_rate_pct, p95_ms): calls (tool, executor, outcome, n) beside the weighted 95th
     percentile of durations (tool, executor, n, total_ms), null where none was measured."""

@@ -73,18 +73,26 @@ def overlap_search(queries: DataFrame, docs: DataFrame, k: int = 5, block: int =
             regions = {r: np.array([i for i, x in enumerate(asked_for) if x[1] == r]) for r in {x[1] for x in asked_for}}
             word = re.compile(KNOWLEDGE_TERM)
             best: list[list[tuple[int, object]]] = [[] for _ in asked_for]  # (-hits, id), sorted
+            # of each query the last of its k best: what a document must beat, which is seen for all queries at once
+            least, last = np.full(len(asked_for), -1), np.zeros(len(asked_for), object)
+            none = np.zeros(len(asked_for), np.int64)
             for pdf in frames:
                 for doc, where, text in zip(pdf["doc_id"].tolist(), pdf["region"], pdf["text"]):
                     places = regions.get(where)
                     if places is None:
                         continue
                     found = [postings[t] for t in set(word.findall((text or "").lower())) if t in postings]
-                    hits = np.bincount(np.concatenate(found), minlength=len(asked_for)) if found else np.zeros(len(asked_for), np.int64)
-                    for i in places.tolist():
-                        mine, key = best[i], (-int(hits[i]), doc)
-                        if len(mine) < k or key < mine[-1]:
-                            bisect.insort(mine, key)
-                            del mine[k:]
+                    hits = np.bincount(np.concatenate(found), minlength=len(asked_for)) if found else none
+                    own, bar = hits[places], least[places]
+                    wins = own > bar
+                    if (ties := np.flatnonzero(own == bar)).size:
+                        wins[ties] = doc < last[places[ties]]
+                    for i in places[wins].tolist():
+                        mine = best[i]
+                        bisect.insort(mine, (-int(hits[i]), doc))
+                        del mine[k:]
+                        if len(mine) == k:
+                            least[i], last[i] = -mine[-1][0], mine[-1][1]
             rows = [(asked_for[i][0], doc, -h, len(asked_for[i][2]), -h / max(1, len(asked_for[i][2]))) for i, own in enumerate(best) for h, doc in own]
             yield pd.DataFrame(rows, columns=["query_id", "doc_id", "hits", "size", "score"])
 

@@ -122,11 +122,12 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
     changed = F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("content_hash"))
     index = d.where("doc_id % 3 <> 0").select("doc_id", changed.alias("content_hash"))
-    return ingest.index_changes(d.where("doc_id % 7 <> 0"), index, key="doc_id")
+    every = [ingest.index_changes(d.where("doc_id % 7 <> 0"), index, key="doc_id", force=f).withColumn("forced", F.lit(f)) for f in (False, True)]
+    return every[0].unionByName(every[1])
 
 
 INCREMENTAL_SQL = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'stale'
-  WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'kept' END AS status FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 <> 0"""
+  WHEN doc_id % 5 = 0 OR forced THEN 'changed' ELSE 'kept' END AS status, forced FROM documents, (SELECT unnest([false, true]) AS forced) WHERE doc_id % 7 <> 0 OR doc_id % 3 <> 0"""
 
 
 def identifier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import prose as P
 from ..functions import temporal as T
 from ..functions import text as X
-from ..operators import ingest, search
+from ..operators import ingest, ops, search
 from ..sources.adapter import table
 from ..streaming import guards
 
@@ -168,14 +168,18 @@ SELECT scope, owner, CAST(least(30000000, cents) AS BIGINT) AS met_cents, cents
 
 
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 95th percentile by nearest rank, and how long sixty pages would take at that many seconds a chunk."""
+    """The 95th percentile by nearest rank, and what booklets of several sizes would take at that many seconds a chunk."""
     e = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
     per = e.groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY cents)").cast("bigint").alias("p95_cents"))
-    return per.withColumn("minutes", F.round(F.ceil(F.lit(15) / 4) * F.col("p95_cents") / 6000, 4))
+    rows = per.select("*", F.explode(F.array(*[F.lit(n) for n in (1, 5, 6, 60, 118)])).alias("pages"))
+    p = ops.projection(F.col("p95_cents").cast("double"), F.col("pages"), F.lit(900), F.lit(200))
+    return rows.select("event_type", "p95_cents", "pages", p["chunks"].alias("chunks"), p["wall_minutes"].alias("wall_minutes"), p["tokens"].alias("tokens"), p["quota_minutes"].alias("quota_minutes"))
 
 
-NEAREST_SQL = """SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY CAST(round(value * 100) AS BIGINT)) AS p95_cents,
-  round(4 * percentile_disc(0.95) WITHIN GROUP (ORDER BY CAST(round(value * 100) AS BIGINT)) / 6000, 4) AS minutes FROM events GROUP BY 1"""
+NEAREST_SQL = """WITH e AS (SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY CAST(round(value * 100) AS BIGINT)) AS p FROM events GROUP BY 1),
+c(pages, chunks, rounds) AS (VALUES (1, 1, 1), (5, 1, 1), (6, 2, 1), (60, 15, 4), (118, 30, 8))
+SELECT event_type, p AS p95_cents, pages, CAST(chunks AS BIGINT) AS chunks, round(rounds * p::DOUBLE / 60, 1) AS wall_minutes, CAST(round(pages * 900 * 2.6::DOUBLE) AS BIGINT) AS tokens,
+  round(pages * 900 * 2.6::DOUBLE / 200000, 2) AS quota_minutes FROM e, c"""
 
 
 def page_caps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,29 @@ CITATION_RATES_SQL = """SELECT lang, count(*) AS rows, count(*) FILTER (n_chars
   count(*) FILTER (doc_id % 2 = 0) / count(*) AS expected_rate FROM documents GROUP BY 1"""
 
 
+def rows_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of pages, with verdicts for some of them, the second of two counting, and pages missing."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    rows = d.select(n.alias("row_id"), (n % 9).alias("page"), (F.col("n_chars") % 101).alias("score"))
+    words = lambda k: F.element_at(F.array(*[F.lit(w) for w in ("supported", "corrected", "unsupported")]), ((n + k) % 3 + 1).cast("int"))
+    first = d.where("doc_id % 2 = 0").select(n.alias("row_id"), words(0).alias("verdict"), F.lit(0).alias("place"))
+    second = d.where("doc_id % 4 = 0").select(n.alias("row_id"), words(1).alias("verdict"), F.lit(1).alias("place"))
+    pages = spark.range(1, 9).select(F.col("id").alias("page"))
+    out, issues = assembly.judge_rows(rows, first.unionByName(second), pages, F.col("row_id") % 5 == 0)
+    told = issues.groupBy("row_id", "page").agg(F.max("code").alias("code"), F.max("severity").alias("severity"))
+    return told.join(out.select("row_id", "verdict", "grounded", "confidence"), "row_id", "left")
+
+
+ROWS_JUDGED_SQL = """WITH r AS (SELECT doc_id AS row_id, doc_id % 9 AS page, n_chars % 101 AS s, doc_id % 9 > 0 AS known,
+  CASE WHEN doc_id % 4 = 0 THEN ['supported', 'corrected', 'unsupported'][(doc_id + 1) % 3 + 1] WHEN doc_id % 2 = 0 THEN ['supported', 'corrected', 'unsupported'][doc_id % 3 + 1] END AS verdict FROM documents),
+f AS (SELECT *, s >= 85 AS grounded, s * CASE verdict WHEN 'supported' THEN 1.0 WHEN 'corrected' THEN 0.85 WHEN 'unsupported' THEN 0.35 ELSE 0.75 END * 0.01 AS c FROM r),
+g AS (SELECT *, CASE WHEN grounded THEN c ELSE least(c, 0.5) END * CASE WHEN row_id % 5 = 0 THEN 0.9 ELSE 1.0 END AS raw FROM f),
+h AS (SELECT *, CAST(round(raw, 3) AS DOUBLE) AS confidence FROM g),
+i AS (SELECT *, CASE WHEN NOT known OR verdict = 'unsupported' THEN 'unsupported_row' WHEN NOT grounded THEN 'ungrounded_quote' WHEN confidence < 0.6 THEN 'low_confidence' END AS code FROM h)
+SELECT row_id, page, code, CASE WHEN code = 'low_confidence' THEN 'info' ELSE 'warning' END AS severity, CASE WHEN known THEN verdict END AS verdict, CASE WHEN known THEN grounded END AS grounded,
+  CASE WHEN known THEN confidence END AS confidence FROM i WHERE code IS NOT NULL"""
+
+
 def citations_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as answers to their own text: cited well, wrongly in one way each, and not at all."""
     b, n = table(spark, sf_dir, "benchmark"), F.col("item_id")
@@ -361,6 +384,7 @@ QUERIES = {
     "budget_alerts": (budget_alerts, BUDGET_ALERTS_SQL),
     "embedding_texts": (embedding_texts, EMBEDDING_SQL),
     "batch_report": (batch_report, BATCH_SQL),
+    "rows_judged": (rows_judged, ROWS_JUDGED_SQL),
     "citations_judged": (citations_judged, CITATIONS_JUDGED_SQL),
     "citation_rates": (citation_rates, CITATION_RATES_SQL),
     "tier_counts": (tier_counts, TIER_COUNTS_SQL),
