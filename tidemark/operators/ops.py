@@ -15,13 +15,20 @@ def bins(df: DataFrame, grain: str, keys: list[str], value: Column) -> DataFrame
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, share: float) -> DataFrame:
     """(keys, value): the least value up to which the weights make ``share`` of their sum.
 
-    Equal values are summed first, so that the window orders distinct values.
+    Weights are summed over 1,024 equal parts of a key's range first; only the part in which the share is reached is ordered
+    by value, so that few keys with many values don't meet in few tasks.
     """
-    per = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    of = Window.partitionBy(*keys)
-    run = F.sum("w").over(of.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    reached = per.withColumns({"run": run, "all": F.sum("w").over(of)}).where(F.col("run") >= F.col("all") * share)
-    return reached.groupBy(*keys).agg(F.min(value).alias(value))
+    x = F.col(value)
+    ends = df.where(x.isNotNull()).groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum(weight).alias("__all"))
+    part = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1024), F.lit(1023))).otherwise(0)
+    per = df.where(x.isNotNull()).join(ends, keys).withColumn("__part", part).groupBy(*keys, "__part", value).agg(F.sum(weight).alias("__w"), F.first("__all").alias("__all"))
+    parts = per.groupBy(*keys, "__part").agg(F.sum("__w").alias("__sum"), F.first("__all").alias("__need"))
+    upto = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__part"))
+    parts = parts.withColumn("__upto", upto).where(F.col("__upto") >= F.col("__need") * share)
+    first = parts.groupBy(*keys).agg(F.min_by(F.struct("__part", (F.col("__upto") - F.col("__sum")).alias("before")), "__part").alias("__p"))
+    inside = per.join(first, keys).where(F.col("__part") == F.col("__p.__part"))
+    run = F.col("__p.before") + F.sum("__w").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("__run", run).where(F.col("__run") >= F.col("__all") * share).groupBy(*keys).agg(F.min(value).alias(value))
 
 
 def pivot(df: DataFrame, key: Column, column: str, values: list[str], value: Column) -> DataFrame:

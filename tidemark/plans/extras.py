@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -17,12 +17,15 @@ from ..sources.adapter import table
 from ..streaming import guards
 
 
-def merge_headers(df: DataFrame, key: str, fields: list[str], rank: list) -> DataFrame:
-    """One row a key: of each field the first value, by rank, that is neither null nor blank."""
-    w = Window.partitionBy(key).orderBy(*rank).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = {f: F.first(F.when(F.trim(F.col(f).cast("string")) != "", F.col(f)), ignorenulls=True).over(w) for f in fields}
-    one = F.row_number().over(Window.partitionBy(key).orderBy(*rank))
-    return df.select(key, one.alias("__n"), *[c.alias(f) for f, c in first.items()]).where("__n = 1").drop("__n")
+def merge_headers(df: DataFrame, key: str, fields: list[str], rank: Column) -> DataFrame:
+    """One row a key: of each field the first value, by ``rank``, that is neither null nor blank. Only the least is gathered,
+    so that a key of many rows is no task's alone."""
+
+    def first(f: str) -> Column:
+        said = F.trim(F.col(f).cast("string")) != ""
+        return F.min_by(F.col(f), F.when(said, rank)).alias(f)
+
+    return df.groupBy(key).agg(*[first(f) for f in fields])
 
 
 def headers_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def headers_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_custkey") % 50).alias("plan"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("segment"),
         F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise(" ").alias("name"), "c_acctbal", "c_custkey",
     )
-    return merge_headers(c, "plan", ["segment", "name"], [F.desc("c_acctbal"), "c_custkey"])
+    return merge_headers(c, "plan", ["segment", "name"], F.struct(-F.col("c_acctbal"), "c_custkey"))
 
 
 HEADERS_SQL = """WITH c AS (SELECT c_custkey % 50 AS plan, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS segment,
