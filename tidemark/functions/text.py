@@ -6,6 +6,7 @@ import functools
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -96,8 +97,21 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * _lcs(a, b) / (len(a) + len(b))
 
 
+def _diagonals(short: str, long: str, size: int = 6, most: int = 4) -> set[int]:
+    """Where the shorter text would begin in the longer one by most of the runs of characters that they share."""
+    places: dict[str, list[int]] = {}
+    for i in range(len(short) - size + 1):
+        places.setdefault(short[i : i + size], []).append(i)
+    votes: Counter[int] = Counter()
+    for j in range(len(long) - size + 1):
+        for i in places.get(long[j : j + size], ()):
+            votes[j - i] += 1
+    return {max(0, d) for d, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:most]}
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a part of the longer one that is as long."""
+    """The best ratio of the shorter text with a part of the longer one that is as long; of texts of 24 characters or more
+    with those parts that share most runs of six with it."""
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
@@ -105,7 +119,8 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0
     n, best = len(short), 0.0
     # windows at which a common block of both would be aligned hold the best one
-    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()}
+    starts = _diagonals(short, long) if n >= 24 else set()
+    starts = starts or {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long, autojunk=n >= 24).get_matching_blocks()}
     for s in starts:
         for d in (-1, 0, 1):
             at = min(max(0, s + d), len(long) - n)

@@ -183,7 +183,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     some of another kind."""
     k = F.col("p_partkey")
     p = table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("brand"), k.alias("id"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.col("p_type").alias("kind"), F.col("p_name").alias("benefit_name"),
+        F.col("p_brand").alias("brand"), k.alias("id"), F.md5(k.cast("string").cast("binary")).alias("name"), F.col("p_type").alias("kind"), F.col("p_name").alias("benefit_name"),
         F.col("p_retailprice").alias("limit_value"), F.when(k % 4 != 0, F.concat_ws(", ", F.lit("one"), "p_name")).alias("item_codes"), F.upper("p_type").alias("scope"),
     )
     turned = F.array_join(F.reverse(F.split("benefit_name", " ")), " ")
