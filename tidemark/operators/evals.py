@@ -186,11 +186,25 @@ def word_runs(text: Column, size: int) -> Column:
 
 
 def grams(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, gram): the distinct runs of ``size`` words, hashed."""
+    """(key, gram): the distinct runs of ``size`` words, hashed.
+
+    Hashes of runs of one, two, four and on words are made from one another, and those of ``size`` from the ones that add up
+    to it, so that a place costs as many hashes as the size has bits and not as it has words.
+    """
     hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
-    w = df.select(key, hashed.alias("w")).where(F.size("w") >= size)
-    run = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.slice("w", i, size)))
-    return w.select(key, F.explode(F.array_distinct(run)).alias("gram"))
+    rows = df.select(key, hashed.alias("w")).where(F.size("w") >= size).withColumn("p", F.col("w"))
+    joined = lambda a, b, by: F.zip_with(a, F.slice(b, by + 1, F.size(b)), lambda x, y: F.xxhash64(x, y))
+    have, power, bits = 0, 1, size
+    while bits:
+        if bits & 1:
+            rows = rows.withColumn("run", joined("run", "p", have) if have else F.col("p"))
+            have += power
+        bits >>= 1
+        if bits:
+            rows = rows.withColumn("p", joined("p", "p", power))
+            power *= 2
+    whole = F.slice("run", 1, F.size("w") - (size - 1))
+    return rows.select(key, F.explode(F.array_distinct(whole)).alias("gram"))
 
 
 def overruns(docs: DataFrame, excerpts: DataFrame, most: int = EXCERPT_WORDS) -> DataFrame:
