@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; where it is unset, a folder of its own on a local master alone, as in
@@ -21,11 +24,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives lost executors."""
+    """Cut the lineage with a reliable checkpoint, which outlives lost executors.
+
+    Spark removes its files once nothing refers to it any more: the switch for that is turned on here, unless the session
+    has set it.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    if not conf.contains(CLEAN):
+        conf.set(CLEAN, "true")
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables that one call writes in the shared folder and reads again, all removed when it is over.
+
+    Like a checkpoint they outlive lost executors and cut the lineage. Unlike one they forget what the optimiser derived of
+    sizes, which in loops of joins grows with every round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        at = f"{self.path}/{self.count}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -127,3 +161,23 @@ def exact_quantile(values: DataFrame, value: str, quantile: float, by: str | Non
     out = left.select("g", F.element_at(F.sort_array("xs"), F.col("k").cast("int")).alias("quantile"))
     out = out if one is None else out.unionByName(one)
     return out.select("quantile") if by is None else out.select(F.col("g").alias(by), "quantile")
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, key: str, size: str, how: str = "inner", share: int = 5000) -> DataFrame:
+    """``rows`` joined with ``keyed``, a written table of one row for each ``key``, whose column ``size`` tells how
+    many of the rows have that key. Keys with more than one in ``share`` of the rows, of which there are fewer than that,
+    are broadcast, so that their rows stay where they are; all others meet in a shuffle.
+    """
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) > max(50, total // share)
+    hot = F.broadcast(keyed.where(often))
+    if keyed.where(often).isEmpty():
+        return rows.join(keyed, key, how)
+    if how == "left":
+        # rows of hot keys leave by the first join, the rest by the second
+        named = hot.withColumn("is_hot", F.lit(True))
+        got = rows.join(named, key, "left")
+        rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(~often), key, "left")
+        return got.where("is_hot").drop("is_hot").unionByName(rest)
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(~often), key)
+    return rows.join(hot, key).unionByName(rest)

@@ -12,6 +12,7 @@ from . import (
     license_scan,
     packing,
     pii,
+    prefix_trie,
     quality_rules,
     secret_scan,
     sharding,
@@ -66,10 +67,15 @@ def op10_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     every = (
         op1_skip_chain_pii, op2_simhash_deletion_variants, op3_structural_secrets, op4_swap_packing, op5_virtual_slots,
         op6_license_automaton, op7_hashed_likelihood_ratio, op8_kneser_ney, op9_seed_and_align, op10_count_only_viterbi,
+        op11_prefix_trie,
     )
     return {f.__name__: f for f in every}
 
