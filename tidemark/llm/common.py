@@ -44,7 +44,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.count = spark, 0
+        self.spark, self.count, self.places = spark, 0, []
         self.path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Scratch:
@@ -57,7 +57,14 @@ class Scratch:
         self.count += 1
         at = f"{self.path}/{self.count}"
         df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        table = self.spark.read.schema(df.schema).parquet(at)
+        self.places.append((table, at))
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        """Remove a table that is needed no more before the call is over."""
+        at = next(at for kept, at in self.places if kept is table)
+        remove(self.spark, at)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -18,6 +18,7 @@ from . import (
     sharding,
     simhash,
     token_counts,
+    vector_codes,
 )
 from .common import read, remove, shared_dir
 
@@ -71,11 +72,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def op13_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     every = (
         op1_skip_chain_pii, op2_simhash_deletion_variants, op3_structural_secrets, op4_swap_packing, op5_virtual_slots,
         op6_license_automaton, op7_hashed_likelihood_ratio, op8_kneser_ney, op9_seed_and_align, op10_count_only_viterbi,
-        op11_prefix_trie,
+        op11_prefix_trie, op13_elkan_codes,
     )
     return {f.__name__: f for f in every}
 
