@@ -2,7 +2,19 @@
 
 import pytest
 
-from tidemark.llm import decontamination, kneser_ney, license_scan, packing, pii, quality_rules, secret_scan, sharding, simhash, token_counts
+from tidemark.llm import (
+    decontamination,
+    exact_dedup,
+    kneser_ney,
+    license_scan,
+    packing,
+    pii,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+)
 
 
 @pytest.fixture(scope="module")
@@ -27,11 +39,12 @@ def operators(labels, bench):
         "rules": lambda d: quality_rules.quality(d, labels),
         "perplexity": lambda d: kneser_ney.classify(d, labels),
         "decontamination": lambda d: decontamination.matches(d, bench),
+        "copies": exact_dedup.exact_dedup,
         "tokens": lambda d: token_counts.token_counts(d, model),
     }
 
 
-NAMES = ["pii", "redact", "simhash", "secrets", "packing", "sharding", "licenses", "rules", "perplexity", "decontamination", "tokens"]
+NAMES = ["pii", "redact", "simhash", "secrets", "packing", "sharding", "licenses", "rules", "perplexity", "decontamination", "copies", "tokens"]
 
 
 @pytest.mark.parametrize("name", NAMES)

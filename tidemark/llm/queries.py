@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     decontamination,
+    exact_dedup,
     kneser_ney,
     license_scan,
     packing,
@@ -72,6 +73,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+
+
 def op13_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read(spark, sf_dir, "embeddings"))
 
@@ -80,7 +85,7 @@ def queries() -> dict:
     every = (
         op1_skip_chain_pii, op2_simhash_deletion_variants, op3_structural_secrets, op4_swap_packing, op5_virtual_slots,
         op6_license_automaton, op7_hashed_likelihood_ratio, op8_kneser_ney, op9_seed_and_align, op10_count_only_viterbi,
-        op11_prefix_trie, op13_elkan_codes,
+        op11_prefix_trie, op12_quotient_filter_dedup, op13_elkan_codes,
     )
     return {f.__name__: f for f in every}
 
