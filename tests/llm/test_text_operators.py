@@ -7,6 +7,9 @@ import json
 import random
 import re
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -98,17 +101,54 @@ def test_held_out_accuracy():
 def test_skip_edges_carry_labels():
     far = " filler words without marks" * 40
     text = f"call 416-555-0199{far} again 416-555-0199 and write to jo.smith7@mail.org{far} said jo.smith7 then"
-    (base, added), = pii.spans_of([text])
+    ((base, added),) = pii.spans_of([text])
     assert [text[a:b] for k, a, b in base] == ["jo.smith7@mail.org"]
     assert [text[a:b] for k, a, b in added].count("416-555-0199") == 2
     # a hash is no address, digits that fail the checksum no card unless one is named
     text = f'token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" card 4111 1111 1111 1111 then 2353820953013749 there'
-    (base, added), = pii.spans_of([text])
+    ((base, added),) = pii.spans_of([text])
     assert [k for k, _, _ in base] == ["card"] and added == []
     assert not pii._holds("email", "4d44c79e8bf7c557", "", {"josmith7"}) and pii._holds("email", "jo.smith7", "", {"josmith7"})
     assert not pii._holds("card", "2353820953013749", "the ", set()) and pii._holds("card", "2353820953013749", "his visa ", set())
     assert not pii._holds("ip", "1.2.3.999", "", set()) and not pii._holds("phone", "123", "", set())
-    assert pii.spans_of(["version 3.14 of 2024-05-06 at 12:30 costs 250 and 17%"])[0] == ([], [])
+    assert list(pii.spans_of(["version 3.14 of 2024-05-06 at 12:30 costs 250 and 17%"])) == [([], [])]
+
+
+def number_heavy(r, n):
+    tokens = [str(r.randrange(10**9)) if r.random() < 0.9 else r.choice(["call 416-555-0199", "ip 10.0.0.300", "jo.smith7@mail.org", "jo.smith7"]) for _ in range(n)]
+    return " ".join(tokens)
+
+
+def test_slices_and_stretches(monkeypatch):
+    """Texts give the same whatever others they are taken with; stretches the same but for links over their ends."""
+    r = random.Random(6)
+    texts = [number_heavy(r, n) for n in (0, 1, 30, 900, 5, 500)] + [None, "plain", ""]
+    alone = [next(iter(pii.spans_of([t]))) for t in texts]
+    assert list(pii.spans_of(texts)) == alone
+    monkeypatch.setattr(pii, "SLICE", 50)
+    assert list(pii.spans_of(texts)) == alone
+    monkeypatch.setattr(pii, "STRETCH", 200)
+    monkeypatch.setattr(pii, "OVERLAP", 60)
+    got = list(pii.spans_of(texts))
+    assert [b for b, _ in got] == [b for b, _ in alone]
+    same, every = (sum(len(f(set(a), set(b))) for (_, a), (_, b) in zip(got, alone)) for f in (set.intersection, set.union))
+    assert same >= 0.8 * every and every > 20, (same, every)
+
+
+def test_number_heavy_texts_stay_in_bounds():
+    """Memory is bounded by tokens, not by rows: 100 texts of 2,000 numbers, and one of 600,000."""
+    script = """
+import random, resource, sys
+from tidemark.llm import pii
+r = random.Random(1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = lambda n: " ".join(str(r.randrange(10**12)) for _ in range(n))
+n = sum(1 for _ in pii.spans_of(text(2000) for _ in range(100))) + sum(1 for _ in pii.spans_of([text(600_000)]))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    n, grown = map(int, got.stdout.split()[-2:])
+    assert n == 101 and grown < 1000
 
 
 def test_detect_and_redact(documents):

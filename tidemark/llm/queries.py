@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
@@ -21,7 +19,7 @@ from . import (
     token_counts,
     vector_codes,
 )
-from .common import read, remove, shared_dir
+from .common import read
 
 
 def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +39,8 @@ def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a map of its own for each input, made anew, so that the query gives the same whenever it is run
-    path = f"{shared_dir(spark)}/slot-map-{hashlib.md5(sf_dir.encode()).hexdigest()}"
-    remove(spark, path)
-    return sharding.shard(read(spark, sf_dir, "documents"), shards=8, path=path)
+    # a map of this run alone, in a folder of its own
+    return sharding.shard(read(spark, sf_dir, "documents"), shards=8)
 
 
 def op6_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
