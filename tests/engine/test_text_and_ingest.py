@@ -47,6 +47,15 @@ def test_names():
     assert 80 < X.quote_score("Up to 500 dollars per year", "We pay up to 500 dolars per year for this.") < 100
 
 
+def test_normal_form():
+    """Underscores, entities, backslashes and guillemets stay; tags, tildes and other marks go; widths are composed first."""
+    for text, want in (
+        ("max_benefit ~x", "max_benefit x"), ("A&amp;B\\n", "a&amp;b\\n"), ("«Ça» −5", "«ça» −5"), ("a <b>c</b>d", "a c d"), ("ＡＢ ﬁ x", "ab fi x"),
+        ("‘a’ “b” – c—d", "'a' \"b\" - c-d"), ("|*#`>~", ""), ("1 < 2 and 3 > 2", "1 2"), ("a<>b", "a< b"), (None, ""), (" x\ty ", "x y"),
+    ):
+        assert X.normalize_text(text) == want
+
+
 def test_identifiers(spark):
     good = {"sin": "046454286", "ohip": "9876543217", "abn": "51824753556", "tfn": "123456782", "medicare": "2123456701"}
     row = {k: (v,) for k, v in good.items()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import html
 import re
 import unicodedata
 from collections import Counter
@@ -17,23 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-#: Typographic quotes and dashes, and their plain forms.
-TYPOGRAPHIC = ("‘’‚‛“”„‟«»–—−‐‑…", "''''\"\"\"\"\"\"-----.")
+#: Typographic marks and their plain forms, tags, and marks of markdown that stand for a space.
+TYPOGRAPHIC = ("‘’“”–—\u00a0", "''\"\"-- ")
+TAGS, MARKS = r"<[^>]+>", r"[|*#`>~]+"
 
 
 def normalize_ascii(text: Column) -> Column:
-    """Lower case, plain quotes and dashes, no tags nor markdown marks, single spaces: inside the JVM."""
+    """Plain quotes and dashes, no tags nor markdown marks, single spaces, lower case: inside the JVM."""
     t = F.translate(text, *TYPOGRAPHIC)
-    t = F.regexp_replace(t, "<[^<>]*>", " ")
-    t = F.regexp_replace(t, r"[*_`#|\\>]", " ")
-    return F.lower(F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0B]+", " ")))
+    for pattern in (TAGS, MARKS, r"(?U)[\s\x1C-\x1F]+"):
+        t = F.regexp_replace(t, pattern, " ")
+    return F.lower(F.trim(t))
 
 
 def normalize_text(text: str | None) -> str:
     """As ``normalize_ascii``, after compatibility composition."""
     t = unicodedata.normalize("NFKC", text or "").translate(str.maketrans(*TYPOGRAPHIC))
-    t = re.sub(r"[*_`#|\\>]", " ", re.sub(r"<[^<>]*>", " ", html.unescape(t)))
-    return " ".join(t.split()).lower()
+    return " ".join(re.sub(MARKS, " ", re.sub(TAGS, " ", t)).split()).lower()
 
 
 @functools.cache

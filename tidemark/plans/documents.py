@@ -79,7 +79,11 @@ SELECT source, page FROM p WHERE NOT EXISTS (
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.normalize_ascii(F.col("text"))
+    """Texts with marks put in at their words: entities, underscores, tildes, tags, guillemets and typographic marks."""
+    text = F.col("text")
+    for a, b in NORMALIZED_MARKS:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    t = X.normalize_ascii(text)
     return docs(spark, sf_dir).select(
         "doc_id", F.md5(t.cast("binary")).alias("hash"), F.length(t).cast("bigint").alias("n"),
         X.slug(F.concat_ws(" ", F.lit("Équipe — ﬁne"), "source", "lang", F.col("doc_id").cast("string"))).alias("slug"),
@@ -87,8 +91,14 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NORMALIZED_SQL = r"""WITH n AS (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(
-    translate(text, '‘’‚‛“”„‟«»–—−‐‑…', '''''''''""""""-----.'), '<[^<>]*>', ' ', 'g'), '[*_`#|\\>]', ' ', 'g'),
+NORMALIZED_MARKS = (
+    (" th", " ~_th"), (" in ", " &amp; "), (" la", " <b>*la*</b>"), (" de ", " «de» "), (". ", "’. “x” – y— \\ > `z` # "), (" and ", " a < b and c > d ")
+)
+_MARKED = "text"
+for _a, _b in NORMALIZED_MARKS:
+    _MARKED = f"replace({_MARKED}, '{_a}', '{_b}')"
+NORMALIZED_SQL = rf"""WITH n AS (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(
+    translate({_MARKED}, '‘’“”–—' || chr(160), '''''""-- '), '<[^>]+>', ' ', 'g'), '[|*#`>~]+', ' ', 'g'),
     '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS t FROM documents)
 SELECT doc_id, md5(t) AS hash, length(t) AS n,
   'equipe-fine-' || regexp_replace(source || '-' || lang || '-' || doc_id, '[^a-z0-9]+', '-', 'g') AS slug, source || '/' || lang || '/x' AS parts FROM n"""
