@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import prose, temporal
+from ..functions import labels, prose, temporal
 from ..functions import text as X
-from ..operators import assembly, redaction
+from ..operators import aliases, assembly, boxes, known_values, redaction
 from ..operators.conversation import MessageFold
 from ..sources import readers
 from ..sources.adapter import table
@@ -141,74 +141,175 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS_SQL = "SELECT p_partkey, p_size || ',' || (p_size + 1) || '|' || p_name || '||' || p_brand || '|' AS found FROM part"
 
 
+_COMMON = r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+c AS (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS k FROM w WHERE length(w) >= %d GROUP BY lang, w)"""
+
+
+def _common_words(spark: SparkSession, sf_dir: str, least: int, most: int) -> DataFrame:
+    """(lang, w, k): the most common words of each language, of at least so many characters."""
+    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("w"))
+    n = w.where(F.length("w") >= least).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    return n.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= most).drop("n")
+
+
 def aliases_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known values written in other ways in notes about customers, replaced by their tokens; damaged tokens repaired."""
-    known = {"Jane Q. Doe": "[MEMBER_A]", "12 Main Street": "[ADDRESS_A]", "1 416 555 0199": "[PHONE_A]"}
-    ways = ["saw Jane Q. Doe today", "at 12 MAIN ST.", "call 416-555-0199 now", "janeqdoes no", "{MEMBER A) said PHONE_B and IMEMBER-CI ok, MEMBER D", "Zoë 12, Main Street; Jane-Q-Doe"]
+    """Documents with the eight most common words of their language, of two characters or more, replaced by tokens, and with
+    a number of ten written out in every document, in a way of its own."""
+    words = _common_words(spark, sf_dir, 2, 8).select("lang", F.col("w").alias("value"), F.concat(F.lit("[WORD_"), "k", F.lit("]")).alias("token"), F.col("k").alias("order"))
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    i = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")
+    numbers = langs.select("lang", i).select("lang", F.concat(F.lit("0416 555 010"), "i").alias("value"), F.concat(F.lit("[PHONE_"), "i", F.lit("]")).alias("token"), (F.col("i") + 100).alias("order"))
+    tail = F.concat(F.lit("\ncall (041) 655-50.1"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("text", tail).alias("text"))
+    out = aliases.apply_aliases(d, words.unionByName(numbers), "lang")
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.size("replaced").cast("bigint").alias("n"))
+
+
+ALIASES_SQL = rf"""{_COMMON % 2},
+m AS (SELECT lang, map_from_entries(list((w, '[WORD_' || k || ']'))) AS m FROM c WHERE k <= 8 GROUP BY lang),
+p AS (SELECT doc_id, m, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS p FROM documents JOIN m USING (lang)),
+r AS (SELECT doc_id, array_to_string(list_transform(p, lambda x: coalesce(m[lower(x)], x)), '') AS text, len(list_filter(p, lambda x: m[lower(x)] IS NOT NULL)) AS n FROM p)
+SELECT doc_id, md5(text || chr(10) || 'call ' || CASE WHEN doc_id % 100 < 10 THEN '[PHONE_' || (doc_id % 100) || ']' ELSE '(041) 655-50.1' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') END) AS hash,
+  n + CASE WHEN doc_id % 100 < 10 THEN 1 ELSE 0 END AS n FROM r"""
+
+#: Words of the documents, tokens put in their place as they print, and what those are.
+_DAMAGE = (
+    (" the ", " {MEMBER A) ", " [MEMBER_A] "), (" la ", " PHONE_B ", " [PHONE_B] "), (" of ", " IMEMBER-CI ", " [MEMBER_C] "), (" de ", " MEMBER D ", " MEMBER D "),
+    (" der ", " [NAME_A2] ", " [NAME_A2] "), (" und ", " (CERT 1 ", " [CERT_1] "), (" el ", " xID_1 ", " xID_1 "),
+)
+
+
+def tokens_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which common words are tokens, whole, damaged, or damaged too much to be told; made whole, with the places
+    of the first one in both texts."""
+    text = F.col("text")
+    for word, damaged, _ in _DAMAGE:
+        text = F.replace(text, F.lit(word), F.lit(damaged))
+    out = aliases.repair_aliases(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    first = F.get("tokens", F.lit(0))
+    return out.select(
+        "doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.size("tokens").cast("bigint").alias("n"),
+        F.coalesce(first["start"], F.lit(-1)).cast("bigint").alias("first"), F.coalesce(first["was_start"], F.lit(-1)).cast("bigint").alias("was_first"),
+    )
 
-    def clean(text: str) -> str:
-        return redaction.repair_tokens(redaction.apply_aliases(text, known))
 
-    c = table(spark, sf_dir, "customer")
-    text = F.element_at(F.array(*[F.lit(w) for w in ways]), (F.col("c_custkey") % len(ways) + 1).cast("int"))
-    return c.select("c_custkey", _strings(clean)(F.concat_ws(" ", text, F.col("c_custkey").cast("string"))).alias("text"))
+def _nested(column: int) -> str:
+    out = "text"
+    for row in _DAMAGE:
+        out = f"replace({out}, '{row[0]}', '{row[column]}')"
+    return out
 
 
-ALIASES_SQL = """SELECT c_custkey, ['saw [MEMBER_A] today', 'at [ADDRESS_A].', 'call [PHONE_A] now', 'janeqdoes no', '[MEMBER_A] said [PHONE_B] and [MEMBER_C] ok, MEMBER D',
-  'Zoë [ADDRESS_A]; [MEMBER_A]'][c_custkey % 6 + 1] || ' ' || c_custkey AS text FROM customer"""
+_TOKEN_FORMS = [(d.strip(), t.strip()) for _, d, t in _DAMAGE if t.strip().startswith("[")]
 
 
-def labels_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of labels in lines made of orders' numbers, and of the values behind them."""
-    shapes = {"member": "number", "member id": "number", "date of birth": "date"}
+def _first(column: str, forms: list[str]) -> str:
+    """The least place of any of some forms between blanks."""
+    return "coalesce(least({}), -1)".format(", ".join(f"CASE WHEN strpos({column}, ' {f} ') > 0 THEN strpos({column}, ' {f} ') END" for f in forms))
 
-    def places(text: str) -> str:
-        found = [f"{a}-{b}" for a, b in redaction.label_spans(text, shapes)]
-        values = [text[a:b] for _, a, b in redaction.labelled_values(text, shapes)]
-        return ",".join(found) + "|" + ",".join(values)
 
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    text = F.when(k % 2 == 0, F.concat(F.lit("Member ID: A"), F.lpad(k.cast("string"), 8, "0"))).otherwise(F.concat(F.lit("Date of birth\n"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" remember")))
-    return o.select("o_orderkey", _strings(places)(text).alias("found"))
+REPAIRED_SQL = f"""WITH r AS (SELECT doc_id, {_nested(1)} AS old, {_nested(2)} AS text FROM documents)
+SELECT doc_id, md5(text) AS hash, {" + ".join(f"(length(text) - length(replace(text, '{t}', ''))) // {len(t)}" for _, t in _TOKEN_FORMS)} AS n,
+  {_first("text", [t for _, t in _TOKEN_FORMS])} AS first, {_first("old", [d for d, _ in _TOKEN_FORMS])} AS was_first FROM r"""
 
 
-LABELS_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '0-9|A' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') ELSE '0-13|' || strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS found FROM orders"""
+def known_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of the three most common words of four characters or more of a language in its documents, whatever their
+    case and accents, and the marks and blanks within them."""
+    known = _common_words(spark, sf_dir, 4, 3).select("lang", F.col("w").alias("value"), F.lit("custom").alias("kind"), F.lit(False).alias("is_name"), F.lit(None).cast("string").alias("token"))
+    found = known_values.find_known(table(spark, sf_dir, "documents"), known, "lang")
+    return found.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "known")
 
 
-def boxes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three boxes a document: the first two overlap, touch or lie apart by its number; the third overlaps the other two's
-    box only if they overlap."""
+# a word in up to eight runs of letters, of which the first begins it, with other characters between, which must not be too many
+KNOWN_SQL = rf"""{_COMMON % 4},
+r AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '\p{{L}}+|[^\p{{L}}]+')) AS r, generate_subscripts(regexp_extract_all(text, '\p{{L}}+|[^\p{{L}}]+'), 1) AS i FROM documents),
+s AS (SELECT doc_id, lang, i, r, sum(length(r)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM r),
+l AS (SELECT doc_id, lang, i, strip_accents(lower(r)) AS r, stop - length(r) AS start FROM s WHERE regexp_full_match(r, '\p{{L}}+')),
+a AS (SELECT doc_id, i, start, w, strip_accents(w) AS f, l.r = strip_accents(w) AS whole FROM l JOIN c ON c.lang = l.lang AND c.k <= 3 AND starts_with(strip_accents(c.w), l.r)),
+j AS (SELECT *, unnest(CASE WHEN whole THEN [0] ELSE range(1, 8) END) AS j FROM a),
+o AS (SELECT *, unnest(range(0, 2 * j + 1)) AS o FROM j),
+k AS (SELECT o.doc_id, o.i, o.start, j, w, f, string_agg(s.r, '' ORDER BY s.i) AS raw, count(*) AS n, regexp_full_match(last(s.r ORDER BY s.i), '\p{{L}}+') AS ends
+  FROM o JOIN s ON s.doc_id = o.doc_id AND s.i = o.i + o.o GROUP BY ALL)
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(raw) AS BIGINT) AS end, w AS known FROM k
+WHERE n = 2 * j + 1 AND ends AND strip_accents(lower(regexp_replace(raw, '[^\p{{L}}\p{{N}}]', '', 'g'))) = f AND length(raw) <= 2 * length(w) + 4
+  AND raw NOT LIKE '%' || chr(9) || '%' AND length(raw) - length(replace(raw, chr(10), '')) < 2"""
 
-    def merged(n: int) -> str:
-        gap = n % 3 - 1
-        boxes = [(0, 0, 10, 10), (10 + gap, 5, 20, 15), (1, 12, 4, 14)]
-        return ";".join(",".join(f"{v:g}" for v in b) for b in redaction.merge_boxes(boxes))
 
-    @pandas_udf("string")
-    def udf(s: pd.Series) -> pd.Series:
-        return s.map(merged)
+def labels_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and values in documents headed by a form: a number behind its label, a date under it, two columns, a name."""
+    n = F.col("doc_id")
+    six = lambda k: F.lpad(k.cast("string"), 6, "0")
+    forms = [
+        F.concat(F.lit("Policy no: G-"), six(n), F.lit("\n")),
+        F.concat(F.lit("Date of birth\n"), F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), n.cast("int") % 20000), "yyyy-MM-dd"), F.lit("\n")),
+        F.concat(F.lit("ID number\tDate of birth\n"), six(n), F.lit("\t2001-02-03\n"), six(n + 1), F.lit("\t3 May 1999\n\n")),
+        F.concat(F.lit("Employer: Acme "), six(n), F.lit(" Ltd, member since\n")),
+    ]
+    form = F.element_at(F.array(*forms), (n % 4 + 1).cast("int"))
 
-    return table(spark, sf_dir, "documents").select("doc_id", udf("doc_id").alias("boxes"))
+    @pandas_udf("array<struct<label:string,start:bigint,end:bigint,where:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"label": v.label, "start": v.start, "end": v.end, "where": v.where} for v in labels.values(t)] for t in texts])
 
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(found(F.concat(form, "text"))).alias("v"))
+    return d.select("doc_id", "v.*")
 
-BOXES_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '0,0,10,10;1,12,4,14;11,5,20,15' ELSE '0,0,20,15' END AS boxes FROM documents"
 
+LABELS_SQL = """SELECT doc_id, v[1] AS label, CAST(v[2] AS BIGINT) AS start, CAST(v[3] AS BIGINT) AS end, v[4] AS where FROM (SELECT doc_id, unnest(CASE doc_id % 4
+  WHEN 0 THEN [['policy', '11', '19', 'beside']] WHEN 1 THEN [['dob', '14', '24', 'under']]
+  WHEN 2 THEN [['certificate', '24', '30', 'column'], ['certificate', '42', '48', 'column'], ['dob', '31', '41', 'column'], ['dob', '49', '59', 'column']]
+  ELSE [['employer', '10', '25', 'beside']] END) AS v FROM documents)"""
 
-def chat_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers in messages made of customers' numbers, by category and tier."""
-    ways = ["dob: 3 May 19@2", "card 9876-543-21@ AB", "sin 046 454 28@", "mail a@b.co", "+1 416 555 019@", "$12345678@", "2123 45670 @ and 046454286.5"]
 
-    def told(text: str) -> str:
-        return ";".join(f"{k}:{t}:{a}-{b}" for k, t, a, b in redaction.chat_check(text, "CA"))
+def boxes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents as boxes, ten a line and forty lines a page: a long word reaches its neighbour, of the same token if
+    both have an even or both an odd number of letters; every seventh has a box within its own; every seventeenth word's is
+    drawn by hand."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("i", "w"))
+    n, i = F.length("w"), F.col("i")
+    w = d.select(
+        "doc_id", "i", F.floor(i / 400).alias("page"), F.concat(F.lit("[W_"), n % 2, F.lit("]")).alias("token"), F.lit(True).alias("enabled"),
+        F.when(i % 17 == 0, "manual").otherwise("detector").alias("source"), (i % 10 / 10).alias("x"), (F.floor(i / 10) % 40 / 50).alias("y"),
+        F.when(n > 3, 0.097).otherwise(0.05).alias("w"), F.lit(0.01).alias("h"), (n / 100.0).alias("confidence"),
+    )
+    inner = w.where("i % 7 = 0 and i % 17 > 0").withColumns({"x": F.col("x") + 0.01, "w": F.col("w") * 0.6, "confidence": F.lit(0.0)})
+    out = boxes.merge_boxes(w.unionByName(inner))
+    rounded = [F.round(c, 4).alias(c) for c in ("x", "y", "w", "confidence")]
+    return out.select("doc_id", "page", "token", "source", *rounded, "members")
+
 
-    n = F.col("c_custkey")
-    text = F.element_at(F.array(*[F.lit(w) for w in ways]), (n % len(ways) + 1).cast("int"))
-    text = F.when(n % len(ways) == 3, text).otherwise(F.replace(text, F.lit("@"), (n % 10).cast("string")))
-    return table(spark, sf_dir, "customer").select("c_custkey", _strings(told)(text).alias("found"))
+BOXES_SQL = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}]+'), 1) - 1 AS i FROM documents),
+b AS (SELECT doc_id, i, length(w) AS n, i // 10 AS line, i % 17 = 0 AS hand, 1 + (i % 7 = 0 AND i % 17 > 0)::INT AS boxes FROM w),
+g AS (SELECT *, CASE WHEN lag(n) OVER o > 3 AND lag(n) OVER o % 2 = n % 2 AND lag(line) OVER o = line AND NOT hand AND NOT lag(hand) OVER o THEN 0 ELSE 1 END AS new FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM g)
+SELECT doc_id, min(i) // 400 AS page, '[W_' || any_value(n % 2) || ']' AS token, CASE WHEN any_value(hand) THEN 'manual' ELSE 'detector' END AS source, round(min(i % 10) / 10, 4) AS x, round(any_value(line % 40) / 50, 4) AS y,
+  round(max(i % 10 / 10 + CASE WHEN n > 3 THEN 0.097 ELSE 0.05 END) - min(i % 10 / 10), 4)::DOUBLE AS w, round(max(n) / 100, 4) AS confidence, CAST(sum(boxes) AS BIGINT) AS members FROM s GROUP BY doc_id, s"""
+
+_CHAT_TAILS = (
+    (" dob: 3 May 19{:02}", "DateOfBirth", "hard"), (" card 9876-543-2{:02} AB", "CAHealthServiceNumber", "hard"), (" sin 046 454 2{:02}", "CASocialInsuranceNumber", "hard"),
+    (" mail a{:02}@b.co", "Email", "advisory"), (" +1 416 555 01{:02}", "PhoneNumber", "advisory"), (" $1234567{:02}", None, None),
+)
+
+
+def chat_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers at the end of turns, with digits of the conversation's number in them, by category and tier."""
+    digits = F.lpad((F.col("conv_id") % 100).cast("string"), 2, "0")
+    tails = F.array(*[F.replace(F.lit(t), F.lit("{:02}"), digits) for t, _, _ in _CHAT_TAILS])
+    t = table(spark, sf_dir, "conversations")
+    text = F.concat("text", F.element_at(tails, ((F.col("conv_id") + F.col("turn")) % len(_CHAT_TAILS) + 1).cast("int")))
+    found = redaction.chat_hits(t.select("conv_id", "turn", text.alias("text")))
+    return found.select("conv_id", "turn", "category", "tier", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
-CHAT_SQL = """SELECT c_custkey, ['DateOfBirth:hard:0-15', 'CAHealthServiceNumber:hard:5-20', 'CASocialInsuranceNumber:hard:4-15', 'Email:advisory:5-11', 'PhoneNumber:advisory:0-15', '',
-  'CAHealthServiceNumber:hard:0-12'][c_custkey % 7 + 1] AS found FROM customer"""
+_CHAT_ROWS = " ".join(
+    f"WHEN {i} THEN ['{c}', '{k}', '{t.index(b)}', '{len(t.format(0))}']"
+    for i, (t, c, k) in enumerate(_CHAT_TAILS)
+    if c
+    for b in [{"DateOfBirth": "dob", "CAHealthServiceNumber": "9876", "CASocialInsuranceNumber": "046", "Email": "a{", "PhoneNumber": "+1"}[c]]
+)
+CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, length(text) AS n, CASE (conv_id + turn) % {len(_CHAT_TAILS)} {_CHAT_ROWS} END AS v FROM conversations)
+SELECT conv_id, turn, v[1] AS category, v[2] AS tier, n + CAST(v[3] AS BIGINT) AS start, n + CAST(v[4] AS BIGINT) AS end FROM t WHERE v IS NOT NULL"""
 
 
 def batches_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,6 +400,8 @@ QUERIES = {
     "patched_rows": (patched_rows, PATCHED_SQL),
     "json_paths": (json_paths, PATHS_SQL),
     "aliases_applied": (aliases_applied, ALIASES_SQL),
+    "tokens_repaired": (tokens_repaired, REPAIRED_SQL),
+    "known_places": (known_places, KNOWN_SQL),
     "labels_found": (labels_found, LABELS_SQL),
     "boxes_merged": (boxes_merged, BOXES_SQL),
     "chat_hits": (chat_hits, CHAT_SQL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assembly, ingest, ops, redaction, rules
+from ..operators import assembly, ingest, known_values, ops, rules
 from ..sources.adapter import table
 
 
@@ -274,9 +274,21 @@ SELECT p_partkey, p_name, CASE WHEN n = 1 THEN p_name ELSE p_name || '-' || n EN
 
 
 def learned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that follow a label in any document of a source, found in all documents of it."""
-    labels = {"token": "key", "password": "key"}
-    return redaction.learn_and_apply(table(spark, sf_dir, "documents"), labels, "source")
+    """Values that follow a label in any document of a source, found in all documents of it. Every tenth document gets a line
+    with the reference number that it is known by, the others one that only mentions the next such number."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    number = lambda k: F.lpad((k - k % 10).cast("string"), 7, "0")
+    line = F.when(n % 10 == 0, F.concat(F.lit("Claim number: "), number(n))).otherwise(F.concat(F.lit("see "), F.regexp_replace(number(n), "^(...)", "$1 "), F.lit(" there")))
+    text = F.concat_ws("\n", line, "text")
+    found = known_values.learn_and_find(d.select("doc_id", "source", text.alias("text")), "source")
+    return found.where("end <= 30").select("doc_id", "start", "end", "value", "known")
+
+
+# a number counts in the documents of its source alone; a space within it is passed over
+LEARNED_SQL = """WITH d AS (SELECT doc_id, source, lpad(CAST(doc_id - doc_id % 10 AS VARCHAR), 7, '0') AS n FROM documents)
+SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 14 ELSE 4 END AS start, CASE WHEN d.doc_id % 10 = 0 THEN 21 ELSE 12 END AS end,
+  CASE WHEN d.doc_id % 10 = 0 THEN d.n ELSE d.n[1:3] || ' ' || d.n[4:7] END AS value, d.n AS known
+FROM d WHERE EXISTS (SELECT 1 FROM d e WHERE e.source = d.source AND e.n = d.n AND e.doc_id % 10 = 0)"""
 
 
 def request_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +339,7 @@ QUERIES = {
     "status_lists": (status_lists, LISTS_SQL),
     "plan_round_trip": (plan_round_trip, ROUND_TRIP_SQL),
     "unique_names": (unique_names, UNIQUE_SQL),
-    "learned_values": (learned_values, None),
+    "learned_values": (learned_values, LEARNED_SQL),
     "request_bytes": (request_bytes, BYTES_SQL),
     "verdict_share": (verdict_share, VERDICT_SQL),
     "status_map": (status_map, STATUS_MAP_SQL),
