@@ -9,9 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import identifiers as I
+from tidemark.functions import labels
 from tidemark.functions import temporal as T
 from tidemark.functions import text as X
-from tidemark.operators import assembly, ingest, redaction
+from tidemark.operators import assembly, ingest
 from tidemark.sources import readers
 
 short = st.text("abc ", max_size=14)
@@ -95,7 +96,7 @@ def test_detections(spark):
     assert found(spark, "0412 345 678; 1300 123 456", "AU") == {("phone_au", "0412 345 678", 0.6, True), ("phone_au", "1300 123 456", 0.6, False)}
     assert found(spark, "Email: info@x.org, jo.doe@x.org", "CA") == {("email", "info@x.org", 1.0 - 0.01, True), ("email", "jo.doe@x.org", 0.8, True)}
     assert found(spark, "write to info@x.org", "AU") == {("email", "info@x.org", 0.8, False)} and found(spark, None, "CA") == set()
-    assert I.labels_in("my address is here\nAddress: x") == [(19, 26, "address")]
+    assert labels.found("my address is here\nAddress: x") == [(19, 26, "address")]
 
 
 @pytest.mark.parametrize(
@@ -154,51 +155,6 @@ def test_split_text(text, most):
         assert len(p) == (blanks[-1] + 1 if blanks else most)
 
 
-def test_aliases():
-    aliases = {"Jane Q. Doe": "[NAME_A]", "416 555 0199": "[PHONE_A]", "12 Main Street": "[ADDRESS_A]"}
-    text = "DOE, JANE Q. lives at 12 Main St. and has (416) 555-0199; not 4165550199x."
-    assert redaction.apply_aliases(text, aliases) == "DOE, JANE Q. lives at [ADDRESS_A]. and has ([PHONE_A]; not 4165550199x."
-    assert redaction.apply_aliases("Doe, Jane Q. and J. Doe", {"Jane Doe": "[NAME_A]"}) == "[NAME_A] Q. and [NAME_A]"
-    text = "{NAME A) x [PHONE_B] y IMEMBER-C] but NAME B and [OTHER_A]"
-    r = redaction.repair(text)
-    assert r.text == "[NAME_A] x [PHONE_B] y [MEMBER_C] but NAME B and [OTHER_A]" and [r.text[a:b] for a, b in r.tokens] == ["[NAME_A]", "[PHONE_B]", "[MEMBER_C]", "[OTHER_A]"]
-    assert redaction.tokens_in(text + " [NAME_A]") == ["[NAME_A]", "[PHONE_B]", "[MEMBER_C]", "[OTHER_A]"]
-    damaged = "pre MEMBER_A post (CERT 1) end"
-    r = redaction.repair(damaged)
-    assert r.text == "pre [MEMBER_A] post [CERT_1] end" and r.original(r.text.index("post")) == damaged.index("post") and r.original(r.text.index("end")) == damaged.index("end")
-    assert r.original(0) == 0 and r.original(4) == 4 and r.original(13) == 12 and r.share(4, 14) == 1.0 and r.share(0, 8) == 0.5 and r.share(3, 3) == 0.0
-    assert redaction.label_spans("Member ID no: 12", ["member", "member id", "id no"]) == [(0, 9)]
-    assert [v[0] for v in redaction.labelled_values("Date of birth: 1990-01-02\nName Jane Doe", {"date of birth": "date", "name": "name"})] == ["date of birth", "name"]
-    assert redaction.merge_boxes([(0, 0, 2, 2), (5, 5, 6, 6), (1, 1, 5.5, 5.5)]) == [(0, 0, 6, 6)]
-    text = "Born on: 1990-01-02, on 1990-01-02; 416-555-0199, 046 454 286, 9876-543-217 AB, 2123 45670 1 a@b.co"
-    assert [(k, t, text[a:b]) for k, t, a, b in redaction.chat_check(text)] == [
-        ("DateOfBirth", "hard", "Born on: 1990-01-02"), ("PhoneNumber", "advisory", "416-555-0199"), ("CASocialInsuranceNumber", "hard", "046 454 286"),
-        ("CAHealthServiceNumber", "hard", "9876-543-217 AB"), ("CAHealthServiceNumber", "hard", "2123 45670 1"), ("Email", "advisory", "a@b.co"),
-    ]
-    assert redaction.chat_check("dob 3 May 1990", "AU") == [("DateOfBirth", "hard", 0, 14)] and redaction.chat_check("$123456789 or 1.234567890") == []
-
-
-def test_learned_values(spark):
-    docs = spark.createDataFrame([(1, "s", "Policy: AB-1234-99"), (2, "s", "see ab 1234 99 there"), (3, "t", "see AB-1234-99"), (4, "s", None)], "doc_id bigint, source string, text string")
-    got = {r.doc_id: r.spans for r in redaction.learn_and_apply(docs, {"policy": "number"}, "source").collect()}
-    assert got == {1: "8:18", 2: "4:14", 4: ""}
-    # the way for many values finds the same
-    more = docs.union(spark.createDataFrame([(5, "s", "Policy: AB-1234-99-77 and ab 1234 99 77"), (6, "s", "x")], docs.schema))
-    a, b = ({r.doc_id: r.spans for r in redaction.learn_and_apply(more, {"policy": "number"}, "source", most).collect()} for most in (100, 1))
-    assert a == b and a[5] == "8:21,26:39" and a[6] == ""
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.text("ab1 -.", max_size=40), st.lists(st.text("ab1-", min_size=4, max_size=7), max_size=4))
-def test_known_values_one_pass(text, values):
-    found = redaction.KnownValues(values)
-    slow = redaction.KnownValues(values)
-    slow.automaton = None
-    assert found.spans(text) == slow.spans(text)
-    for a, b, v in found.spans(text):
-        assert redaction.compact(text[a:b])[0] == redaction.compact(v)[0]
-
-
 HTML = """<html><head><title>t</title></head><body><nav>menu</nav><main><h1>Big <b>title</b></h1><p>One&nbsp;two<br>three</p>
 <script>x()</script><ul><li>a</li><li>b <em>c</em></li></ul><table><tr><th>h1</th><th>h2</th></tr><tr><td>1</td><td>x|y</td></tr></table>
 <div class="share">no</div><pre>code
@@ -243,6 +199,61 @@ def test_chunks(seed):
             assert body >= md.count(w) - sum(p.count(w) for p in parts if not ingest.has_body(p)) - 40
 
 
+def plain_chunks(md, target, overlap, least):
+    """Chunks that render and count all they hold again for every unit."""
+    count = lambda parts: X.count_tokens(ingest.render(parts))
+    body = lambda parts: [u for u in parts if u.kind != "heading"]
+    out, path, now, section, follows = [], [], [], None, False
+
+    def done():
+        parts = list(now)
+        while parts and parts[-1].kind == "heading":
+            parts.pop()
+        if ingest.has_body(content := ingest.render(parts)):
+            out.append((section or "", content, X.count_tokens(content)))
+
+    for u in ingest.units(md, target, X.count_tokens):
+        if u.kind == "heading":
+            path = [h for h in path if h.level < u.level]
+            path.append(u)
+            if body(now) and (follows or count(body(now)) >= least or count([*now, u]) > target):
+                done()
+                now, section, follows = [], None, False
+            now = [*(now if body(now) else []), u]
+        elif count([*now, u]) <= target:
+            now, section = [*now, u], " > ".join(h.text for h in path) if section is None else section
+        else:
+            done()
+            tail = body(now)
+            while sum(X.count_tokens(x.text) for x in tail) > overlap:
+                tail = tail[1:]
+            section, follows = " > ".join(h.text for h in path), True
+            now = next((c for c in ([*path[-1:], *tail, u], [*path[-1:], u]) if count(c) <= target), [u])
+    done()
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_chunks_by_sums_are_those_by_rendering(seed):
+    r = random.Random(seed)
+    words = lambda n: " ".join(r.choice(["alpha", "beta.", "é", "delta!", "  x", "long-er"]) for _ in range(n))
+    parts = []
+    for _ in range(r.randint(1, 25)):
+        kind = r.choice("hhptc")
+        if kind == "h":
+            parts.append(f"{'#' * r.randint(1, 4)} {words(r.choice([1, 3, 25]))}")
+        elif kind == "t":
+            parts.append("\n".join(["| a | b |", "| --- | --- |", *[f"| {words(4)} | {i} |" for i in range(r.randint(0, 12))]]))
+        else:
+            parts.append(words(r.choice([1, 5, 30, 200])))
+    md = "\n\n".join(parts)
+    got = [(c.section, c.content, c.tokens) for c in ingest.chunk_markdown(md, 90, 20, 30)]
+    assert got == plain_chunks(md, 90, 20, 30)
+    # units leave room for the longest heading, so that a section's parts repeat it where it isn't longer than the rest
+    assert all(tokens <= 90 for _, _, tokens in got)
+
+
 def test_index(spark):
     docs = spark.createDataFrame([(1, "s", "a"), (2, "s", "b")], "doc_id bigint, source string, text string")
     first = ingest.with_hashes(docs)
@@ -254,9 +265,7 @@ def test_index(spark):
     stale = spark.createDataFrame([(k,) for k, v in status.items() if v == "stale"], "id string")
     out = ingest.upsert(first, new, stale)
     assert sorted(r.text for r in out.collect()) == ["a", "c"]
-    c = spark.createDataFrame([("s", i, "w " * (10 * i)) for i in range(30)], "source string, n int, content string")
-    cut = ingest.limited_excerpts(c, "source", "n", 20, 50).collect()
-    assert len(cut) == 20 and max(len(r.content.split()) for r in cut) == 51
+
 
 
 def test_dedupe_and_grounding(spark):

@@ -179,8 +179,17 @@ def token_count(text: Column) -> Column:
     return F.greatest(words, F.ceil(F.length(text) / 3.5)).cast("bigint")
 
 
+def words_and_marks(text: str) -> int:
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def tokens_of(marks: int, chars: int) -> int:
+    """Tokens of a text from its words and marks, and its characters."""
+    return max(marks, -(-chars * 2 // 7))
+
+
 def count_tokens(text: str) -> int:
-    return max(len(re.findall(r"\w+|[^\w\s]", text)), -(-len(text) * 2 // 7)) if text else 0
+    return tokens_of(words_and_marks(text), len(text))
 
 
 def tags(text: Column, table: dict[str, list[str]], most: int = 6, hints: Column | None = None) -> Column:
@@ -296,12 +305,6 @@ def fold_digits(text: Column) -> Column:
     return F.translate(F.lower(text), "oilsbz", "011582")
 
 
-def longest_shared_run(a: list[str], b: list[str]) -> int:
-    """Most words in a row that both have."""
-    m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-    return m.size
-
-
 def hash_vector(text: str, size: int = 64) -> np.ndarray:
     """A unit vector that the text alone decides."""
     import hashlib
