@@ -11,12 +11,14 @@ import calendar
 import functools
 import math
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LIFETIME = (date.min, date.max)
 
@@ -142,10 +144,14 @@ class Entry:
 
 
 class Ledger:
-    """Entries with running totals for every rule in a fixed window."""
-
-    def __init__(self, plan: PlanRules):
-        self.plan, self.entries = plan, []
+    """Running totals for every rule in a fixed window, and the entries that rolling windows look back over; all entries
+    only if they are to be ``listed``."""
+
+    def __init__(self, plan: PlanRules, listed: bool = True):
+        self.plan, self.entries, self.listed = plan, [], listed
+        rules = [x for b in plan.benefits.values() for x in (*b.limits, *([b.frequency] if b.frequency else []))] + list(plan.pools.values())
+        self.reach = max((x.period.months for x in rules if x.period.kind == "rolling_months"), default=0)
+        self.swept = date.min
         self.of_benefit: dict[object, list[Entry]] = defaultdict(list)
         self.totals: dict[tuple, float] = defaultdict(float)
         self.members_of_pool: dict[str, set] = defaultdict(set)
@@ -176,8 +182,21 @@ class Ledger:
                 owner = e.member if limit.scope == "per_person" else None
                 self.totals[(*key, owner, w)] += sign * self._measure(e, limit.unit)
 
+    def forget(self, first: date) -> None:
+        """Let go, now and then, of what no line on ``first`` or later can ask for: windows that have ended, and entries
+        before the longest rolling window."""
+        if self.listed or first < add_months(self.swept, 3):
+            return
+        self.swept = first
+        for key in [k for k in self.totals if k[-1][1] < first]:
+            del self.totals[key]
+        since = add_months(first, -self.reach)
+        for benefit, held in self.of_benefit.items():
+            self.of_benefit[benefit] = [e for e in held if e.day >= since] if self.reach else []
+
     def add(self, e: Entry) -> None:
-        self.entries.append(e)
+        if self.listed:
+            self.entries.append(e)
         self.of_benefit[e.benefit].append(e)
         self._count(e, 1)
         for share in self.plan.benefits[e.benefit].shares:
@@ -405,17 +424,19 @@ def allocate(total: int, weights: list[int]) -> list[int]:
     return parts
 
 
-def replay(plan: PlanRules, claims: Iterable[dict], include_submitted: bool = True) -> Ledger:
-    """The ledger of a family's claims: dicts with id, member, status, created, paid (None: not known) and lines.
+COUNTED = ("paid", "partially_paid", "submitted")
+
+
+def replay_sorted(ledger: Ledger, claims: Iterable[dict]) -> Iterator[list[Entry]]:
+    """The entries of each claim in turn, of claims that come by first service date, creation and id, with lines by date.
 
-    Claims go by first service date, creation and id, lines by date; a paid amount that is known replaces a claim's
-    estimates, in their proportion, else in that of what was left to pay.
+    A paid amount that is known replaces a claim's estimates, in their proportion, else in that of what was left to pay.
     """
-    ledger = Ledger(plan)
-    known = [c for c in claims if c["status"] in ("paid", "partially_paid") or (include_submitted and c["status"] == "submitted")]
-    known.sort(key=lambda c: (min(line["day"] for line in c["lines"]) if c["lines"] else date.max, c["created"], c["id"]))
-    for c in known:
-        lines = sorted((x for x in c["lines"] if x["benefit"] in plan.benefits), key=lambda x: x["day"])
+    plan = ledger.plan
+    for c in claims:
+        if c["lines"]:
+            ledger.forget(c["lines"][0]["day"])
+        lines = [x for x in c["lines"] if x["benefit"] in plan.benefits]
         own = []
         for x in lines:
             args = (x["charged"], x.get("other", 0), x.get("quantity", 1), x.get("code"))
@@ -430,6 +451,17 @@ def replay(plan: PlanRules, claims: Iterable[dict], include_submitted: bool = Tr
                 weights = [max(0, x["charged"] - x.get("other", 0)) for x in lines]
             for e, cents in zip(own, allocate(max(0, c["paid"]), weights)):
                 ledger.repay(e, cents)
+        yield own
+
+
+def replay(plan: PlanRules, claims: Iterable[dict], include_submitted: bool = True) -> Ledger:
+    """The ledger of a family's claims: dicts with id, member, status, created, paid (None: not known) and lines, in any
+    order."""
+    ledger = Ledger(plan)
+    known = [c | {"lines": sorted(c["lines"], key=lambda x: x["day"])} for c in claims if c["status"] in COUNTED[: 2 + include_submitted]]
+    known.sort(key=lambda c: (c["lines"][0]["day"] if c["lines"] else date.max, c["created"], c["id"]))
+    for _ in replay_sorted(ledger, known):
+        pass
     return ledger
 
 
@@ -463,17 +495,38 @@ def quote_families(df: DataFrame, plan: PlanRules, today: date | None = None, fa
     return df.groupBy(family).applyInPandas(run, schema)
 
 
+#: Columns of a line beside its claim's, as the fold names them.
+_LINE = {"day": "service_date", "id": "line_id", "benefit": "benefit_id", "charged": "charged_cents", "other": "other_cents", "quantity": "quantity"}
+_ENTRY = "claim_id bigint, line_id bigint, member_id bigint, benefit_id bigint, paid_cents bigint, limited_by string, share_cents bigint"
+
+
 def replay_families(df: DataFrame, plan: PlanRules, family: str = "family_id") -> DataFrame:
     """(claim_id, line_id, member_id, benefit_id, paid_cents, limited_by, share_cents) of joined claims and lines.
 
     ``df``: family, claim_id, line_id, member_id, status, created, paid_cents (nullable), benefit_id, service_date,
-    charged_cents, other_cents, quantity. One family is one task's group, as scopes need it whole.
+    charged_cents, other_cents, quantity. Lines are gathered by claim; claims of a family are dealt to one task and sorted
+    there, outside of memory where they don't fit, and pass in batches. What is kept of a family are totals by rule, owner
+    and window, and entries as far as rolling windows reach back, however many lines it has. Families follow one another:
+    a line needs all before it, so that one family is one task's work. Lines without a family have no ledger.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        claims = _claims_of(pdf)
-        rows = [(e.claim, e.line, e.member, e.benefit, e.paid, e.limited_by, sum(e.shares.values())) for e in replay(plan, claims.values()).entries]
-        return pd.DataFrame(rows, columns=["claim_id", "line_id", "member_id", "benefit_id", "paid_cents", "limited_by", "share_cents"])
-
-    schema = "claim_id bigint, line_id bigint, member_id bigint, benefit_id bigint, paid_cents bigint, limited_by string, share_cents bigint"
-    return df.groupBy(family).applyInPandas(run, schema)
+    claim = [family, "claim_id", "member_id", "status", "created", "paid_cents"]
+    lines = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in _LINE.items()])))
+    claims = df.where(F.col(family).isNotNull() & F.col("status").isin(*COUNTED)).groupBy(*claim).agg(lines.alias("lines"))
+    first = F.col("lines")[0]["day"]
+    dealt = claims.withColumn("first", first).repartition(family).sortWithinPartitions(family, "first", "created", "claim_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ledger = None, None
+        schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _ENTRY.split(", ")])
+        for b in batches:
+            rows = []
+            for c in b.to_pylist():
+                if ledger is None or c[family] != now:
+                    now, ledger = c[family], Ledger(plan, listed=False)
+                known = {"id": c["claim_id"], "member": c["member_id"], "status": c["status"], "paid": c["paid_cents"], "lines": c["lines"]}
+                for own in replay_sorted(ledger, [known]):
+                    rows += [(e.claim, e.line, e.member, e.benefit, e.paid, e.limited_by, sum(e.shares.values())) for e in own]
+            columns = zip(*rows) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, schema.types)], schema=schema)
+
+    return dealt.select(*claim, "lines").mapInArrow(run, _ENTRY)
