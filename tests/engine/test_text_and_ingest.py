@@ -12,7 +12,7 @@ from tidemark.functions import identifiers as I
 from tidemark.functions import labels
 from tidemark.functions import temporal as T
 from tidemark.functions import text as X
-from tidemark.operators import assembly, ingest
+from tidemark.operators import assembly, ingest, suppression
 from tidemark.sources import readers
 
 short = st.text("abc ", max_size=14)
@@ -48,6 +48,86 @@ def test_names():
     assert 80 < X.quote_score("Up to 500 dollars per year", "We pay up to 500 dolars per year for this.") < 100
 
 
+def slow_partial(a, b):
+    """The best of all parts as long as the shorter text, and of those that reach over an end."""
+    short, long = sorted((a, b), key=len)
+    n, m = len(short), len(long)
+    return max(X.ratio(short, long[max(0, s) : min(m, s + n)]) for s in range(1 - n, m)) if n else 100.0 * (not m)
+
+
+def misread(r, text, share):
+    return "".join(r.choice(["", c + "x", "~", c]) if r.random() < share else c for c in text)
+
+
+def test_partial_ratio_is_exact_and_its_filter_safe():
+    r, filtered = random.Random(3), 0
+    for k in range(400):
+        letters = ["ab", "abcdefgh ", "etaoin shrdlucmfw"][k % 3]
+        n = r.choice([0, 1, 2, 5, 30, 63, 64, 65, 129])
+        page = "".join(r.choice(letters) for _ in range(n + r.choice([0, 1, 40, 300])))
+        at = r.randrange(-n // 5 - 1, len(page) - n + n // 5 + 1)
+        quote = misread(r, page[max(0, at) : at + n], r.choice([0.02, 0.1, 0.3])) if r.random() < 0.7 else "".join(r.choice(letters) for _ in range(n))
+        best = slow_partial(quote, page)
+        assert abs(X.partial_ratio(quote, page) - best) < 1e-9
+        if len(quote) <= len(page):
+            told = X.may_reach(quote, set(X.grams(page)), 85.0)
+            assert told or best < 85
+            filtered += not told
+    assert filtered > 20
+
+
+def test_suppression_equals_the_fold(spark):
+    """Chains, rings and copies of texts that differ by little, in groups of several identities, one of them null."""
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefg hij") for _ in range(n)) for n in (1, 2, 3, 4, 5, 12, 30, 31, 60, 60)]
+    rows = []
+    for i in range(260):
+        t = r.choice(base)
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            at = r.randrange(len(t) + 1)
+            t = t[:at] + r.choice(["", "x", "y", t[at : at + 1].upper()]) + t[at + 1 :]
+        rows.append((r.choice(["p", "q", None]), r.choice([0, 1]), i, r.choice([t, t, None, "*" + t]), r.choice([0.5, 0.9, 0.9, 0.1])))
+    want = {}
+    for ident in {x[:2] for x in rows}:
+        kept = []
+        for row in sorted((x for x in rows if x[:2] == ident), key=lambda x: (-x[4], x[2])):
+            t = X.normalize_text(row[3])
+            owner = next((k for k, u in kept if X.ratio(t, u) >= 90), None)
+            if owner is None:
+                kept.append((row[2], t))
+            want[row[2]] = row[2] if owner is None else owner
+    df = spark.createDataFrame(rows, "g string, h int, id bigint, quote string, c double").repartition(5)
+    got = {x.id: x.kept_by for x in suppression.fuzzy_dedupe(df, ["g", "h"], "id", "quote", "c").collect()}
+    assert got == want and len(set(want.values())) < 250
+    assert suppression.fuzzy_dedupe(df.limit(0), ["g", "h"], "id", "quote", "c").collect() == []
+
+
+def test_ground_quotes(spark):
+    """Blocks, the filter and the cited page against all scores."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 8)))
+    pages = [(g, p, " ".join(word() for _ in range(r.choice([3, 60])))) for g in "gh" for p in range(5)] + [("h", 9, None), ("i", 0, "|*")]
+    quotes = []
+    for k in range(80):
+        g, p, t = r.choice(pages[:10])
+        at = r.randrange(len(t))
+        q = r.choice([misread(r, t[at : at + 60], 0.05), t[at : at + 30].upper(), "", "  *", " ".join(word() for _ in range(6)), None])
+        quotes.append((g, k, q, r.choice([p, 0, 7, None])))
+    quotes.append(("none", 80, "x", 1))
+    q = spark.createDataFrame(quotes, "g string, quote_id int, quote string, said int")
+    p = spark.createDataFrame(pages, "g string, page int, text string")
+    for cited, block in ((None, 500), ("said", 7)):
+        want = {}
+        for g, k, quote, said in quotes:
+            rows = [(round(X.quote_score(quote, t), 3), page) for h, page, t in pages if h == g]
+            own = [x for x in rows if cited and x[1] == said and X.normalize_text(quote)]
+            best = min(((-s, page) for s, page in rows if s >= 85), default=None)
+            s, page = own[0] if own and (own[0][0] >= 85 or not best) else (-best[0], best[1]) if best else (0.0, None)
+            want[k] = (page, s)
+        got = {x.quote_id: (x.page, x.score) for x in assembly.ground_quotes(q, p, "g", cited, block=block).collect()}
+        assert got == want
+
+
 def test_normal_form():
     """Underscores, entities, backslashes and guillemets stay; tags, tildes and other marks go; widths are composed first."""
     for text, want in (
@@ -271,7 +351,7 @@ def test_index(spark):
 def test_dedupe_and_grounding(spark):
     rows = [(1, "p", "Up to $500 per year", 0.9), (2, "p", "up to 500 per year", 0.8), (3, "p", "Something else", 0.7), (4, "q", "Up to $500 per year", 0.5), (5, "p", "Up to $500 per year", 0.1)]
     df = spark.createDataFrame(rows, "id bigint, page string, quote string, c double")
-    assert {r.id: r.kept_by for r in assembly.fuzzy_dedupe(df, ["page"], "id", "quote", "c").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+    assert {r.id: r.kept_by for r in suppression.fuzzy_dedupe(df, ["page"], "id", "quote", "c").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
     quotes = spark.createDataFrame([("a", "d", "blue sky at night"), ("b", "d", "teh red fox")], "quote_id string, doc string, quote string")
     pages = spark.createDataFrame([("d", 1, "nothing here"), ("d", 2, "a Blue Sky at night, then"), ("d", 3, "the red fox ran")], "doc string, page int, text string")
     got = {r.quote_id: (r.page, r.score) for r in assembly.ground_quotes(quotes, pages, "doc").collect()}

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -96,8 +96,9 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * _lcs(a, b) / (len(a) + len(b))
 
 
-def _diagonals(short: str, long: str, size: int = 6, most: int = 4) -> set[int]:
-    """Where the shorter text would begin in the longer one by most of the runs of characters that they share."""
+def _guess(short: str, long: str, size: int = 5, most: int = 4) -> list[int]:
+    """Where the shorter text may begin in the longer one by most of the runs of characters that they share: a start for the
+    search of the best place, which doesn't depend on it."""
     places: dict[str, list[int]] = {}
     for i in range(len(short) - size + 1):
         places.setdefault(short[i : i + size], []).append(i)
@@ -105,26 +106,65 @@ def _diagonals(short: str, long: str, size: int = 6, most: int = 4) -> set[int]:
     for j in range(len(long) - size + 1):
         for i in places.get(long[j : j + size], ()):
             votes[j - i] += 1
-    return {max(0, d) for d, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:most]}
+    return [d for d, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+
+def _lcs_at(masks: np.ndarray, of: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Longest common subsequences of a text of ``n`` characters with the windows of ``n`` that begin at ``starts``, all at once:
+    bit vectors in words of 64, with carries between them."""
+    words = masks.shape[1]
+    row = np.full((words, len(starts)), ~np.uint64(0))
+    for k in range(n):
+        mask = masks[of[starts + k]]
+        carry = np.zeros(len(starts), np.uint64)
+        for w in range(words):
+            common = row[w] & mask[:, w]
+            total = row[w] + common
+            over = total < common
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            row[w] = total | (row[w] & ~common)
+    tail = np.uint64((1 << (n - 64 * (words - 1))) - 1) if n % 64 else ~np.uint64(0)
+    row[-1] |= ~tail
+    return 64 * words - np.bitwise_count(row).sum(axis=0, dtype=np.int64)
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a part of the longer one that is as long; of texts of 24 characters or more
-    with those parts that share most runs of six with it."""
+    """The best ratio of the shorter text with a part of the longer one that is as long, or shorter at an end of it.
+
+    Exact: of every part the characters that it shares with the shorter text, whatever their order, bound its ratio; parts
+    are compared from the highest bound down, until none can be better.
+    """
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    n, best = len(short), 0.0
-    # windows at which a common block of both would be aligned hold the best one
-    starts = _diagonals(short, long) if n >= 24 else set()
-    starts = starts or {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long, autojunk=n >= 24).get_matching_blocks()}
-    for s in starts:
-        for d in (-1, 0, 1):
-            at = min(max(0, s + d), len(long) - n)
-            best = max(best, ratio(short, long[at : at + n]))
-    return best
+    n, m = len(short), len(long)
+    number = {c: i + 1 for i, c in enumerate(dict.fromkeys(short))}
+    of = np.zeros(m + 2 * (n - 1), np.int64)
+    of[n - 1 : n - 1 + m] = [number.get(c, 0) for c in long]
+    starts = np.arange(m + n - 1)
+    lengths = np.minimum(n, np.minimum(starts + 1, m + n - 1 - starts))
+    shared = np.zeros(len(starts), np.int64)
+    for c, i in number.items():
+        seen = np.concatenate([[0], np.cumsum(of == i)])
+        shared += np.minimum(seen[n:] - seen[:-n], short.count(c))
+    bound = 200.0 * shared / (n + lengths)
+    masks = np.zeros((len(number) + 1, -(-n // 64)), np.uint64)
+    for k, c in enumerate(short):
+        masks[number[c], k // 64] |= np.uint64(1 << (k % 64))
+    guess = np.array(sorted({min(max(0, d + n - 1 + e), m + n - 2) for d in _guess(short, long) for e in (-2, -1, 0, 1, 2)}), np.int64)
+    best, done, size = 0.0, np.zeros(len(starts), bool), 64
+    order = np.argsort(-bound, kind="stable")
+    while True:
+        if len(guess):
+            best = max(best, float((200.0 * _lcs_at(masks, of, guess, n) / (n + lengths[guess])).max()))
+            done[guess] = True
+        order = order[(bound[order] > best) & ~done[order]]
+        if not len(order):
+            return best
+        guess, size = order[:size], min(4096, 4 * size)
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -152,10 +192,32 @@ def names_match(a: str | None, b: str | None) -> float:
     return max(token_sort_ratio(x, y), token_set_ratio(x, y) - 5, token_sort_ratio(sx, sy))
 
 
+def normal_score(quote: str, page: str) -> float:
+    """100 if the page has the quote, else the best ratio with a part of it; both in normal form."""
+    return 0.0 if not quote or not page else 100.0 if quote in page else partial_ratio(quote, page)
+
+
 def quote_score(quote: str | None, page: str | None) -> float:
-    """100 if the page has the quote, else the best ratio with a part of it."""
-    q, p = normalize_text(quote), normalize_text(page)
-    return 0.0 if not q or not p else 100.0 if q in p else partial_ratio(q, p)
+    return normal_score(normalize_text(quote), normalize_text(page))
+
+
+def grams(text: str, size: int = 3) -> list[str]:
+    return [text[i : i + size] for i in range(len(text) - size + 1)]
+
+
+def may_reach(quote: str, page_grams: set[str], least: float) -> bool:
+    """Whether a page with these runs of three characters can have a part that is like the quote by ``least``, for pages at
+    least as long as the quote.
+
+    Let a part of n - t characters share l of the quote's n in order. To score r = least / 100 it takes l >= r (n - t / 2), and
+    as l <= n - t, t <= n (1 - r) / (1 - r / 2). Each of the n - l characters that are missing is in three of the quote's runs,
+    each of the n - t - l others that stand between those left parts two: at most 5 (1 - r) n + (2.5 r - 2) t runs are not the
+    page's.
+    """
+    n, r = len(quote), least / 100
+    lost = 5 * (1 - r) * n + max(0.0, 2.5 * r - 2) * n * (1 - r) / (1 - r / 2)
+    need = n - 2 - math.floor(lost + 1e-9)
+    return need <= 0 or sum(g in page_grams for g in grams(quote)) >= need
 
 
 def scored(fn: Callable[[str | None, str | None], float]):
@@ -179,6 +241,17 @@ def token_count(text: Column) -> Column:
     return F.greatest(words, F.ceil(F.length(text) / 3.5)).cast("bigint")
 
 
+def scored1(fn: Callable[[str | None], str]):
+    """A vectorised UDF of a text column to a text, made once for each distinct value of a batch."""
+
+    @pandas_udf(T.StringType())
+    def udf(a: pd.Series) -> pd.Series:
+        known = {t: fn(t) for t in set(a)}
+        return pd.Series([known[t] for t in a], dtype="object")
+
+    return udf
+
+
 def words_and_marks(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text))
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import names_match, normalize_text, quote_score, ratio, scored
+from ..functions.streams import codes
+from ..functions.text import names_match, normal_score, normalize_text, scored, scored1
+from ..sources.scratch import Scratch, checkpointed
 
 
 def dedupe_ranked(df: DataFrame, identity: list[str], rank: list[Column]) -> DataFrame:
@@ -17,64 +20,102 @@ def dedupe_ranked(df: DataFrame, identity: list[str], rank: list[Column]) -> Dat
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def fuzzy_dedupe(df: DataFrame, identity: list[str], key: str, text: str, confidence: str, least: float = 90.0) -> DataFrame:
-    """(key, kept_by): rows in order of confidence; a row goes if one kept of its identity has a text that is alike.
-
-    ``kept_by`` is the row that stands for it, itself if kept. Equal texts fold into one before texts are compared, so
-    that copies, however many, cost nothing in the fold.
-    """
-    w = Window.partitionBy(*identity, "__same")
-    rows = df.select(*identity, key, F.col(text).alias("__text"), F.col(confidence).alias("__c"))
-    rows = rows.withColumn("__same", F.xxhash64("__text"))
-    first = F.first(key).over(w.orderBy(F.desc("__c"), key))
-    rows = rows.withColumn("__first", first)
-    heads = rows.where(F.col("__first") == F.col(key)).select(*identity, key, "__text", "__c")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[object, str]] = []
-        out = []
-        for r in pdf.sort_values(["__c", key], ascending=[False, True]).to_dict("records"):
-            t = normalize_text(r["__text"])
-            # lengths bound the ratio, which spares most comparisons
-            alike = (k for k, u in kept if 200.0 * min(len(t), len(u)) >= least * (len(t) + len(u)) and ratio(t, u) >= least)
-            owner = next(alike, None)
-            if owner is None:
-                kept.append((r[key], t))
-            out.append((r[key], r[key] if owner is None else owner))
-        return pd.DataFrame(out, columns=["__head", "kept_by"])
-
-    kind = df.schema[key].dataType.simpleString()
-    told = heads.groupBy(*identity).applyInPandas(run, f"__head {kind}, kept_by {kind}")
-    return rows.join(told, F.col("__first") == F.col("__head")).select(key, "kept_by")
-
-
 _names_match = scored(names_match)
-_quote_score = scored(quote_score)
-
-
-def link_names(names: DataFrame, name: str, targets: list[str], least: float) -> DataFrame:
-    """(name, target, score): for each distinct name the target most alike, if alike enough; ties by target.
-
-    Targets are a plan's few names; they go with the query as a literal.
+_normal = scored1(normalize_text)
+
+
+def _bits(text: str) -> np.ndarray:
+    """Numbers below 2^16 of a text's runs of three characters; different runs may share one."""
+    of = codes(text).astype(np.uint32)
+    mixed = (of[:-2] * np.uint32(0x9E3779B1)) ^ (of[1:-1] * np.uint32(0x85EBCA77)) ^ (of[2:] * np.uint32(0xC2B2AE3D))
+    return (mixed >> np.uint32(16)).astype(np.int64)
+
+
+def _shared(pages: DataFrame, blocks: DataFrame, group: str, kinds: str) -> DataFrame:
+    """(group, block, quote_id, page, shared, n, short, inside, mine): for each page and quote of a group how many of the quote's
+    runs the page has, or a few more, and whether it has the quote."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for g, block, page, text, ids, texts, owns in pdf[[group, "block", "page", "t", "ids", "texts", "owns"]].itertuples(index=False):
+                have = np.zeros(1 << 16, bool)
+                have[_bits(text)] = True
+                runs = [_bits(q) for q in texts]
+                seen = np.concatenate([[0], np.cumsum(have[np.concatenate(runs)])]) if runs else np.zeros(1, np.int64)
+                ends = np.cumsum([len(r) for r in runs])
+                shared = seen[ends] - seen[ends - [len(r) for r in runs]]
+                n = np.array([len(q) for q in texts])
+                inside = [s >= k - 2 and q in text for s, k, q in zip(shared, n, texts)]
+                mine = [o is not None and o == page for o in owns]
+                out.append(pd.DataFrame({group: g, "block": block, "quote_id": ids, "page": page, "shared": shared, "n": n, "short": n > len(text), "inside": inside, "mine": mine}))
+            if out:
+                yield pd.concat(out)
+
+    return pages.join(blocks, group).mapInPandas(run, f"{kinds}, shared bigint, n bigint, short boolean, inside boolean, mine boolean")
+
+
+def _scores(pairs: DataFrame, pages: DataFrame, quotes: DataFrame, group: str, kinds: str) -> DataFrame:
+    """``pairs`` (group, block, quote_id, page) with their score; a page's text goes once to each block of its quotes."""
+    asked = pairs.join(quotes.select("quote_id", "q"), "quote_id").groupBy(group, "block", "page").agg(F.collect_list("quote_id").alias("ids"), F.collect_list("q").alias("texts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [
+                (g, block, i, page, round(normal_score(q, text), 3))
+                for g, block, page, text, ids, texts in pdf[[group, "block", "page", "t", "ids", "texts"]].itertuples(index=False)
+                for i, q in zip(ids, texts)
+            ]
+            yield pd.DataFrame(rows, columns=[group, "block", "quote_id", "page", "score"])
+
+    return asked.join(pages, [group, "page"]).mapInPandas(run, f"{kinds}, score double")
+
+
+def ground_quotes(quotes: DataFrame, pages: DataFrame, group: str, cited: str | None = None, least: float = 85.0, block: int = 500) -> DataFrame:
+    """(quote_id, page, score): the page of the quote's group on which it is found, as far as one scores ``least``; of several the
+    best, ties by page. ``cited`` names a column of pages that quotes say they are from: that page is scored whatever comes
+    out and stays if it scores ``least``, or if no other page does. A quote without words, and one that no page reaches, has
+    a null page and score 0, or its cited page's score.
+
+    Both sides are brought into normal form once; a page meets the quotes of its group in blocks. First runs of three
+    characters are counted for all; then each quote is scored on its cited page and the one that shares most, and only
+    after that on those others that share as many as it takes to do as well (``may_reach``). Nothing is left out by that.
     """
-    each = names.select(name).distinct().select(name, F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
-    score = each.withColumn("score", F.round(_names_match(F.col(name), F.col("target")), 3))
-    w = Window.partitionBy(name).orderBy(F.desc("score"), "target")
-    return score.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) & (F.col("score") >= least)).drop("__n")
-
-
-def ground_quotes(quotes: DataFrame, pages: DataFrame, group: str) -> DataFrame:
-    """(quote_id, page, score): the page of the quote's group on which it is best found, ties by page.
-
-    Quotes that a page contains are settled inside the JVM; only the others are scored.
-    """
-    joined = quotes.join(pages, group)
-    inside = F.contains(F.lower("text"), F.lower("quote"))
-    exact = joined.where(inside).groupBy("quote_id").agg(F.min("page").alias("page")).withColumn("score", F.lit(100.0))
-    rest = joined.join(exact.select("quote_id"), "quote_id", "left_anti")
-    score = rest.select("quote_id", "page", F.round(_quote_score("quote", "text"), 3).alias("score"))
-    best = score.groupBy("quote_id").agg(F.min_by(F.struct("page", "score"), F.struct(-F.col("score"), "page")).alias("b"))
-    return exact.unionByName(best.select("quote_id", "b.page", "b.score"))
+    page_kind = pages.schema["page"].dataType.simpleString()
+    kinds = f"`{group}` {pages.schema[group].dataType.simpleString()}, block int, quote_id {quotes.schema['quote_id'].dataType.simpleString()}, page {page_kind}"
+    own = F.lit(None).cast(page_kind) if cited is None else F.col(cited).cast(page_kind)
+    with Scratch(quotes.sparkSession) as kept:
+        n = quotes.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        part = F.pmod(F.xxhash64("quote_id"), F.col("blocks")).cast("int").alias("block")
+        q = quotes.select(group, "quote_id", _normal("quote").alias("q"), own.alias("own")).where("q <> ''")
+        q = kept.keep(q.join(n, group).select(group, "quote_id", "q", "own", part))
+        p = kept.keep(pages.where("text is not null").select(group, "page", _normal("text").alias("t")).where("t <> ''"))
+        entry = F.struct("quote_id", "q", "own")
+        blocks = q.groupBy(group, "block").agg(F.collect_list(entry).alias("e"))
+        blocks = blocks.select(group, "block", F.col("e.quote_id").alias("ids"), F.col("e.q").alias("texts"), F.col("e.own").alias("owns"))
+        met = kept.keep(_shared(p, blocks, group, kinds))
+        # the page with the quote, or most of it, and the cited page where that has not all of it
+        top = met.groupBy("quote_id").agg(F.min_by(F.struct("page", "inside"), F.struct(~F.col("inside"), -F.col("shared"), "page")).alias("top"))
+        top = kept.keep(top.select("quote_id", F.col("top.page").alias("first"), F.col("top.inside").alias("sure")))
+        named = met.join(top, "quote_id")
+        found = named.where("inside and (mine or page = first)").select("quote_id", "page", F.lit(100.0).alias("score"), "mine")
+        pair = [group, "block", "quote_id", "page"]
+        first = kept.keep(_scores(named.where("not inside and (mine or page = first)").select(*pair), p, q, group, kinds))
+        tried = kept.keep(found.unionByName(first.join(met.select("quote_id", "page", "mine"), ["quote_id", "page"]).select("quote_id", "page", "score", "mine")))
+        # what another page must score to count: nothing does if the cited page will do, or a page has the whole quote
+        state = tried.groupBy("quote_id").agg(F.max("score").alias("best"), F.max(F.when(F.col("mine"), F.col("score"))).alias("mine_score"))
+        open_ = state.where((F.col("best") < 100) & (F.coalesce("mine_score", F.lit(0.0)) < least)).select("quote_id", F.greatest(F.lit(least), F.col("best") - 0.001).alias("to"))
+        r = F.col("to") / 100
+        lost = F.floor(5 * (1 - r) * F.col("n") + F.greatest(F.lit(0.0), 2.5 * r - 2) * F.col("n") * (1 - r) / (1 - r / 2) + 1e-9)
+        reach = F.col("short") | (F.col("shared") >= F.col("n") - 2 - lost)
+        others = named.join(open_, "quote_id").where(reach & ~F.col("mine") & (F.col("page") != F.col("first"))).select(*pair)
+        more = _scores(others, p, q, group, kinds).select("quote_id", "page", "score", F.lit(False).alias("mine"))
+        every = tried.unionByName(more).where(F.col("mine") | (F.col("score") >= least))
+        # a cited page that will do, then pages that do by score, then a cited one that won't
+        rank = F.when(F.col("mine") & (F.col("score") >= least), 0).when(F.col("score") >= least, 1).otherwise(2)
+        best = every.groupBy("quote_id").agg(F.min_by(F.struct("page", "score"), F.struct(rank, -F.col("score"), "page")).alias("b"))
+        out = quotes.select("quote_id").join(best, "quote_id", "left").select("quote_id", "b.page", F.coalesce("b.score", F.lit(0.0)).alias("score"))
+        return checkpointed(out)
 
 
 #: What a verifier's verdict leaves of a quote's score.
@@ -202,8 +243,3 @@ def assemble_plan(rows: DataFrame) -> DataFrame:
     c = rows.groupBy("plan_id", "category_name").agg(F.sort_array(F.collect_list(benefit)).alias("benefits"))
     category = F.struct(F.col("category_name").alias("name"), "benefits")
     return c.groupBy("plan_id").agg(F.sort_array(F.collect_list(category)).alias("categories"))
-
-
-def iterate(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    for pdf in frames:
-        yield from pdf.to_dict("records")

@@ -395,6 +395,49 @@ RULES = fold.PlanRules(
 )
 
 
+STATE_RULES = fold.PlanRules(
+    benefits={
+        i: fold.Benefit(
+            coverage=fold.Coverage("percent", percent=80.0), limits=(fold.Limit(LIMIT_CENTS, _YEAR),), pool=f"P{i // 5}" if i < 10 else None,
+            frequency=fold.Limit(60, fold.Period("consecutive_benefit_years", years=2), unit="services", scope="per_family") if i % 3 == 0 else None,
+        )
+        for i in range(BENEFITS)
+    },
+    pools={p: fold.Limit(POOL_CENTS, _YEAR, scope="per_family") for p in ("P0", "P1")},
+    effective=date(1994, 4, 30),
+)
+
+
+def ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every family's ledger under limits of persons, pools of families and services in two years, which act on one another."""
+    c = claims(spark, sf_dir).withColumns({"family_id": div(F.col("member_id"), 4), "paid_cents": F.lit(None).cast("bigint")})
+    out = fold.replay_families(claim_lines(spark, sf_dir, numbered=True).join(c, "claim_id"), STATE_RULES)
+    return out.select("claim_id", "line_id", "paid_cents", "limited_by")
+
+
+# a line of each family a round; what is used of each rule and window is a list with a place for each
+LEDGER_STATE_SQL = f"""WITH RECURSIVE {CLAIMS_SQL}, {LINES_SQL},
+f AS (SELECT claim_id, min(service_date) AS first FROM lines GROUP BY 1),
+o AS (SELECT member_id // 4 AS fam, claim_id, line_id, benefit_id, charged_cents AS charged, charged_cents - least(charged_cents, other_cents) AS balance, quantity, service_date >= DATE '1994-04-30' AS on_plan,
+  row_number() OVER (PARTITION BY member_id // 4 ORDER BY first, created, claim_id, service_date, line_id) AS i,
+  dense_rank() OVER (PARTITION BY member_id // 4 ORDER BY member_id, benefit_id, year(service_date)) AS kl,
+  dense_rank() OVER (PARTITION BY member_id // 4 ORDER BY least(benefit_id // 5, 2), year(service_date)) AS kp,
+  dense_rank() OVER (PARTITION BY member_id // 4 ORDER BY benefit_id, CAST(floor((year(service_date) - 1994) / 2.0) AS BIGINT)) AS kf
+  FROM lines JOIN claims USING (claim_id) JOIN f USING (claim_id)),
+r AS (SELECT fam, CAST(0 AS BIGINT) AS i, list_transform(range(max(kl)), lambda x: CAST(0 AS BIGINT)) AS l, list_transform(range(max(kp)), lambda x: CAST(0 AS BIGINT)) AS p,
+    list_transform(range(max(kf)), lambda x: CAST(0 AS BIGINT)) AS s, CAST(NULL AS BIGINT) AS claim_id, CAST(NULL AS BIGINT) AS line_id, CAST(NULL AS BIGINT) AS pays, CAST(NULL AS VARCHAR) AS why FROM o GROUP BY fam
+  UNION ALL SELECT fam, i, l[:kl - 1] || [l[kl] + pays] || l[kl + 1:], p[:kp - 1] || [p[kp] + pays] || p[kp + 1:], s[:kf - 1] || [s[kf] + CASE WHEN pays > 0 THEN greatest(1, quantity) ELSE 0 END] || s[kf + 1:],
+    claim_id, line_id, pays, why FROM (
+  SELECT *, CASE WHEN NOT on_plan THEN 0 WHEN benefit_id < 10 AND greatest(0, {POOL_CENTS} - p[kp]) < c THEN greatest(0, {POOL_CENTS} - p[kp]) ELSE c END AS pays,
+    CASE WHEN NOT on_plan THEN 'not_covered' WHEN benefit_id < 10 AND greatest(0, {POOL_CENTS} - p[kp]) < c THEN 'pool' WHEN c = charged THEN NULL ELSE wc END AS why FROM (
+  SELECT *, least(b, greatest(0, {LIMIT_CENTS} - l[kl])) AS c, CASE WHEN greatest(0, {LIMIT_CENTS} - l[kl]) < b THEN 'limit' ELSE wb END AS wc FROM (
+  SELECT *, least(a, t) AS b, CASE WHEN t < a THEN 'frequency' ELSE wa END AS wb FROM (
+  SELECT *, CASE WHEN benefit_id % 3 > 0 THEN a WHEN s[kf] >= 60 THEN 0 WHEN quantity > 60 - s[kf] THEN (2 * a * (60 - s[kf]) + quantity) // (2 * quantity) ELSE a END AS t FROM (
+  SELECT r.l, r.p, r.s, o.*, least((2 * charged * 80 + 100) // 200, balance) AS a, CASE WHEN balance < charged AND balance < (2 * charged * 80 + 100) // 200 THEN 'other_plan' WHEN charged > (2 * charged * 80 + 100) // 200 THEN 'coverage' END AS wa
+  FROM r JOIN o ON o.fam = r.fam AND o.i = r.i + 1))))))
+SELECT claim_id, line_id, pays AS paid_cents, why AS limited_by FROM r WHERE i > 0"""
+
+
 def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole estimator over every family of four members, with recorded outcomes of decided claims."""
     c = claims(spark, sf_dir).withColumn("family_id", div(F.col("member_id"), 4))
@@ -419,4 +462,5 @@ QUERIES = {
     "claim_kpis": (claim_kpis, CLAIM_KPIS_SQL),
     "recent_claims": (recent_claims, RECENT_CLAIMS_SQL),
     "ledger_replay": (ledger_replay, None),
+    "ledger_state": (ledger_state, LEDGER_STATE_SQL),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..functions import text as X
-from ..operators import assembly, evals, ingest, search
+from ..operators import assembly, evals, ingest, search, suppression
 from ..sources.adapter import table
 
 CATEGORY_TAGS = {"english": ["the ", " of "], "german": ["und ", " der "], "spanish": [" que", " los "], "french": [" les ", " une "], "licence": ["license", "reserved"]}
@@ -30,7 +30,7 @@ def fuzzy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts, written in three ways, within their brand and kind: what a page and an identity are to a row."""
     way = F.element_at(F.array(F.col("p_name"), F.concat(F.upper("p_name"), F.lit("s")), F.concat(F.lit("the "), F.col("p_name"), F.lit(" with all that goes with it"))), (F.col("p_partkey") % 3 + 1).cast("int"))
     p = table(spark, sf_dir, "part").withColumns({"quote": way, "confidence": (F.col("p_size") % 100) / 100})
-    return assembly.fuzzy_dedupe(p, ["p_brand", "p_type"], "p_partkey", "quote", "confidence")
+    return suppression.fuzzy_dedupe(p, ["p_brand", "p_type"], "p_partkey", "quote", "confidence")
 
 
 BENEFIT_NAMES = ["small rings", "red widgets", "large bolt", "Massage therapy", "green gear assembly", "Blue valve", "heavy chain", "Dental"]
@@ -40,18 +40,38 @@ def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.link_names(table(spark, sf_dir, "part"), "p_name", BENEFIT_NAMES, 70.0)
 
 
-def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document's lines stand among the document's own pages of ten lines; in every third one a letter is
-    misread, so that it has to be scored."""
+def _pages_of_ten(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of documents (doc_id, n, line), and the documents' pages of ten lines."""
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    w = Window.partitionBy("doc_id", "page").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = lines.withColumn("page", F.floor(F.col("n") / 10).cast("int"))
-    text = F.array_join(F.collect_list("line").over(w), "\n")
-    pages = numbered.withColumn("text", text).groupBy("doc_id", "page").agg(F.first("text").alias("text"))
+    entry = F.struct("n", "line")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["line"]), "\n")
+    return lines, lines.groupBy("doc_id", F.floor(F.col("n") / 10).cast("int").alias("page")).agg(text.alias("text"))
+
+
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's lines stand among the document's own pages of ten lines, each said to be from the page before its
+    own; in every third one letters are misread, so that it has to be scored."""
+    lines, pages = _pages_of_ten(spark, sf_dir)
     misread = F.concat(F.substring("line", 1, 5), F.lit("~"), F.substring("line", 7, 1 << 30))
     quote = F.when((F.col("n") % 3 == 1) & (F.length("line") > 6), misread).otherwise(F.col("line"))
-    quotes = lines.where("trim(line) <> ''").select("doc_id", F.concat_ws("-", "doc_id", "n").alias("quote_id"), quote.alias("quote"))
-    return assembly.ground_quotes(quotes, pages, "doc_id")
+    said = F.greatest(F.floor(F.col("n") / 10).cast("int") - 1, F.lit(0)).alias("said")
+    quotes = lines.where("trim(line) <> ''").select("doc_id", F.concat_ws("-", "doc_id", "n").alias("quote_id"), quote.alias("quote"), said)
+    return assembly.ground_quotes(quotes, pages, "doc_id", "said")
+
+
+def quotes_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lines that are printed right stand: on the first page that holds them in normal form, with a score of 100."""
+    lines, pages = _pages_of_ten(spark, sf_dir)
+    quotes = lines.select("doc_id", F.concat_ws("-", "doc_id", "n").alias("quote_id"), F.concat(F.lit("**"), F.replace("line", F.lit("-"), F.lit("–")), F.lit("`  ")).alias("quote"))
+    return assembly.ground_quotes(quotes, pages, "doc_id", least=100.0).fillna(-1, ["page"])
+
+
+_NORMAL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(translate({0}, '‘’“”–—' || chr(160), '''''""-- '), '<[^>]+>', ' ', 'g'), '[|*#`>~]+', ' ', 'g'), '\s+', ' ', 'g')))"
+CONTAINED_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+p AS (SELECT doc_id, n // 10 AS page, {_NORMAL.format("string_agg(line, chr(10) ORDER BY n)")} AS t FROM l GROUP BY 1, 2),
+q AS (SELECT doc_id, doc_id || '-' || n AS quote_id, {_NORMAL.format("line")} AS q FROM l),
+b AS (SELECT quote_id, min(page) AS page FROM q JOIN p USING (doc_id) WHERE q <> '' AND contains(t, q) GROUP BY 1)
+SELECT quote_id, CAST(coalesce(page, -1) AS INTEGER) AS page, CASE WHEN page IS NULL THEN 0.0 ELSE 100.0 END::DOUBLE AS score FROM q LEFT JOIN b USING (quote_id)"""
 
 
 def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,6 +417,7 @@ QUERIES = {
     "fuzzy_dedupe": (fuzzy_dedupe, None),
     "entity_link": (entity_link, None),
     "quote_grounding": (quote_grounding, None),
+    "quotes_contained": (quotes_contained, CONTAINED_SQL),
     "page_windows": (page_windows, PAGE_WINDOWS_SQL),
     "uncovered_pages": (uncovered_pages, UNCOVERED_SQL),
     "normalized_text": (normalized_text, NORMALIZED_SQL),
