@@ -79,11 +79,12 @@ def stem(word: str) -> str:
     return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) - len(s) >= 4), word)
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit vectors."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
+def _lcs(a: str, b: str, masks: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit vectors; ``masks`` are the places of a's characters."""
+    if masks is None:
+        masks = {}
+        for i, c in enumerate(a):
+            masks[c] = masks.get(c, 0) | 1 << i
     row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
     for c in b:
         common = row & masks.get(c, 0)
@@ -129,11 +130,39 @@ def _lcs_at(masks: np.ndarray, of: np.ndarray, starts: np.ndarray, n: int) -> np
     return 64 * words - np.bitwise_count(row).sum(axis=0, dtype=np.int64)
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a part of the longer one that is as long, or shorter at an end of it.
+def _lcs_of(short: str, masks: np.ndarray, of: np.ndarray, starts: np.ndarray, long: str) -> np.ndarray:
+    """Common sequences with some windows: one after the other as whole numbers if they are few or very long, else all at once."""
+    n = len(short)
+    if len(starts) >= 48 and n <= 2048:
+        return _lcs_at(masks, of, starts, n)
+    held: dict[str, int] = {}
+    for i, c in enumerate(short):
+        held[c] = held.get(c, 0) | 1 << i
+    return np.array([_lcs(short, long[max(0, s - n + 1) : s + 1], held) for s in starts.tolist()], np.int64)
+
+
+def _shared_counts(of: np.ndarray, wanted: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` of the numbers ``of``, how many of ``wanted`` it has, each as often as it is wanted."""
+    out = np.zeros(len(of) - width + 1, np.int64)
+    for number, times in zip(*np.unique(wanted, return_counts=True)):
+        at = np.flatnonzero(of == number)
+        if len(at) > 1:
+            seen = np.zeros(len(of) + 1, np.int32)
+            seen[at + 1] = 1
+            np.cumsum(seen, out=seen)
+            out += np.minimum(seen[width:] - seen[:-width], times)
+        elif len(at):
+            out[max(0, at[0] - width + 1) : at[0] + 1] += 1
+    return out
+
+
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """The best ratio of the shorter text with a part of the longer one that is as long, or shorter at an end of it; 0 if none is
+    above ``floor``.
 
-    Exact: of every part the characters that it shares with the shorter text, whatever their order, bound its ratio; parts
-    are compared from the highest bound down, until none can be better.
+    Exact: two things bound a part's ratio. The common sequence is at most what it shares with the shorter text whatever the
+    order; and a character that is left out or put in changes three pairs of neighbours, and five runs of three, at most. And
+    parts one place apart differ by one at most in what they have in common, so that some, spread out, bound those between.
     """
     short, long = sorted((a, b), key=len)
     if not short:
@@ -146,25 +175,36 @@ def partial_ratio(a: str, b: str) -> float:
     of[n - 1 : n - 1 + m] = [number.get(c, 0) for c in long]
     starts = np.arange(m + n - 1)
     lengths = np.minimum(n, np.minimum(starts + 1, m + n - 1 - starts))
-    shared = np.zeros(len(starts), np.int64)
-    for c, i in number.items():
-        seen = np.concatenate([[0], np.cumsum(of == i)])
-        shared += np.minimum(seen[n:] - seen[:-n], short.count(c))
-    bound = 200.0 * shared / (n + lengths)
+    own = np.array([number[c] for c in short], np.int64)
+    bound = 200.0 * _shared_counts(of, own, n) / (n + lengths)
+    left, mine = of, own
+    for size in (2, 3):
+        # runs of two and three characters as numbers; those with a character that the shorter text hasn't are in none of it
+        if n >= size and (bound > floor).any():
+            left = left[:-1] * (len(number) + 1) + of[size - 1 :]
+            mine = mine[:-1] * (len(number) + 1) + own[size - 1 :]
+            both = _shared_counts(left, mine, n - size + 1)
+            apart = np.maximum((n - size + 1) + np.maximum(lengths - size + 1, 0) - 2 * both, 0)
+            bound = np.minimum(bound, 100.0 * (n + lengths - np.ceil(apart / (2 * size - 1))) / (n + lengths))
     masks = np.zeros((len(number) + 1, -(-n // 64)), np.uint64)
-    for k, c in enumerate(short):
-        masks[number[c], k // 64] |= np.uint64(1 << (k % 64))
+    np.bitwise_or.at(masks, (own, np.arange(n) // 64), np.uint64(1) << (np.arange(n) % 64).astype(np.uint64))
     guess = np.array(sorted({min(max(0, d + n - 1 + e), m + n - 2) for d in _guess(short, long) for e in (-2, -1, 0, 1, 2)}), np.int64)
-    best, done, size = 0.0, np.zeros(len(starts), bool), 64
-    order = np.argsort(-bound, kind="stable")
+    most = np.floor(bound * (n + lengths) / 200.0 + 1e-6).astype(np.int64)
+    done = np.zeros(len(starts), bool)
+    batch = np.array(sorted({min(max(0, d + n - 1 + e), m + n - 2) for d in _guess(short, long) for e in (-1, 0, 1)}), np.int64)
+    found, spread = 0.0, n // 16
     while True:
-        if len(guess):
-            best = max(best, float((200.0 * _lcs_at(masks, of, guess, n) / (n + lengths[guess])).max()))
-            done[guess] = True
-        order = order[(bound[order] > best) & ~done[order]]
-        if not len(order):
-            return best
-        guess, size = order[:size], min(4096, 4 * size)
+        if len(batch):
+            common = _lcs_of(short, masks, of, batch, long)
+            found = max(found, float((200.0 * common / (n + lengths[batch])).max()))
+            most[batch], done[batch] = common, True
+            # from one part to the next a common sequence grows by one at most, either way
+            most = np.minimum.accumulate(most - starts) + starts
+            most = np.minimum.accumulate((most + starts)[::-1])[::-1] - starts
+        left = np.flatnonzero(~done & (200.0 * most / (n + lengths) > max(found, floor)))
+        if not len(left):
+            return found if found > floor else 0.0
+        batch, spread = left[:: max(1, min(spread, len(left) // 16))], spread // 2
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -192,9 +232,9 @@ def names_match(a: str | None, b: str | None) -> float:
     return max(token_sort_ratio(x, y), token_set_ratio(x, y) - 5, token_sort_ratio(sx, sy))
 
 
-def normal_score(quote: str, page: str) -> float:
-    """100 if the page has the quote, else the best ratio with a part of it; both in normal form."""
-    return 0.0 if not quote or not page else 100.0 if quote in page else partial_ratio(quote, page)
+def normal_score(quote: str, page: str, floor: float = 0.0) -> float:
+    """100 if the page has the quote, else the best ratio with a part of it, 0 if none is above ``floor``; both in normal form."""
+    return 0.0 if not quote or not page else 100.0 if quote in page else partial_ratio(quote, page, floor)
 
 
 def quote_score(quote: str | None, page: str | None) -> float:

@@ -56,15 +56,16 @@ def _shared(pages: DataFrame, blocks: DataFrame, group: str, kinds: str) -> Data
 
 
 def _scores(pairs: DataFrame, pages: DataFrame, quotes: DataFrame, group: str, kinds: str) -> DataFrame:
-    """``pairs`` (group, block, quote_id, page) with their score; a page's text goes once to each block of its quotes."""
-    asked = pairs.join(quotes.select("quote_id", "q"), "quote_id").groupBy(group, "block", "page").agg(F.collect_list("quote_id").alias("ids"), F.collect_list("q").alias("texts"))
+    """``pairs`` (group, block, quote_id, page, floor) with their score, 0 if it is not above the floor; a page's text goes once
+    to each block of its quotes."""
+    asked = pairs.join(quotes.select("quote_id", "q"), "quote_id").groupBy(group, "block", "page").agg(F.collect_list("quote_id").alias("ids"), F.collect_list("q").alias("texts"), F.collect_list("floor").alias("floors"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [
-                (g, block, i, page, round(normal_score(q, text), 3))
-                for g, block, page, text, ids, texts in pdf[[group, "block", "page", "t", "ids", "texts"]].itertuples(index=False)
-                for i, q in zip(ids, texts)
+                (g, block, i, page, round(normal_score(q, text, floor), 3))
+                for g, block, page, text, ids, texts, floors in pdf[[group, "block", "page", "t", "ids", "texts", "floors"]].itertuples(index=False)
+                for i, q, floor in zip(ids, texts, floors)
             ]
             yield pd.DataFrame(rows, columns=[group, "block", "quote_id", "page", "score"])
 
@@ -79,7 +80,8 @@ def ground_quotes(quotes: DataFrame, pages: DataFrame, group: str, cited: str |
 
     Both sides are brought into normal form once; a page meets the quotes of its group in blocks. First runs of three
     characters are counted for all; then each quote is scored on its cited page and the one that shares most, and only
-    after that on those others that share as many as it takes to do as well (``may_reach``). Nothing is left out by that.
+    after that on those others that share as many as it takes to do as well (``may_reach``), each as far as it takes to know
+    whether it does. Nothing is left out by that.
     """
     page_kind = pages.schema["page"].dataType.simpleString()
     kinds = f"`{group}` {pages.schema[group].dataType.simpleString()}, block int, quote_id {quotes.schema['quote_id'].dataType.simpleString()}, page {page_kind}"
@@ -100,20 +102,23 @@ def ground_quotes(quotes: DataFrame, pages: DataFrame, group: str, cited: str |
         named = met.join(top, "quote_id")
         found = named.where("inside and (mine or page = first)").select("quote_id", "page", F.lit(100.0).alias("score"), "mine")
         pair = [group, "block", "quote_id", "page"]
-        first = kept.keep(_scores(named.where("not inside and (mine or page = first)").select(*pair), p, q, group, kinds))
+        low = F.lit(least - 0.001).alias("floor")  # scores are rounded
+        first = kept.keep(_scores(named.where("not inside and (mine or page = first)").select(*pair, low), p, q, group, kinds))
         tried = kept.keep(found.unionByName(first.join(met.select("quote_id", "page", "mine"), ["quote_id", "page"]).select("quote_id", "page", "score", "mine")))
         # what another page must score to count: nothing does if the cited page will do, or a page has the whole quote
         state = tried.groupBy("quote_id").agg(F.max("score").alias("best"), F.max(F.when(F.col("mine"), F.col("score"))).alias("mine_score"))
-        open_ = state.where((F.col("best") < 100) & (F.coalesce("mine_score", F.lit(0.0)) < least)).select("quote_id", F.greatest(F.lit(least), F.col("best") - 0.001).alias("to"))
-        r = F.col("to") / 100
+        open_ = state.where((F.col("best") < 100) & (F.coalesce("mine_score", F.lit(0.0)) < least)).select("quote_id", (F.greatest(F.lit(least), F.col("best")) - 0.001).alias("floor"))
+        r = F.col("floor") / 100
         lost = F.floor(5 * (1 - r) * F.col("n") + F.greatest(F.lit(0.0), 2.5 * r - 2) * F.col("n") * (1 - r) / (1 - r / 2) + 1e-9)
         reach = F.col("short") | (F.col("shared") >= F.col("n") - 2 - lost)
-        others = named.join(open_, "quote_id").where(reach & ~F.col("mine") & (F.col("page") != F.col("first"))).select(*pair)
+        others = named.join(open_, "quote_id").where(reach & ~F.col("mine") & (F.col("page") != F.col("first"))).select(*pair, "floor")
         more = _scores(others, p, q, group, kinds).select("quote_id", "page", "score", F.lit(False).alias("mine"))
-        every = tried.unionByName(more).where(F.col("mine") | (F.col("score") >= least))
-        # a cited page that will do, then pages that do by score, then a cited one that won't
-        rank = F.when(F.col("mine") & (F.col("score") >= least), 0).when(F.col("score") >= least, 1).otherwise(2)
-        best = every.groupBy("quote_id").agg(F.min_by(F.struct("page", "score"), F.struct(rank, -F.col("score"), "page")).alias("b"))
+        done = kept.keep(tried.unionByName(more).where(F.col("score") >= least))
+        # quotes that no page has keep their cited page with what it scores
+        none = named.where("mine").join(done.select("quote_id").distinct(), "quote_id", "left_anti").select(*pair, F.lit(0.0).alias("floor"))
+        rest = _scores(none, p, q, group, kinds).select("quote_id", "page", "score", F.lit(True).alias("mine"))
+        # the cited page if it will do, else the best
+        best = done.unionByName(rest).groupBy("quote_id").agg(F.min_by(F.struct("page", "score"), F.struct(~F.col("mine"), -F.col("score"), "page")).alias("b"))
         out = quotes.select("quote_id").join(best, "quote_id", "left").select("quote_id", "b.page", F.coalesce("b.score", F.lit(0.0)).alias("score"))
         return checkpointed(out)
 
