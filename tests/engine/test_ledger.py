@@ -1,5 +1,6 @@
 """The fold's rules, its invariants, and its equality with the window forms."""
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -189,3 +190,58 @@ def test_bridges(spark):
     pools = spark.createDataFrame([("x", 0, [1, 2]), ("y", 1, [2, 3])], "pool_id string, place int, benefit_ids array<bigint>")
     benefits = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "gone"), (5, None)], "benefit_id bigint, pool_id string")
     assert sorted(tuple(r) for r in L.pool_members(pools, benefits).collect()) == [("x", 1), ("x", 2), ("x", 3)]
+
+
+def long_family(lines, seed=5):
+    """A family's claims in order, one at a time: a plan with rolling windows, years and a lifetime."""
+    r = random.Random(seed)
+    day = date(1990, 1, 1)
+    for i in range(lines // 2):
+        day += timedelta(i % 7 == 0)
+        status = r.choice(["submitted", "paid"])
+        own = [{"id": k, "benefit": k % 2, "day": day + timedelta(k * r.randint(0, 40)), "charged": r.randint(0, 9_000), "quantity": 1} for k in (0, 1)]
+        yield {"id": i, "member": r.choice("mnop"), "status": status, "created": i, "paid": r.choice([None, 5_000]) if status == "paid" else None, "lines": own}
+
+
+LONG_PLAN = fold.PlanRules(
+    {
+        0: fold.Benefit(fold.Coverage("percent", 80.0), (fold.Limit(30_000, YEAR), fold.Limit(20, fold.Period("rolling_months", months=3), "visits")), pool="p"),
+        1: fold.Benefit(fold.Coverage("percent", 50.0), (fold.Limit(9_000_000, fold.Period("lifetime"), scope="per_family"),), pool="p"),
+    },
+    {"p": fold.Limit(90_000, YEAR, scope="per_family")},
+)
+
+
+def test_ledger_lets_go_of_what_is_over():
+    """Claims in a stream give what the whole family gives, and what is held doesn't grow with them."""
+    some = list(long_family(4_000))
+    ledger = fold.Ledger(LONG_PLAN, listed=False)
+    got = [(e.claim, e.line, e.paid, e.limited_by) for own in fold.replay_sorted(ledger, iter(some)) for e in own]
+    assert got == [(e.claim, e.line, e.paid, e.limited_by) for e in fold.replay(LONG_PLAN, some).entries]
+    most = 0
+    ledger = fold.Ledger(LONG_PLAN, listed=False)
+    for _ in fold.replay_sorted(ledger, long_family(40_000)):
+        most = max(most, len(ledger.totals) + sum(map(len, ledger.of_benefit.values())))
+    assert ledger.entries == [] and most < 8_000
+
+
+def test_families_in_a_stream(spark):
+    """Families of all sizes, with drafts, benefits out of the plan and recorded outcomes, as by the fold of each."""
+    r = random.Random(9)
+    rows, families = [], {}
+    for cid in range(400):
+        fam = r.choice([1, 1, 1, 2, 3, 4])
+        c = {"id": cid, "member": fam * 10 + r.randrange(3), "status": r.choice(["submitted", "paid", "partially_paid", "draft"]), "created": date(2024, 1, r.randint(1, 28)), "paid": None, "lines": []}
+        if c["status"] != "submitted" and r.random() < 0.6:
+            c["paid"] = r.randrange(9_000)
+        for k in range(r.randint(1, 4)):
+            line = {"id": k, "benefit": r.randrange(3), "day": date(2024, 1, 1) + timedelta(r.randrange(500)), "charged": r.randrange(9_000), "other": r.randrange(900), "quantity": r.randint(0, 3)}
+            c["lines"].append(line)
+            rows.append((fam, cid, c["member"], c["status"], c["created"], c["paid"], k, line["benefit"], line["day"], line["charged"], line["other"], line["quantity"]))
+        families.setdefault(fam, []).append(c)
+    schema = "family_id bigint, claim_id bigint, member_id bigint, status string, created date, paid_cents bigint, line_id bigint, benefit_id bigint, service_date date, charged_cents bigint, other_cents bigint, quantity bigint"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    got = sorted(tuple(x) for x in fold.replay_families(df, LONG_PLAN).select("claim_id", "line_id", "member_id", "benefit_id", "paid_cents", "limited_by").collect())
+    want = sorted((e.claim, e.line, e.member, e.benefit, e.paid, e.limited_by) for cs in families.values() for e in fold.replay(LONG_PLAN, cs).entries)
+    key = lambda rows: [tuple("" if v is None else v for v in x) for x in rows]
+    assert sorted(key(got)) == sorted(key(want))
