@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import bounded
+
 
 def bins(df: DataFrame, grain: str, keys: list[str], value: Column) -> DataFrame:
     """(keys, bin, n, total): counts and sums by tumbling window."""
@@ -111,7 +113,7 @@ def budget_alerts(spend: DataFrame, budgets: DataFrame, day: Column, share: floa
     used this many percent or more."""
     per = spend.where(F.to_date("ts") == day).groupBy("namespace").agg(F.sum("amount").alias("spent"))
     used = F.round(100.0 * F.col("spent") / F.col("budget"), 1)
-    return per.join(F.broadcast(budgets), "namespace").select("namespace", "spent", "budget", used.alias("used_pct")).where(F.col("used_pct") >= share)
+    return per.join(bounded(budgets), "namespace").select("namespace", "spent", "budget", used.alias("used_pct")).where(F.col("used_pct") >= share)
 
 
 def remaining_percent(spent: Column, limit: Column) -> Column:

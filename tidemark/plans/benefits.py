@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import temporal as T
 from ..functions.money import allocate, div
 from ..operators import fold, ledger
+from ..operators.joins import bounded
 from ..sources.adapter import (
     AS_OF,
     BENEFITS,
@@ -173,7 +174,7 @@ _POOL_SQL = """pool AS (SELECT * FROM (VALUES ('P0', 0), ('P0', 1), ('P0', 2), (
 def pool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ledger.pool_members(*_dimensions(spark))
     window = T.period_window(T.Period("benefit_year", start_month=1), _D(AS_OF), the_plan())
-    entries = paid_lines(spark, sf_dir).join(F.broadcast(members), "benefit_id")  # at most a row a benefit
+    entries = paid_lines(spark, sf_dir).join(bounded(members), "benefit_id")  # at most a row a benefit
     used = ledger.scoped_sum(entries, "per_family", ["pool_id"], window)
     return used.select(
         "pool_id", F.col("owner").alias("family_id"), F.col("used").alias("used_cents"),
@@ -286,7 +287,7 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     year = T.period_window(T.Period("benefit_year", start_month=1), _D(AS_OF), the_plan())
     used = ledger.scoped_sum(paid_lines(spark, sf_dir), "per_person", ["benefit_id"], year)
-    used = used.join(F.broadcast(ledger.pool_members(*_dimensions(spark))), "benefit_id", "left")
+    used = used.join(bounded(ledger.pool_members(*_dimensions(spark))), "benefit_id", "left")
     in_pool = F.sum("used").over(Window.partitionBy("owner", "pool_id"))
     return used.select(
         F.col("owner").alias("member_id"), "benefit_id", F.col("used").alias("used_cents"),

@@ -66,7 +66,7 @@ def quotes_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.ground_quotes(quotes, pages, "doc_id", least=100.0).fillna(-1, ["page"])
 
 
-_NORMAL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(translate({0}, '‘’“”–—' || chr(160), '''''""-- '), '<[^>]+>', ' ', 'g'), '[|*#`>~]+', ' ', 'g'), '\s+', ' ', 'g')))"
+_NORMAL = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(translate({0}, '‘’“”–—' || chr(160), '''''""-- '), '<[^>]+>', ' ', 'g'), '[|*#`>~]+', ' ', 'g'), '\s+', ' ', 'g')))"""
 CONTAINED_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 p AS (SELECT doc_id, n // 10 AS page, {_NORMAL.format("string_agg(line, chr(10) ORDER BY n)")} AS t FROM l GROUP BY 1, 2),
 q AS (SELECT doc_id, doc_id || '-' || n AS quote_id, {_NORMAL.format("line")} AS q FROM l),

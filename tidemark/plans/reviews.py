@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assembly, ingest, known_values, ops, rules
+from ..operators.joins import bounded
 from ..sources.adapter import table
 
 
@@ -139,7 +140,7 @@ CITATIONS_SQL = """SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'src' || page_
 def tool_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("depth", (F.col("event_id") % 2).cast("int"))
     allowed = spark.createDataFrame([("click", 0), ("view", 0), ("view", 1)], "event_type string, depth int")
-    calls = rules.allowed_calls(e.select("event_type", "depth"), F.broadcast(allowed), ["event_type", "depth"])
+    calls = rules.allowed_calls(e.select("event_type", "depth"), bounded(allowed), ["event_type", "depth"])
     return calls.groupBy("event_type", "depth").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("n"))
 
 
@@ -232,7 +233,7 @@ def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = spark.createDataFrame([("error", 14), ("view", 20)], "tool string, most bigint")
     bad = s.select("scenario", F.when(F.col("scenario") % 3 == 0, "purchase").otherwise("nothing").alias("tool"))
     facts = s.select("scenario", (F.col("n") % 4 != 0).alias("holds"))
-    return rules.scenario_scores(need, calls, F.broadcast(caps), bad, facts)
+    return rules.scenario_scores(need, calls, bounded(caps), bad, facts)
 
 
 SCENARIO_SQL = """WITH s AS (SELECT user_id AS scenario, count(*) AS n, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'click') AS b,
