@@ -6,14 +6,34 @@ import json
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def jsonl_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, text) of the lines, from 1, that are no JSON of the schema; blank lines are none.
+
+    Files are read in splits; a line's number is its place in its split after the lines of the file's splits before, of which
+    only counts are shuffled.
+    """
+    told = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
+    bad = lines.where((F.trim("value") != "") & told["_corrupt"].isNotNull())
+    return bad.join(blocks, ["file", "block"]).select("file", (F.col("above") + F.col("id") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, fail_fast: bool = False) -> DataFrame:
-    """Rows of line-delimited JSON; ``_corrupt`` has the text of lines that can't be read, unless they are to fail."""
+    """Rows of line-delimited JSON; ``_corrupt`` has the text of lines that can't be read. If they are to fail, all lines are
+    looked at first, and the error names the first file and line."""
     if fail_fast:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        for r in jsonl_errors(spark, path, schema).orderBy("file", "line").limit(1).collect():
+            raise ValueError(f"{r.file.rsplit('/', 1)[-1]}:{r.line}: no JSON of ({schema}): {r.text[:80]}")
+        return spark.read.schema(schema).json(path)
     reader = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
     return reader.option("mode", "PERMISSIVE").json(path)
 
