@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import labels, prose, temporal
 from ..functions import text as X
+from ..functions.variants import as_texts, json_values
 from ..operators import aliases, assembly, boxes, known_values, redaction
 from ..operators.conversation import MessageFold
 from ..sources import readers
@@ -128,14 +129,11 @@ PATCHED_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'new' ELSE p
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values at paths with and without a star in documents made of parts."""
     paths = ["items.*.size", "items.0.name", "items.5.name", "tags.*", "none.*"]
-
-    def at(document: str) -> str:
-        value = json.loads(document)
-        return "|".join(",".join(map(str, prose.json_path(value, p))) for p in paths)
-
     item = lambda k: F.struct((F.col("p_size") + k).alias("size"), F.col("p_name").alias("name"))
     doc = F.to_json(F.struct(F.array(item(0), item(1)).alias("items"), F.create_map(F.lit("a"), F.col("p_brand")).alias("tags")))
-    return table(spark, sf_dir, "part").select("p_partkey", _strings(at)(doc).alias("found"))
+    p = table(spark, sf_dir, "part").select("p_partkey", doc.alias("document"))
+    found = [F.array_join(as_texts(json_values(F.col("document"), path)), ",") for path in paths]
+    return p.select("p_partkey", F.concat_ws("|", *found).alias("found"))
 
 
 PATHS_SQL = "SELECT p_partkey, p_size || ',' || (p_size + 1) || '|' || p_name || '||' || p_brand || '|' AS found FROM part"
