@@ -64,6 +64,29 @@ def test_aliases_of_groups(spark):
         raise AssertionError
 
 
+def test_alias_book(spark):
+    """Random assignments against a book kept one by one."""
+    r = random.Random(3)
+    rows = [(r.choice([1, 2]), i, f"[{r.choice('ABC')}]", r.choice(["member", "custom"]), r.choice(["Jo", " jo ", "J-O", "É", "e", "Li", "..", None])) for i in range(60)]
+    want = {}
+    for b in (1, 2):
+        values, kinds, of = {}, {}, {}
+        for _, _, token, kind, value in (x for x in rows if x[0] == b):
+            key = compact(value or "")[0]
+            if not key:
+                continue
+            kinds.setdefault(token, kind)
+            held = values.setdefault(token, [])
+            if key in of and of[key] != token:
+                values[of[key]] = [v for v in values[of[key]] if compact(v)[0] != key]
+            if all(compact(v)[0] != key for v in held):
+                held.append(value.strip())
+            of[key] = token
+        want |= {(b, t): (kinds[t], v, not v) for t, v in values.items()}
+    df = spark.createDataFrame(rows, "b int, order int, token string, kind string, value string").repartition(3)
+    assert {(x.b, x.token): (x.kind, x["values"], x.removed) for x in aliases.alias_book(df, "b").collect()} == want
+
+
 def test_damaged_tokens(spark):
     for text, want in (
         ("{NAME A) x [PHONE_B] y IMEMBER-C] but NAME B and [OTHER_A]", "[NAME_A] x [PHONE_B] y [MEMBER_C] but NAME B and [OTHER_A]"),

@@ -8,10 +8,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
-from ..functions.streams import Needles, spaced, unspaced
+from ..functions.streams import Needles, compact, spaced, unspaced
 
 #: Characters that a number may be written with, and digits that make it one.
 NUMBER, NUMBER_DIGITS = r"[0-9\s().+-]+", 6
@@ -214,3 +216,34 @@ def repair_aliases(docs: DataFrame) -> DataFrame:
             yield pdf
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id bigint, text string, tokens {spans}")
+
+
+@functools.cache
+def _keys():
+    @pandas_udf(StringType())
+    def keys(values: pd.Series) -> pd.Series:
+        known = {v: compact(v)[0] if v else "" for v in set(values)}
+        return pd.Series([known[v] for v in values], dtype="object")
+
+    return keys
+
+
+def alias_book(assignments: DataFrame, book: str) -> DataFrame:
+    """(book, token, kind, values, removed): what each token of a book stands for after all of its assignments.
+
+    ``assignments`` has ``book``, order, token, kind and value. A value, told by its letters and digits, belongs to the token it
+    was assigned to last; assigning it again to the one that has it changes nothing, and moving it takes it off the other. A
+    token's values come in the order in which they came to stay, as they were written then; its kind is that of its first
+    assignment. ``removed`` tokens had values and have none left. Values without letters or digits count for nothing.
+    """
+    rows = assignments.withColumn("__key", _keys()("value")).where("__key <> ''")
+    of = Window.partitionBy(book, "__key").orderBy("order")
+    came = F.lag("token").over(of).isNull() | (F.lag("token").over(of) != F.col("token"))
+    moves = rows.withColumn("__came", came).where("__came")
+    last = moves.groupBy(book, "__key").agg(F.max_by(F.struct("token", "order", F.trim("value").alias("value")), "order").alias("l"))
+    entry = F.struct("l.order", "l.value")
+    held = last.groupBy(book, F.col("l.token").alias("token")).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["value"]).alias("values"))
+    every = rows.groupBy(book, "token").agg(F.min_by("kind", "order").alias("kind"))
+    none = F.array().cast("array<string>")
+    out = every.join(held, [book, "token"], "left")
+    return out.select(book, "token", "kind", F.coalesce("values", none).alias("values"), F.col("values").isNull().alias("removed"))

@@ -170,6 +170,28 @@ r AS (SELECT doc_id, array_to_string(list_transform(p, lambda x: coalesce(m[lowe
 SELECT doc_id, md5(text || chr(10) || 'call ' || CASE WHEN doc_id % 100 < 10 THEN '[PHONE_' || (doc_id % 100) || ']' ELSE '(041) 655-50.1' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') END) AS hash,
   n + CASE WHEN doc_id % 100 < 10 THEN 1 ELSE 0 END AS n FROM r"""
 
+def alias_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In each conversation the first letters of its turns, written in three ways, given to three tokens in turn: values move from
+    one to another, and some tokens lose all of theirs."""
+    t, n = table(spark, sf_dir, "conversations"), F.col("turn")
+    two = F.substring("text", 1, 1)
+    value = F.when(n % 3 == 0, two).when(n % 3 == 1, F.concat(F.lit(" "), F.upper(two), F.lit("- "))).otherwise(F.concat(F.lit("("), F.lower(two), F.lit(")")))
+    token = F.concat(F.lit("[MEMBER_"), F.element_at(F.array(*map(F.lit, "ABC")), ((F.col("conv_id") + n * n) % 3 + 1).cast("int")), F.lit("]"))
+    rows = t.select("conv_id", n.alias("order"), token.alias("token"), F.when(n % 2 == 0, "member").otherwise("custom").alias("kind"), value.alias("value"))
+    out = aliases.alias_book(rows, "conv_id")
+    return out.select("conv_id", "token", "kind", F.array_join("values", "|").alias("values"), "removed")
+
+
+MOVES_SQL = r"""WITH r AS (SELECT conv_id, turn, '[MEMBER_' || ['A', 'B', 'C'][(conv_id + turn * turn) % 3 + 1] || ']' AS token, CASE WHEN turn % 2 = 0 THEN 'member' ELSE 'custom' END AS kind,
+    CASE turn % 3 WHEN 0 THEN text[1:1] WHEN 1 THEN ' ' || upper(text[1:1]) || '- ' ELSE '(' || lower(text[1:1]) || ')' END AS value FROM conversations),
+k AS (SELECT *, strip_accents(lower(regexp_replace(value, '[^\p{L}\p{N}]', '', 'g'))) AS key FROM r),
+m AS (SELECT *, lag(token) OVER (PARTITION BY conv_id, key ORDER BY turn) AS before FROM k WHERE key <> ''),
+l AS (SELECT conv_id, key, arg_max(token, turn) AS token, arg_max(trim(value), turn) AS value, max(turn) AS turn FROM m WHERE before IS NULL OR before <> token GROUP BY 1, 2),
+h AS (SELECT conv_id, token, string_agg(value, '|' ORDER BY turn) AS vs FROM l GROUP BY 1, 2)
+SELECT e.conv_id, e.token, e.kind, coalesce(vs, '') AS values, vs IS NULL AS removed
+FROM (SELECT conv_id, token, arg_min(kind, turn) AS kind FROM m GROUP BY 1, 2) e LEFT JOIN h USING (conv_id, token)"""
+
+
 #: Words of the documents, tokens put in their place as they print, and what those are.
 _DAMAGE = (
     (" the ", " {MEMBER A) ", " [MEMBER_A] "), (" la ", " PHONE_B ", " [PHONE_B] "), (" of ", " IMEMBER-CI ", " [MEMBER_C] "), (" de ", " MEMBER D ", " MEMBER D "),
@@ -398,6 +420,7 @@ QUERIES = {
     "patched_rows": (patched_rows, PATCHED_SQL),
     "json_paths": (json_paths, PATHS_SQL),
     "aliases_applied": (aliases_applied, ALIASES_SQL),
+    "alias_moves": (alias_moves, MOVES_SQL),
     "tokens_repaired": (tokens_repaired, REPAIRED_SQL),
     "known_places": (known_places, KNOWN_SQL),
     "labels_found": (labels_found, LABELS_SQL),
