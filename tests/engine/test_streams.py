@@ -1,11 +1,13 @@
 """Guards: sliding limits, caps, folds; batch and streaming give the same."""
 
 import datetime
+import hashlib
 import json
 import random
 
 import pytest
 
+from tidemark.functions.text import token_set_ratio
 from tidemark.operators import conversation, evals
 from tidemark.operators.conversation import MessageFold
 from tidemark.streaming import guards
@@ -137,3 +139,34 @@ def test_greedy_match(spark):
     assert rows[0] == ("g", 1, 7) and rows[1][:2] == ("g", 2)
     acc = {r.g: (r.correct, r.total) for r in evals.accuracy(evals.greedy_match(a, b, "g"), "g").collect()}
     assert acc == {"g": (1, 2), "h": (0, 1), "i": (0, 1)}
+
+
+def slow_match(golden, predicted, threshold):
+    """(golden id, predicted id, score), every name scored with every other of its kind."""
+    free, out = dict(sorted((i, (n, k)) for i, n, k in predicted)), []
+    for i, name, kind in sorted(golden):
+        best = max(((token_set_ratio(name, n), -j) for j, (n, k) in free.items() if k == kind), default=(-1.0, 0))
+        if best[0] >= threshold:
+            out.append((i, -best[1], best[0]))
+            del free[-best[1]]
+        else:
+            out.append((i, None, None))
+    return out + [(None, i, None) for i in free]
+
+
+def test_greedy_match_of_many(spark):
+    r = random.Random(5)
+    name = lambda: " ".join("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 3)))
+    rows = [[(i, name(), r.choice(["k", "l", None])) for i in r.sample(range(500), 150)] for _ in range(2)]
+    a, b = (spark.createDataFrame([("g", *x) for x in side], "g string, id bigint, name string, kind string") for side in rows)
+    for threshold in (50.0, 80.0, 100.0):
+        got = [(x.golden_id, x.predicted_id, x.score) for x in evals.greedy_match(a, b, "g", threshold, "kind").collect()]
+        order = lambda x: (x[0] is None, x[0] or 0, x[1] or 0)
+        assert sorted(got, key=order) == sorted(slow_match(*rows, threshold), key=order)
+
+
+def test_greedy_match_scores_few():
+    """Names without a partner are not scored with every other: 400 of 32 letters and figures against 400."""
+    names = [hashlib.md5(str(i).encode()).hexdigest() for i in range(800)]
+    known = evals._Names(names[:400])
+    assert sum(len(known.near(n, 80.0)) + len(known.sharing(n)) for n in names[400:]) < 0.05 * 400 * 400
