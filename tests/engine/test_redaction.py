@@ -222,6 +222,23 @@ def test_boxes(spark):
     assert boxes.merge_boxes(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_boxes_in_tasks_and_by_joins(spark):
+    """Groups swept in their tasks write nothing, and give what joins give; so do dense pages, nulls and odd sizes."""
+    r = random.Random(9)
+    rows = [
+        (r.randrange(3), r.choice([1, None]), r.choice(["[A]", None]), True, r.choice(["a", "b", None]), round(r.random(), 1) * 0.5, round(r.random() * 0.3, 2), r.choice([0.0, 0.03, 0.05]), r.choice([0.0, 0.01, 0.02]), r.choice([None, r.random()]))
+        for _ in range(600)
+    ] + [(9, 1, "[A]", True, "a", None, 0.1, 0.1, 0.1, 0.5), (9, 1, "[A]", True, "a", 0.1, 0.1, 0.1, -0.1, 0.5), (9, 1, "[A]", True, "a", 0.1, 0.1, 0.1, 0.1, 0.5)]
+    schema = "doc_id bigint, page bigint, token string, enabled boolean, source string, x double, y double, w double, h double, confidence double"
+    df = spark.createDataFrame(rows, schema).cache()
+    plain = lambda out: sorted(tuple("-" if v is None else f"{v:.9f}" if isinstance(v, float) else str(v) for v in x) for x in out.collect())
+    swept, joined = boxes.merge_boxes(df), boxes.merge_boxes(df, small=0)
+    assert plain(swept) == plain(joined) and len(plain(swept)) < len(rows)
+    assert sum(x.members for x in swept.collect()) == len(rows)
+    plan = boxes.merge_boxes(df.where("doc_id < 9"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_chat(spark):
     text = "Born on: 1990-01-02, on 1990-01-02; 416-555-0199, 046 454 286, 9876-543-217 AB, 2123 45670 1 a@b.co"
     assert [(k, t, text[a:b]) for k, t, a, b in redaction.chat_check(text)] == [
