@@ -245,3 +245,36 @@ def test_families_in_a_stream(spark):
     want = sorted((e.claim, e.line, e.member, e.benefit, e.paid, e.limited_by) for cs in families.values() for e in fold.replay(LONG_PLAN, cs).entries)
     key = lambda rows: [tuple("" if v is None else v for v in x) for x in rows]
     assert sorted(key(got)) == sorted(key(want))
+
+
+def test_quotes_replay_only_what_counts(spark, monkeypatch):
+    """Quotes of families by lines that count are those on the ledger of all; a plan without rules replays nothing."""
+    r = random.Random(8)
+    year = fold.Period("benefit_year", start_month=1)
+    plain = {3: fold.Benefit(fold.Coverage("percent", 80.0)), 4: fold.Benefit(fold.Coverage("percent", 50.0), waiting_months=6)}
+    bound = {
+        1: fold.Benefit(fold.Coverage("percent", 80.0), limits=(fold.Limit(9_000, year),), shares=(fold.Share("d", "deductible", 2_000, year),)),
+        2: fold.Benefit(fold.Coverage("percent", 90.0), shares=(fold.Share("d", "deductible", 2_000, year),)),
+    }
+    plan = fold.PlanRules({**plain, **bound}, effective=date(2000, 1, 1))
+    rows = []
+    for i in range(120):
+        paid = r.choice([None, r.randrange(9_000)])
+        head = (i % 7, i, i % 14, r.choice(["submitted", "paid", "draft"]), date(2000, 1, 1 + i % 28), paid)
+        rows += [(*head, n, r.randrange(1, 6), date(2000, r.randint(1, 12), 5), r.randrange(8_000), r.choice([0, 500]), 1) for n in range(r.randint(1, 3))]
+    schema = "family_id int, claim_id bigint, member_id bigint, status string, created date, paid_cents bigint, line_id bigint, benefit_id bigint, service_date date, charged_cents bigint, other_cents bigint, quantity bigint"
+    df = spark.createDataFrame(rows, schema)
+    got = sorted((x.claim_id, x.line_id, x.pays, x.member_pays, x.limited_by, x.limit_left) for x in fold.quote_families(df, plan).collect())
+    want, families = [], {}
+    for f, cid, member, status, created, paid, line, benefit, day, charged, other, quantity in rows:
+        c = families.setdefault(f, {}).setdefault(cid, {"id": cid, "member": member, "status": status, "created": created, "paid": paid, "lines": []})
+        c["lines"].append({"id": line, "benefit": benefit, "day": day, "charged": charged, "other": other, "quantity": quantity})
+    for claims in families.values():
+        for c in claims.values():
+            if c["status"] == "submitted":
+                want += [(c["id"], x["id"], q.pays, q.member_pays, q.limited_by, q.limit_left) for x, q in zip(c["lines"], fold.estimate_claim(plan, claims.values(), c))]
+    assert got == sorted(want)
+    replayed = []
+    replay = fold.replay
+    monkeypatch.setattr(fold, "replay", lambda plan, claims, *a: replayed.extend(known := list(claims)) or replay(plan, known, *a))
+    assert len(list(fold.quotes_of(fold.PlanRules(plain), list(families[0].values())))) > 0 and replayed == []
