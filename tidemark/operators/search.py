@@ -176,29 +176,45 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 40
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
-            best: list[pd.DataFrame] = []
-            for pdf in frames:
-                if not len(pdf) or not len(qid):
-                    continue
-                v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                score, vid = q @ v.T, pdf["vec_id"].to_numpy()
-                score[qid[:, None] == vid[None, :]] = -np.inf
-                # ties at the border are kept, to be settled by id
-                edge = -np.partition(-score, min(k, len(vid)) - 1, axis=1)[:, min(k, len(vid)) - 1]
-                i, j = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
-                best.append(pd.DataFrame({"query_id": qid[i], "vec_id": vid[j], "score": score[i, j]}))
-                if len(best) > 16:
-                    best = [_best(pd.concat(best), k)]
-            if best:
-                yield _best(pd.concat(best), k)
+            yield from _nearest(*shared.value, frames, k)
 
         got = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, score double")
         out = got if out is None else out.unionByName(got)
     return top_k(out, "query_id", "score", "vec_id", k)
 
 
+#: About how many scores are held at once.
+SCORES = 1 << 21
+
+
+def _nearest(qid: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """(query_id, vec_id, score): the best k of all frames for each query, of a few vectors at a time; what is under a query's
+    best k so far is let go at once."""
+    best: list[pd.DataFrame] = []
+    floor, held, step = np.full(len(qid), -np.inf), 0, max(64, SCORES // max(1, len(qid)))
+    for pdf in frames:
+        for at in range(0, len(pdf) if len(qid) else 0, step):
+            some = pdf.iloc[at : at + step]
+            v = np.stack(some["embedding"].to_numpy()).astype(np.float64)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            score, vid = q @ v.T, some["vec_id"].to_numpy()
+            score[qid[:, None] == vid[None, :]] = -np.inf
+            least = floor
+            if np.isneginf(floor).any():
+                # ties at the border are kept, to be settled by id
+                n = min(k, len(vid))
+                least = np.maximum(floor, -np.partition(-score, n - 1, axis=1)[:, n - 1])
+            i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            best.append(pd.DataFrame({"query_id": qid[i], "vec_id": vid[j], "score": score[i, j]}))
+            held += len(i)
+            if held > 4 * k * len(qid):
+                best = [_best(pd.concat(best), k)]
+                per = best[0].groupby("query_id")["score"].agg(["size", "min"]).reindex(qid)
+                floor, held = np.where(per["size"] >= k, per["min"], -np.inf), len(best[0])
+    if best:
+        yield _best(pd.concat(best), k)
+
+
 def _best(df: pd.DataFrame, k: int) -> pd.DataFrame:
     return df.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
