@@ -160,6 +160,21 @@ def _rows(doc: object, text: str | None, finder: Finder, ocr: bool) -> Iterator[
         yield doc, h.start, h.end, text[h.start : h.end], h.known.kind, h.known.token, h.part, h.known.value
 
 
+#: How many hits leave a task at once.
+AT_ONCE = 20_000
+
+
+def in_frames(found: Iterator[list[tuple]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of one text after another, as frames that are let go from ``AT_ONCE`` rows on, however many texts come at once."""
+    rows: list[tuple] = []
+    for some in found:
+        rows += some
+        if len(rows) >= AT_ONCE:
+            yield pd.DataFrame(rows, columns=names)
+            rows = []
+    yield pd.DataFrame(rows, columns=names)
+
+
 def find_known(docs: DataFrame, known: DataFrame, group: str, ocr: str | None = None, most: int = 200_000) -> DataFrame:
     """(doc_id, start, end, value, kind, token, part, known): all places in the texts of a group of what is known in it.
 
@@ -180,14 +195,16 @@ def find_known(docs: DataFrame, known: DataFrame, group: str, ocr: str | None =
 
         def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             finders: dict[object, Finder] = {}
-            for pdf in frames:
-                rows = []
-                for doc, g, text, o in pdf.itertuples(index=False):
-                    if g in shared.value:
-                        if g not in finders:
-                            finders[g] = Finder(shared.value[g])
-                        rows += _rows(doc, text, finders[g], bool(o))
-                yield pd.DataFrame(rows, columns=names)
+
+            def found() -> Iterator[list[tuple]]:
+                for pdf in frames:
+                    for doc, g, text, o in pdf.itertuples(index=False):
+                        if g in shared.value:
+                            if g not in finders:
+                                finders[g] = Finder(shared.value[g])
+                            yield _rows(doc, text, finders[g], bool(o))
+
+            yield from in_frames(found(), names)
 
         return docs.mapInPandas(look, SPANS)
     part = F.pmod(F.xxhash64("value"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.ceil(F.col("n") / 10_000))
@@ -195,11 +212,12 @@ def find_known(docs: DataFrame, known: DataFrame, group: str, ocr: str | None =
     per = counted.groupBy(group, part.alias("piece")).agg(F.collect_list(F.struct(*Known._fields)).alias("values"))
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for doc, text, o, values in zip(pdf["doc_id"], pdf["text"], pdf["ocr"], pdf["values"]):
-                rows += _rows(doc, text, Finder(Known(*(v[f] for f in Known._fields)) for v in values), bool(o))
-            yield pd.DataFrame(rows, columns=names)
+        found = (
+            _rows(doc, text, Finder(Known(*(v[f] for f in Known._fields)) for v in values), bool(o))
+            for pdf in frames
+            for doc, text, o, values in zip(pdf["doc_id"], pdf["text"], pdf["ocr"], pdf["values"])
+        )
+        yield from in_frames(found, names)
 
     return docs.join(per, group).mapInPandas(apply, SPANS)
 
