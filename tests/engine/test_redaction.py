@@ -108,6 +108,12 @@ def test_damaged_tokens(spark):
     assert none.text is None and none.tokens == []
 
 
+def test_shouted_words_may_be_tokens():
+    """Marks that may be brackets on both sides make a token of a stem and one or two letters, as in the reference; one mark doesn't."""
+    for text, want in (("LA!! DOBO!! CI", "LA![DOB_O]! CI"), ("A!! DOBOCI!! CON", "A![DOB_OC]!! CON"), ("LA, DOBO!! CI", "LA, DOBO!! CI"), ("LA!! DOBO CI", "LA!! DOBO CI")):
+        assert aliases.Repaired(text).text == want, text
+
+
 def test_ways():
     texts = lambda *k: [(w.text, w.part) for w in known_values.ways(Known(*k))]
     assert texts("Dr. Jane Q. Doe", "member", True) == [("Dr. Jane Q. Doe", False), ("Jane Doe", False), ("Doe Jane", False), ("Doe Jane Q", False), ("Jane", True), ("Doe", True)]
