@@ -135,6 +135,17 @@ def test_slices_and_stretches(monkeypatch):
     assert same >= 0.8 * every and every > 20, (same, every)
 
 
+def test_a_text_is_one_graph_whatever_its_length(monkeypatch):
+    """Repeated tokens are linked however far apart they are, and sizes of blocks change nothing."""
+    r = random.Random(8)
+    texts = [f"call 416-555-0199 {number_heavy(r, n)} again 416-555-0199" for n in (300, 2000)]
+    whole = list(pii.spans_of(texts))
+    assert sum(len(added) for _, added in whole) > 20
+    for name, size in (("STRETCH", 70), ("OVERLAP", 30), ("SLICE", 10)):
+        monkeypatch.setattr(pii, name, size)
+    assert list(pii.spans_of(texts)) == whole
+
+
 def test_number_heavy_texts_stay_in_bounds():
     """Memory is bounded by tokens, not by rows: 100 texts of 2,000 numbers, and one of 600,000."""
     script = """

@@ -14,11 +14,12 @@ import functools
 import hashlib
 import random
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import keyed_texts
@@ -249,38 +250,39 @@ def _links(token: str) -> list[str]:
 
 
 def marginals(phi: np.ndarray, src: np.ndarray, dst: np.ndarray, kind: np.ndarray, potentials: np.ndarray,
-              rounds: int = 15, damping: float = 0.5) -> np.ndarray:
-    """Label probabilities of each node, by damped loopy sum-product.
+              rounds: int = 15, damping: float = 0.5, still: float = 1e-3) -> np.ndarray:
+    """Label probabilities of each node, by damped loopy sum-product; over once no message moves by ``still``.
 
-    Edges of one kind share a table of potentials, so that a round is one small product for each kind and direction, and
-    memory is a few numbers for each edge and label.
+    Edges of one kind share a table of potentials, so that a round is a small product for each kind and direction, done for
+    ``STRETCH`` edges at once. All messages of a round are made from those of the round before.
     """
     n, labels = phi.shape
     if len(src):
         order = np.argsort(kind, kind="stable")
         src, dst, kind = src[order], dst[order], kind[order]
-        a, b, e = np.concatenate([src, dst]), np.concatenate([dst, src]), len(src)
         cuts = np.searchsorted(kind, np.arange(len(potentials) + 1))
-        tables = [(slice(d * e + cuts[k], d * e + cuts[k + 1]), np.exp(t.T if d else t)) for d in (0, 1) for k, t in enumerate(potentials)]
-        message = np.zeros((2 * e, labels))
+        parts = [(np.exp(t), slice(i, min(i + STRETCH, cuts[k + 1]))) for k, t in enumerate(potentials) for i in range(cuts[k], cuts[k + 1], STRETCH)]
+        forth, back = np.zeros((len(src), labels)), np.zeros((len(src), labels))
 
         def beliefs() -> np.ndarray:
-            return phi + np.stack([np.bincount(b, message[:, y], n) for y in range(labels)], 1)
+            return phi + np.stack([np.bincount(dst, forth[:, y], n) + np.bincount(src, back[:, y], n) for y in range(labels)], 1)
 
-        for _ in range(rounds):
-            pre = beliefs()[a]
-            pre[:e] -= message[e:]
-            pre[e:] -= message[:e]
+        def step(pre: np.ndarray, table: np.ndarray, message: np.ndarray) -> np.ndarray:
             pre -= pre.max(axis=1, keepdims=True)
-            np.exp(pre, out=pre)
-            for at, table in tables:
-                pre[at] = pre[at] @ table
-            np.log(pre, out=pre)
+            pre = np.log(np.exp(pre, out=pre) @ table)
             pre -= pre.max(axis=1, keepdims=True)
             pre -= message
-            moved = np.abs(pre).max()
-            message += (1 - damping) * pre
-            if moved < 1e-3:
+            return pre
+
+        for _ in range(rounds):
+            held, moved = beliefs(), 0.0
+            for table, at in parts:
+                there = step(held[src[at]] - back[at], table, forth[at])
+                here = step(held[dst[at]] - forth[at], table.T, back[at])
+                moved = max(moved, np.abs(there).max(), np.abs(here).max())
+                forth[at] += (1 - damping) * there
+                back[at] += (1 - damping) * here
+            if moved < still:
                 break
         phi = beliefs()
     p = np.exp(phi - phi.max(1, keepdims=True))
@@ -305,63 +307,89 @@ def _holds(kind: str, span: str, before: str, local: set[str]) -> bool:
     return 7 <= len(d) <= 15
 
 
-#: Candidate tokens whose messages are passed at once: texts are taken together up to the first, and one text's tokens in
-#: stretches of the second, which overlap by the third.
+#: Up to how many candidate tokens texts are taken together, and of how many edges messages, of how many tokens features are
+#: made at once. Results depend on none of them: a text's tokens are in one graph, whatever their number.
 SLICE, STRETCH, OVERLAP = 20_000, 100_000, 10_000
+_CARD_CUE = 22 + KINDS.index("card")
 
 
 class _Field:
-    """The graph of some texts' tokens, or of one stretch of a text."""
+    """The graph of some texts' tokens, in a few numbers a token."""
 
     def __init__(self, model: tuple, sure: float):
         self.weights, self.potentials = model
         self.sure = sure
-        self.nodes: list[tuple[int, Node]] = []
-        self.held: list[int] = []
-        self.src, self.dst, self.kind = [], [], []
-        self.before = -1
+        self.starts, self.ends, self.held = array("q"), array("q"), array("b")
+        self.fresh: list[Node] = []
+        self.phi: list[np.ndarray] = []
+        #: the words before a token, where one is for a card
+        self.cues: dict[int, str] = {}
+        self.chained = array("q")
+        self.link_of, self.links = array("q"), array("Q")
+        self.texts, self.begins = 0, True
+
+    def __len__(self) -> int:
+        return len(self.starts)
 
     def start(self) -> None:
         """A new text begins: nothing links to what came before."""
-        self.last: dict[str, int] = {}
-        self.before = -1
-
-    def add(self, text: int, node: Node, held: int) -> None:
-        i = len(self.nodes)
-        self.nodes.append((text, node))
-        self.held.append(held)
-        if self.before >= 0 and node[0] - self.nodes[self.before][1][1] <= 3:
-            self.src.append(self.before), self.dst.append(i), self.kind.append(CHAIN)
-        self.before = i
+        self.texts += 1
+        self.begins = True
+
+    def add(self, node: Node, held: int) -> None:
+        i = len(self.starts)
+        if not self.begins and node[0] - self.ends[-1] <= 3:
+            self.chained.append(i)
+        self.begins = False
+        self.starts.append(node[0]), self.ends.append(node[1]), self.held.append(held)
         for k in _links(node[2]):
-            if k in self.last:
-                self.src.append(self.last[k]), self.dst.append(i), self.kind.append(SKIP)
-            self.last[k] = i
+            self.link_of.append(i), self.links.append(xxhash.xxh64_intdigest(k, self.texts))
+        self.fresh.append(node)
+        if len(self.fresh) >= OVERLAP:
+            self._read()
+
+    def _read(self) -> None:
+        seen, base = np.stack([features(x) for x in self.fresh]), len(self.starts) - len(self.fresh)
+        self.phi.append(seen @ self.weights)
+        self.cues |= {base + int(j): self.fresh[j][3] for j in np.flatnonzero(seen[:, _CARD_CUE])}
+        self.fresh = []
 
     def labels(self) -> np.ndarray:
         """Of each node the kind it surely has, from 1; 0 for none, or where a pattern's match holds it."""
-        if not self.nodes:
+        if not self.starts:
             return np.zeros(0, np.int64)
-        blocks = range(0, len(self.nodes), 4096)
-        phi = np.concatenate([np.stack([features(x) for _, x in self.nodes[a : a + 4096]]) @ self.weights for a in blocks])
-        held = np.array(self.held)
+        if self.fresh:
+            self._read()
+        phi, self.phi = np.concatenate(self.phi), []
+        held = np.array(self.held, np.int64)
         phi[np.flatnonzero(held), held[held > 0]] += 12
-        p = marginals(phi, *(np.array(x, np.int64) for x in (self.src, self.dst, self.kind)), self.potentials)
+        chained = np.array(self.chained, np.int64)
+        # a token links to the one before it that shares a key
+        key, of = np.array(self.links, np.uint64), np.array(self.link_of, np.int64)
+        order = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[order][1:] == key[order][:-1])
+        src, dst = of[order][again], of[order][again + 1]
+        order = np.lexsort((src, dst))
+        kind = np.repeat([CHAIN, SKIP], [len(chained), len(dst)])
+        src, dst = np.concatenate([chained - 1, src[order]]), np.concatenate([chained, dst[order]])
+        # all rounds: where they ended would depend on the texts taken together
+        p = marginals(phi, src, dst, kind, self.potentials, still=0.0)
         return np.where((p.max(1) >= self.sure) & (held == 0), p.argmax(1), 0)
 
 
-def _added(text: str, nodes: list[Node], label: np.ndarray, local: set[str]) -> list[Span]:
-    """Spans of runs of neighbouring tokens of one kind."""
-    out, i = [], 0
-    while i < len(nodes):
-        start, end, _, before = nodes[i]
+def _added(text: str, field: _Field, label: np.ndarray, a: int, b: int, local: set[str]) -> list[Span]:
+    """Spans of runs of neighbouring tokens of one kind, of the field's tokens from a to b."""
+    out, i = [], a
+    while i < b:
+        start, end = field.starts[i], field.ends[i]
         j = i + 1
         if label[i]:
-            while j < len(nodes) and label[j] == label[i] and nodes[j][0] - end <= 3:
-                end = nodes[j][1]
+            while j < b and label[j] == label[i] and field.starts[j] - end <= 3:
+                end = field.ends[j]
                 j += 1
-            if _holds(KINDS[label[i] - 1], text[start:end], before, local):
-                out.append((KINDS[label[i] - 1], start, end))
+            kind = KINDS[label[i] - 1]
+            if _holds(kind, text[start:end], field.cues.get(i, ""), local):
+                out.append((kind, start, end))
         i = j
     return out
 
@@ -375,59 +403,29 @@ def _candidates(text: str, base: list[Span], local: set[str]) -> Iterator[tuple[
         yield node, KINDS.index(spans[s][2]) + 1 if s < len(spans) and spans[s][0] < node[1] else 0
 
 
-def _long(text: str, tokens: Iterator[tuple[Node, int]], local: set[str], model: tuple, sure: float) -> list[Span]:
-    """Added spans of a text of very many tokens, in overlapping stretches; a token's label is that of the stretch in
-    whose middle it lies."""
-    held: list[tuple[Node, int]] = []
-    out, done, more = [], 0, True
-    while more:
-        for x in tokens:
-            held.append(x)
-            if len(held) == STRETCH:
-                break
-        more = len(held) == STRETCH
-        field = _Field(model, sure)
-        field.start()
-        for node, k in held:
-            field.add(0, node, k)
-        stop = len(held) - (OVERLAP // 2 if more else 0)
-        out += _added(text, [x for x, _ in held[done:stop]], field.labels()[done:stop], local)
-        held, done = held[stop - OVERLAP // 2 :], OVERLAP // 2
-    return out
-
-
 def spans_of(texts: Iterable[str | None], sure: float = 0.9, model: tuple | None = None) -> Iterator[tuple[list[Span], list[Span]]]:
-    """(base spans, added spans) of each text; messages pass within a text only.
+    """(base spans, added spans) of each text; messages pass within a text only, over all of it.
 
-    What is held at once is bounded by tokens, not by texts: texts meet in one graph up to ``SLICE`` tokens. A text of over
-    ``STRETCH`` tokens is passed in overlapping stretches, over whose ends repeated tokens are not linked.
+    Texts meet in one graph up to ``SLICE`` tokens; a text of more has one of its own. A token costs a few hundred bytes.
     """
     model = model or weights()
     field, waiting = _Field(model, sure), []
 
     def flush() -> Iterator[tuple[list[Span], list[Span]]]:
         label = field.labels()
-        for text, base, added, local, a, b in waiting:
-            yield base, _added(text, [x for _, x in field.nodes[a:b]], label[a:b], local) if added is None else added
+        for text, base, local, a, b in waiting:
+            yield base, _added(text, field, label, a, b, local)
 
     for text in texts:
-        base, added, local = base_spans(text), [], set()
-        a = len(field.nodes)
+        base, local = base_spans(text), set()
+        a = len(field)
         if text and _MARK.search(text):
-            local, added = local_parts(text, base), None
-            tokens, first = _candidates(text, base, local), []
-            for x in tokens:
-                first.append(x)
-                if len(first) > STRETCH:
-                    break
-            if len(first) > STRETCH:
-                added = _long(text, chain(first, tokens), local, model, sure)
-            else:
-                field.start()
-                for node, k in first:
-                    field.add(0, node, k)
-        waiting.append((text, base, added, local, a, len(field.nodes)))
-        if len(field.nodes) >= SLICE or len(waiting) >= 1024:
+            local = local_parts(text, base)
+            field.start()
+            for node, k in _candidates(text, base, local):
+                field.add(node, k)
+        waiting.append((text, base, local, a, len(field)))
+        if len(field) >= SLICE or len(waiting) >= 1024:
             yield from flush()
             field, waiting = _Field(model, sure), []
     yield from flush()
