@@ -55,6 +55,20 @@ def test_near_copies(documents, dense):
         assert all(want[i] == want[got[i]] for i in got)
 
 
+def test_large_keys_are_exact(documents, monkeypatch):
+    """A text that is like one at the edge of a large group alone, and those mostly apart from one another, are found."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(3000)}" for _ in range(200)]
+    texts = [edited(r, base, r.choice([0, 5, 6, 7, 8])) for _ in range(60)]
+    for t in texts[:30]:
+        words = t.split()
+        texts += [edited(r, words, 3), edited(r, words, 4)]
+    monkeypatch.setattr(near_copies, "BLOCK", 1 << 13, raising=False)
+    monkeypatch.setattr(near_copies, "ROUNDS", 1)
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(documents(texts), dense=1).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_dense_group(documents):
     r = random.Random(2)
     base = [f"w{r.randrange(2000)}" for _ in range(200)]

@@ -6,7 +6,8 @@ keys, each of ``ROWS`` least hashes; two texts of similarity s share a key with
 0.8. Pairs of a key's texts are checked on their whole shingle sets. Where a key has more than ``dense`` texts, these are
 checked against one of them, then against the one most like that, and so on for ``ROUNDS``, so that pairs don't grow with
 the square of a group. Copies of one text with edits of their own are closer to those with few edits than to one another:
-each round's text lies nearer the middle of its group.
+each round's text lies nearer the middle of its group. What is not in the key's largest component by then meets all other
+texts of the key in blocks of shingle sets, so that no pair of a key is left out unless it is in one component already.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .simhash import components, links, majority, shingle_hashes
 
 BANDS = 24
 ROWS = 5
-#: Against how many of its texts, one after the other, a large key's others are checked.
+#: Against how many of its texts, one after the other, a large key's others are checked before pairs are made of what is left.
 ROUNDS = 4
+#: Bytes of shingles of texts that meet others in one block.
+BLOCK = 1 << 18
 _r = np.random.default_rng(42)
 _FLIP = _r.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _TIMES = _r.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -61,6 +64,56 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _blocks_met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of texts (l, r), as few as join what pairs of different roots and this similarity join."""
+    for b in batches:
+        for k in range(b.num_rows):
+            left, right = b.column("l")[k].as_py(), b.column("r")[k].as_py()
+            sets = [np.frombuffer(x["grams"], np.uint64) for x in left + right]
+            ends = np.cumsum([len(x) for x in sets])
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            cut_at = ends[len(left) - 1]
+            others, sizes = ids[cut_at:], np.array([len(x) for x in sets[len(left) :]])
+            starts, roots = np.cumsum(sizes) - sizes, np.array([x["root"] for x in right])
+            have, head, out = np.zeros(ids.max() + 1, bool), {}, []
+
+            def top(x: int) -> int:
+                while head.get(x, x) != x:
+                    head[x] = x = head.get(head[x], head[x])
+                return x
+
+            for i, x in enumerate(left):
+                own = ids[ends[i] - len(sets[i]) : ends[i]]
+                have[own] = True
+                both = np.add.reduceat(have[others].astype(np.int64), starts)
+                have[own] = False
+                for j in np.flatnonzero((both / (len(own) + sizes - both) >= similarity) & (roots != x["root"])):
+                    u, v = top(x["root"]), top(right[j]["root"])
+                    if u != v:
+                        head[u] = v
+                        out.append((x["node"], right[j]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+
+def _left_over(left: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the components of ``left`` (g, node, root, grams) further, within g.
+
+    Texts outside of a group's largest component meet all of the group; blocks are dealt over tasks by both of their numbers.
+    """
+    per = left.groupBy("g", "root").agg(F.count("*").alias("n"), F.sum(F.length("grams")).alias("size"))
+    per = per.groupBy("g").agg(F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("top"))
+    blocks = lambda size: F.ceil(size / BLOCK)
+    per = per.select("g", F.col("top.root").alias("main"), blocks(F.col("size")).alias("js"), blocks(F.col("size") - F.col("top.size")).alias("is")).where("is > 0")
+    rows = left.join(few(cut(per)), "g")
+    one = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    texts = F.collect_list(F.struct("node", "root", "grams"))
+    lone = rows.where("root <> main").groupBy("g", one("is").alias("i"), "js").agg(texts.alias("l")).select("g", "i", "l", every("js").alias("j"))
+    rest = rows.groupBy("g", one("js").alias("j"), "is").agg(texts.alias("r")).select("g", "j", "r", every("is").alias("i"))
+    met = lone.join(rest, ["g", "i", "j"]).select("l", "r")
+    return met.mapInArrow(lambda batches: _blocks_met(batches, similarity), "a bigint, b bigint")
+
+
 def near_copies(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dense: int = 48, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -129,19 +182,30 @@ def near_copies(
         sided = sided.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         return cut(sided.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, s double"))
 
-    edges = scored_of(pairs)
+    alike = lambda scored: scored.where(F.col("s") >= similarity).select("a", "b")
+    edges = alike(scored_of(pairs))
     # the first texts are drawn by a hash that is the same for all keys, so that keys of one group draw the same ones
     drawn = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
     pivots = cut(hot.groupBy("key").agg(drawn.alias("pivot")).withColumn("used", F.array("pivot"))) if large else None
+    groups = None if pivots is None else pivots.select("key", F.col("pivot").alias("g"))
     for _ in range(ROUNDS if large else 0):
         tried = hot.join(few(pivots), "key").where(~F.array_contains("used", F.col("node"))).select("key", "node", "pivot", "used", *_ordered("node", "pivot"))
         scored = scored_of(cut(tried.select("a", "b").distinct()))
-        edges = edges.unionByName(scored)
+        edges = edges.unionByName(alike(scored))
         next_one = F.max_by("node", F.struct("s", F.xxhash64("node"))).alias("pivot")
         near = tried.join(scored, ["a", "b"]).groupBy("key", "used").agg(next_one)
         pivots = cut(near.withColumn("used", F.concat("used", F.array("pivot"))))
-    roots = components(edges.where(F.col("s") >= similarity).select("a", "b"))
+    roots = components(edges)
     member = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
+    if large:
+        # keys whose first text is the same make one group: more pairs than those of its keys, and each of them once
+        left = hot.join(few(groups), "key").select("g", "node").distinct().join(cut(member), "node", "left")
+        left = left.select("g", "node", F.coalesce("root", "node").alias("root")).join(grams, "node")
+        new = cut(_left_over(cut(left), similarity))
+        if not new.isEmpty():
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = components(new.unionByName(known))
+            member = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     ids = member.join(nodes, "node").select("node", "root", "low")
     linked = ids.join(ids.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
     table = nodes.join(linked, "node", "left").select("node", "rows", F.coalesce("component", "low").alias("component_id"))
