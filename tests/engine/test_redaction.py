@@ -114,6 +114,28 @@ def test_shouted_words_may_be_tokens():
         assert aliases.Repaired(text).text == want, text
 
 
+def test_only_places_where_labels_begin_are_looked_at(monkeypatch):
+    """Labels are those found by a look at every word, and few words are looked at."""
+    r = random.Random(5)
+    words = "plan primary member's name of employee insured patient policy holder card full claimant spouse dependant child surname first given family certificate cert. no id number identification group contract division membership client customer reference claim account ref. date birth d.o.b. DOB born employer sponsor company organisation home mailing residential street postal address work daytime telephone phone mobile cell e-mail email social insurance SIN S.I.N. personal health card medicare individual healthcare identifier tax file OHIP PHN IHI RAMQ TFN HCN bank BSB transit institution the of dear ocean".split()
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", ": ", "\n", "\t", ".", "_"]) for _ in range(60)) for _ in range(200)]
+    texts += ["".join(w + sep for sep in (": ", " no: ", "\n", "") for w in (u, u.upper(), u.title())) for u in words]
+    texts += ["social insurance number: 1", "S. I. N. SOCIAL\tInsurance: 2", "d.o. b: x"]
+    first, ahead, shapes = labels._scanner()
+    got = [labels.found(t) for t in texts]
+    monkeypatch.setattr(labels, "_scanner", lambda: (re.compile(r"(?<![^\W_])(?=[A-Za-z])"), ahead, shapes))
+    assert got == [labels.found(t) for t in texts] and {x.label for f in got for x in f} == set(labels.BY_ID)
+    plain = "Ouwhea thes of rend and threlyes with ocean, dear people. " * 20
+    assert len(list(first.finditer(plain))) == 0
+
+
+def test_values_are_looked_for_once(spark, monkeypatch):
+    a = aliases.Aliases([("Ann", "[A]")])
+    places = a.places("call Ann")
+    monkeypatch.setattr(aliases.Aliases, "places", None)
+    assert a.apply("call Ann", places) == "call [A]"
+
+
 def test_ways():
     texts = lambda *k: [(w.text, w.part) for w in known_values.ways(Known(*k))]
     assert texts("Dr. Jane Q. Doe", "member", True) == [("Dr. Jane Q. Doe", False), ("Jane Doe", False), ("Doe Jane", False), ("Doe Jane Q", False), ("Jane", True), ("Doe", True)]
