@@ -67,9 +67,10 @@ class Aliases:
                 end = b
         return out
 
-    def apply(self, text: str) -> str:
+    def apply(self, text: str, places: list[tuple[int, int, str]] | None = None) -> str:
+        """The text with its values replaced; ``places`` if they are known already."""
         out, at = [], 0
-        for a, b, token in self.places(text):
+        for a, b, token in self.places(text) if places is None else places:
             out += [text[at:a], token]
             at = b
         return "".join([*out, text[at:]])
@@ -94,7 +95,7 @@ def apply_aliases(docs: DataFrame, aliases: DataFrame, group: str, most: int = 1
         for pdf in frames:
             known = [made(j) if j else None for j in pdf.pop("aliases")]
             places = [k.places(t) if k and t else [] for k, t in zip(known, pdf["text"])]
-            pdf["text"] = [k.apply(t) if p else t for k, t, p in zip(known, pdf["text"], places)]
+            pdf["text"] = [k.apply(t, p) if p else t for k, t, p in zip(known, pdf["text"], places)]
             pdf["replaced"] = [[{"start": a, "end": b, "token": t} for a, b, t in p] for p in places]
             yield pdf
 
