@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+from pathlib import Path
 
 import pytest
 
@@ -50,3 +52,19 @@ def test_no_local_folder_on_a_cluster():
     Stub.getCheckpointDir = staticmethod(lambda: type("None_", (), {"isEmpty": lambda self: True})())
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.ensure_checkpoint_dir(Stub)
+
+
+def test_shuffles_go_once_their_rows_are_written(spark):
+    """They would stay until the driver collects its garbage, all those of a long call at once."""
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in folders for f in Path(d).glob("*/shuffle_*")}
+    before = files()
+    counts = spark.range(5000).selectExpr("id % 100 AS k").groupBy("k").count()
+    with common.Scratch(spark) as kept:
+        one, two = kept.keep(counts), common.cut(counts.where("k < 50"))
+        for _ in range(50):
+            if not files() - before:
+                break
+            time.sleep(0.1)
+        assert not files() - before
+        assert (one.count(), two.count()) == (100, 50)

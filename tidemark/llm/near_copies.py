@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few, keyed_texts
+from .common import Scratch, cut, few, keyed_texts
 from .common import row_key as key_of
 from .simhash import components, links, majority, shingle_hashes
 
@@ -156,56 +156,59 @@ def near_copies(
     rows = read_in.select("doc_id", "row_key", "node")
     # one row stands for all copies of a text
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"), F.min("row_key").alias("row_key")))
-    keyed = read_in.select("node", F.explode("keys").alias("key")).distinct()
-    keyed = cut(keyed)
-    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    small = keyed.join(sizes.where(F.col("n") <= dense).select("key"), "key")
-    twins = small.alias("l").join(small.alias("r"), "key").where("l.node < r.node")
-    # of texts that share a fingerprint one meets those of the fingerprints within two bits
-    prints = cut(read_in.select("node", "fp").distinct())
-    heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head")))
-    close = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
-    close = close.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-    same = prints.join(heads, "fp").where("node <> head")
-    pairs = twins.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).union(close.select(*_ordered("x", "y"))).union(same.select(*_ordered("node", "head")))
-    pairs = cut(pairs.distinct())
-    hot = cut(keyed.join(few(sizes.where(F.col("n") > dense).select("key")), "key"))
-    large = hot.limit(1).count() > 0
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    met = (met.union(hot.select("node")) if large else met).distinct()
-    wanted = few(cut(nodes.join(met, "node", "left_semi").select("row_key", "node")))
-    grams = base.join(wanted, "row_key").select("node", "text").mapInArrow(sets, "node bigint, grams binary")
-    grams = cut(grams.dropDuplicates(["node"]))
-
-    def scored_of(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-        sided = sided.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-        return cut(sided.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, s double"))
-
-    alike = lambda scored: scored.where(F.col("s") >= similarity).select("a", "b")
-    edges = alike(scored_of(pairs))
-    # the first texts are drawn by a hash that is the same for all keys, so that keys of one group draw the same ones
-    drawn = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
-    pivots = cut(hot.groupBy("key").agg(drawn.alias("pivot")).withColumn("used", F.array("pivot"))) if large else None
-    groups = None if pivots is None else pivots.select("key", F.col("pivot").alias("g"))
-    for _ in range(ROUNDS if large else 0):
-        tried = hot.join(few(pivots), "key").where(~F.array_contains("used", F.col("node"))).select("key", "node", "pivot", "used", *_ordered("node", "pivot"))
-        scored = scored_of(cut(tried.select("a", "b").distinct()))
-        edges = edges.unionByName(alike(scored))
-        next_one = F.max_by("node", F.struct("s", F.xxhash64("node"))).alias("pivot")
-        near = tried.join(scored, ["a", "b"]).groupBy("key", "used").agg(next_one)
-        pivots = cut(near.withColumn("used", F.concat("used", F.array("pivot"))))
-    roots = components(edges)
-    member = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
-    if large:
-        # keys whose first text is the same make one group: more pairs than those of its keys, and each of them once
-        left = hot.join(few(groups), "key").select("g", "node").distinct().join(cut(member), "node", "left")
-        left = left.select("g", "node", F.coalesce("root", "node").alias("root")).join(grams, "node")
-        new = cut(_left_over(cut(left), similarity))
-        if not new.isEmpty():
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = components(new.unionByName(known))
-            member = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
+    # what follows is written, so that small tables are read in few tasks and joined without a shuffle, and goes at the end
+    with Scratch(docs.sparkSession) as kept:
+        keyed = kept.keep(read_in.select("node", F.explode("keys").alias("key")).distinct())
+        sizes = kept.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        small = keyed.join(sizes.where(F.col("n") <= dense).select("key"), "key")
+        twins = small.alias("l").join(small.alias("r"), "key").where("l.node < r.node")
+        # of texts that share a fingerprint one meets those of the fingerprints within two bits
+        prints = kept.keep(read_in.select("node", "fp").distinct())
+        heads = kept.keep(prints.groupBy("fp").agg(F.min("node").alias("head")))
+        near = kept.keep(links(heads.select("fp")))
+        close = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+        close = close.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+        same = prints.join(heads, "fp").where("node <> head")
+        pairs = twins.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).union(close.select(*_ordered("x", "y"))).union(same.select(*_ordered("node", "head")))
+        pairs = kept.keep(pairs.distinct())
+        hot = kept.keep(keyed.join(few(sizes.where(F.col("n") > dense).select("key")), "key"))
+        kept.drop(keyed)
+        large = not hot.isEmpty()
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        met = (met.union(hot.select("node")) if large else met).distinct()
+        wanted = few(kept.keep(nodes.join(met, "node", "left_semi").select("row_key", "node")))
+        grams = base.join(wanted, "row_key").select("node", "text").mapInArrow(sets, "node bigint, grams binary")
+        grams = kept.keep(grams.dropDuplicates(["node"]))
+
+        def scored_of(pairs: DataFrame) -> DataFrame:
+            sided = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+            sided = sided.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+            return kept.keep(sided.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, s double"))
+
+        alike = lambda scored: scored.where(F.col("s") >= similarity).select("a", "b")
+        edges = alike(scored_of(pairs))
+        # the first texts are drawn by a hash that is the same for all keys, so that keys of one group draw the same ones
+        drawn = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
+        pivots = kept.keep(hot.groupBy("key").agg(drawn.alias("pivot")).withColumn("used", F.array("pivot"))) if large else None
+        groups = None if pivots is None else pivots.select("key", F.col("pivot").alias("g"))
+        for _ in range(ROUNDS if large else 0):
+            tried = hot.join(few(pivots), "key").where(~F.array_contains("used", F.col("node"))).select("key", "node", "pivot", "used", *_ordered("node", "pivot"))
+            scored = scored_of(tried.select("a", "b").distinct())
+            edges = edges.unionByName(alike(scored))
+            next_one = F.max_by("node", F.struct("s", F.xxhash64("node"))).alias("pivot")
+            best = tried.join(scored, ["a", "b"]).groupBy("key", "used").agg(next_one)
+            pivots = kept.keep(best.withColumn("used", F.concat("used", F.array("pivot"))))
+        roots = components(edges)
+        member = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
+        if large:
+            # keys whose first text is the same make one group: more pairs than those of its keys, and each of them once
+            left = hot.join(few(groups), "key").select("g", "node").distinct().join(kept.keep(member), "node", "left")
+            left = left.select("g", "node", F.coalesce("root", "node").alias("root")).join(grams, "node")
+            new = kept.keep(_left_over(kept.keep(left), similarity))
+            if not new.isEmpty():
+                known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                roots = components(new.unionByName(known))
+                member = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     ids = member.join(nodes, "node").select("node", "root", "low")
     linked = ids.join(ids.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
     table = nodes.join(linked, "node", "left").select("node", "rows", F.coalesce("component", "low").alias("component_id"))

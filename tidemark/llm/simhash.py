@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, cut, drop_rows, free_name, keyed_texts
+from .common import Scratch, by_key, cut, drop_rows, free_name, keyed_texts
 from .common import row_key as key_of
 
 BITS = 64
@@ -124,24 +124,26 @@ def links(fps: DataFrame, dense: int = 48) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the smallest node reachable.
 
-    Alternates large-star and small-star (Kiveris et al. 2014), each round cut by a checkpoint. A hub's neighbours are
-    only aggregated to their minimum and joined back, never gathered into one row. Rounds end when edges stay the same.
+    Alternates large-star and small-star (Kiveris et al. 2014), each round written, so that the next reads it in as few tasks as
+    it needs. A hub's neighbours are only aggregated to their minimum and joined back, never gathered into one row. Between
+    two rounds there are no more rows than edges, and twice as many before the last step. Rounds end when edges stay the same.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    with Scratch(edges.sparkSession) as kept:
+        e = kept.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+        before = None
+        while True:
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            down = large.groupBy("u").agg(F.min("v").alias("m"))
+            ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+            last, e = e, kept.keep(large.join(down, "u").select(ends.alias("e")).select("e.*").where("u <> v").distinct())
+            kept.drop(last)
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+        return cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = 48) -> DataFrame:
