@@ -76,6 +76,27 @@ def test_partial_ratio_is_exact_and_its_filter_safe():
     assert filtered > 20
 
 
+def test_misread_quotes_need_few_looks(monkeypatch):
+    """A quote with a letter misread is found, and not found on another page, without counting runs for every part."""
+    r, counted = random.Random(6), X._shared_counts
+    monkeypatch.setattr(X, "_shared_counts", lambda *args: pytest.fail("counted"))
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    page, other = (" ".join(r.choice(words) for _ in range(500)) for _ in range(2))
+    quote = page[1000:1005] + "~" + page[1006:1400]
+    assert X.partial_ratio(quote, page, 84.999) == 100 * 399 / 400 and X.partial_ratio(quote, other, 84.999) == 0
+    monkeypatch.setattr(X, "_shared_counts", counted)
+    assert X.partial_ratio(quote, other, 84.999) == 0
+
+
+def test_pages_out_of_reach_are_left_out_early(spark):
+    pages = spark.createDataFrame([(1, k, f"page {k} has words of its own: {'abcdefghij'[k] * 40}") for k in range(10)], "g int, page int, t string")
+    texts = [f"its own: {'abcdefghij'[k] * 20}" for k in range(10)]
+    blocks = spark.createDataFrame([(1, 0, [str(k) for k in range(10)], texts, [0] * 10)], "g int, block int, ids array<string>, texts array<string>, owns array<int>")
+    met = assembly._shared(pages, blocks, "g", "g int, block int, quote_id string, page int", 100.0).collect()
+    assert len(met) == 19 and {(x.quote_id, x.page) for x in met if x.inside} == {(str(k), k) for k in range(10)}
+    assert {x.page for x in met if x.mine} == {0}
+
+
 def test_suppression_equals_the_fold(spark):
     """Chains, rings and copies of texts that differ by little, in groups of several identities, one of them null."""
     r = random.Random(8)

@@ -42,26 +42,36 @@ def _bits(text: str) -> np.ndarray:
     return (mixed >> np.uint32(16)).astype(np.int64)
 
 
-def _shared(pages: DataFrame, blocks: DataFrame, group: str, kinds: str) -> DataFrame:
+def _shared(pages: DataFrame, blocks: DataFrame, group: str, kinds: str, least: float) -> DataFrame:
     """(group, block, quote_id, page, shared, n, short, inside, mine): for each page and quote of a group how many of the quote's
-    runs the page has, or a few more, and whether it has the quote."""
+    runs the page has, or a few more, and whether it has the quote; pages that cannot score ``least`` (``may_reach``) only if the
+    quote is said to be from them. A block's runs are made once for the pages that follow one another."""
+    r = (least - 0.001) / 100
+    names = [group, "block", "quote_id", "page", "shared", "n", "short", "inside", "mine"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, {}
         for pdf in frames:
             out = []
             for g, block, page, text, ids, texts, owns in pdf[[group, "block", "page", "t", "ids", "texts", "owns"]].itertuples(index=False):
+                if g != now:
+                    now, held = g, {}
+                if block not in held:
+                    runs = [_bits(q) for q in texts]
+                    n = np.array([len(q) for q in texts])
+                    lost = np.floor(5 * (1 - r) * n + max(0.0, 2.5 * r - 2) * n * (1 - r) / (1 - r / 2) + 1e-9)
+                    ends = np.cumsum([len(x) for x in runs])
+                    held[block] = np.concatenate(runs), ends - [len(x) for x in runs], ends, n, n - 2 - lost
+                of, starts, ends, n, need = held[block]
                 have = np.zeros(1 << 16, bool)
                 have[_bits(text)] = True
-                runs = [_bits(q) for q in texts]
-                seen = np.concatenate([[0], np.cumsum(have[np.concatenate(runs)])]) if runs else np.zeros(1, np.int64)
-                ends = np.cumsum([len(r) for r in runs])
-                shared = seen[ends] - seen[ends - [len(r) for r in runs]]
-                n = np.array([len(q) for q in texts])
-                inside = [s >= k - 2 and q in text for s, k, q in zip(shared, n, texts)]
-                mine = [o is not None and o == page for o in owns]
-                out.append(pd.DataFrame({group: g, "block": block, "quote_id": ids, "page": page, "shared": shared, "n": n, "short": n > len(text), "inside": inside, "mine": mine}))
-            if out:
-                yield pd.concat(out)
+                seen = np.concatenate([[0], np.cumsum(have[of])])
+                shared = seen[ends] - seen[starts]
+                mine = np.array([o is not None and o == page for o in owns])
+                for k in np.flatnonzero(mine | (n > len(text)) | (shared >= need)).tolist():
+                    inside = bool(shared[k] >= n[k] - 2) and texts[k] in text
+                    out.append((g, block, ids[k], page, shared[k], n[k], n[k] > len(text), inside, mine[k]))
+            yield pd.DataFrame(out, columns=names)
 
     return pages.join(blocks, group).mapInPandas(run, f"{kinds}, shared bigint, n bigint, short boolean, inside boolean, mine boolean")
 
@@ -90,7 +100,7 @@ def ground_quotes(quotes: DataFrame, pages: DataFrame, group: str, cited: str |
     a null page and score 0, or its cited page's score.
 
     Both sides are brought into normal form once; a page meets the quotes of its group in blocks. First runs of three
-    characters are counted for all; then each quote is scored on its cited page and the one that shares most, and only
+    characters are counted for all, and pages that cannot score ``least`` by them left out; then each quote is scored on its cited page and the one that shares most, and only
     after that on those others that share as many as it takes to do as well (``may_reach``), each as far as it takes to know
     whether it does. Nothing is left out by that.
     """
@@ -106,7 +116,7 @@ def ground_quotes(quotes: DataFrame, pages: DataFrame, group: str, cited: str |
         entry = F.struct("quote_id", "q", "own")
         blocks = q.groupBy(group, "block").agg(F.collect_list(entry).alias("e"))
         blocks = blocks.select(group, "block", F.col("e.quote_id").alias("ids"), F.col("e.q").alias("texts"), F.col("e.own").alias("owns"))
-        met = kept.keep(_shared(p, blocks, group, kinds))
+        met = kept.keep(_shared(p, blocks, group, kinds, least))
         # the page with the quote, or most of it, and the cited page where that has not all of it
         top = met.groupBy("quote_id").agg(F.min_by(F.struct("page", "inside"), F.struct(~F.col("inside"), -F.col("shared"), "page")).alias("top"))
         top = kept.keep(top.select("quote_id", F.col("top.page").alias("first"), F.col("top.inside").alias("sure")))
