@@ -278,3 +278,13 @@ def test_quotes_replay_only_what_counts(spark, monkeypatch):
     replay = fold.replay
     monkeypatch.setattr(fold, "replay", lambda plan, claims, *a: replayed.extend(known := list(claims)) or replay(plan, known, *a))
     assert len(list(fold.quotes_of(fold.PlanRules(plain), list(families[0].values())))) > 0 and replayed == []
+
+
+def test_windows_are_made_once_a_date():
+    from tidemark.plans.benefits import STATE_RULES
+
+    fold._window.cache_clear()
+    lines = [{"day": date(1995, 3, 1 + i % 5), "id": i, "benefit": i % 10, "charged": 9000, "other": 0, "quantity": 1} for i in range(200)]
+    assert len(list(fold.replay_sorted(fold.Ledger(STATE_RULES, listed=False), [{"id": 1, "member": 1, "status": "paid", "paid": None, "lines": lines}]))) == 1
+    info = fold._window.cache_info()
+    assert info.misses <= 5 * 3 < info.hits
