@@ -39,20 +39,14 @@ def allocate(df: DataFrame, group: list[str], order: list[str], total: str, weig
     Negative weights count 0; without any weight the first row gets all. Ties go by ``order``.
     """
     of = Window.partitionBy(*group)
-    first = of.orderBy(*order)
-    safe = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)).cast("decimal(28,0)")
-    df = df.withColumn("__w", safe).withColumn("__s", F.sum("__w").over(of))
-    none = F.col("__s") == 0
-    df = df.withColumns(
-        {
-            "__w": F.when(none & (F.row_number().over(first) == 1), F.lit(1)).when(none, F.lit(0)).otherwise(F.col("__w")).cast("decimal(28,0)"),
-            "__s": F.when(none, F.lit(1)).otherwise(F.col("__s")).cast("decimal(28,0)"),
-        }
-    )
+    weights = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)).cast("decimal(28,0)")
+    df = df.withColumn("__w", weights).withColumn("__s", F.sum("__w").over(of).cast("decimal(28,0)"))
     product = F.col(total).cast("decimal(18,0)") * F.col("__w").cast("decimal(19,0)")
-    df = df.withColumn("__r", product % F.col("__s"))
-    df = df.withColumn("__p", ((product - F.col("__r")) / F.col("__s")).cast("bigint"))
+    df = df.withColumn("__r", product % F.nullif("__s", F.lit(0)))  # null: no weight at all
+    df = df.withColumn("__p", F.when(F.col("__s") == 0, F.col(total) * 0).otherwise((product - F.col("__r")) / F.nullif("__s", F.lit(0))).cast("bigint"))
+    # one sort, of few columns: sums of a group need none of their own on either side of it
+    df = df.drop("__w", "__s").withColumn("__k", F.row_number().over(of.orderBy(F.desc("__r"), *order)))
     df = df.withColumn("__left", F.col(total) - F.sum("__p").over(of))
-    rank = F.row_number().over(of.orderBy(F.desc("__r"), *order))
-    df = df.withColumn(out, (F.col("__p") + F.when(rank <= F.col("__left"), 1).otherwise(0)).cast("bigint"))
-    return df.drop("__w", "__s", "__r", "__p", "__left")
+    first = F.when(F.col("__k") == 1, F.col(total)).otherwise(0)
+    more = F.when(F.col("__r").isNull(), first).when(F.col("__k") <= F.col("__left"), 1).otherwise(0)
+    return df.withColumn(out, (F.col("__p") + more).cast("bigint")).drop("__r", "__p", "__k", "__left")
