@@ -437,3 +437,27 @@ def test_allocated_indices_pass_over_many(spark):
     assert got == {(f, v): i for f, at in want.items() for v, i in at.items()}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "__free#" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_receipts_are_made_and_read_in_steps(spark):
+    """The text of a receipt is made in a step of its own, and a line's values once; odd days, quantities and amounts keep what they were."""
+    import json
+
+    from tidemark.plans import exchange
+    from tidemark.sources import readers
+
+    days = ["2024-02-29", "2023-02-29", "2024-2-3", "2024-01-31T10:00", "20240131", " 2024-01-1", "+2024-01-0", "0001-01-01", "2024-01-31x", "2024-01", "", "-2024-01-31"]
+    amounts = ["$1,234.505", "-0.001", "-5", "1e3", "", "$ 7", "abc", "0.005", None, "-0.004", "12,3", "99999999999999.994"]
+    quantities = [1, -1, 0, 2.5, "3", "x", -0.5, "1e2", None, " 4 ", "", "NaN"]
+    leaf = lambda v: {"valueNumber": v} if isinstance(v, (int, float)) else {"valueString": v, "confidence": 0.5}
+    lines = [{"valueObject": {"serviceDate": {"valueDate": d}, "amount": leaf(a), "quantity": leaf(q)}} for d, a, q in zip(days, amounts, quantities)]
+    rows = [(json.dumps({"serviceLines": {"valueArray": lines}, "total": {"valueNumber": 3, "confidence": 2.0}}),), ("{}",), ("no json",), (None,)]
+    out = readers.parse_receipts(spark.createDataFrame(rows, "json string")).collect()
+    got = out[0].lines
+    assert [str(x.service_date or "") for x in got] == ["2024-02-29", "", "", "2024-01-31", "", "", "", "0001-01-01", "2024-01-31", "", "", ""]
+    assert [x.amount_cents for x in got] == [123451, 0, None, 100_000, None, 700, None, 1, None, 0, 12300, 9999999999999999]
+    assert [str(x.quantity) for x in got] == ["1.0", "None", "0.0", "2.5", "3.0", "None", "None", "100.0", "None", "4.0", "None", "nan"]
+    assert out[0].confidence["totalCents"] == 1.0 and len(out[0].confidence) == 1 + sum(not isinstance(x, (int, float)) for x in amounts) + sum(not isinstance(x, (int, float)) for x in quantities)
+    assert all((r.total_cents, r.lines, r.confidence, r.currency) == (None, [], {}, "CAD") and "serviceLines" in r.missing for r in out[1:])
+    plan = exchange.receipts_read(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert [n.count("concat($, format_number") for n in plan if "from_json(" in n] == [0]

@@ -59,8 +59,11 @@ def receipts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as receipts, some fields missing, some unsure, two service lines, amounts as text or as numbers, read back."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     text = lambda c, sure=0.9: F.struct(c.alias("valueString"), F.lit(sure).alias("confidence"))
-    total = F.when(k % 2 == 0, F.to_json(F.struct(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("valueString"), ((k % 10) / 10).alias("confidence"))))
-    total = total.otherwise(F.to_json(F.struct(F.round("o_totalprice", 2).alias("valueNumber"), ((k % 10) / 10).alias("confidence"))))
+    even = F.coalesce(k % 2 == 0, F.lit(False))
+    total = F.struct(
+        F.when(even, F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("valueString"), F.when(~even, F.round("o_totalprice", 2)).alias("valueNumber"),
+        ((k % 10) / 10).alias("confidence"),
+    )
     line = lambda i: F.struct(
         F.struct(
             F.struct(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00")).alias("valueDate")).alias("serviceDate"), text(F.col("o_orderpriority")).alias("description"),
@@ -68,14 +71,14 @@ def receipts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("$1,234.505").alias("valueString"), F.lit(0.5).alias("confidence")).alias("amount"),
         ).alias("valueObject")
     )
-    rest = F.to_json(
+    body = F.to_json(
         F.struct(
             F.when(k % 3 != 0, text(F.col("o_orderpriority"))).alias("providerName"), F.struct(F.lit("").alias("valueString")).alias("providerType"),
             F.struct(k.alias("valueInteger")).alias("providerRegistrationNo"), F.when(k % 4 == 0, text(F.lit("aud"))).when(k % 4 == 1, text(F.lit("$"))).when(k % 4 == 2, text(F.lit("EUR"))).alias("currency"),
             F.when(k % 5 != 0, F.struct(F.array(line(0), line(1)).alias("valueArray"))).alias("serviceLines"),
+            total.alias("total"),
         )
     )
-    body = F.concat(F.regexp_replace(rest, "}$", ""), F.lit(',"total":'), total, F.lit("}"))
     r = readers.parse_receipts(o.select("o_orderkey", body.alias("json")))
     lines = F.array_join(F.transform("lines", lambda x: F.concat_ws("/", x["service_date"].cast("string"), x["item_code"], x["quantity"].cast("string"), x["amount_cents"].cast("string"))), ";")
     issues = F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["code"], x["field"])), ",")

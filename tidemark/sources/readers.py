@@ -135,10 +135,14 @@ def typed_value(field: Column) -> Column:
     return F.coalesce(*[field[m].cast("string") for m in MEMBERS])
 
 
+def _cents(text: Column) -> Column:
+    """Cents of amounts, halves up; of negative ones too."""
+    return F.round(F.trim(F.translate(text, "$,", "")).try_cast("decimal(20,6)") * 100).cast("bigint")
+
+
 def parse_money(text: Column) -> Column:
     """Cents of amounts like ``$1,234.50``, halves up; null if there is no number or a negative one."""
-    plain = F.trim(F.translate(text, "$,", ""))
-    cents = F.round(plain.try_cast("decimal(20,6)") * 100).cast("bigint")
+    cents = _cents(text)
     return F.when(cents >= 0, cents)
 
 
@@ -161,37 +165,44 @@ def parse_receipts(df: DataFrame, column: str = "json", region: str = "CA", low:
     A currency that is only a dollar sign, or not there, is the region's, and told of as assumed. ``insurerPaidCents`` is
     never missing: most receipts lack it. Issues: ``assumed_default``, ``field_missing``, and ``low_confidence`` by name.
     """
-    df = df.withColumn("__f", F.from_json(column, RECEIPT))
+    # two mentions of the text keep what makes it in a step of its own, which is compiled; what is inside from_json is interpreted
+    df = df.withColumn("__f", F.when(F.col(column).isNotNull(), F.from_json(column, RECEIPT)))
     f = F.col("__f")
-    value = {n: typed_value(f[n]) for n in RECEIPT_FIELDS}
     rows = F.coalesce(f["serviceLines"]["valueArray"], F.array().cast(f"array<{_LINE}>"))
+    entry = lambda name, c: F.when(c.isNotNull(), F.struct(name.alias("key"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)).alias("value")))
 
-    def line(x: Column) -> Column:
+    # Spark interprets what a lambda or its array holds, each mention anew: what is needed twice is a column, or a member, first
+    def told(x: Column, i: Column) -> Column:
         part = {n: typed_value(x["valueObject"][n]) for n in LINE_FIELDS}
-        quantity = part["quantity"].try_cast("double")
+        sure = [entry(F.concat(F.lit("serviceLines["), i.cast("string"), F.lit(f"].{t}")), x["valueObject"][n]["confidence"]) for n, t in LINE_FIELDS.items()]
+        return F.struct(
+            F.substring(part["serviceDate"], 1, 10).alias("day"), part["description"].alias("description"), part["itemCode"].alias("item_code"),
+            part["quantity"].try_cast("double").alias("quantity"), _cents(part["amount"]).alias("cents"), F.array(*sure).alias("sure"),
+        )
+
+    def line(x: Column) -> Column:
+        day = F.when(x["day"].rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), x["day"].try_cast("date"))
         return F.struct(
-            F.try_to_date(F.substring(part["serviceDate"], 1, 10), "yyyy-MM-dd").alias("service_date"), part["description"].alias("description"), part["itemCode"].alias("item_code"),
-            F.when(quantity >= 0, quantity).alias("quantity"), parse_money(part["amount"]).alias("amount_cents"),
+            day.alias("service_date"), x["description"].alias("description"), x["item_code"].alias("item_code"),
+            F.when(x["quantity"] >= 0, x["quantity"]).alias("quantity"), F.when(x["cents"] >= 0, x["cents"]).alias("amount_cents"),
         )
 
+    own = F.array(*[entry(F.lit(t), f[n]["confidence"]) for n, t in RECEIPT_FIELDS.items()])
+    df = df.withColumns({f"__{n}": typed_value(f[n]) for n in RECEIPT_FIELDS} | {"__own": own, "__lines": F.transform(rows, told)}).drop("__f", column)
+    value = {n: F.col(f"__{n}") for n in RECEIPT_FIELDS}
     said = F.upper(F.trim(F.coalesce(value["currency"], F.lit(""))))
     assumed = said.isin(*DOLLAR_SIGNS)
     currency = F.when(said.isin("CAD", "AUD"), said).when(assumed, "CAD" if region == "CA" else "AUD")
-    entry = lambda name, c: F.when(c.isNotNull(), F.struct(name.alias("key"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)).alias("value")))
-    own = F.array(*[entry(F.lit(t), f[n]["confidence"]) for n, t in RECEIPT_FIELDS.items()])
-    of_lines = F.flatten(
-        F.transform(rows, lambda x, i: F.array(*[entry(F.concat(F.lit("serviceLines["), i.cast("string"), F.lit(f"].{t}")), x["valueObject"][n]["confidence"]) for n, t in LINE_FIELDS.items()]))
-    )
-    confidence = F.map_from_entries(F.array_compact(F.concat(own, of_lines)))
-    lacking = [F.when(F.size(rows) == 0, "serviceLines"), F.when(assumed | (F.coalesce(value["currency"], F.lit("")) == ""), "currency")]
+    confidence = F.map_from_entries(F.array_compact(F.concat("__own", F.flatten("__lines.sure"))))
+    lacking = [F.when(F.size("__lines") == 0, "serviceLines"), F.when(assumed | (F.coalesce(value["currency"], F.lit("")) == ""), "currency")]
     lacking += [F.when(F.coalesce(value[n], F.lit("")) == "", t) for n, t in RECEIPT_FIELDS.items() if n not in ("currency", "insurerPaid")]
     df = df.withColumns(
         {
             "provider_name": value["providerName"], "provider_type": value["providerType"], "provider_no": F.when(value["providerRegistrationNo"] != "", value["providerRegistrationNo"]),
-            "total_cents": parse_money(value["total"]), "insurer_paid_cents": parse_money(value["insurerPaid"]), "currency": currency, "lines": F.transform(rows, line),
+            "total_cents": parse_money(value["total"]), "insurer_paid_cents": parse_money(value["insurerPaid"]), "currency": currency, "lines": F.transform("__lines", line),
             "confidence": confidence, "missing": F.array_compact(F.array(*lacking)),
         }
-    ).drop("__f", column)
+    ).drop("__own", "__lines", *[f"__{n}" for n in RECEIPT_FIELDS])
     issue = lambda code, name: F.struct(code.alias("code"), name.alias("field"))
     told = F.transform("missing", lambda m: issue(F.when((m == "currency") & F.col("currency").isNotNull(), "assumed_default").otherwise("field_missing"), m))
     unsure = F.transform(F.sort_array(F.map_keys(F.map_filter("confidence", lambda k, v: v < low))), lambda k: issue(F.lit("low_confidence"), k))
