@@ -1,10 +1,11 @@
 """Queries over tables of their own: that all of the work is asked for, and rows that the given tables don't have."""
 
 import inspect
+import uuid
 
 import duckdb
 
-from tidemark.operators import evals
+from tidemark.operators import evals, known_values
 from tidemark.plans import extras, operations
 
 
@@ -31,3 +32,20 @@ def test_empty_pages_of_documents_without_text(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.sql(extras.EMPTY_SQL).fetchall()) and (1, "kept") in got and (18, "ocr_empty") in got
+
+
+def test_many_known_values_are_made_ready_once(spark, tmp_path, monkeypatch):
+    """Documents of a group share what is made of its values, in however many parts those come."""
+    made = tmp_path / "made"
+    made.mkdir()
+    real = known_values.Finder
+
+    def noted(values):
+        (made / uuid.uuid4().hex).touch()
+        return real(values)
+
+    monkeypatch.setattr(known_values, "Finder", noted)
+    docs = spark.createDataFrame([(i, "g" if i % 50 else None, f"see {i % 7}{i % 5}1 there") for i in range(200)], "doc_id bigint, g string, text string")
+    known = spark.createDataFrame([(g, f"{a}{b}1", "custom", False, None) for g in ("g", None, "h") for a in range(7) for b in range(5)], "g string, value string, kind string, is_name boolean, token string")
+    rows = known_values.find_known(docs, known, "g", most=1).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(200)) and all(r.value == r.known for r in rows) and len(list(made.iterdir())) == 2

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.streams import OCR_DIGITS, Needles, compact
+from ..functions.streams import OCR_DIGITS, Needles, compact, letters
+from ..sources.scratch import Scratch, checkpointed
+from .joins import bounded
 
 #: Titles that are no part of a name.
 TITLES = frozenset("mr mrs ms mx miss dr prof".split())
@@ -58,12 +60,12 @@ def _name_ways(value: str) -> Iterator[Way]:
     yield Way(f"{given[0]} {last}", False)
     yield Way(f"{last} {given[0]}", False)
     yield Way(f"{last} {' '.join(given)}", False)
-    yield from (Way(n, True) for n in names if len(compact(n)[0]) >= 2)
+    yield from (Way(n, True) for n in names if len(letters(n)) >= 2)
 
 
 def _address_ways(value: str) -> Iterator[Way]:
     pieces = [p.strip() for p in re.split(r"[,\n]+", value)]
-    for text, part in [(value, False), *((p, True) for p in pieces if len(compact(p)[0]) >= 6)]:
+    for text, part in [(value, False), *((p, True) for p in pieces if len(letters(p)) >= 6)]:
         for way in (text, _streets(text, _LONG_WORDS), _streets(text, STREET_WORDS)):
             yield Way(way, part)
 
@@ -90,8 +92,8 @@ def ways(known: Known) -> list[Way]:
         out += _phone_ways(value)
     first: dict[tuple[str, bool], Way] = {}
     for w in out:
-        first.setdefault((compact(w.text)[0], w.part), w)
-    return [w for (letters, _), w in first.items() if letters]
+        first.setdefault((letters(w.text), w.part), w)
+    return [w for (plain, _), w in first.items() if plain]
 
 
 class Hit(NamedTuple):
@@ -114,7 +116,7 @@ class Finder:
         self.by_needle: dict[str, list[tuple[Known, Way]]] = {}
         for k in dict.fromkeys(values):
             for w in ways(k):
-                needle = compact(w.text)[0]
+                needle = letters(w.text)
                 if len(needle) >= 2:
                     self.by_needle.setdefault(needle, []).append((k, w))
         self.plain = Needles(self.by_needle)
@@ -175,12 +177,12 @@ def in_frames(found: Iterator[list[tuple]], names: list[str]) -> Iterator[pd.Dat
     yield pd.DataFrame(rows, columns=names)
 
 
-def find_known(docs: DataFrame, known: DataFrame, group: str, ocr: str | None = None, most: int = 200_000) -> DataFrame:
+def find_known(docs: DataFrame, known: DataFrame, group: str, ocr: str | None = None, most: int = 10_000) -> DataFrame:
     """(doc_id, start, end, value, kind, token, part, known): all places in the texts of a group of what is known in it.
 
     ``known`` has ``group``, value, kind, is_name and token. If its rows are at most ``most``, every task gets them once.
-    Else documents and values meet by group in parts of 10,000 values; as all hits count, those of parts add up to those of
-    the whole. ``ocr`` names a column that is true for texts read from print. Null texts have no hits.
+    Else documents and values meet by group, in parts of some values and blocks of some documents; as all hits count, those of
+    parts add up to those of the whole. ``ocr`` names a column that is true for texts read from print. Null texts have no hits.
     """
     columns = [group, *Known._fields]
     known = known.select(*columns).distinct()
@@ -207,19 +209,50 @@ def find_known(docs: DataFrame, known: DataFrame, group: str, ocr: str | None =
             yield from in_frames(found(), names)
 
         return docs.mapInPandas(look, SPANS)
-    part = F.pmod(F.xxhash64("value"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.ceil(F.col("n") / 10_000))
-    counted = known.join(known.groupBy(group).agg(F.count("*").alias("n")), group)
-    per = counted.groupBy(group, part.alias("piece")).agg(F.collect_list(F.struct(*Known._fields)).alias("values"))
+    return _in_blocks(docs, known, group)
+
+
+#: How many values of a group are looked for at once, and in how many documents: both are bounds of a task's memory and of how
+#: often values are made ready.
+VALUES_AT_ONCE, DOCS_AT_ONCE = 50_000, 20_000
+
+
+def _in_blocks(docs: DataFrame, known: DataFrame, group: str) -> DataFrame:
+    """``find_known`` of any number of values: those of a part of a group and the documents of a block of it meet in one stream,
+    values first, so that they are made ready once a block."""
+    key = F.to_json(F.struct(F.col(group).alias("g"))).alias("key")  # nulls are a group too
+    docs, known = docs.select(key, "doc_id", "text", "ocr"), known.select(key, *Known._fields)
+    many = lambda df, most, name: df.groupBy("key").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = bounded(many(known, VALUES_AT_ONCE, "parts").join(many(docs, DOCS_AT_ONCE, "blocks"), "key"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    held = known.join(sizes, "key").select(
+        "key", dealt("value", "parts").alias("part"), every("blocks").alias("block"), F.lit(0).alias("turn"), F.lit(0).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        F.lit(None).cast("string").alias("text"), F.lit(False).alias("ocr"), *Known._fields,
+    )
+    none = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in Known._fields]
+    asked = docs.join(sizes, "key").select(
+        "key", every("parts").alias("part"), dealt("doc_id", "blocks").alias("block"), F.lit(1).alias("turn"), "doc_id", "text", F.coalesce("ocr", F.lit(False)).alias("ocr"), *none
+    )
+    at = ["key", "part", "block"]
+    rows = held.unionByName(asked).repartition(*at).sortWithinPartitions(*at, "turn")
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = (
-            _rows(doc, text, Finder(Known(*(v[f] for f in Known._fields)) for v in values), bool(o))
-            for pdf in frames
-            for doc, text, o, values in zip(pdf["doc_id"], pdf["text"], pdf["ocr"], pdf["values"])
-        )
-        yield from in_frames(found, names)
+        def found() -> Iterator[list[tuple]]:
+            now, values, finder = None, [], None
+            for pdf in frames:
+                for k, part, block, turn, doc, text, o, *value in pdf.itertuples(index=False):
+                    if now != (k, part, block):
+                        now, values, finder = (k, part, block), [], None
+                    if not turn:
+                        values.append(Known(*value))
+                        continue
+                    finder = finder or Finder(values)
+                    yield list(_rows(doc, text, finder, bool(o)))
 
-    return docs.join(per, group).mapInPandas(apply, SPANS)
+        yield from in_frames(found(), [c.split()[0] for c in SPANS.split(", ")])
+
+    return rows.mapInPandas(apply, SPANS)
 
 
 def learned(docs: DataFrame, group: str) -> DataFrame:
@@ -238,6 +271,7 @@ def learned(docs: DataFrame, group: str) -> DataFrame:
     return docs.select(group, "text").mapInPandas(learn, f"{group} {kind}, value string, kind string, is_name boolean, token string").distinct()
 
 
-def learn_and_find(docs: DataFrame, group: str, most: int = 200_000) -> DataFrame:
+def learn_and_find(docs: DataFrame, group: str, most: int = 10_000) -> DataFrame:
     """Two passes: what a label gives in any document of a group is found, labelled or not, in all of them."""
-    return find_known(docs, learned(docs, group), group, most=most)
+    with Scratch(docs.sparkSession) as kept:  # texts are searched for labels once
+        return checkpointed(find_known(docs, kept.keep(learned(docs, group)), group, most=most))
