@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.streams import codes
-from ..functions.text import names_match, normal_score, normalize_text, scored, scored1
+from ..functions.text import names_match, normal_scores, normalize_text, scored, scored1
 from ..sources.scratch import Scratch, checkpointed
 
 
@@ -83,11 +83,13 @@ def _scores(pairs: DataFrame, pages: DataFrame, quotes: DataFrame, group: str, k
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [
-                (g, block, i, page, round(normal_score(q, text, floor), 3))
+            pairs = [
+                (g, block, i, page, q, text, floor)
                 for g, block, page, text, ids, texts, floors in pdf[[group, "block", "page", "t", "ids", "texts", "floors"]].itertuples(index=False)
                 for i, q, floor in zip(ids, texts, floors)
             ]
+            scores = normal_scores([x[4] for x in pairs], [x[5] for x in pairs], [x[6] for x in pairs])
+            rows = [(*x[:4], round(score, 3)) for x, score in zip(pairs, scores)]
             yield pd.DataFrame(rows, columns=[group, "block", "quote_id", "page", "score"])
 
     return asked.join(pages, [group, "page"]).mapInPandas(run, f"{kinds}, score double")
